@@ -61,7 +61,7 @@ def packed(block: int, keys: np.ndarray, *beside: np.ndarray, buckets: int) -> p
     edges = np.searchsorted(keys, (np.arange(1, buckets) * ((1 << 64) // buckets)).astype(U64)) if len(keys) else np.zeros(buckets - 1, int)
     edges = np.concatenate(([0], edges, [len(keys)]))
     full = np.flatnonzero(np.diff(edges))
-    cols = [[x[edges[i] : edges[i + 1]].tobytes() for i in full] for x in (keys, *beside)]
+    cols = [[deflate(x[edges[i] : edges[i + 1]]) for i in full] for x in (keys, *beside)]
     cols += [[None] * len(full)] * (4 - len(cols))
     return pa.table(
         {"bucket": pa.array(full, pa.int32()), "block": pa.array(np.full(len(full), block), pa.int32())}
@@ -69,6 +69,15 @@ def packed(block: int, keys: np.ndarray, *beside: np.ndarray, buckets: int) -> p
     )
 
 
+def deflate(x: np.ndarray | list[bytes]) -> bytes:
+    """Numbers as they are; strings joined and compressed."""
+    return x.tobytes() if isinstance(x, np.ndarray) else pa.compress(b"".join(x), codec="zstd", asbytes=True)
+
+
+def inflate(blob: pa.Buffer, size: int) -> bytes:
+    return pa.decompress(blob, decompressed_size=size, codec="zstd", asbytes=True) if size else b""
+
+
 def unpacked(table: pa.Table, name: str, dtype) -> np.ndarray:
     parts = [np.frombuffer(x.as_buffer(), dtype) for x in table[name] if x.is_valid]
     return np.concatenate(parts) if parts else np.zeros(0, dtype)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .substring_dedup import substring_dedup
+from .suffix_dedup import suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +17,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("kept_text")
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup}
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"), "doc_id", "text", width=100).drop("kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op6_suffix_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
