@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import decontamination, mixing
+from .decontamination import decontaminate
+from .mixing import mix_sources
+from .ngram_join import ngram_join
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
 
@@ -17,10 +21,25 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("kept_text")
 
 
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"), "doc_id", "text", width=100).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op6_suffix_dedup)}
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents"), n=5, similarity=0.8)
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_mix_sources, op6_suffix_dedup, op9_decontaminate, op10_ngram_join)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_mix_sources": mixing.oracle(),
+    "op9_decontaminate": decontamination.oracle(),
+}
