@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import decontamination, mixing
 from .decontamination import decontaminate
+from .language_id import language_id
 from .mixing import mix_sources
 from .ngram_join import ngram_join
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
+from .toxicity import toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +31,14 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"), "doc_id", "text", width=100).drop("kept")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -37,7 +47,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"), n=5, similarity=0.8)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_mix_sources, op6_suffix_dedup, op9_decontaminate, op10_ngram_join)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_mix_sources, op6_suffix_dedup, op7_toxicity, op8_language_id, op9_decontaminate, op10_ngram_join)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_mix_sources": mixing.oracle(),
