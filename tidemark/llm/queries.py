@@ -7,11 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from . import decontamination, mixing
 from .decontamination import decontaminate
 from .language_id import language_id
+from .license_scan import license_scan
 from .mixing import mix_sources
 from .ngram_join import ngram_join
+from .permutation_index import nearest_neighbours
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
 from .toxicity import toxicity
+from .warc import warc_round_trip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +30,19 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+def op4_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest_neighbours(vectors, vectors.where("vec_id % 100 = 0"), "vec_id", "embedding", k=10)
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"), "doc_id", "text", width=100).drop("kept")
 
@@ -47,7 +63,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"), n=5, similarity=0.8)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_mix_sources, op6_suffix_dedup, op7_toxicity, op8_language_id, op9_decontaminate, op10_ngram_join)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_mix_sources, op3_license_scan, op4_permutation_index, op5_warc, op6_suffix_dedup, op7_toxicity, op8_language_id, op9_decontaminate, op10_ngram_join)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_mix_sources": mixing.oracle(),
