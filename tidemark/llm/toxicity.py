@@ -205,18 +205,19 @@ def toxicity(
     label_col: str = "toxic",
     max_labels: int = 50_000,
     min_cue: int = 8,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Score every text for toxicity.
 
     Returns (``id_col``, held_out, score, predicted, n_restored), a row for each
-    input row. The score is the probability, on the learned rows, of the label
+    input row, and the columns named in ``carry`` as ``with_<name>``. The score is the probability, on the learned rows, of the label
     given the strongest cue in the text (or none, as in null and empty texts).
     Labels that are null, or of a null id, teach nothing; of several labels of
     an id the largest counts; without labels every score is 0. Other columns
     are ignored.
     """
     model = docs.sparkSession.sparkContext.broadcast(char_model(docs, text_col))
-    base = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))
+    base = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"with_{c}") for c in carry])
     known = (
         labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
         .groupBy(F.col(id_col).alias("id"))
@@ -266,12 +267,14 @@ def toxicity(
                     np.maximum.at(best, row[hit] + a, weight[at[hit]])
             p = 1 / (1 + np.exp(-best))
             yield pa.RecordBatch.from_arrays(
-                [batch["id"], batch["held_out"], pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array(restored)],
-                ["id", "held_out", "score", "predicted", "n_restored"],
+                [batch["id"], batch["held_out"], pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array(restored), *[batch[c] for c in extra]],
+                ["id", "held_out", "score", "predicted", "n_restored", *extra],
             )
 
     kind = base.schema["id"].dataType.simpleString()
-    out = base.mapInArrow(score, f"id {kind}, held_out boolean, score double, predicted int, n_restored long")
+    extra = [f"with_{c}" for c in carry]
+    more = "".join(f", `{c}` {base.schema[c].dataType.simpleString()}" for c in extra)
+    out = base.mapInArrow(score, f"id {kind}, held_out boolean, score double, predicted int, n_restored long{more}")
     return out.withColumnRenamed("id", id_col)
 
 
