@@ -159,10 +159,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     empty table gives an empty table.
     """
     parts = B.shuffle_parts(docs)
-    n = blocks or 8 * parts
+    n, buckets = blocks or 2 * parts, parts
     base = B.in_blocks(docs, id_col, text_col, n)
-    shared = B.answer(B.ask(base, lambda t: anchors_of(t, width), n), shared_anchors)
-    first = B.answer(B.ask_again(base, shared, lambda t, r: candidates_of(t, r, width), n), first_documents)
+    shared = B.answer(B.ask(base, lambda t: anchors_of(t, width), buckets), shared_anchors)
+    first = B.answer(B.ask_again(base, shared, lambda t, r: candidates_of(t, r, width), buckets), first_documents)
     schema = "id long, n_words long, n_removed long, kept_text string, kept_sha256 string"
 
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
