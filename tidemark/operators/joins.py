@@ -14,3 +14,275 @@ def author_fold(commits: DataFrame, aliases: DataFrame) -> DataFrame:
     """Authors under their folded names; unknown ones stay."""
     a = aliases.select(F.lower("alias").alias("_key"), F.col("name").alias("_name")).dropDuplicates(["_key"])
     return commits.join(a, F.lower("author") == F.col("_key"), "left").withColumn("author", F.coalesce("_name", "author")).drop("_key", "_name")
+
+
+def name_evidence(attachments: DataFrame, files: DataFrame, stop: Sequence[str]) -> DataFrame:
+    """Attachment names that are file names of a project, one vote per thread, project and name.
+
+    The weight is one over the number of projects that own the name. ``attachments``
+    has thread_id and name, ``files`` project and name.
+    """
+    owned = files.select("project", F.lower("name").alias("name")).distinct()
+    owners = owned.groupBy("name").agg(F.count("*").alias("owners"))
+    asked = attachments.select("thread_id", F.lower("name").alias("name")).where(~F.col("name").isin(*stop)).distinct()
+    return asked.join(owned, "name").join(owners, "name").select("thread_id", "project", "name", F.round(1.0 / F.col("owners"), 4).alias("weight"))
+
+
+def path_evidence(texts: DataFrame, keys: DataFrame, noise: Sequence[str], least: int = 4) -> DataFrame:
+    """Path tokens in texts whose segments, or pairs of neighbouring segments, name a project.
+
+    ``texts`` has thread_id and content, ``keys`` project and key (compact). One
+    row per thread, project and key with the trailing segment of its first place.
+    """
+    chars = r"[A-Za-z0-9_.\-~/\\:]"
+    paths = texts.select("thread_id", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(f"({chars}*[\\\\/]{chars}*)"), F.lit(1)))).alias("token"))
+    segs = paths.select("thread_id", "token", F.array_remove(F.split("token", r"[\\/:]+"), "").alias("s"))
+    pair = F.transform(F.sequence(F.lit(1), F.greatest(F.size("s"), F.lit(1))), lambda i: F.concat(F.get("s", i - 1), F.coalesce(F.get("s", i), F.lit(""))))
+    units = segs.select("thread_id", F.element_at("s", -1).alias("tail"), F.explode(F.array_union("s", pair)).alias("unit")).select("thread_id", "tail", compact_key(F.col("unit")).alias("key"))
+    good = units.where((F.length("key") >= least) & ~F.col("key").isin(*noise))
+    return good.join(keys, "key").groupBy("thread_id", "project", "key").agg(F.min("tail").alias("origin")).withColumn("weight", F.lit(0.9))
+
+
+def alias_hits(texts: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Aliases that stand in a text between characters that are neither letters nor digits.
+
+    ``texts`` has thread_id, place (title or body) and content, ``aliases``
+    project, alias and low_signal. Texts and aliases meet on the alias's first
+    word, then the whole alias is looked for. A title beats a body.
+    """
+    first = F.regexp_extract(F.lower("alias"), r"([a-z0-9]+)", 1)
+    known = aliases.where(F.length("alias") >= 3).withColumn("word", first)
+    words = texts.select("thread_id", "place", F.lower("content").alias("content"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit("([a-z0-9]+)"), F.lit(1)))).alias("word"))
+    met = words.join(known, "word").where(F.col("content").contains(F.lower("alias")))
+    exact = F.expr("concat(' ', content, ' ') rlike concat('[^a-z0-9]\\\\Q', lower(alias), '\\\\E[^a-z0-9]')")
+    best = met.where(exact).groupBy("thread_id", "project", "alias").agg(F.max(F.col("place") == "title").alias("title"), F.max("low_signal").alias("low_signal"))
+    weight = F.when(F.col("title"), 0.8).when(F.col("low_signal"), 0.15).otherwise(0.6)
+    return best.select("thread_id", "project", "alias", F.when(F.col("title"), "title").otherwise("body").alias("place"), weight.alias("weight"))
+
+
+def cwd_attribution(sessions: DataFrame, keys: DataFrame) -> DataFrame:
+    """Sessions whose working directory names exactly one project."""
+    segs = sessions.select("session_id", F.explode(F.array_distinct(F.array_remove(F.split("cwd", r"[\\/:]+"), ""))).alias("seg"))
+    hits = segs.select("session_id", compact_key(F.col("seg")).alias("key")).join(keys, "key")
+    return hits.groupBy("session_id").agg(F.count_distinct("project").alias("n"), F.min("project").alias("project")).where("n = 1").drop("n")
+
+
+def exact_link(threads: DataFrame, projects: DataFrame) -> DataFrame:
+    """Threads whose title equals a project's name, or contains its template; the first rule and project win."""
+    equal = threads.join(projects, F.col("title") == F.col("name")).select("thread_id", "project_id", F.lit(1).alias("rule"))
+    inside = threads.join(projects.where("template is not null"), F.substring("title", 1, 4) == F.substring("template", 1, 4)).where(F.col("title").startswith(F.col("template")))
+    both = equal.unionByName(inside.select("thread_id", "project_id", F.lit(2).alias("rule")))
+    return latest(both, ["thread_id"], [F.col("rule"), F.col("project_id")])
+
+
+def time_plausibility(threads: DataFrame, bursts: DataFrame) -> DataFrame:
+    """How well a thread's day fits a project's bursts, for pairs (thread_id, project, day).
+
+    1 inside a burst, 0 if more than 14 days before the first, else falling with
+    the distance to the nearest; 0.7 without a day, 1 without any burst.
+    """
+    gap = F.greatest(F.datediff("from", "day"), F.datediff("day", "to"), F.lit(0))
+    joined = threads.join(bursts, "project", "left")
+    near = joined.groupBy("thread_id", "project", "day").agg(F.min(F.when(F.col("from").isNotNull(), gap)).alias("gap"), F.min("from").alias("start"))
+    score = (
+        F.when(F.col("start").isNull(), 1.0)
+        .when(F.col("day").isNull(), 0.7)
+        .when(F.col("gap") == 0, 1.0)
+        .when(F.datediff("start", "day") > 14, 0.0)
+        .otherwise(0.1 + 0.9 * F.exp(-F.col("gap") / 30.0))
+    )
+    return near.select("thread_id", "project", F.round(score, 6).alias("plausibility"))
+
+
+def nearest_anchor(items: DataFrame, anchors: DataFrame, days: int = 14, threshold: float = 0.6, width: int = 28) -> DataFrame:
+    """The most similar anchor within ``days`` of each item; all anchors if none is near; null below the threshold.
+
+    ``items`` has item_id, day and v, ``anchors`` anchor_id, day (or null) and v.
+    Days meet in buckets of ``width`` days, so only neighbouring days are compared.
+    """
+    cosine = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x))
+    a = anchors.select("anchor_id", F.col("day").alias("anchor_day"), F.col("v").alias("w"), norm(F.col("v")).alias("nw"))
+    i = items.select("item_id", "day", "v", norm(F.col("v")).alias("nv"))
+    bucket = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01").cast("date")) / width)
+    left = i.withColumn("b", F.explode(F.array(bucket("day") - 1, bucket("day"), bucket("day") + 1)))
+    dated = left.join(a.where("anchor_day is not null").withColumn("b", bucket("anchor_day")), "b").where(F.abs(F.datediff("day", "anchor_day")) <= days).drop("b")
+    alone = i.join(dated.select("item_id").distinct(), "item_id", "left_anti")
+    undated = i.join(F.broadcast(a.where("anchor_day is null")))
+    every = alone.join(F.broadcast(a.where("anchor_day is not null")))
+    sim = F.round(F.try_divide(cosine(F.col("v"), F.col("w")), F.col("nv") * F.col("nw")), 6)
+    scored = dated.unionByName(undated).unionByName(every).select("item_id", "anchor_id", sim.alias("sim"))
+    best = scored.groupBy("item_id").agg(F.max(F.struct("sim", (-F.col("anchor_id")).alias("m"))).alias("best"))
+    return best.select("item_id", F.when(F.col("best.sim") >= threshold, -F.col("best.m")).alias("anchor_id"), F.col("best.sim").alias("sim"))
+
+
+def skeleton_exact(skeleton: DataFrame, pool: DataFrame) -> DataFrame:
+    """Skeleton messages claim pool rows of the same role and text, each row once, in order."""
+    key = F.trim(F.regexp_replace("content", r"[ \t\n\r\f]+", " "))
+    rank = lambda df, order: df.withColumn("key", key).withColumn("turn_no", F.row_number().over(Window.partitionBy("role", "key").orderBy(*order)))
+    s = rank(skeleton, ["skeleton_id", "idx"])
+    p = rank(pool, ["pool_id"]).select("role", "key", "turn_no", "pool_id")
+    return s.join(p, ["role", "key", "turn_no"], "left").select("skeleton_id", "idx", "pool_id")
+
+
+def prefix_map(sheet: DataFrame, openers: DataFrame, texts: DataFrame, width: int = 200, least: int = 60) -> DataFrame:
+    """Sheet rows to conversations: by equal normalised beginnings, else by a long beginning inside any message."""
+    norm = lambda c: F.substring(F.lower(F.trim(F.regexp_replace(c, r"[ \t\n\r\f]+", " "))), 1, width)
+    s = sheet.select("pos", norm("first_message").alias("key"))
+    one = s.join(openers.select("conversation_id", norm("content").alias("key")), "key").select("pos", "conversation_id", F.lit(1).alias("pass"))
+    rest = s.join(one.select("pos").distinct(), "pos", "left_anti").where(F.length("key") >= least)
+    word = F.expr("element_at(array_sort(split(key, ' '), (a, b) -> case when length(a) <> length(b) then length(b) - length(a) when a < b then -1 when a > b then 1 else 0 end), 1)")
+    spoken = texts.select("conversation_id", F.lower(F.trim(F.regexp_replace("content", r"[ \t\n\r\f]+", " "))).alias("body"))
+    words = spoken.select("conversation_id", "body", F.explode(F.array_distinct(F.split("body", " "))).alias("word"))
+    two = rest.withColumn("word", word).join(words, "word").where(F.col("body").contains(F.col("key"))).select("pos", "conversation_id", F.lit(2).alias("pass")).distinct()
+    return one.unionByName(two)
+
+
+def ambiguity_pairing(hits: DataFrame) -> DataFrame:
+    """Candidate pairs (pos, project, conversation_id, row_day, conv_day, key): one to one, paired by date rank, or refused."""
+    w = Window.partitionBy("key")
+    rows = hits.withColumn("n_rows", F.size(F.collect_set("pos").over(w))).withColumn("n_conv", F.size(F.collect_set("conversation_id").over(w))).withColumn("n_proj", F.size(F.collect_set("project").over(w)))
+    rank_row = F.dense_rank().over(w.orderBy("row_day", "pos"))
+    rank_conv = F.dense_rank().over(w.orderBy("conv_day", "conversation_id"))
+    out = rows.withColumn("rr", rank_row).withColumn("rc", rank_conv)
+    verdict = F.when((F.col("n_rows") == 1) & (F.col("n_conv") == 1), "match").when((F.col("n_rows") == F.col("n_conv")) & (F.col("n_proj") == 1), "paired").otherwise("refused")
+    return out.withColumn("verdict", verdict).where((F.col("verdict") != "paired") | (F.col("rr") == F.col("rc"))).select("pos", "conversation_id", "verdict")
+
+
+def reconcile_both_ways(mapped: DataFrame, stored: DataFrame) -> DataFrame:
+    """State of each id that is mapped, stored, or both."""
+    joined = mapped.select("id", F.lit(True).alias("m")).distinct().join(stored.select("id", F.lit(True).alias("s")).distinct(), "id", "full")
+    return joined.select("id", F.when(F.col("m") & F.col("s"), "resolved").when(F.col("m"), "mapped_absent").otherwise("present_unmapped").alias("state"))
+
+
+def title_coherence(left: DataFrame, right: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Pairs of equal normalised titles, then the best word overlap of each left title still alone."""
+    norm = lambda df, p: df.select(F.col("id").alias(f"{p}_id"), F.trim(F.regexp_replace(F.lower("title"), r"[^a-z0-9]+", " ")).alias(f"{p}_title"))
+    a, b = norm(left, "l"), norm(right, "r")
+    exact = a.join(b, F.col("l_title") == F.col("r_title")).select("l_id", "r_id", F.lit(1.0).alias("score"))
+    rest_a = a.join(exact.select("l_id"), "l_id", "left_anti").withColumn("wa", F.array_distinct(F.split("l_title", " ")))
+    rest_b = b.join(exact.select("r_id"), "r_id", "left_anti").withColumn("wb", F.array_distinct(F.split("r_title", " ")))
+    shared = (
+        rest_a.select("l_id", F.size("wa").alias("na"), F.explode("wa").alias("w")).join(rest_b.select("r_id", F.size("wb").alias("nb"), F.explode("wb").alias("w")), "w")
+        .groupBy("l_id", "r_id").agg(F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    )
+    near = shared.select("l_id", "r_id", F.round(F.col("c") / (F.col("na") + F.col("nb") - F.col("c")), 6).alias("score")).where(F.col("score") >= threshold)
+    return exact.unionByName(latest(near, ["l_id"], [F.col("score").desc(), F.col("r_id")]))
+
+
+def snapshot_diff(docs: DataFrame, fields: Sequence[str] = ("bytes", "words", "headings")) -> DataFrame:
+    """Documents added, removed or changed between the two newest snapshots; none with fewer than two."""
+    days = docs.select("snapshot_date").distinct().orderBy(F.desc("snapshot_date")).limit(2).agg(F.max("snapshot_date").alias("new_day"), F.min("snapshot_date").alias("old_day")).where("new_day <> old_day")
+    both = docs.join(F.broadcast(days)).where("snapshot_date = new_day or snapshot_date = old_day")
+    state = F.struct(*fields)
+    sides = both.groupBy("name", "path").agg(F.max(F.when(F.col("snapshot_date") == F.col("new_day"), state)).alias("new"), F.max(F.when(F.col("snapshot_date") == F.col("old_day"), state)).alias("old"))
+    change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(~F.col("new").eqNullSafe(F.col("old")), "changed")
+    return sides.withColumn("change", change).where("change is not null").select("name", "path", "change")
+
+
+def drift(trail: DataFrame, built: DataFrame, window: int = 30) -> DataFrame:
+    """Alerts per project from its talk (project, latest, present) and its build activity (project, new_commits)."""
+    newest = trail.agg(F.max("latest").alias("newest"))
+    both = trail.join(built, "project", "full").join(F.broadcast(newest)).withColumn("recent", F.coalesce(F.datediff("newest", "latest") <= window, F.lit(False)))
+    commits = F.coalesce("new_commits", F.lit(0))
+    alerts = F.array_compact(F.array(
+        F.when(F.col("latest").isNotNull() & ~F.coalesce("present", F.lit(False)), "discussed_not_present"),
+        F.when(F.col("recent") & F.coalesce("present", F.lit(False)) & (commits == 0), "talked_not_built"),
+        F.when(~F.col("recent") & (commits > 0), "built_not_discussed"),
+    ))
+    return both.select("project", F.explode(alerts).alias("alert"))
+
+
+def vault_rollup(projects: DataFrame, threads: DataFrame, messages: DataFrame, key: str = "project_id") -> DataFrame:
+    """Projects with their threads, substantive threads, messages and newest thread."""
+    n = messages.groupBy("thread_id").agg(F.count("*").alias("n"))
+    per = threads.join(n, "thread_id", "left").groupBy(key).agg(
+        F.count("*").alias("threads"), F.count_if(F.coalesce("n", F.lit(0)) >= 4).alias("substantive"), F.coalesce(F.sum("n"), F.lit(0)).alias("messages"), F.max("updated_at").alias("latest")
+    )
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return projects.join(per, key, "left").select(*projects.columns, zero("threads"), zero("substantive"), zero("messages"), F.col("latest"))
+
+
+def project_trail(threads: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Per linked project: threads, true latest, best confidence and dominant signal."""
+    rank = F.when(F.col("project_confidence") == "manual", 0).when(F.col("project_confidence") == "exact", 1).when(F.col("project_confidence") == "evidence", 2).when(F.col("project_confidence") == "fuzzy", 3).otherwise(4)
+    per = threads.where("project_link is not null").groupBy(F.col("project_link").alias("project")).agg(F.count("*").alias("threads"), F.max("updated_at").alias("latest"), F.min(rank).alias("best_rank"), F.max_by("thread_id", F.struct("updated_at", "thread_id")).alias("newest"))
+    n = evidence.groupBy("project", "signal").agg(F.count("*").alias("n"))
+    dominant = n.groupBy("project").agg(F.min_by("signal", F.struct((-F.col("n")).alias("m"), F.col("signal"))).alias("signal"))
+    return per.join(dominant, "project", "left")
+
+
+def pending_rulings(queue: DataFrame, threads: DataFrame, messages: DataFrame, rulings: DataFrame, width: int = 240) -> DataFrame:
+    """Pending queue rows of threads not linked by hand, without rejected pairs, with the first message's beginning."""
+    opener = messages.groupBy("thread_id").agg(F.min_by(F.substring("content", 1, width), "seq").alias("snippet"))
+    out = queue.where("status = 'pending'").join(rulings.select("thread_id", "candidate_project").distinct(), ["thread_id", "candidate_project"], "left_anti")
+    out = out.join(threads.select("thread_id", "title", "project_confidence"), "thread_id", "left").where("project_confidence is null or project_confidence <> 'manual'")
+    return out.join(opener, "thread_id", "left").select("item_id", "thread_id", "candidate_project", "rival_project", "confidence", "title", "snippet", F.col("rival_project").isNotNull().alias("contested"))
+
+
+def queue_by_project(queue: DataFrame, rulings: DataFrame, kinds: Sequence[str]) -> DataFrame:
+    """Pending rows of each candidate and rival project by type, without rejected pairs."""
+    sides = queue.where("status = 'pending'").select("thread_id", "type", F.explode(F.array_distinct(F.array_compact(F.array("candidate_project", "rival_project")))).alias("project"))
+    left = sides.join(rulings.select("thread_id", F.col("candidate_project").alias("project")).distinct(), ["thread_id", "project"], "left_anti")
+    return left.groupBy("project").agg(*[F.count_if(F.col("type") == k).alias(k) for k in kinds])
+
+
+def linked_thread(threads: DataFrame) -> DataFrame:
+    """The newest thread linked to each project."""
+    return threads.where("project_link is not null").groupBy("project_link").agg(F.max_by(F.struct("thread_id", "title"), F.struct("updated_at", "thread_id")).alias("t")).select("project_link", "t.thread_id", "t.title")
+
+
+def registry_assemble(curated: DataFrame, found: DataFrame) -> DataFrame:
+    """Curated entries with the facts of the repositories found; entries unseen stay, repositories unclaimed are added."""
+    joined = curated.join(found, "name", "full")
+    return joined.select("name", F.coalesce("project", F.concat(F.lit("auto-"), F.lower("name"))).alias("project"), F.col("bytes").isNotNull().alias("present"), F.col("project").isNotNull().alias("curated"), F.col("bytes"))
+
+
+def registry_merge(old: DataFrame, new: DataFrame) -> DataFrame:
+    """New facts over old ones: the first sighting and hand-made aliases are kept."""
+    o = old.select("id", F.col("first_seen").alias("old_seen"), F.col("aliases").alias("old_aliases"), F.col("manual").alias("manual"))
+    n = new.select("id", F.col("first_seen").alias("new_seen"), F.col("aliases").alias("new_aliases"))
+    none = F.array().cast("array<string>")
+    return n.join(o, "id", "full").select("id", F.coalesce(F.least("old_seen", "new_seen"), "old_seen", "new_seen").alias("first_seen"),
+        F.array_sort(F.array_union(F.coalesce("new_aliases", none), F.when(F.coalesce("manual", F.lit(False)), F.col("old_aliases")).otherwise(none))).alias("aliases"))
+
+
+def alias_resolve(names: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Names to registry ids by normalised key, the first id wins; unmatched names keep null."""
+    key = lambda c: F.regexp_replace(F.lower(c), r"[^a-z0-9]+", "")
+    first = aliases.select(key("alias").alias("key"), "id").groupBy("key").agg(F.min("id").alias("id"))
+    return names.withColumn("key", key("name")).join(first, "key", "left").select("name", "id")
+
+
+def orphan_links(threads: DataFrame, projects: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(threads with links to no project reset to null, a repair row for each)."""
+    known = projects.select(F.col("project_id").alias("project_link"), F.lit(True).alias("known")).distinct()
+    marked = threads.join(known, "project_link", "left")
+    orphan = F.col("project_link").isNotNull() & F.col("known").isNull()
+    fixed = marked.withColumn("project_link", F.when(~orphan, F.col("project_link"))).drop("known")
+    return fixed, marked.where(orphan).select("thread_id", F.col("project_link").alias("lost"), F.lit("orphan_link").alias("type"))
+
+
+def three_way_merge(base: DataFrame, file: DataFrame, db: DataFrame) -> DataFrame:
+    """Field values (thread_id, field, value) merged: the file wins where it differs from both others."""
+    sides = [df.select("thread_id", "field", F.col("value").alias(n)) for df, n in ((base, "b"), (file, "f"), (db, "d"))]
+    joined = sides[2].join(sides[1], ["thread_id", "field"], "left").join(sides[0], ["thread_id", "field"], "left")
+    wins = F.col("f").isNotNull() & ~F.col("f").eqNullSafe(F.col("d")) & ~F.col("f").eqNullSafe(F.col("b"))
+    return joined.select("thread_id", "field", F.when(wins, F.col("f")).otherwise(F.col("d")).alias("value"), wins.alias("overridden"))
+
+
+def duplicate_roots(repos: DataFrame) -> DataFrame:
+    """Root commits that occur under several names."""
+    return repos.groupBy("root").agg(F.count_distinct("name").alias("names"), F.min("name").alias("first_name")).where("names > 1")
+
+
+def stage_staleness(stages: DataFrame, depends: DataFrame, as_of: str, aged_days: int = 3) -> DataFrame:
+    """Stages older than one of their inputs, and stages not run for ``aged_days``."""
+    dep = stages.select(F.col("stage").alias("needs"), F.col("finished_at").alias("dep_at"))
+    late = depends.join(dep, "needs").groupBy("stage").agg(F.max("dep_at").alias("dep_at"))
+    age = F.datediff(F.lit(as_of).cast("date"), F.to_date("finished_at"))
+    return stages.join(late, "stage", "left").select("stage", F.coalesce(F.col("dep_at") > F.col("finished_at"), F.lit(False)).alias("stale"), (age > aged_days).alias("aged"))
+
+
+def jaccard(a: Column, b: Column) -> Column:
+    return F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.size(F.array_union(a, b)))

@@ -1 +1,244 @@
-"""Queries."""
+"""Queries over joins of threads, projects, files and snapshots."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import joins
+from .catalog import query
+
+NOISE = ("http", "https", "www", "com")
+
+
+@query("""WITH n AS (SELECT project_id, name, program FROM projects), th AS (SELECT o_orderkey AS thread_id, o_custkey AS project_id, CAST(o_orderdate AS TIMESTAMP) AS updated_at FROM orders),
+  m AS (SELECT l_orderkey AS thread_id, count(*) AS n FROM lineitem GROUP BY 1), p AS (SELECT project_id, count(*) AS threads, count_if(coalesce(n, 0) >= 4) AS substantive, coalesce(sum(n), 0) AS messages, max(updated_at) AS latest
+  FROM th LEFT JOIN m USING (thread_id) GROUP BY 1) SELECT c_custkey AS project_id, c_name AS name, coalesce(threads, 0)::BIGINT AS threads, coalesce(substantive, 0)::BIGINT AS substantive, coalesce(messages, 0)::BIGINT AS messages, latest::DATE::VARCHAR AS latest
+  FROM customer LEFT JOIN p ON c_custkey = project_id""")
+def jn_vault_rollup(t):
+    projects = t.customer.select(F.col("c_custkey").alias("project_id"), F.col("c_name").alias("name"))
+    threads = t.orders.select(F.col("o_orderkey").alias("thread_id"), F.col("o_custkey").alias("project_id"), F.col("o_orderdate").cast("timestamp").alias("updated_at"))
+    messages = t.lineitem.select(F.col("l_orderkey").alias("thread_id"))
+    return joins.vault_rollup(projects, threads, messages).withColumn("latest", F.to_date("latest").cast("string"))
+
+
+@query("""WITH own AS (SELECT DISTINCT project, lower(string_split(path, '/')[1]) AS name FROM files), ow AS (SELECT name, count(*) AS owners FROM own GROUP BY 1),
+  a AS (SELECT DISTINCT thread_id, lower(regexp_extract(content, '^([^ ]+)', 1)) AS name FROM (SELECT file_id % 40 AS thread_id, path AS content FROM (SELECT file_id, string_split(path, '/')[1] AS path FROM files)))
+  SELECT thread_id, project, name, round(1.0::DOUBLE / owners, 4) AS weight FROM a JOIN own USING (name) JOIN ow USING (name) WHERE name <> 'es'""")
+def jn_filename_xref(t):
+    name = F.split_part(F.col("path"), F.lit("/"), F.lit(1))
+    return joins.name_evidence(t.files.select((F.col("file_id") % 40).alias("thread_id"), name.alias("name")), t.files.select("project", name.alias("name")), ["es"])
+
+
+@query("""WITH k AS (SELECT DISTINCT project, regexp_replace(lower(project), '[-_ ./\\\\]+', '', 'g') AS key FROM files), tok AS (SELECT DISTINCT page_id % 50 AS thread_id, unnest(regexp_extract_all(url, '([A-Za-z0-9_.\\-~/\\\\:]*[\\\\/][A-Za-z0-9_.\\-~/\\\\:]*)')) AS token FROM pages),
+  s AS (SELECT thread_id, token, list_filter(regexp_split_to_array(token, '[\\\\/:]+'), lambda x: x <> '') AS s FROM tok),
+  u AS (SELECT thread_id, s[-1] AS tail, unnest(list_concat(s, list_transform(range(1, len(s) + 1), lambda i: s[i] || coalesce(s[i + 1], '')))) AS unit FROM s)
+  SELECT thread_id, project, key, min(tail) AS origin, 0.9::DOUBLE AS weight FROM (SELECT thread_id, tail, regexp_replace(lower(unit), '[-_ ./\\\\]+', '', 'g') AS key FROM u) JOIN k USING (key) WHERE length(key) >= 4 GROUP BY 1, 2, 3""")
+def jn_path_mention(t):
+    from ..functions.core import compact_key
+
+    keys = t.files.select("project", compact_key(F.col("project")).alias("key")).distinct()
+    texts = t.pages.select((F.col("page_id") % 50).alias("thread_id"), F.col("url").alias("content"))
+    return joins.path_evidence(texts, keys, NOISE)
+
+
+ALIAS = """al AS (SELECT 'p' || item_id::VARCHAR AS project, lower(regexp_extract(text, '([A-Za-z]{3,} [A-Za-z]{3,})', 1)) AS alias, item_id % 2 = 0 AS low_signal FROM benchmark WHERE regexp_extract(text, '([A-Za-z]{3,} [A-Za-z]{3,})', 1) <> '')"""
+
+
+@query(f"""WITH {ALIAS}, tx AS (SELECT doc_id AS thread_id, CASE WHEN doc_id % 3 = 0 THEN 'title' ELSE 'body' END AS place, lower(text) AS content FROM documents)
+  SELECT thread_id, project, alias, CASE WHEN max(place = 'title') THEN 'title' ELSE 'body' END AS place, CASE WHEN max(place = 'title') THEN 0.8 WHEN max(low_signal) THEN 0.15 ELSE 0.6 END::DOUBLE AS weight
+  FROM tx JOIN al ON contains(content, alias) AND regexp_matches(' ' || content || ' ', '[^a-z0-9]' || alias || '[^a-z0-9]') GROUP BY 1, 2, 3""")
+def jn_alias_hits(t):
+    alias = F.lower(F.regexp_extract("text", "([A-Za-z]{3,} [A-Za-z]{3,})", 1))
+    aliases = t.benchmark.select(F.concat(F.lit("p"), F.col("item_id").cast("string")).alias("project"), alias.alias("alias"), (F.col("item_id") % 2 == 0).alias("low_signal")).where("alias <> ''")
+    texts = t.documents.select(F.col("doc_id").alias("thread_id"), F.when(F.col("doc_id") % 3 == 0, "title").otherwise("body").alias("place"), F.col("text").alias("content"))
+    return joins.alias_hits(texts, aliases)
+
+
+@query("""WITH k AS (SELECT DISTINCT string_split(host, '.')[1] AS project, lower(string_split(host, '.')[1]) AS key FROM (SELECT regexp_extract(url, '://([^/]+)', 1) AS host FROM pages)),
+  h AS (SELECT DISTINCT page_id AS session_id, unnest(list_filter(regexp_split_to_array(replace(url, '.', '/'), '[\\\\/:]+'), lambda x: x <> '')) AS seg FROM pages)
+  SELECT session_id, min(project) AS project FROM (SELECT session_id, regexp_replace(lower(seg), '[-_ ./\\\\]+', '', 'g') AS key FROM h) JOIN k USING (key) GROUP BY 1 HAVING count(DISTINCT project) = 1""")
+def jn_cwd_attribution(t):
+    host = F.split_part(F.regexp_extract("url", "://([^/]+)", 1), F.lit("."), F.lit(1))
+    keys = t.pages.select(host.alias("project"), F.lower(host).alias("key")).distinct()
+    return joins.cwd_attribution(t.pages.select(F.col("page_id").alias("session_id"), F.replace("url", F.lit("."), F.lit("/")).alias("cwd")), keys)
+
+
+@query("""WITH p AS (SELECT 'p' || p_partkey::VARCHAR AS project_id, p_type AS name, CASE WHEN p_partkey % 2 = 0 THEN p_brand END AS template FROM part WHERE p_partkey <= 60),
+  th AS (SELECT p_partkey AS thread_id, CASE WHEN p_partkey % 3 = 0 THEN p_brand || ' x' ELSE p_type END AS title FROM part),
+  b AS (SELECT thread_id, project_id, 1 AS rule FROM th JOIN p ON title = name UNION ALL SELECT thread_id, project_id, 2 FROM th JOIN p ON starts_with(title, template))
+  SELECT thread_id, project_id, rule FROM (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY rule, project_id) AS rn FROM b) WHERE rn = 1""")
+def jn_exact_link(t):
+    projects = t.part.where("p_partkey <= 60").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("project_id"), F.col("p_type").alias("name"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")).alias("template"))
+    title = F.when(F.col("p_partkey") % 3 == 0, F.concat("p_brand", F.lit(" x"))).otherwise(F.col("p_type"))
+    return joins.exact_link(t.part.select(F.col("p_partkey").alias("thread_id"), title.alias("title")), projects)
+
+
+BURSTS = """b AS (SELECT project, min(d) AS "from", max(d) AS "to" FROM (SELECT *, sum(brk) OVER (PARTITION BY project ORDER BY d) AS g FROM (SELECT *, CASE WHEN d - lag(d) OVER (PARTITION BY project ORDER BY d) > 7 THEN 1 ELSE 0 END AS brk
+  FROM (SELECT DISTINCT project, ts::DATE AS d FROM commits))) GROUP BY project, g)"""
+
+
+@query(f"""WITH {BURSTS}, th AS (SELECT o_orderkey AS thread_id, 'c' || (o_custkey % 50)::VARCHAR AS project, CASE WHEN o_orderkey % 10 <> 0 THEN CASE WHEN o_orderkey % 4 = 0 THEN (o_orderdate - INTERVAL 3000 DAY)::DATE ELSE (o_orderdate + INTERVAL 600 DAY)::DATE END END AS day FROM orders),
+  j AS (SELECT thread_id, th.project, day, min(CASE WHEN b."from" IS NOT NULL THEN greatest(b."from" - day, day - b."to", 0) END) AS gap, min(b."from") AS start FROM th LEFT JOIN b ON th.project = b.project GROUP BY 1, 2, 3)
+  SELECT thread_id, project, round(CASE WHEN start IS NULL THEN 1.0 WHEN day IS NULL THEN 0.7 WHEN gap = 0 THEN 1.0 WHEN start - day > 14 THEN 0.0 ELSE 0.1 + 0.9 * exp(-gap / 30.0) END::DOUBLE, 6) AS plausibility FROM j""")
+def jn_time_window(t):
+    from ..operators.sequence import bursts
+
+    day = F.when(F.col("o_orderkey") % 10 != 0, F.when(F.col("o_orderkey") % 4 == 0, F.date_sub(F.to_date("o_orderdate"), 3000)).otherwise(F.date_add(F.to_date("o_orderdate"), 600)))
+    threads = t.orders.select(F.col("o_orderkey").alias("thread_id"), F.concat(F.lit("c"), (F.col("o_custkey") % 50).cast("string")).alias("project"), day.alias("day"))
+    return joins.time_plausibility(threads, bursts(t.commits.select("project", F.to_date("ts").alias("day"))))
+
+
+@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, DATE '2024-01-01' + (vec_id % 60)::INT AS day FROM embeddings), a AS (SELECT vec_id AS anchor_id, v, CASE WHEN vec_id % 40 <> 0 THEN day END AS day FROM e WHERE vec_id % 20 = 0), i AS (SELECT * FROM e WHERE vec_id % 20 = 1),
+  near AS (SELECT DISTINCT vec_id FROM i JOIN a ON a.day IS NOT NULL AND abs(i.day - a.day) <= 14), j AS (SELECT i.vec_id AS item_id, anchor_id, round(list_dot_product(i.v, a.v) / (sqrt(list_dot_product(i.v, i.v)) * sqrt(list_dot_product(a.v, a.v))), 6) AS sim
+  FROM i JOIN a ON a.day IS NULL OR abs(i.day - a.day) <= 14 OR i.vec_id NOT IN (SELECT vec_id FROM near))
+  SELECT item_id, CASE WHEN sim >= 0.2 THEN anchor_id END AS anchor_id, sim FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY sim DESC, anchor_id) AS rn FROM j) WHERE rn = 1""")
+def jn_nearest_anchor(t):
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("vec_id") % 60).cast("int"))
+    e = t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("v"), day.alias("day"))
+    anchors = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("anchor_id"), F.when(F.col("vec_id") % 40 != 0, F.col("day")).alias("day"), "v")
+    return joins.nearest_anchor(e.where("vec_id % 20 = 1").withColumnRenamed("vec_id", "item_id"), anchors, threshold=0.2)
+
+
+@query("""WITH s AS (SELECT *, row_number() OVER (PARTITION BY role, k ORDER BY thread_id, seq) AS n FROM (SELECT *, trim(regexp_replace(substr(content, 1, 3), '[ \\t\\n\\r\\f]+', ' ', 'g')) AS k FROM messages WHERE thread_id % 2 = 0)),
+  p AS (SELECT *, row_number() OVER (PARTITION BY role, k ORDER BY thread_id * 1000 + seq) AS n FROM (SELECT *, trim(regexp_replace(substr(content, 1, 3), '[ \\t\\n\\r\\f]+', ' ', 'g')) AS k FROM messages WHERE thread_id % 2 = 1))
+  SELECT s.thread_id AS skeleton_id, s.seq AS idx, p.thread_id * 1000 + p.seq AS pool_id FROM s LEFT JOIN p USING (role, k, n)""")
+def jn_skeleton_exact(t):
+    m = t.messages.withColumn("content", F.substring("content", 1, 3))
+    return joins.skeleton_exact(m.where("thread_id % 2 = 0").select(F.col("thread_id").alias("skeleton_id"), F.col("seq").alias("idx"), "role", "content"), m.where("thread_id % 2 = 1").select((F.col("thread_id") * 1000 + F.col("seq")).alias("pool_id"), "role", "content"))
+
+
+@query("""WITH n AS (SELECT thread_id AS conversation_id, seq, lower(trim(regexp_replace(content, '[ \\t\\n\\r\\f]+', ' ', 'g'))) AS body FROM messages), s AS (SELECT conversation_id * 1000 + seq AS pos, substr(CASE WHEN conversation_id % 2 = 0 THEN body ELSE substr(body, 1, 80) END, 1, 200) AS key FROM n WHERE seq <= 1),
+  s2 AS (SELECT pos, trim(key) AS key FROM s), one AS (SELECT pos, conversation_id FROM s2 JOIN (SELECT conversation_id, substr(body, 1, 200) AS key FROM n WHERE seq = 0) o USING (key)),
+  two AS (SELECT DISTINCT pos, conversation_id FROM s2 JOIN n ON contains(body, key) WHERE length(key) >= 60 AND pos NOT IN (SELECT pos FROM one))
+  SELECT pos, conversation_id, 1 AS "pass" FROM one UNION ALL SELECT pos, conversation_id, 2 FROM two""")
+def jn_prefix_map(t):
+    m = t.messages.select(F.col("thread_id").alias("conversation_id"), "seq", F.lower(F.trim(F.regexp_replace("content", r"[ \t\n\r\f]+", " "))).alias("content"))
+    sheet = m.where("seq <= 1").select((F.col("conversation_id") * 1000 + F.col("seq")).alias("pos"), F.when(F.col("conversation_id") % 2 == 0, F.col("content")).otherwise(F.substring("content", 1, 80)).alias("first_message"))
+    return joins.prefix_map(sheet.withColumn("first_message", F.substring("first_message", 1, 200)), m.where("seq = 0").select("conversation_id", "content"), m.select("conversation_id", "content"))
+
+
+@query("""WITH h AS (SELECT o_custkey AS key, o_orderkey AS pos, o_orderdate::DATE AS row_day, o_orderkey % 3 AS c, 'p' || (o_custkey % 7 + CASE WHEN o_custkey % 11 = 0 THEN o_orderkey % 2 ELSE 0 END)::VARCHAR AS project FROM orders),
+  v AS (SELECT l_orderkey AS conversation_id, o_custkey AS key, max(l_shipdate)::DATE AS conv_day FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 2 GROUP BY 1, 2), j AS (SELECT h.*, conversation_id, conv_day FROM h JOIN v USING (key)),
+  w AS (SELECT j.*, n_rows, n_conv, n_proj, dense_rank() OVER (PARTITION BY j.key ORDER BY row_day, pos) AS rr, dense_rank() OVER (PARTITION BY j.key ORDER BY conv_day, conversation_id) AS rc
+  FROM j JOIN (SELECT key, count(DISTINCT pos) AS n_rows, count(DISTINCT conversation_id) AS n_conv, count(DISTINCT project) AS n_proj FROM j GROUP BY 1) USING (key))
+  SELECT pos, conversation_id, verdict FROM (SELECT *, CASE WHEN n_rows = 1 AND n_conv = 1 THEN 'match' WHEN n_rows = n_conv AND n_proj = 1 THEN 'paired' ELSE 'refused' END AS verdict FROM w) WHERE verdict <> 'paired' OR rr = rc""")
+def jn_ambiguity_pairing(t):
+    extra = F.when(F.col("o_custkey") % 11 == 0, F.col("o_orderkey") % 2).otherwise(0)
+    rows = t.orders.select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("pos"), F.to_date("o_orderdate").alias("row_day"), F.concat(F.lit("p"), (F.col("o_custkey") % 7 + extra).cast("string")).alias("project"))
+    conv = t.lineitem.where("l_linenumber = 2").join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("l_orderkey").alias("conversation_id"), F.col("o_custkey").alias("key")).agg(F.to_date(F.max("l_shipdate")).alias("conv_day"))
+    return joins.ambiguity_pairing(rows.join(conv, "key"))
+
+
+@query("""SELECT coalesce(m.id, s.id) AS id, CASE WHEN m.id IS NOT NULL AND s.id IS NOT NULL THEN 'resolved' WHEN m.id IS NOT NULL THEN 'mapped_absent' ELSE 'present_unmapped' END AS state
+  FROM (SELECT DISTINCT user_id AS id FROM events) m FULL JOIN (SELECT DISTINCT thread_id AS id FROM messages) s ON m.id = s.id""")
+def jn_reconcile_both_ways(t):
+    return joins.reconcile_both_ways(t.events.select(F.col("user_id").alias("id")), t.messages.select(F.col("thread_id").alias("id")))
+
+
+@query("""WITH a AS (SELECT p_partkey AS id, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS title FROM part WHERE p_partkey % 2 = 0), b AS (SELECT p_partkey AS id, trim(regexp_replace(lower(CASE WHEN p_partkey % 9 = 0 THEN p_name ELSE p_type || ' ' || p_name END), '[^a-z0-9]+', ' ', 'g')) AS title FROM part WHERE p_partkey % 3 = 0),
+  e AS (SELECT a.id AS l_id, b.id AS r_id, 1.0::DOUBLE AS score FROM a JOIN b USING (title)), ra AS (SELECT id, list_distinct(string_split(title, ' ')) AS w FROM a WHERE id NOT IN (SELECT l_id FROM e)), rb AS (SELECT id, list_distinct(string_split(title, ' ')) AS w FROM b WHERE id NOT IN (SELECT r_id FROM e)),
+  n AS (SELECT ra.id AS l_id, rb.id AS r_id, round(len(list_intersect(ra.w, rb.w))::DOUBLE / (len(ra.w) + len(rb.w) - len(list_intersect(ra.w, rb.w))), 6) AS score FROM ra, rb)
+  SELECT * FROM e UNION ALL SELECT l_id, r_id, score FROM (SELECT *, row_number() OVER (PARTITION BY l_id ORDER BY score DESC, r_id) AS rn FROM n WHERE score >= 0.5) WHERE rn = 1""")
+def jn_title_coherence(t):
+    right = F.when(F.col("p_partkey") % 9 == 0, F.col("p_name")).otherwise(F.concat_ws(" ", "p_type", "p_name"))
+    return joins.title_coherence(t.part.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title")), t.part.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("id"), right.alias("title")))
+
+
+SNAP = """sn AS (SELECT CASE WHEN n = 0 THEN '2024-01-01' WHEN n = 1 THEN '2024-01-08' ELSE '2023-12-01' END AS snapshot_date, project AS name, doc_id::VARCHAR AS path, bytes + CASE WHEN n = 1 AND doc_id % 5 = 0 THEN 1 ELSE 0 END AS bytes, doc_id % 7 AS words, doc_id % 3 AS headings, n, doc_id
+  FROM docs, range(0, 3) r(n) WHERE NOT (n = 0 AND doc_id % 11 = 0) AND NOT (n = 1 AND doc_id % 13 = 0))"""
+
+
+@query(f"""WITH {SNAP}, o AS (SELECT * FROM sn WHERE snapshot_date = '2024-01-01'), w AS (SELECT * FROM sn WHERE snapshot_date = '2024-01-08')
+  SELECT * FROM (SELECT coalesce(o.name, w.name) AS name, coalesce(o.path, w.path) AS path, CASE WHEN o.path IS NULL THEN 'added' WHEN w.path IS NULL THEN 'removed' WHEN (o.bytes, o.words, o.headings) IS DISTINCT FROM (w.bytes, w.words, w.headings) THEN 'changed' END AS change
+  FROM o FULL JOIN w ON o.name = w.name AND o.path = w.path) WHERE change IS NOT NULL""")
+def jn_snapshot_diff(t):
+    days = F.array(*[F.struct(F.lit(i).alias("n"), F.lit(d).alias("snapshot_date")) for i, d in enumerate(("2024-01-01", "2024-01-08", "2023-12-01"))])
+    s = t.docs.select("project", "doc_id", "bytes", F.inline(days)).where("not (n = 0 and doc_id % 11 = 0) and not (n = 1 and doc_id % 13 = 0)")
+    bump = F.when((F.col("n") == 1) & (F.col("doc_id") % 5 == 0), 1).otherwise(0)
+    return joins.snapshot_diff(s.select("snapshot_date", F.col("project").alias("name"), F.col("doc_id").cast("string").alias("path"), (F.col("bytes") + bump).alias("bytes"), (F.col("doc_id") % 7).alias("words"), (F.col("doc_id") % 3).alias("headings")))
+
+
+@query("""WITH tr AS (SELECT project_link AS project, max(updated_at)::DATE AS latest, min(thread_id) % 3 > 0 AS present FROM threads WHERE project_link IS NOT NULL GROUP BY 1), bu AS (SELECT 'p' || n_nationkey::VARCHAR AS project, count(s_suppkey) AS new_commits FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_suppkey % 2 = 0 GROUP BY 1),
+  j AS (SELECT coalesce(tr.project, bu.project) AS project, latest, coalesce(present, false) AS present, coalesce(new_commits, 0) AS c, coalesce((SELECT max(latest) FROM tr) - latest <= 30, false) AS recent FROM tr FULL JOIN bu ON tr.project = bu.project)
+  SELECT project, 'discussed_not_present' AS alert FROM j WHERE latest IS NOT NULL AND NOT present UNION ALL SELECT project, 'talked_not_built' FROM j WHERE recent AND present AND c = 0 UNION ALL SELECT project, 'built_not_discussed' FROM j WHERE NOT recent AND c > 0""")
+def jn_drift(t):
+    trail = t.threads.where("project_link is not null").groupBy(F.col("project_link").alias("project")).agg(F.to_date(F.max("updated_at")).alias("latest"), (F.min("thread_id") % 3 > 0).alias("present"))
+    built = t.nation.join(t.supplier.where("s_suppkey % 2 = 0"), F.col("s_nationkey") == F.col("n_nationkey"), "left").groupBy(F.concat(F.lit("p"), F.col("n_nationkey").cast("string")).alias("project")).agg(F.count("s_suppkey").alias("new_commits"))
+    return joins.drift(trail, built)
+
+
+@query("""WITH p AS (SELECT project_link AS project, count(*) AS threads, max(updated_at)::DATE::VARCHAR AS latest, min(CASE project_confidence WHEN 'manual' THEN 0 WHEN 'exact' THEN 1 WHEN 'evidence' THEN 2 WHEN 'fuzzy' THEN 3 ELSE 4 END) AS best_rank, max_by(thread_id, (updated_at, thread_id)) AS newest FROM threads WHERE project_link IS NOT NULL GROUP BY 1),
+  s AS (SELECT 'p' || substr(project, 2) AS project, signal, count(*) AS n FROM evidence GROUP BY 1, 2), d AS (SELECT project, signal FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY n DESC, signal) AS rn FROM s) WHERE rn = 1) SELECT p.*, signal FROM p LEFT JOIN d USING (project)""")
+def jn_project_trail(t):
+    ev = t.evidence.withColumn("project", F.concat(F.lit("p"), F.expr("substr(project, 2)")))
+    return joins.project_trail(t.threads, ev).withColumn("latest", F.to_date("latest").cast("string"))
+
+
+@query("""SELECT item_id, q.thread_id, candidate_project, rival_project, confidence, title, snippet, rival_project IS NOT NULL AS contested FROM queue q LEFT JOIN threads USING (thread_id) LEFT JOIN (SELECT thread_id, arg_min(substr(content, 1, 240), seq) AS snippet FROM messages GROUP BY 1) m USING (thread_id)
+  WHERE q.status = 'pending' AND (project_confidence IS NULL OR project_confidence <> 'manual') AND NOT EXISTS (SELECT 1 FROM rulings r WHERE r.thread_id = q.thread_id AND r.candidate_project = q.candidate_project)""")
+def jn_pending_rulings(t):
+    return joins.pending_rulings(t.queue, t.threads, t.messages, t.rulings)
+
+
+KINDS = ("project_link", "link_ambiguous", "link_downgrade")
+
+
+@query("""WITH s AS (SELECT thread_id, type, candidate_project AS project FROM queue WHERE status = 'pending' UNION ALL SELECT thread_id, type, rival_project FROM queue WHERE status = 'pending' AND rival_project IS NOT NULL AND rival_project <> candidate_project)
+  SELECT project, count_if(type = 'project_link')::BIGINT AS project_link, count_if(type = 'link_ambiguous')::BIGINT AS link_ambiguous, count_if(type = 'link_downgrade')::BIGINT AS link_downgrade FROM s
+  WHERE NOT EXISTS (SELECT 1 FROM rulings r WHERE r.thread_id = s.thread_id AND r.candidate_project = s.project) GROUP BY 1""")
+def jn_queue_by_project(t):
+    return joins.queue_by_project(t.queue, t.rulings, KINDS)
+
+
+@query("SELECT project_link, max_by(thread_id, (updated_at, thread_id)) AS thread_id, max_by(title, (updated_at, thread_id)) AS title FROM threads WHERE project_link IS NOT NULL GROUP BY 1")
+def jn_linked_thread(t):
+    return joins.linked_thread(t.threads)
+
+
+@query("""WITH c AS (SELECT s_name AS name, 'p' || s_nationkey::VARCHAR AS project FROM supplier WHERE s_suppkey % 3 > 0), f AS (SELECT s_name AS name, s_suppkey * 10 AS bytes FROM supplier WHERE s_suppkey % 4 > 0)
+  SELECT coalesce(c.name, f.name) AS name, coalesce(project, 'auto-' || lower(f.name)) AS project, bytes IS NOT NULL AS present, project IS NOT NULL AS curated, bytes FROM c FULL JOIN f ON c.name = f.name""")
+def jn_registry_assemble(t):
+    s = t.supplier
+    return joins.registry_assemble(s.where("s_suppkey % 3 > 0").select(F.col("s_name").alias("name"), F.concat(F.lit("p"), F.col("s_nationkey").cast("string")).alias("project")), s.where("s_suppkey % 4 > 0").select(F.col("s_name").alias("name"), (F.col("s_suppkey") * 10).alias("bytes")))
+
+
+@query("""WITH o AS (SELECT p_partkey AS id, make_date(2020, 1 + p_size % 12, 1) AS s, [p_brand, p_type] AS a, p_size % 2 = 0 AS m FROM part WHERE p_partkey % 3 > 0), n AS (SELECT p_partkey AS id, make_date(2020, 1 + p_partkey % 12, 1) AS s, [p_brand, p_name] AS a FROM part WHERE p_partkey % 4 > 0)
+  SELECT coalesce(n.id, o.id) AS id, coalesce(least(o.s, n.s), o.s, n.s)::VARCHAR AS first_seen, array_to_string(list_sort(list_distinct(list_concat(coalesce(n.a, []), CASE WHEN coalesce(m, false) THEN o.a ELSE [] END))), ',') AS aliases FROM n FULL JOIN o ON n.id = o.id""")
+def jn_registry_merge(t):
+    day = lambda c: F.make_date(F.lit(2020), (1 + F.col(c) % 12).cast("int"), F.lit(1))
+    old = t.part.where("p_partkey % 3 > 0").select(F.col("p_partkey").alias("id"), day("p_size").alias("first_seen"), F.array("p_brand", "p_type").alias("aliases"), (F.col("p_size") % 2 == 0).alias("manual"))
+    new = t.part.where("p_partkey % 4 > 0").select(F.col("p_partkey").alias("id"), day("p_partkey").alias("first_seen"), F.array("p_brand", "p_name").alias("aliases"))
+    return joins.registry_merge(old, new).select("id", F.col("first_seen").cast("string").alias("first_seen"), F.array_join("aliases", ",").alias("aliases"))
+
+
+@query("""WITH a AS (SELECT regexp_replace(lower(p_type), '[^a-z0-9]+', '', 'g') AS key, min(p_partkey) AS id FROM part WHERE p_partkey % 4 = 0 GROUP BY 1) SELECT p_type AS name, id FROM part LEFT JOIN a ON regexp_replace(lower(p_type), '[^a-z0-9]+', '', 'g') = key""")
+def jn_alias_resolve(t):
+    return joins.alias_resolve(t.part.select(F.upper("p_type").alias("up"), F.col("p_type").alias("name")), t.part.where("p_partkey % 4 = 0").select(F.upper("p_type").alias("alias"), F.col("p_partkey").alias("id")))
+
+
+@query("SELECT thread_id, project_link AS lost, 'orphan_link' AS type FROM threads WHERE project_link IS NOT NULL AND project_link NOT IN (SELECT project_id FROM projects)")
+def jn_orphan_links(t):
+    return joins.orphan_links(t.threads, t.projects)[1]
+
+
+@query("""SELECT thread_id, 'title' AS field, CASE WHEN f IS NOT NULL AND f IS DISTINCT FROM d AND f IS DISTINCT FROM b THEN f ELSE d END AS value, f IS NOT NULL AND f IS DISTINCT FROM d AND f IS DISTINCT FROM b AS overridden
+  FROM (SELECT thread_id, title AS d, CASE WHEN thread_id % 4 = 0 THEN title || '!' WHEN thread_id % 4 = 1 THEN 'old' WHEN thread_id % 4 = 2 THEN title END AS f, CASE WHEN thread_id % 5 > 0 THEN 'old' END AS b FROM threads)""")
+def jn_three_way_merge(t):
+    row = lambda v: t.threads.select("thread_id", F.lit("title").alias("field"), v.alias("value"))
+    k = F.col("thread_id") % 4
+    file = row(F.when(k == 0, F.concat("title", F.lit("!"))).when(k == 1, "old").when(k == 2, F.col("title")))
+    return joins.three_way_merge(row(F.lit("old")).where("thread_id % 5 > 0"), file, row(F.col("title")))
+
+
+@query("SELECT root, count(DISTINCT name) AS names, min(name) AS first_name FROM (SELECT substr(md5((s_suppkey % 40)::VARCHAR), 1, 8) AS root, s_name AS name FROM supplier) GROUP BY 1 HAVING count(DISTINCT name) > 1")
+def jn_duplicate_commit_root(t):
+    return joins.duplicate_roots(t.supplier.select(F.substring(F.md5((F.col("s_suppkey") % 40).cast("string")), 1, 8).alias("root"), F.col("s_name").alias("name")))
+
+
+@query("""WITH s AS (SELECT n_nationkey AS stage, make_timestamp(2024, 1, 1 + n_nationkey * 7 % 28, 0, 0, 0) AS f FROM nation), d AS (SELECT n_nationkey AS stage, (n_nationkey + 3) % 25 AS needs FROM nation UNION ALL SELECT n_nationkey, (n_nationkey + 5) % 25 FROM nation WHERE n_nationkey % 2 = 0)
+  SELECT s.stage, coalesce(m > f, false) AS stale, DATE '2024-01-20' - f::DATE > 3 AS aged FROM s LEFT JOIN (SELECT d.stage, max(f) AS m FROM d JOIN s ON d.needs = s.stage GROUP BY 1) x USING (stage)""")
+def jn_stage_staleness(t):
+    n = F.col("n_nationkey")
+    stages = t.nation.select(n.alias("stage"), F.make_timestamp(F.lit(2024), F.lit(1), (1 + n * 7 % 28).cast("int"), F.lit(0), F.lit(0), F.lit(0)).alias("finished_at"))
+    depends = t.nation.select(n.alias("stage"), ((n + 3) % 25).alias("needs")).union(t.nation.where("n_nationkey % 2 = 0").select(n.alias("stage"), ((n + 5) % 25).alias("needs")))
+    return joins.stage_staleness(stages, depends, "2024-01-20")
