@@ -16,3 +16,146 @@ def bursts(days: DataFrame, gap: int = 7) -> DataFrame:
     w = Window.partitionBy("project").orderBy("day")
     marked = days.select("project", "day").distinct().withColumn("new", (F.coalesce(F.datediff("day", F.lag("day").over(w)), F.lit(0)) > gap).cast("int"))
     return marked.withColumn("g", F.sum("new").over(w)).groupBy("project", "g").agg(F.min("day").alias("from"), F.max("day").alias("to"), F.count("*").alias("days")).drop("g")
+
+
+def sessionize(rows: DataFrame, gap_s: int = 1800) -> DataFrame:
+    """Sessions of each account (account, ts, id, context): a new one after a long gap or when the carried context changes.
+
+    The context of a row is the last one seen. Confidence falls with the average gap.
+    """
+    w = Window.partitionBy("account").orderBy("ts", "id")
+    carried = rows.withColumn("ctx", F.coalesce(F.last("context", ignorenulls=True).over(w), F.lit("")))
+    gap = F.unix_timestamp("ts") - F.unix_timestamp(F.lag("ts").over(w))
+    marked = carried.withColumn("gap", gap).withColumn("new", (F.coalesce(F.col("gap") > gap_s, F.lit(True)) | (F.col("ctx") != F.lag("ctx").over(w))).cast("int"))
+    numbered = marked.withColumn("session", F.sum("new").over(w))
+    inner = F.when(F.col("new") == 0, F.col("gap"))
+    out = numbered.groupBy("account", "session").agg(
+        F.min("ts").alias("started"), F.max("ts").alias("ended"), F.count("*").alias("n"), F.min_by("id", F.struct("ts", "id")).alias("first_id"),
+        (1 - F.coalesce(F.avg(inner), F.lit(0.0)) / gap_s).alias("c"),
+    )
+    return out.withColumn("confidence", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("c"))), 6)).drop("c")
+
+
+def fingerprint_groups(rows: DataFrame) -> DataFrame:
+    """Rows of one batch hash as a thread, with their place in it (single rows too)."""
+    w = Window.partitionBy("hash").orderBy("ts", "id")
+    return rows.where("hash is not null").select("id", F.concat(F.lit("batch-"), F.substring("hash", 1, 8)).alias("thread_id"), (F.row_number().over(w) - 1).alias("seq"))
+
+
+def latest_wins(rows: DataFrame) -> DataFrame:
+    """The last row of each key, unless it revokes the key."""
+    return latest(rows.where("session_id is not null and session_id <> ''"), ["session_id"], [F.col("pos").desc()]).where("status <> 'revoked'")
+
+
+def conversation_time(sessions: DataFrame) -> DataFrame:
+    """Real time of each conversation: newest message, else file, else folder time, with its source."""
+    per = sessions.groupBy("conversation_id").agg(F.max("ts").alias("m"), F.max("mtime").alias("f"), F.max("folder_time").alias("d"))
+    source = F.when(F.col("m").isNotNull(), "message").when(F.col("f").isNotNull(), "file").when(F.col("d").isNotNull(), "folder").otherwise("none")
+    return per.select("conversation_id", F.coalesce("m", "f", "d").alias("real_time"), source.alias("source"), (source == "none").alias("excluded"))
+
+
+def first_user_message(messages: DataFrame) -> DataFrame:
+    """The first user text of each conversation, by (session_rank, ts, seq)."""
+    return messages.where("role = 'user'").groupBy("conversation_id").agg(F.min_by("content", F.struct("session_rank", "ts", "seq")).alias("first_user"))
+
+
+def heading_chunks(docs: DataFrame, heading: str = r"^(#{1,6}) ") -> DataFrame:
+    """Texts cut at their headings: level, first line and text; text before the first heading goes; no heading gives one whole chunk."""
+    lines = docs.select("doc_id", F.posexplode(F.split("content", "\n")).alias("line0", "line"))
+    level = F.length(F.regexp_extract("line", heading, 1))
+    w = Window.partitionBy("doc_id").orderBy("line0")
+    marked = lines.withColumn("level", level).withColumn("chunk", F.sum((F.col("level") > 0).cast("int")).over(w))
+    kept = marked.withColumn("chunks", F.max("chunk").over(Window.partitionBy("doc_id"))).where("chunk > 0 or chunks = 0")
+    return kept.groupBy("doc_id", "chunk").agg(
+        F.max("level").alias("level"), (F.min("line0") + 1).cast("long").alias("start_line"), F.max(F.col("chunks") == 0).alias("whole"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line0", "line"))), lambda x: x["line"]), "\n").alias("text"),
+    )
+
+
+def order_conflict(rows: DataFrame) -> DataFrame:
+    """Threads whose times do not follow their order, with the share of matched rows and the gaps."""
+    w = Window.partitionBy("thread_id").orderBy("seq")
+    back = F.lag("ts").over(w) > F.col("ts")
+    return rows.withColumn("back", F.coalesce(back, F.lit(False))).groupBy("thread_id").agg(
+        F.max("back").alias("conflict"), F.count_if(F.col("ts").isNull()).alias("unmatched"), F.round(F.count_if(F.col("ts").isNotNull()) / F.count("*"), 6).alias("match_rate")
+    )
+
+
+def occurrences(events: DataFrame) -> DataFrame:
+    """Occurrences of each condition: opened by a sighting when none is open, closed by a resolution.
+
+    Rulings belong to the occurrence that is open, or was last open, when they are made.
+    """
+    w = Window.partitionBy("fingerprint").orderBy("ts", "event_id")
+    state = F.last(F.when(F.col("kind") != "ruling", F.col("kind")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    opens = (F.col("kind") == "sighting") & (F.coalesce(state, F.lit("resolution")) == "resolution")
+    numbered = events.withColumn("opens", opens.cast("int")).withColumn("occurrence", F.sum("opens").over(w))
+    at = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("ts")))
+    return numbered.where("occurrence > 0").groupBy("fingerprint", "occurrence").agg(
+        F.min("ts").alias("opened"), at("resolution").alias("resolved"), at("ruling").alias("first_ruling"), F.count_if(F.col("kind") == "sighting").alias("sightings")
+    )
+
+
+def latency_summary(found: DataFrame) -> DataFrame:
+    """Occurrences raised, ruled, resolved without a ruling, and the median hours to the first ruling."""
+    hours = (F.unix_timestamp("first_ruling") - F.unix_timestamp("opened")) / 3600.0
+    return found.agg(
+        F.count("*").alias("raised"), F.count("first_ruling").alias("ruled"), F.count_if(F.col("resolved").isNotNull() & F.col("first_ruling").isNull()).alias("resolved_unruled"),
+        F.count_if(F.col("resolved").isNull()).alias("still_open"), F.round(F.percentile(hours, F.lit(0.5)), 6).alias("median_hours"),
+    )
+
+
+def rolling_decay(rows: DataFrame, size: int = 4, pause: float = 0.75, resume: float = 0.9) -> DataFrame:
+    """Speed (1 / ms) of each unit against the median of the first ``size``; pausing starts below ``pause`` and ends at ``resume``.
+
+    The state after a row is that of the last row that crossed either line.
+    """
+    w = Window.partitionBy("host").orderBy("ts", "pos")
+    numbered = rows.withColumn("n", F.row_number().over(w)).withColumn("speed", 1.0 / F.col("ms"))
+    rolling = numbered.withColumn("rolling", F.percentile("speed", F.lit(0.5)).over(w.rowsBetween(-(size - 1), 0)))
+    base = numbered.where(F.col("n") <= size).groupBy("host").agg(F.percentile("speed", F.lit(0.5)).alias("baseline"))
+    out = rolling.join(base, "host").withColumn("ratio", F.when(F.col("n") >= size, F.col("rolling") / F.col("baseline")))
+    cross = F.when(F.col("ratio") < pause, "pause").when(F.col("ratio") >= resume, "run")
+    return out.withColumn("cross", cross).withColumn("state", F.coalesce(F.last("cross", ignorenulls=True).over(w), F.lit("run"))).select("host", "pos", F.round("ratio", 6).alias("ratio"), "state")
+
+
+def token_windows(messages: DataFrame, budget: int) -> DataFrame:
+    """Ordered messages of each conversation packed into windows of at most ``budget`` tokens; no message is split."""
+    size = F.floor(F.length("content") / 4).cast("long")
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("seq")
+        return pdf.assign(window=_fold(pdf["tokens"], budget))[["thread_id", "seq", "tokens", "window"]]
+
+    return messages.select("thread_id", "seq", size.alias("tokens")).groupBy("thread_id").applyInPandas(pack, "thread_id long, seq long, tokens long, window long")
+
+
+def batch_packing(items: DataFrame, small: int, budget: int, members: int) -> DataFrame:
+    """Small items (project, pos, tokens) packed in order into batches; a large one stands alone and ends the batch."""
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos")
+        batch, used, count, out = 0, 0, 0, []
+        for n in pdf["tokens"]:
+            if n > small:
+                batch += count > 0
+                out.append(batch)
+                batch, used, count = batch + 1, 0, 0
+                continue
+            if count and (used + n > budget or count >= members):
+                batch, used, count = batch + 1, 0, 0
+            out.append(batch)
+            used, count = used + n, count + 1
+        return pdf.assign(batch=out)[["project", "pos", "batch"]]
+
+    return items.groupBy("project").applyInPandas(pack, "project string, pos long, batch long")
+
+
+def _fold(sizes: Iterable[int], budget: int) -> list[int]:
+    window, used, out = 0, 0, []
+    for i, n in enumerate(sizes):
+        if i and used + n > budget:
+            window, used = window + 1, 0
+        out.append(window)
+        used += n
+    return out

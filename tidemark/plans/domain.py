@@ -67,7 +67,9 @@ def with_views(sql: str) -> str:
         return sql
     ctes = ", ".join(f"{n} AS ({VIEWS[n]})" for n in names)
     text = sql.lstrip()
-    return f"WITH {ctes}, {text[5:]}" if text.upper().startswith("WITH ") else f"WITH {ctes} {text}"
+    if text.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes}, {text[15:]}"
+    return f"WITH {ctes}, {text[5:]}" if text.startswith("WITH ") else f"WITH {ctes} {text}"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1 +1,127 @@
-"""Queries."""
+"""Queries over evidence, link decisions and queues."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import scoring as ops
+from .catalog import query
+
+COMBINE = """bo AS (SELECT *, row_number() OVER (PARTITION BY thread_id, project, origin ORDER BY weight DESC, evidence_id) AS ro FROM evidence),
+  bs AS (SELECT *, row_number() OVER (PARTITION BY thread_id, project, signal ORDER BY weight DESC, evidence_id) AS rs FROM bo WHERE ro = 1),
+  sc AS (SELECT thread_id, project, round(1 - exp(sum(ln(1 - least(coalesce(weight, 0.0), 0.97)))), 6) AS score, count(DISTINCT origin) AS origins FROM bs WHERE rs <= 3 OR signal = 'name_alias' GROUP BY 1, 2),
+  rk AS (SELECT *, round(score * plaus, 6) AS adjusted FROM (SELECT *, CASE WHEN (thread_id + length(project)) % 3 = 0 THEN 0.8 ELSE 1.0 END::DOUBLE AS plaus FROM sc)),
+  rr AS (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY adjusted DESC, project) AS rank FROM rk)"""
+
+
+def scored(t):
+    out = ops.combine(t.evidence)
+    plaus = F.when((F.col("thread_id") + F.length("project")) % 3 == 0, 0.8).otherwise(1.0)
+    return out, out.select("thread_id", "project", plaus.alias("plausibility"))
+
+
+@query(f"WITH {COMBINE} SELECT thread_id, project, round(score, 4) AS score, origins FROM sc")
+def sc_evidence_combine(t):
+    return ops.combine(t.evidence).withColumn("score", F.round("score", 4))
+
+
+@query(f"WITH {COMBINE} SELECT thread_id, project, round(adjusted, 4) AS adjusted, origins FROM rr")
+def sc_candidate_rank(t):
+    return ops.rank_candidates(*scored(t)).select("thread_id", "project", F.round("adjusted", 4).alias("adjusted"), "origins")
+
+
+@query()
+def sc_lineage_collapse(t):
+    return ops.collapse_lineage(ops.rank_candidates(*scored(t)), t.registry)
+
+
+def decisions(t):
+    kept = ops.collapse_lineage(ops.rank_candidates(*scored(t)), t.registry)
+    return ops.decide(t.threads, kept, t.rulings.where("thread_id % 4 = 0"), t.registry)
+
+
+@query()
+def sc_link_decision(t):
+    return decisions(t)
+
+
+@query()
+def sc_decision_apply(t):
+    return ops.apply_decisions(t.threads, decisions(t), t.queue)[1]
+
+
+@query()
+def sc_decision_report(t):
+    return decisions(t).groupBy("category").agg(F.count("*").alias("n"))
+
+
+@query("SELECT r.id, concat_ws(' > ', g.canonical_name, p.canonical_name, r.canonical_name) AS label FROM registry r LEFT JOIN registry p ON r.project = p.id LEFT JOIN registry g ON r.program = g.id")
+def sc_rollup_label(t):
+    return ops.rollup_label(t.registry)
+
+
+@query("""SELECT o_orderkey AS thread_id, 'p' || (o_custkey % 35)::VARCHAR AS project, CASE WHEN t.thread_id IS NULL THEN 'unknown_thread' WHEN r.id IS NULL THEN 'unknown_project' ELSE 'ok' END AS result
+  FROM orders LEFT JOIN threads t ON o_orderkey = t.thread_id LEFT JOIN registry r ON r.id = 'p' || (o_custkey % 35)::VARCHAR""")
+def sc_human_ruling(t):
+    batch = t.orders.select(F.col("o_orderkey").alias("thread_id"), F.concat(F.lit("p"), (F.col("o_custkey") % 35).cast("string")).alias("project"))
+    return ops.human_rulings(batch, t.threads, t.registry)
+
+
+@query("SELECT count(*) AS accepted, count(DISTINCT thread_id) AS threads, round(min(confidence), 6) AS least FROM queue WHERE status = 'pending' AND confidence >= 0.5 AND thread_id NOT IN (SELECT thread_id FROM rulings WHERE thread_id < 50)")
+def sc_bulk_accept(t):
+    return ops.bulk_accept(t.queue, t.rulings.where("thread_id < 50"), 0.5)[1]
+
+
+@query("""WITH n AS (SELECT item_id, candidate_project AS c, 'p' || (item_id % 40)::VARCHAR AS v, item_id % 2 = 0 AS two FROM queue)
+  SELECT item_id, CASE WHEN a.id IS NOT NULL THEN c END AS candidate, CASE WHEN b.id IS NOT NULL THEN v END AS rival, a.id IS NULL OR (two AND b.id IS NULL) AS unresolved FROM n LEFT JOIN registry a ON a.id = c LEFT JOIN registry b ON two AND b.id = v""")
+def sc_note_backfill(t):
+    note = F.when(F.col("item_id") % 2 == 0, F.concat("candidate_project", F.lit(" vs p"), (F.col("item_id") % 40).cast("string"))).otherwise(F.col("candidate_project"))
+    return ops.note_backfill(t.queue.select("item_id", note.alias("note")), t.registry)
+
+
+RULES = (("db-writes", "write", r"(?i)insert\s+into"), ("shell", "write", r"rm\s+-rf"), ("cloud-read", "read", r"kubectl\s+get"))
+
+
+@query("""WITH f AS (SELECT 'c' || (o_custkey % 15)::VARCHAR AS project, o_orderkey AS path, CASE o_orderkey % 5 WHEN 0 THEN 'insert into t --target-org MainOrg' WHEN 1 THEN 'rm -rf x' WHEN 2 THEN 'kubectl get pods' WHEN 3 THEN 'insert into y --target-org devbox # approval' ELSE 'pass' END AS line FROM orders WHERE o_custkey % 4 = o_orderkey % 4),
+  h AS (SELECT *, CASE WHEN regexp_matches(line, 'kubectl\\s+get') THEN 1 WHEN contains(line, 'approval') THEN 2 WHEN contains(line, 'MainOrg') THEN 4 ELSE 3 END AS rank FROM f WHERE line <> 'pass')
+  SELECT project, ['none', 'read-only', 'guarded-write', 'raw-write', 'raw-write-prod'][max(rank) + 1] AS tier, count(*) AS hits, count(DISTINCT path) AS files FROM h GROUP BY 1""")
+def sc_blast_tier(t):
+    k = F.col("o_orderkey") % 5
+    line = F.when(k == 0, "insert into t --target-org MainOrg").when(k == 1, "rm -rf x").when(k == 2, "kubectl get pods").when(k == 3, "insert into y --target-org devbox # approval").otherwise("pass")
+    texts = t.orders.where("o_custkey % 4 = o_orderkey % 4").select(F.concat(F.lit("c"), (F.col("o_custkey") % 15).cast("string")).alias("project"), F.col("o_orderkey").alias("path"), line.alias("content"))
+    return ops.blast_tier(texts, RULES, "(?i)approval|gated", "(?i)prod|live|main", "(?i)dev|test", r"--target-?org\s+([A-Za-z0-9_.-]+)")
+
+
+@query("""WITH k AS (SELECT unnest(['context_overflow', 'timeout', 'transport', 'unknown']) AS kind), f AS (SELECT CASE WHEN o_totalprice > 400000 THEN 'context_overflow' WHEN o_orderkey % 4 = 0 THEN 'timeout' WHEN o_orderkey % 4 = 1 THEN 'unknown' ELSE 'other' END AS kind FROM orders)
+  SELECT k.kind, count(f.kind) AS n FROM k LEFT JOIN (SELECT CASE WHEN kind = 'other' THEN 'unknown' ELSE kind END AS kind FROM f) f USING (kind) GROUP BY 1""")
+def sc_fail_taxonomy(t):
+    message = F.when(F.col("o_orderkey") % 4 == 0, "Request timed out").otherwise("boom")
+    return ops.fail_taxonomy(t.orders.select(message.alias("message"), F.col("o_totalprice").alias("tokens")), 0, 400000)
+
+
+@query("""WITH s AS (SELECT unit, count(*) AS n, median(ms) AS median, list_sort(list(ms)) AS v FROM (SELECT model_id || stage || host AS unit, ms FROM ledger) GROUP BY 1), q AS (SELECT unit, n, median, v[round_even(0.25 * (n - 1), 0)::INT + 1] AS p25, v[round_even(0.75 * (n - 1), 0)::INT + 1] AS p75 FROM s)
+  SELECT a.unit AS unit_a, b.unit AS unit_b, CASE WHEN a.n < 2 OR b.n < 2 THEN 'insufficient' WHEN a.p25 <= b.p75 AND b.p25 <= a.p75 THEN 'indistinguishable' WHEN a.median < b.median THEN a.unit ELSE b.unit END AS verdict, round((a.p75 - a.p25) / a.median, 6) AS floor_a FROM q a JOIN q b ON a.unit < b.unit""")
+def sc_compare_units(t):
+    return ops.compare_units(t.ledger.withColumn("unit", F.concat("model_id", "stage", "host")), "unit", "ms")
+
+
+@query("""WITH c AS (SELECT s_nationkey AS g, s_suppkey AS id, 10 + s_suppkey % 17 AS cost FROM supplier), r AS (SELECT *, row_number() OVER w AS rank, sum(cost) OVER w + (row_number() OVER w - 1) * 2.5 AS total FROM c WINDOW w AS (PARTITION BY g ORDER BY id % 5 DESC, id))
+  SELECT g, id, rank::INT AS rank, total::DOUBLE AS total, total <= 30 AS taken FROM r""")
+def sc_plan_rank_budget(t):
+    c = t.supplier.select(F.col("s_nationkey").alias("g"), F.col("s_suppkey").alias("id"), (10 + F.col("s_suppkey") % 17).alias("cost"))
+    return ops.rank_budget(c, "g", [(F.col("id") % 5).desc(), F.col("id")], 30, 2.5).select("g", "id", "rank", F.col("total").cast("double").alias("total"), "taken")
+
+
+@query("""WITH c AS (SELECT o_orderkey AS conversation_id, 'p' || (o_custkey % 20)::VARCHAR AS project, md5(o_orderstatus) AS signature, o_orderkey % 100 AS tokens FROM orders), k AS (SELECT conversation_id, signature FROM c WHERE conversation_id % 3 > 0),
+  cl AS (SELECT 'p' || (item_id % 20)::VARCHAR AS project, count(*) AS claims FROM benchmark GROUP BY 1)
+  SELECT project, count(*) AS conversations, count_if(k.conversation_id IS NULL)::BIGINT AS changed, coalesce(max(claims), 0) AS claims, round(coalesce(sum(CASE WHEN k.conversation_id IS NULL THEN tokens END), 0) * 1.5::DOUBLE, 3) AS estimate_ms FROM c LEFT JOIN k USING (conversation_id, signature) LEFT JOIN cl USING (project) GROUP BY 1""")
+def sc_plan_candidates(t):
+    conv = t.orders.select(F.col("o_orderkey").alias("conversation_id"), F.concat(F.lit("p"), (F.col("o_custkey") % 20).cast("string")).alias("project"), F.md5("o_orderstatus").alias("signature"), (F.col("o_orderkey") % 100).alias("tokens"))
+    claims = t.benchmark.select(F.concat(F.lit("p"), (F.col("item_id") % 20).cast("string")).alias("project"))
+    return ops.plan_candidates(claims, conv, conv.where("conversation_id % 3 > 0").select("conversation_id", "signature"), 1.5)
+
+
+@query("""SELECT o_orderkey AS pos, CASE WHEN o_orderkey % 6 = 0 THEN 'choose_project' WHEN o_custkey % 3 > 1 THEN 'disambiguate' WHEN o_custkey % 3 = 0 THEN 'find' ELSE 'ratify' END AS action, o_orderkey % 4 = 1 AS ratified FROM orders""")
+def sc_map_actions(t):
+    rows = t.orders.select(F.col("o_orderkey").alias("pos"), F.when(F.col("o_orderkey") % 6 > 0, "p").alias("project"), (F.col("o_custkey") % 3).alias("n"))
+    return ops.map_actions(rows, t.orders.where("o_orderkey % 4 = 1").select(F.col("o_orderkey").alias("pos")))
