@@ -27,15 +27,27 @@ def shuffle_parts(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def in_blocks(docs: DataFrame, id_col: str, text_col: str, blocks: int) -> DataFrame:
-    """(block, id, text), one row per document; a null text is empty, a null id comes last."""
+def in_blocks(docs: DataFrame, id_col: str, text_col: str, blocks: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(block, id, text, carried columns), one row per document; a null text is empty, a null id comes last."""
     return docs.select(
         F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.length(text_col)), F.lit(blocks)).cast("int").alias("block"),
         F.col(id_col).cast("long").alias("id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+        *[F.col(c).alias(f"with_{c}") for c in carry],
     )
 
 
+def carried(base: DataFrame, carry: tuple[str, ...]) -> str:
+    """Schema text of the carried columns."""
+    return "".join(f", `with_{c}` {base.schema[f'with_{c}'].dataType.simpleString()}" for c in carry)
+
+
+def with_carried(out: pa.Table, table: pa.Table, carry: tuple[str, ...]) -> pa.Table:
+    for c in carry:
+        out = out.append_column(f"with_{c}", table[f"with_{c}"])
+    return out
+
+
 def ids_of(table: pa.Table) -> np.ndarray:
     return table["id"].combine_chunks().fill_null(LAST_ID).to_numpy(zero_copy_only=False)
 

@@ -42,7 +42,7 @@ class RunIndex:
         sorted_key = key[order]
         new = np.concatenate(([True], sorted_key[1:] != sorted_key[:-1]))
         group = np.flatnonzero(new)[np.cumsum(new) - 1]
-        rank = np.empty(self.n, np.int64)
+        rank = np.empty(self.n, np.int32)
         rank[order] = group
         levels, h = [(SEED, rank)], SEED
         longest = int((self.end - i).max())

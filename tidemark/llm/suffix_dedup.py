@@ -31,6 +31,8 @@ from .textops import BASE_A, U64, chunks_of, inverse, mix, pow_table, prefix_has
 CHUNK = 1 << 20
 K = 24
 HOT = 20_000
+#: Bytes of contexts that one index holds.
+INDEX_BYTES = 1 << 20
 SHARED, HOTKEYS, FIRST = 0, 2, 1
 
 
@@ -163,9 +165,12 @@ def contexts_of(table: pa.Table, told: pa.Table, width: int) -> tuple:
     return key[order], np.array([len(s) for s in strings], np.int32)[order], [strings[i] for i in order.tolist()], info
 
 
-def first_places(table: pa.Table, width: int) -> list[tuple]:
-    """Where each window of a bucket's contexts first occurs, told to the blocks that have it later."""
-    length = B.unpacked(table, "b", np.int32)
+def first_places(table: pa.Table, width: int, limit: int = INDEX_BYTES) -> list[tuple]:
+    """Where each window of a bucket's contexts first occurs, told to the blocks that have it later.
+
+    Contexts are indexed in groups of whole keys, of about ``limit`` bytes each.
+    """
+    key, length = B.unpacked(table, "a", U64), B.unpacked(table, "b", np.int32)
     info = B.unpacked(table, "d", np.int64).reshape(-1, 2)
     block = np.repeat(table["block"].to_numpy(), B.lengths(table, "b", 4))
     strings, i = [], 0
@@ -176,6 +181,25 @@ def first_places(table: pa.Table, width: int) -> list[tuple]:
             strings.append(raw[end : end + n])
             end += n
         i += size
+    order = np.argsort(key, kind="stable")
+    group = np.cumsum(length[order].astype(np.int64)) // limit
+    turn = key[order][1:] != key[order][:-1]
+    # a change of group inside a key waits for the key's end
+    edges, last = [0], group[0] if len(group) else 0
+    for at in np.flatnonzero(turn).tolist():
+        if group[at + 1] != last:
+            edges.append(at + 1)
+            last = group[at + 1]
+    edges.append(len(order))
+    found = []
+    for a, b in zip(edges, edges[1:], strict=False):
+        part = order[a:b]
+        found.append(_first_places([strings[j] for j in part.tolist()], info[part], block[part], width))
+    return B.by_block(*(np.concatenate(x) for x in zip(*found, strict=True)), kind=FIRST) if found else []
+
+
+def _first_places(strings: list[bytes], info: np.ndarray, block: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """(block, context hash, offset and number of windows, first id, first place less the offset)."""
     number: dict[bytes, int] = {}
     which = np.array([number.setdefault(s, len(number)) for s in strings], np.int64)
     id_, place, multi = info[:, 0], info[:, 1] >> 1, info[:, 1] & 1
@@ -212,7 +236,7 @@ def first_places(table: pa.Table, width: int) -> list[tuple]:
     text = np.frombuffer(b"".join(distinct), np.uint8)
     ends = np.cumsum(size)
     name = span_hash(prefix_hash(text, BASE_A), ends - size, ends, BASE_A)
-    return B.by_block(block[entry], name[run_ctx[r]], (run_off[r] << 32) | span[r], run_id[r], run_base[r], kind=FIRST)
+    return block[entry], name[run_ctx[r]], (run_off[r] << 32) | span[r], run_id[r], run_base[r]
 
 
 def cut_repeats(table: pa.Table, told: pa.Table, width: int) -> pa.Table:
@@ -265,26 +289,26 @@ def cut_repeats(table: pa.Table, told: pa.Table, width: int) -> pa.Table:
     )
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 100, blocks: int | None = None, hot: int = HOT) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 100, blocks: int | None = None, hot: int = HOT, carry: tuple[str, ...] = ()) -> DataFrame:
     """Remove bytes covered by ``width``-byte strings that also start earlier in the corpus.
 
     Earlier is a smaller id, or the same id and an earlier byte. Returns
     (``id_col``, n_bytes, n_removed, n_spans, kept binary, kept_sha256), a row
-    for each input row. Null texts are empty; a null id counts as the largest;
+    for each input row, and the columns named in ``carry`` as ``with_<name>``. Null texts are empty; a null id counts as the largest;
     rows of one id are ordered by place only; other columns are ignored; an
     empty table gives an empty table. ``hot`` sets how work is dealt, never
     the result.
     """
     parts = B.shuffle_parts(docs)
-    n = blocks or 8 * parts
-    base = B.in_blocks(docs, id_col, text_col, n)
-    shared = B.answer(B.ask(base, lambda t: minimizers_of(t, width), n), lambda t: shared_minimizers(t, hot))
-    first = B.answer(B.ask_again(base, shared, lambda t, r: contexts_of(t, r, width), n), lambda t: first_places(t, width))
+    n, buckets = blocks or 2 * parts, parts
+    base = B.in_blocks(docs, id_col, text_col, n, carry)
+    shared = B.answer(B.ask(base, lambda t: minimizers_of(t, width), buckets), lambda t: shared_minimizers(t, hot))
+    first = B.answer(B.ask_again(base, shared, lambda t, r: contexts_of(t, r, width), buckets), lambda t: first_places(t, width))
     told = first.unionByName(shared.where(shared.kind == HOTKEYS))
 
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
-        return cut_repeats(left, right, width)
+        return B.with_carried(cut_repeats(left, right, width), left, carry)
 
-    schema = "id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
+    schema = "id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string" + B.carried(base, carry)
     out = base.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(apply, schema)
     return out.withColumnRenamed("id", id_col)
