@@ -1 +1,169 @@
-"""Queries."""
+"""Queries over texts: search, similarity, claims and vocabularies."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import text as ops
+from .catalog import query
+
+TOK = "regexp_extract_all(lower(coalesce({}, '')), '[\\p{{L}}\\p{{N}}]+')"
+
+
+def claims_of(t):
+    return t.benchmark.select(F.col("item_id").alias("claim_id"), F.concat(F.lit("p"), (F.col("item_id") % 5).cast("string")).alias("project"), F.col("item_id").alias("pos"), F.col("text").alias("claim"))
+
+
+@query(f"""WITH l AS (SELECT doc_id, {TOK.format("content")} AS w FROM docs), st AS (SELECT count(*) AS n_docs, avg(len(w)) AS avg_len FROM l), q AS (SELECT DISTINCT item_id AS query_id, unnest({TOK.format("text")}) AS term FROM benchmark WHERE item_id < 10),
+  ix AS (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM l), tf AS (SELECT doc_id, n, term, count(*) AS tf FROM ix WHERE term IN (SELECT term FROM q) GROUP BY 1, 2, 3), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+  s AS (SELECT query_id, doc_id, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / avg_len)))), 4) AS score FROM tf JOIN df USING (term) JOIN q USING (term), st GROUP BY 1, 2)
+  SELECT query_id, round(max(score), 3) AS best, count(*) AS n FROM s GROUP BY 1""")
+def tx_ranked_search(t):
+    q = t.benchmark.where("item_id < 10").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
+    out = ops.ranked_search(t.docs, q, k=1 << 30)
+    return out.groupBy("query_id").agg(F.round(F.max(F.round("score", 4)), 3).alias("best"), F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, ((length(lower(content)) - length(replace(lower(content), 'license', ''))) / 7)::BIGINT AS hits, substring(content, greatest(instr(lower(content), 'license') - 90, 1), 187) AS snippet FROM docs WHERE contains(lower(content), 'license')")
+def tx_substring_search(t):
+    return ops.substring_search(t.docs, "LICENSE")
+
+
+@query("""WITH n AS (SELECT conv_id, turn, lower(trim(regexp_replace(text, '[ \\t\\n\\r\\f]+', ' ', 'g'))) AS b, lower(trim(regexp_replace(substr(text, 11, 20), '[ \\t\\n\\r\\f]+', ' ', 'g'))) AS q FROM conversations)
+  SELECT conv_id, turn, instr(b, q)::INT AS start, CASE WHEN instr(b, q) > 0 THEN instr(b, q) + length(q) ELSE 0 END::INT AS "end" FROM n""")
+def tx_evidence_span(t):
+    return ops.evidence_spans(t.conversations.select("conv_id", "turn", F.col("text").alias("body"), F.substring("text", 11, 20).alias("needle"))).select("conv_id", "turn", "start", "end")
+
+
+@query(f"""WITH p AS (SELECT d.doc_id, b.item_id, list_distinct({TOK.format("b.text")}) AS x, {TOK.format("d.text")} AS y FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40)
+  SELECT doc_id, item_id, round(len(list_intersect(x, y))::DOUBLE / len(x), 6) AS share FROM p""")
+def tx_similarity(t):
+    pairs = t.documents.join(t.benchmark.select("item_id", F.col("text").alias("claim")), F.col("doc_id") % 40 == F.col("item_id"))
+    return pairs.select("doc_id", "item_id", ops.containment(ops.tokens("claim"), ops.tokens("text")).alias("share"))
+
+
+@query()
+def sc_shortlist(t):
+    return ops.shortlist(claims_of(t).select("claim_id", "claim"), t.documents.select(F.col("doc_id").alias("chunk_id"), F.substring("text", 1, 2000).alias("text")))
+
+
+@query("""SELECT doc_id AS claim_id, CASE WHEN doc_id % 9 = 0 THEN 'malformed' WHEN m.seq IS NULL THEN 'wrong_index' WHEN NOT contains(m.content, CASE WHEN doc_id % 2 = 0 THEN substr(m.content, 3, 15) ELSE 'zz' || substr(m.content, 1, 4) END) THEN 'not_literal' ELSE 'kept' END AS reason
+  FROM (SELECT doc_id, doc_id % 25 AS c, doc_id % 6 AS w FROM documents) d LEFT JOIN messages m ON m.thread_id = c AND m.seq = w""")
+def sc_quote_verify(t):
+    windows = t.messages.select(F.col("thread_id").alias("conversation_id"), F.col("seq").alias("window"), F.col("content").alias("text"))
+    c = t.documents.select(F.col("doc_id").alias("claim_id"), (F.col("doc_id") % 25).alias("conversation_id"), (F.col("doc_id") % 6).alias("window")).join(windows, ["conversation_id", "window"], "left")
+    quote = F.when(F.col("claim_id") % 9 == 0, "").when(F.col("claim_id") % 2 == 0, F.substring("text", 3, 15)).otherwise(F.concat(F.lit("zz"), F.substring("text", 1, 4)))
+    return ops.quote_verify(c.select("claim_id", "conversation_id", "window", F.coalesce(quote, F.lit("q")).alias("quote")), windows)
+
+
+@query("SELECT doc_id, toxic = 1 AND doc_id % 4 > 0 AND (doc_id % 4 <> 3) AS confirmed FROM labels")
+def sc_confirm_verify(t):
+    k = F.col("doc_id") % 4
+    rows = t.labels.select("doc_id", (F.col("toxic") == 1).alias("verdict"), F.when(k == 0, "").when(k == 3, "absent").otherwise("span").alias("span"), F.lit("a span here").alias("text"))
+    return ops.confirm_verify(rows).select("doc_id", "confirmed")
+
+
+@query()
+def jn_fuzzy_title(t):
+    return ops.fuzzy_titles(t.threads, t.part.select(F.col("p_partkey").alias("project_id"), F.col("p_name").alias("name")).union(t.benchmark.select("item_id", "text")))
+
+
+@query()
+def jn_skeleton_fuzzy(t):
+    m = t.messages
+    return ops.fuzzy_skeleton(m.select((F.col("thread_id") * 1000 + F.col("seq")).alias("skeleton_id"), "content"), m.select((F.col("thread_id") * 1000 + F.col("seq")).alias("pool_id"), F.concat("content", F.lit(".")).alias("content")))
+
+
+@query()
+def jn_pair_diff(t):
+    ids = t.threads.select("thread_id")
+    return ops.pair_diff(ids.select(F.col("thread_id").alias("l_id"), (F.col("thread_id") + 1).alias("r_id")), t.messages)
+
+
+@query(f"""WITH x AS (SELECT project, unnest({TOK.format("content")}) AS term FROM docs), tf AS (SELECT project, term, count(*) AS tf FROM x GROUP BY 1, 2), n AS (SELECT count(DISTINCT project) AS n FROM docs), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+  s AS (SELECT project, term, round((1 + ln(tf)) * ln(n / df), 6) AS score, regexp_matches(term, '[0-9_]') AS code FROM tf JOIN df USING (term), n WHERE df <= greatest(n * 0.34, 1)),
+  r AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY score DESC, term) AS rank, row_number() OVER (PARTITION BY project, code ORDER BY score DESC, term) AS cr FROM s)
+  SELECT project, term, score, code FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY (code AND cr <= 12) DESC, rank) AS slot FROM r) WHERE slot <= 50""")
+def sc_vocab_fingerprint(t):
+    return ops.vocabulary(t.docs)
+
+
+@query()
+def sc_vocab_votes(t):
+    threads = t.messages.select("thread_id", "content")
+    return ops.vocabulary_votes(threads, ops.vocabulary(t.docs))
+
+
+@query()
+def sc_recurrence_greedy(t):
+    items = t.messages.select(F.concat(F.lit("a"), (F.col("thread_id") % 3).cast("string")).alias("project"), (F.col("thread_id") * 1000 + F.col("seq")).alias("pos"), F.col("thread_id").alias("conversation_id"), F.col("content").alias("text"))
+    return ops.recurrence_leaders(items)
+
+
+@query()
+def sc_recurrence_components(t):
+    pairs = ops.recurrence_pairs(t.documents.select(F.col("doc_id").alias("pos"), "text"), 0.7)
+    return ops.components(pairs)
+
+
+@query()
+def sc_claim_match(t):
+    c = claims_of(t)
+    d = t.documents.select("doc_id", F.lower("text").alias("text"))
+    words = d.select("doc_id", F.explode(F.array_distinct(ops.shingles(ops.tokens("text"), 6))).alias("s"))
+    mine = c.select("claim_id", "project", F.explode(F.array_distinct(ops.shingles(ops.tokens("claim"), 6))).alias("s"))
+    hit = mine.join(words, "s").select("claim_id", "project", F.concat(F.lit("p"), (F.col("doc_id") % 5).cast("string")).alias("other")).distinct()
+    pairs = c.alias("a").join(c.alias("b"), F.expr("a.project = b.project and a.pos < b.pos and substr(a.claim, 1, 3) = substr(b.claim, 1, 3)")).select(F.col("a.claim_id"), F.col("b.claim_id").alias("newer"))
+    return ops.claim_outcomes(c, hit.where("project = other"), pairs, hit.where("project <> other"))
+
+
+@query("""WITH o AS (SELECT item_id AS claim_id, 'p' || (item_id % 5)::VARCHAR AS project, CASE item_id % 3 WHEN 0 THEN 'gap' WHEN 1 THEN 'captured' ELSE 'superseded' END AS outcome FROM benchmark), r AS (SELECT *, row_number() OVER (PARTITION BY project, outcome ORDER BY claim_id) AS rn FROM o WHERE project <> 'p4')
+  SELECT project, outcome, count(*) AS n, string_agg(CASE WHEN rn <= 5 THEN claim_id::VARCHAR END, ',' ORDER BY claim_id) AS samples FROM r GROUP BY 1, 2""")
+def ag_findings_sections(t):
+    k = F.col("claim_id") % 3
+    out = claims_of(t).select("project", "claim_id", F.when(k == 0, "gap").when(k == 1, "captured").otherwise("superseded").alias("outcome"))
+    return ops.findings(out, out.where("project <> 'p4'").select("project"))
+
+
+@query("""SELECT count(*) AS docs, round(count_if(text LIKE '%password=%') / count(*)::DOUBLE, 6) AS rejection_rate, count_if(doc_id % 5 = 0)::BIGINT AS excluded, count(DISTINCT source) AS projects FROM documents""")
+def ag_run_health(t):
+    return t.documents.agg(F.count("*").alias("docs"), F.round(F.count_if(F.col("text").contains("password=")) / F.count("*"), 6).alias("rejection_rate"), F.count_if(F.col("doc_id") % 5 == 0).alias("excluded"), F.count_distinct("source").alias("projects"))
+
+
+@query("""WITH l AS (SELECT conv_id AS doc_id, turn, CASE turn % 3 WHEN 0 THEN '# ' || role ELSE CASE WHEN conv_id % 2 = 0 THEN '- [x] i' ELSE '- [ ] i' END || turn::VARCHAR || ' text' END AS line FROM conversations),
+  s AS (SELECT *, last_value(nullif(regexp_extract(line, '^#+ (.+)$', 1), '') IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY turn) AS section, regexp_extract(line, '^- \\[[ xX]\\] (\\S+)', 1) AS item FROM l),
+  r AS (SELECT 'i' || (event_id % 9)::VARCHAR AS item, max_by(event_type, event_id) AS verdict FROM events GROUP BY 1) SELECT doc_id, item, section, regexp_matches(line, '^- \\[[xX]\\]') AS ticked, verdict FROM s LEFT JOIN r USING (item) WHERE item <> ''""")
+def ag_checklist_items(t):
+    box = F.when(F.col("conv_id") % 2 == 0, "- [x] i").otherwise("- [ ] i")
+    line = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("# "), "role")).otherwise(F.concat(box, F.col("turn").cast("string"), F.lit(" text")))
+    lines = t.conversations.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("line_no"), line.alias("line"))
+    return ops.checklist(lines, t.events.select(F.concat(F.lit("i"), (F.col("event_id") % 9).cast("string")).alias("item"), F.col("event_type").alias("verdict"), F.col("event_id").alias("pos")))
+
+
+@query("""WITH n AS (SELECT CASE p_partkey % 3 WHEN 0 THEN 'BRIEF' WHEN 1 THEN 'REPORT' ELSE 'UAT' END AS role, 's' || (p_size % 20)::VARCHAR AS stem FROM part WHERE p_partkey % 5 > 1), b AS (SELECT stem, bool_or(role = 'BRIEF') AS brief, bool_or(role = 'REPORT') AS report, bool_or(role = 'UAT') AS uat FROM n GROUP BY 1)
+  SELECT stem, CASE WHEN uat THEN 'uat' WHEN report THEN 'report' WHEN brief THEN 'brief' ELSE 'none' END AS "column", brief, report, uat FROM b""")
+def ag_lifecycle_board(t):
+    k = F.col("p_partkey") % 3
+    name = F.concat(F.when(k == 0, "BRIEF_s").when(k == 1, "REPORT_s").otherwise("UAT_s"), (F.col("p_size") % 20).cast("string"), F.lit(".md"))
+    return ops.lifecycle_board(t.part.where("p_partkey % 5 > 1").select(name.alias("name")), ("BRIEF", "REPORT", "UAT"))
+
+
+@query("""WITH l AS (SELECT user_id AS host, event_id AS pos, CASE WHEN event_id % 3 = 0 THEN '[2024] start ' || event_type ELSE '  more ' || event_type END AS value FROM events), r AS (SELECT *, sum(CASE WHEN value LIKE '[2024]%' THEN 1 ELSE 0 END) OVER (PARTITION BY host ORDER BY pos) AS record FROM l)
+  SELECT host, record::BIGINT AS record, min(pos) AS pos, count(*) AS lines, string_agg(value, chr(10) ORDER BY pos) AS text FROM r WHERE record > 0 GROUP BY 1, 2""")
+def ag_log_calls(t):
+    value = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("[2024] start "), "event_type")).otherwise(F.concat(F.lit("  more "), "event_type"))
+    return ops.log_calls(t.events.select(F.col("user_id").alias("host"), F.col("event_id").alias("pos"), value.alias("value")), r"^\[2024\]")
+
+
+@query()
+def ud_scorer_hook(t):
+    return ops.score_with(t.benchmark, lambda pdf: pdf["text"].str.len().astype("float64"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size > 40 THEN 'large' WHEN contains(p_type, 'STEEL') THEN 'steel' ELSE 'other' END AS kind FROM part")
+def ud_rule_tables(t):
+    from ..functions.core import first_match
+
+    rules = t.spark.createDataFrame([(1, "p_size > 40", "large"), (2, "contains(p_type, 'STEEL')", "steel")], "rank int, rule string, kind string")
+    chain = [(F.expr(r.rule), r.kind) for r in rules.orderBy("rank").collect()]
+    return t.part.select("p_partkey", first_match(chain, "other").alias("kind"))

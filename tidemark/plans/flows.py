@@ -1 +1,194 @@
-"""Queries."""
+"""Queries over sources, sinks and streams."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..sources import chats
+from ..streaming import jobs
+from .catalog import query
+
+
+def folder(t, name: str) -> str:
+    """A new folder that driver and executors share."""
+    spark = t.spark
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        import tempfile
+
+        base = tempfile.mkdtemp(prefix="tidemark-")
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def streamed(t, name: str, cols: list):
+    """A stream over a Parquet copy of a domain table's columns."""
+    path = folder(t, name)
+    table = getattr(t, name).select(*cols)
+    table.write.parquet(path)
+    return t.spark.readStream.schema(table.schema).parquet(path)
+
+
+def drained(t, stream, mode: str = "append"):
+    """The rows of a stream, run until its input is used up."""
+    out = folder(t, "out")
+    q = stream.writeStream.outputMode(mode).format("parquet").option("path", out).option("checkpointLocation", folder(t, "state")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return t.spark.read.schema(stream.schema).parquet(out)
+
+
+def export_json(t):
+    message = F.struct(F.concat_ws("-", "conv_id", "turn").alias("uuid"), F.when(F.col("role") == "user", "human").otherwise("assistant").alias("sender"), "text", F.lpad(F.col("turn").cast("string"), 6, "0").alias("created_at"))
+    return t.conversations.groupBy("conv_id").agg(F.to_json(F.struct(F.first(F.col("conv_id").cast("string")).alias("uuid"), F.lit("t").alias("name"), F.collect_list(message).alias("chat_messages"))).alias("value"))
+
+
+@query("SELECT conv_id::VARCHAR AS thread_id, row_number() OVER (PARTITION BY conv_id ORDER BY lpad(turn::VARCHAR, 6, '0'), turn) - 1 AS seq, conv_id::VARCHAR || '-' || turn::VARCHAR AS message_id, CASE WHEN role = 'user' THEN 'user' ELSE 'assistant' END AS role, text AS content FROM conversations")
+def src_chat_export(t):
+    return chats.chat_export(export_json(t))[1]
+
+
+@query()
+def src_activity_html(t):
+    return chats.activity_html(t.pages.select(F.col("page_id").alias("id"), F.col("url").alias("prompt"), "html", F.md5("url").alias("attachments")))
+
+
+@query("""SELECT 'mdmanual-' || substr(sha1('t' || conv_id::VARCHAR), 1, 12) AS thread_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS turn, CASE WHEN turn % 2 = 0 THEN 'user' ELSE 'assistant' END AS role, trim(text) AS content FROM conversations WHERE trim(text) <> ''""")
+def src_md_transcript(t):
+    mark = F.concat(F.when(F.col("turn") % 2 == 0, "**User:** ").otherwise("**Assistant:** "), "text")
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", mark.alias("line")))), lambda x: x["line"]), "\n")
+    return chats.md_transcript(t.conversations.groupBy("conv_id").agg(body.alias("body")).select(F.concat(F.lit("t"), F.col("conv_id").cast("string")).alias("path"), F.concat(F.lit("---\nk: v\n---\n"), "body").alias("content")))
+
+
+@query("SELECT conv_id AS session_id, CASE WHEN turn % 7 = 3 THEN 'bad_line' WHEN turn % 7 = 5 OR role = 'system' THEN 'bookkeeping' ELSE 'message' END AS kind, count(*) AS n FROM conversations GROUP BY 1, 2")
+def src_jsonl_sessions(t):
+    blocks = F.array(F.struct(F.lit("thinking").alias("type"), F.lit("x").alias("text")), F.struct(F.lit("text").alias("type"), F.col("text").alias("text")))
+    row = F.to_json(F.struct(F.when(F.col("turn") % 7 == 5, "summary").otherwise(F.col("role")).alias("type"), F.struct("role", blocks.alias("content")).alias("message")))
+    lines = t.conversations.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("line_no"), F.when(F.col("turn") % 7 == 3, "{broken").otherwise(row).alias("value"))
+    return chats.jsonl_sessions(lines)[1]
+
+
+@query("SELECT 's' || (conv_id % 4)::VARCHAR AS store, count(DISTINCT conv_id) AS sessions, count(*) AS messages, sum(strlen(text))::BIGINT AS bytes, min(turn) AS least, max(turn) AS most FROM conversations GROUP BY 1")
+def src_transcript_census(t):
+    return chats.transcript_census(t.messages.withColumn("store", F.concat(F.lit("s"), (F.col("thread_id") % 4).cast("string"))))
+
+
+@query("""WITH n AS (SELECT thread_id, 'new ' || title AS title, 'q' AS project_link, 'fuzzy' AS project_confidence FROM threads WHERE thread_id % 3 > 0), o AS (SELECT * FROM threads WHERE thread_id % 4 > 0)
+  SELECT coalesce(n.thread_id, o.thread_id) AS thread_id, coalesce(n.title, o.title) AS title, CASE WHEN o.project_confidence IN ('manual', 'exact') THEN o.project_link ELSE coalesce(n.project_link, o.project_link) END AS project_link,
+  CASE WHEN o.project_confidence IN ('manual', 'exact') THEN o.project_confidence ELSE coalesce(n.project_confidence, o.project_confidence) END AS project_confidence FROM n FULL JOIN o ON n.thread_id = o.thread_id""")
+def src_session_upsert(t):
+    fresh = t.threads.where("thread_id % 3 > 0").select("thread_id", F.concat(F.lit("new "), "title").alias("title"), F.lit("q").alias("project_link"), F.lit("fuzzy").alias("project_confidence"))
+    return chats.session_upsert(t.threads.where("thread_id % 4 > 0"), fresh)
+
+
+@query("SELECT event_type AS stage, sum(user_id)::BIGINT AS new, sum(event_id % 3)::BIGINT AS changed, sum(event_id % 2)::BIGINT AS skipped FROM events WHERE event_id > 100 GROUP BY 1")
+def src_batch_log(t):
+    return chats.batch_log(t.events.select(F.col("event_id").alias("batch_id"), F.col("event_type").alias("stage"), F.col("user_id").alias("new"), (F.col("event_id") % 3).alias("changed"), (F.col("event_id") % 2).alias("skipped")), 100)
+
+
+@query("SELECT '2024-01-0' || (1 + n)::VARCHAR AS snapshot_date, count(*) AS n, sum(bytes)::BIGINT AS bytes FROM docs, range(0, 2) r(n) WHERE n = 0 OR doc_id % 2 = 0 GROUP BY 1")
+def src_snapshot_store(t):
+    path, docs = folder(t, "snapshots"), t.docs.select("doc_id", "bytes")
+    for day, rows in (("2024-01-01", docs), ("2024-01-02", docs), ("2024-01-02", docs.where("doc_id % 2 = 0"))):
+        chats.write_snapshot(rows, path, day)
+    return t.spark.read.parquet(path).groupBy(F.col("snapshot_date").cast("string").alias("snapshot_date")).agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+
+
+@query("SELECT page_id AS name, CASE WHEN page_id % 3 > 0 THEN page_id % 3 = 1 END AS verified FROM pages")
+def src_bundle_verify(t):
+    files = t.pages.select(F.col("page_id").alias("name"), F.col("html").cast("binary").alias("content"))
+    manifest = t.pages.where("page_id % 3 > 0").select(F.col("page_id").alias("name"), F.when(F.col("page_id") % 3 == 1, F.sha2("html", 256)).otherwise("0").alias("sha256"))
+    return chats.bundle_verify(files, manifest)
+
+
+@query("SELECT event_id AS pos, user_id, event_type FROM events WHERE event_id % 6 > 1")
+def src_jsonl_ledger(t):
+    k = F.col("event_id") % 6
+    value = F.when(k == 0, "{oops").when(k == 1, F.to_json(F.struct("user_id"))).otherwise(F.to_json(F.struct("user_id", "event_type")))
+    return chats.jsonl_ledger(t.events.select(F.col("event_id").alias("pos"), value.alias("value")), "user_id long, event_type string", ["user_id", "event_type"])[0]
+
+
+@query("""WITH b AS (SELECT thread_id, string_agg('**' || role || ':** ' || content, chr(10) || chr(10) ORDER BY seq, role, content) AS body FROM messages GROUP BY 1)
+  SELECT thread_id, source, '---' || chr(10) || 'title: ' || coalesce(title, '') || chr(10) || 'source: ' || source || chr(10) || '---' || chr(10) || coalesce(body, '') AS document FROM threads LEFT JOIN b USING (thread_id)""")
+def src_markdown_sink(t):
+    return chats.markdown_documents(t.threads, t.messages)
+
+
+@query("""WITH f AS (SELECT * FROM docs WHERE project IN ('src1', 'src2') AND doc_id % 2 = 0) SELECT doc_id, 'fresh' AS state FROM f UNION ALL SELECT doc_id, 'old' FROM docs WHERE project NOT IN (SELECT project FROM f)""")
+def src_partial_overwrite(t):
+    rows = t.docs.select("doc_id", "project")
+    out = chats.partial_overwrite(rows.withColumn("state", F.lit("old")), rows.where("project in ('src1', 'src2') and doc_id % 2 = 0").withColumn("state", F.lit("fresh")), "project")
+    return out.select("doc_id", "state")
+
+
+@query("""WITH m AS (SELECT user_id AS account, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) < 86400000000 THEN 0 ELSE 1 END AS new FROM activity), s AS (SELECT *, sum(new) OVER (PARTITION BY account ORDER BY ts) AS g FROM m)
+  SELECT account, count(*) AS n FROM s GROUP BY account, g""")
+def st_session_window(t):
+    stream = streamed(t, "activity", [F.col("user_id").alias("account"), "ts"])
+    out = folder(t, "sessions")
+
+    def keep(batch, _):
+        batch.select("account", "n").write.mode("overwrite").parquet(out)
+
+    q = jobs.session_windows(stream, "1 day", "60 days").writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", folder(t, "state")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return t.spark.read.parquet(out)
+
+
+@query("SELECT pos, model_id, stage, floor(ms)::DOUBLE AS ms FROM ledger WHERE pos % 4 > 0")
+def st_live_ledger(t):
+    line = F.format_string("model=%s stage=%s ms=%s", "model_id", "stage", F.when(F.col("pos") % 4 > 0, F.floor("ms").cast("string")).otherwise("None"))
+    return drained(t, jobs.live_ledger(streamed(t, "ledger", ["pos", line.alias("value")]))).select("pos", "model_id", "stage", "ms")
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def st_incremental_scan(t):
+    out = folder(t, "votes")
+    for part in ("event_id % 2 = 0", "event_id % 3 = 0", "true"):
+        path = folder(t, "part")
+        rows = t.events.where(part).select("user_id", "event_type")
+        rows.write.parquet(path)
+        q = t.spark.readStream.schema(rows.schema).parquet(path).writeStream.foreachBatch(jobs.append_new(out, ["user_id", "event_type"])).option("checkpointLocation", folder(t, "state")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    return t.spark.read.parquet(out)
+
+
+@query("SELECT project, signature FROM (SELECT project, md5(count(*)::VARCHAR || project) AS signature FROM docs GROUP BY 1) WHERE project <> 'src1'")
+def st_skip_unchanged(t):
+    now = t.docs.groupBy("project").agg(F.count("*").alias("n")).select("project", F.md5(F.concat(F.col("n").cast("string"), "project")).alias("signature"))
+    known = now.where("project = 'src1'").unionByName(now.where("project = 'src2'").withColumn("signature", F.lit("old")))
+    return jobs.skip_unchanged(now, known)
+
+
+@query("SELECT doc_id AS key FROM documents WHERE NOT (doc_id % 3 = 0 AND doc_id % 2 = 0)")
+def st_content_cache(t):
+    items = t.documents.select(F.col("doc_id").alias("key"), F.col("text").alias("content"))
+    cache = items.where("key % 3 = 0").select("key", F.sha2("content", 256).alias("hash"), F.lit(1).alias("result"), F.when(F.col("key") % 2 == 0, "f1").otherwise("f0").alias("fingerprint"))
+    return jobs.content_cache(items, cache, "f1")[1].select("key")
+
+
+@query()
+def st_event_occurrences(t):
+    return drained(t, jobs.occurrence_events(streamed(t, "sightings", ["fingerprint", "event_id", "kind"])))
+
+
+@query()
+def st_rolling_decay(t):
+    return drained(t, jobs.decay_states(streamed(t, "ledger", ["host", "pos", "ms"])))
+
+
+@query("SELECT user_id, event_type FROM events")
+def st_dropzone_ingest(t):
+    path, archive = folder(t, "landing"), folder(t, "archive")
+    t.events.select("user_id", "event_type").write.json(path)
+    return drained(t, jobs.dropzone(t.spark, path, "user_id long, event_type string", archive))
+
+
+@query()
+def ud_job_registry(t):
+    from .catalog import _ORACLE, _QUERIES
+
+    rows = [(name, name.split("_")[0], name in _ORACLE) for name in sorted(_QUERIES)]
+    manifest = t.spark.createDataFrame(rows, "name string, family string, checked boolean")
+    return manifest.join(t.region.agg(F.count("*").alias("regions")))
