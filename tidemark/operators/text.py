@@ -8,6 +8,7 @@ from collections.abc import Callable, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.core import latest
 
@@ -54,16 +55,20 @@ def containment(a: Column, b: Column) -> Column:
 
 
 def shingles(words: Column, n: int = 3) -> Column:
-    last = F.size(words) - n
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(1), last + 1), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array(F.array_join(words, " ")))
+    def of(w: Column) -> Column:
+        last = F.size(w) - n
+        return F.when(last >= 0, F.transform(F.sequence(F.lit(1), last + 1), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array(F.array_join(w, " ")))
 
+    # bound once per row, so that the words are not split again for each shingle
+    return F.element_at(F.transform(F.array(words), of), 1)
 
-@F.pandas_udf("double")
+
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def claim_similarity(claim: pd.Series, text: pd.Series) -> pd.Series:
     """Matched run length over the claim's length."""
     out = []
