@@ -15,6 +15,7 @@ below ``broadcast_rows``; beyond, both sides are shuffled by hash.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,30 +34,26 @@ def _pick(words: Column, at: Column, mask: str) -> list[Column]:
     return [words[at + k] for k, bit in enumerate(mask) if bit == "1"]
 
 
+def let(value: Column, fn) -> Column:
+    """``fn`` of a value that is computed once for a row, however often ``fn`` uses it."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def seeds(df: DataFrame, masks: tuple[str, ...], gate: Column | None = None) -> DataFrame:
     """(id, pos, h) of every masked span of ``df(id, words)`` whose first two tokens pass ``gate``."""
-    parts = []
-    for m, mask in enumerate(masks):
-        last = F.size("words") - len(mask)
+
+    def spans(words: Column, length: int) -> Column:
+        last = F.size(words) - length
         starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
         if gate is not None:
-            starts = F.filter(starts, lambda i: _passes(gate, F.xxhash64(F.col("words")[i], F.col("words")[i + 1])))
-        parts.append((m, mask, starts))
-    if len({len(m) for m in masks}) == 1:
-        spans = F.flatten(
-            F.transform(
-                parts[0][2],
-                lambda i: F.array(*[F.struct(i.alias("pos"), F.xxhash64(F.lit(m), *_pick(F.col("words"), i, mask)).alias("h")) for m, mask, _ in parts]),
-            )
-        )
-    else:
-        spans = F.concat(
-            *[
-                F.transform(s, lambda i, m=m, mask=mask: F.struct(i.alias("pos"), F.xxhash64(F.lit(m), *_pick(F.col("words"), i, mask)).alias("h")))
-                for m, mask, s in parts
-            ]
-        )
-    return df.select("id", F.inline(spans))
+            starts = F.filter(starts, lambda i: _passes(gate, F.xxhash64(words[i], words[i + 1])))
+        own = [(m, mask) for m, mask in enumerate(masks) if len(mask) == length]
+        hashes = lambda i: F.array(*[F.struct(i.alias("pos"), F.xxhash64(F.lit(m), *_pick(words, i, mask)).alias("h")) for m, mask in own])
+        return F.flatten(F.transform(starts, hashes))
+
+    every = let(F.col("words"), lambda w: F.concat(*[spans(w, n) for n in sorted({len(m) for m in masks})]))
+    # the outer form keeps the optimizer from testing the spans of a row before it makes them
+    return df.select("id", F.inline_outer(every)).where("h is not null")
 
 
 def _passes(bitmap: Column, h: Column) -> Column:
@@ -73,7 +70,7 @@ def gate_of(items: DataFrame) -> Column:
         .agg(F.bit_or("bit").alias("bits"))
     )
     found = {r.slot: r.bits for r in bits.collect()}  # at most 1,024 rows
-    return F.array(*[F.lit(found.get(i, 0)).cast("long") for i in range(WORDS_64)])
+    return F.lit(np.array([found.get(i, 0) for i in range(WORDS_64)], np.int64))
 
 
 def decontaminate(
@@ -109,9 +106,10 @@ def decontaminate(
     side = bench.select("item", F.col("words").alias("item_words"))
     with_words = base.join(hits, "id").join(side, "item").select("id", "item", "shift", "item_words", tokens(F.col("text")).alias("words"))
     m = F.size("item_words")
-    agree = F.transform(F.col("item_words"), lambda w, j: F.when(F.get("words", F.col("shift") + j) == w, 1).otherwise(0))
+    agree = let(F.col("words"), lambda words: F.transform(F.col("item_words"), lambda w, j: F.when(F.get(words, F.col("shift") + j) == w, 1).otherwise(0)))
     width = F.least(m, F.lit(window))
-    overlap = F.array_max(F.transform(F.sequence(F.lit(0), m - width), lambda s: F.aggregate(F.slice("agree", s + 1, F.least(F.size("agree"), F.lit(window))), F.lit(0), lambda a, x: a + x)))
+    sums = lambda ones: F.transform(F.sequence(F.lit(0), m - width), lambda s: F.aggregate(F.slice(ones, s + 1, width), F.lit(0), lambda a, x: a + x))
+    overlap = F.array_max(let(F.col("agree"), sums))
     verified = (
         with_words.select("id", "item", "item_words", agree.alias("agree"))
         .select("id", "item", width.alias("width"), overlap.alias("overlap"))
