@@ -47,7 +47,7 @@ class CharModel:
         self.bigram = np.bincount(self.codes % N_SYMBOLS**2, weights=self.counts, minlength=N_SYMBOLS**2)
         self.before = self.bigram.reshape(N_SYMBOLS, N_SYMBOLS).sum(1)
         self.unigram = np.bincount(last, weights=self.counts, minlength=N_SYMBOLS) + 1
-        self.unigram /= self.unigram.sum()
+        self.unigram = self.unigram / self.unigram.sum()
 
     def log_p(self, a: int, b: int, c: int) -> float:
         code = (a * N_SYMBOLS + b) * N_SYMBOLS + c
