@@ -63,7 +63,8 @@ def _passes(bitmap: Column, h: Column) -> Column:
 
 def gate_of(items: DataFrame) -> Column:
     """65,536 bits for the first two tokens of all spans of the benchmark, whatever its size."""
-    pairs = items.select(F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.size("words") - 2, F.lit(0))), lambda i: F.xxhash64(F.col("words")[i], F.get("words", i + 1)))).alias("h"))
+    starts = F.sequence(F.lit(0), F.size("words") - 2)
+    pairs = items.where(F.size("words") >= 2).select(F.explode(F.transform(starts, lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1)))).alias("h"))
     bits = (
         pairs.select(F.shiftright(F.col("h").bitwiseAND(F.lit(65535)), 6).alias("slot"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
         .groupBy("slot")
