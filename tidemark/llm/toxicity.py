@@ -10,17 +10,19 @@ character model, and the restored word is scored.
 Scale: one map pass for the counts and one for the scores; texts are never
 shuffled. Only labels are joined, as a broadcast of at most ``max_labels``
 rows (a documented bounded sample of the labelled rows, by hash of their id).
-The character model has at most 155**3 entries, the cue table is bounded by
-``min_cue`` labelled rows for each cue.
+The character model has at most 155**3 entries; a cue needs ``min_cue`` labelled rows, and as many different
+surroundings, so that copies of one text do not make cues of its words.
 """
 
 from __future__ import annotations
 
 import functools
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -137,34 +139,40 @@ def cues(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np
     return np.concatenate(hashes), np.concatenate(words)
 
 
-def restored_words(found: list[tuple[int, int, int]], raw: bytes, read) -> tuple[np.ndarray, np.ndarray]:
-    """(cue hash, row) of the words that the decoder restores."""
-    words, rows = [], []
+def restored_words(found: list[tuple[int, int, int]], raw: bytes, read) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(cue hash, row, hash of the hidden form) of the words that the decoder restores."""
+    words, rows, hidden = [], [], []
     for row, a, b in found:
         token = raw[a:b].decode("utf-8", "ignore").strip(EDGE).lower()
         word = read(token)
         if word and word != token:
             words.append(word.encode())
             rows.append(row)
+            hidden.append(zlib.crc32(token.encode()))
     if not words:
-        return np.zeros(0, U64), np.zeros(0, np.int64)
+        return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, U64)
     size = np.array([len(w) for w in words])
     ends = np.cumsum(size)
     h, w = cues(np.frombuffer(b"".join(words), np.uint8), ends - size, ends)
-    return h, np.array(rows)[w]
+    return h, np.array(rows)[w], mix(np.array(hidden, U64))[w]
 
 
 def doc_cues(column, read):
-    """(first row, documents, cue hashes, their rows, restored tokens per document)."""
+    """(first row, documents, cue hashes, their rows, what stands around them, restored tokens per document)."""
     data, offsets = text_buffer(column)
     for a, b in chunks_of(offsets, CHUNK):
         part, off = fold_case(data[offsets[a] : offsets[b]]), offsets[a : b + 1] - offsets[a]
         s, e, row = word_spans(part, off, LETTERS)
         h, w = cues(part, s, e)
+        own = h[: len(s)]
+        same = row[1:] == row[:-1] if len(row) else np.zeros(0, bool)
+        before = np.concatenate((np.zeros(1, U64), np.where(same, own[:-1], U64(0))))[: len(s)]
+        after = np.concatenate((np.where(same, own[1:], U64(0)), np.zeros(1, U64)))[: len(s)]
+        around = mix(before * U64(0x9FB21C651E98DF25) + after)
         ts, te, trow = word_spans(part, off, NOT_SPACE)
         found = suspicious(part, ts, te, trow)
-        rh, rrow = restored_words(found, part.tobytes(), read)
-        yield a, b - a, np.concatenate((h, rh)), np.concatenate((row[w], rrow)), np.bincount(rrow, minlength=b - a)
+        rh, rrow, raround = restored_words(found, part.tobytes(), read)
+        yield a, b - a, np.concatenate((h, rh)), np.concatenate((row[w], rrow)), np.concatenate((around[w], raround)), np.bincount(rrow, minlength=b - a)
 
 
 def reader(model: CharModel):
@@ -233,7 +241,7 @@ def toxicity(
         for batch in batches:
             toxic = batch["toxic"].to_numpy()
             keys, sides = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
-            for a, n, h, row, _ in doc_cues(batch["text"], read):
+            for a, _, h, row, _, _ in doc_cues(batch["text"], read):
                 order = np.lexsort((h, row))
                 h, row = h[order], row[order]
                 new = np.concatenate(([True], (h[1:] != h[:-1]) | (row[1:] != row[:-1]))) if len(h) else np.zeros(0, bool)
@@ -249,8 +257,25 @@ def toxicity(
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n1), pa.array(n - n1)], ["cue", "n1", "n0"])
 
     counts = taught.mapInArrow(learn, "cue long, n1 long, n0 long").groupBy("cue").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
-    rows = counts.where((F.col("cue") == 0) | ((F.col("n1") >= min_cue) & (F.col("n1") > F.col("n0")))).toArrow()
-    table = cue_weights(rows["cue"].to_numpy(), rows["n1"].to_numpy().astype(float), rows["n0"].to_numpy().astype(float))
+    likely = counts.where((F.col("cue") == 0) | ((F.col("n1") >= min_cue) & (F.col("n1") > F.col("n0")))).toArrow()
+    wanted = docs.sparkSession.sparkContext.broadcast(np.sort(likely["cue"].to_numpy().view(np.uint64)))
+
+    def surroundings(batches):
+        read = reader(model.value)
+        for batch in batches:
+            toxic = batch["toxic"].to_numpy()
+            for a, _, h, row, around, _ in doc_cues(batch["text"], read):
+                at = np.minimum(np.searchsorted(wanted.value, h), len(wanted.value) - 1)
+                hit = wanted.value[at] == h
+                side = toxic[a + row[hit]].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(h[hit].view(np.int64)), pa.array(around[hit].view(np.int64)), pa.array(side)], ["cue", "around", "toxic"])
+
+    # copies of a text repeat a cue in the same surroundings, which then count once
+    seen = taught.mapInArrow(surroundings, "cue long, around long, toxic int").groupBy("cue", "around").agg(F.max("toxic").alias("t"), F.min("toxic").alias("c"))
+    counted = seen.groupBy("cue").agg(F.sum("t").alias("n1"), F.sum(1 - F.col("c")).alias("n0")).where((F.col("n1") >= min_cue) & (F.col("n1") > F.col("n0"))).toArrow()
+    base_row = likely.filter(pc.equal(likely["cue"], 0))
+    parts = [(t["cue"].to_numpy(), t["n1"].to_numpy().astype(float), t["n0"].to_numpy().astype(float)) for t in (base_row, counted)]
+    table = cue_weights(*(np.concatenate(x) for x in zip(*parts, strict=True)))
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def score(batches):
@@ -259,7 +284,7 @@ def toxicity(
         for batch in batches:
             best = np.full(batch.num_rows, none)
             restored = np.zeros(batch.num_rows, np.int64)
-            for a, n, h, row, fixed in doc_cues(batch["text"], read):
+            for a, n, h, row, _, fixed in doc_cues(batch["text"], read):
                 restored[a : a + n] = fixed
                 if len(cue):
                     at = np.minimum(np.searchsorted(cue, h), len(cue) - 1)
