@@ -11,7 +11,9 @@ Scale: one map pass for the counts and one for the scores; texts are never
 shuffled. Only labels are joined, as a broadcast of at most ``max_labels``
 rows (a documented bounded sample of the labelled rows, by hash of their id).
 The character model has at most 155**3 entries; a cue needs ``min_cue`` labelled rows, and as many different
-surroundings, so that copies of one text do not make cues of its words.
+surroundings, and must explain texts that stronger cues do not, so that copies of
+one text do not make cues of its words. That choice is made on the driver, from
+the sample's toxic rows only.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .folds import LETTERS, N_SYMBOLS, SYMBOL, fold_case, held_out, trigram_codes
+from .shared import settle
 from .textops import BASE_A, NOT_SPACE, U64, chunks_of, mix, prefix_hash, span_hash, text_buffer, word_spans
 
 CHUNK = 1 << 20
@@ -234,7 +237,7 @@ def toxicity(
         .orderBy(F.xxhash64("id"), "id")
         .limit(max_labels)
     )
-    taught = base.where("not held_out").join(F.broadcast(known), "id").select("toxic", "text")
+    taught = base.where("not held_out").join(F.broadcast(known), "id").select("toxic", F.xxhash64("id").alias("doc"), "text")
 
     def learn(batches):
         read = reader(model.value)
@@ -263,16 +266,25 @@ def toxicity(
     def surroundings(batches):
         read = reader(model.value)
         for batch in batches:
-            toxic = batch["toxic"].to_numpy()
+            toxic, doc = batch["toxic"].to_numpy(), batch["doc"].to_numpy()
             for a, _, h, row, around, _ in doc_cues(batch["text"], read):
                 at = np.minimum(np.searchsorted(wanted.value, h), len(wanted.value) - 1)
                 hit = wanted.value[at] == h
-                side = toxic[a + row[hit]].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(h[hit].view(np.int64)), pa.array(around[hit].view(np.int64)), pa.array(side)], ["cue", "around", "toxic"])
+                at = a + row[hit]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h[hit].view(np.int64)), pa.array(around[hit].view(np.int64)), pa.array(doc[at]), pa.array(toxic[at].astype(np.int32))], ["cue", "around", "doc", "toxic"]
+                )
 
     # copies of a text repeat a cue in the same surroundings, which then count once
-    seen = taught.mapInArrow(surroundings, "cue long, around long, toxic int").groupBy("cue", "around").agg(F.max("toxic").alias("t"), F.min("toxic").alias("c"))
-    counted = seen.groupBy("cue").agg(F.sum("t").alias("n1"), F.sum(1 - F.col("c")).alias("n0")).where((F.col("n1") >= min_cue) & (F.col("n1") > F.col("n0"))).toArrow()
+    seen = settle(taught.mapInArrow(surroundings, "cue long, around long, doc long, toxic int").distinct())
+    places = seen.groupBy("cue", "around").agg(F.max("toxic").alias("t"), F.min("toxic").alias("c"))
+    counted = places.groupBy("cue").agg(F.sum("t").alias("n1"), F.sum(1 - F.col("c")).alias("n0"))
+    counted = settle(counted.where((F.col("cue") != 0) & (F.col("n1") >= min_cue) & (F.col("n1") > F.col("n0"))))
+    rows = seen.where("toxic = 1").join(counted.select("cue"), "cue", "left_semi").toArrow()
+    counted = counted.toArrow()
+    odds = np.log(cautious(counted["n1"].to_numpy().astype(float), counted["n0"].to_numpy().astype(float)))
+    chosen = cover(*(rows[c].to_numpy() for c in ("cue", "around", "doc")), dict(zip(counted["cue"].to_pylist(), odds.tolist(), strict=True)))
+    counted = counted.filter(pc.is_in(counted["cue"], pa.array(chosen, pa.int64())))
     base_row = likely.filter(pc.equal(likely["cue"], 0))
     parts = [(t["cue"].to_numpy(), t["n1"].to_numpy().astype(float), t["n0"].to_numpy().astype(float)) for t in (base_row, counted)]
     table = cue_weights(*(np.concatenate(x) for x in zip(*parts, strict=True)))
@@ -303,6 +315,37 @@ def toxicity(
     return out.withColumnRenamed("id", id_col)
 
 
+def cautious(n1: np.ndarray, n0: np.ndarray) -> np.ndarray:
+    """Odds of the label, with both counts taken at the cautious end of their error."""
+    return np.maximum(n1 - 2 * np.sqrt(n1), 1e-9) / (n0 + 2 * np.sqrt(n0) + 3)
+
+
+def cover(cue: np.ndarray, around: np.ndarray, doc: np.ndarray, odds: dict[int, float], least: int = 2) -> np.ndarray:
+    """Cues that together explain the toxic texts of the sample, taken one by one.
+
+    Each time the cue is taken for which different surroundings in texts not yet
+    explained, times its log-odds, are most; words that only stand beside a taken
+    cue explain nothing more.
+    """
+    cues, cue = np.unique(cue, return_inverse=True)
+    worth = np.maximum([odds[c] for c in cues.tolist()], 0) if len(cues) else np.zeros(0)
+    _, place = np.unique(around, return_inverse=True)
+    docs, doc = np.unique(doc, return_inverse=True)
+    open_, taken = np.ones(len(docs), bool), []
+    while len(cue):
+        left = open_[doc]
+        cue, place, doc = cue[left], place[left], doc[left]
+        pairs = np.unique(cue.astype(np.int64) << 32 | place)
+        n = np.bincount(pairs >> 32, minlength=len(cues)) if len(pairs) else np.zeros(len(cues), int)
+        gain = np.where(n >= least, n * worth, 0)
+        if not len(pairs) or gain.max() <= 0:
+            break
+        best = int(gain.argmax())
+        taken.append(cues[best])
+        open_[doc[cue == best]] = False
+    return np.array(taken, np.int64)
+
+
 def cue_weights(cue: np.ndarray, n1: np.ndarray, n0: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     """Sorted cues with the log-odds they give a text, and the log-odds of a text without any.
 
@@ -314,8 +357,7 @@ def cue_weights(cue: np.ndarray, n1: np.ndarray, n0: np.ndarray) -> tuple[np.nda
     if not total1:
         return np.zeros(0, U64), np.zeros(0), -50.0
     cue, n1, n0 = cue[~base].view(np.uint64), n1[~base], n0[~base]
-    low, high = n1 - 2 * np.sqrt(n1), n0 + 2 * np.sqrt(n0) + 3
-    weight = np.log(np.maximum(low, 1e-9) / high)
+    weight = np.log(cautious(n1, n0))
     keep = weight > 0
     order = np.argsort(cue[keep])
     none = math.log(0.02 * total1 / max(1.0, total0)) if keep.any() else math.log(total1 / max(1.0, total0))
