@@ -131,7 +131,8 @@ def prefix_map(sheet: DataFrame, openers: DataFrame, texts: DataFrame, width: in
     s = sheet.select("pos", norm("first_message").alias("key"))
     one = s.join(openers.select("conversation_id", norm("content").alias("key")), "key").select("pos", "conversation_id", F.lit(1).alias("pass"))
     rest = s.join(one.select("pos").distinct(), "pos", "left_anti").where(F.length("key") >= least)
-    word = F.expr("element_at(array_sort(split(key, ' '), (a, b) -> case when length(a) <> length(b) then length(b) - length(a) when a < b then -1 when a > b then 1 else 0 end), 1)")
+    # the longest word inside the key; its first and last may be parts of words
+    word = F.expr("get(array_sort(slice(split(key, ' '), 2, greatest(size(split(key, ' ')) - 2, 0)), (a, b) -> case when length(a) <> length(b) then length(b) - length(a) when a < b then -1 when a > b then 1 else 0 end), 0)")
     spoken = texts.select("conversation_id", F.lower(F.trim(F.regexp_replace("content", r"[ \t\n\r\f]+", " "))).alias("body"))
     words = spoken.select("conversation_id", "body", F.explode(F.array_distinct(F.split("body", " "))).alias("word"))
     two = rest.withColumn("word", word).join(words, "word").where(F.col("body").contains(F.col("key"))).select("pos", "conversation_id", F.lit(2).alias("pass")).distinct()

@@ -189,18 +189,20 @@ def recurrence_pairs(items: DataFrame, similarity: float, rarest: int = 4) -> Da
     return j.select("a", "b", score.alias("score")).where(F.col("score") >= similarity)
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, label) of an edge table (a, b): every node takes the least label around it until none changes."""
-    both = edges.select("a", "b").union(edges.select("b", "a")).distinct().persist()
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label"))
-    for _ in range(rounds):
-        labels = labels.checkpoint() if labels.sparkSession.sparkContext.getCheckpointDir() else labels
+def components(edges: DataFrame) -> DataFrame:
+    """(node, label) of an edge table (a, b): every node takes the least label around it until none changes.
+
+    Each round is kept in the session's checkpoint folder if one is set.
+    """
+    keep = (lambda df: df.checkpoint()) if edges.sparkSession.sparkContext.getCheckpointDir() else (lambda df: df.persist())
+    both = keep(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    labels = keep(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")))
+    while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        new = labels.join(near, "node").select("node", F.least("label", "near").alias("label"), (F.col("near") < F.col("label")).alias("moved"))
+        new = keep(labels.join(near, "node").select("node", F.least("label", "near").alias("label"), (F.col("near") < F.col("label")).alias("moved")))
         if not new.where("moved").limit(1).count():
-            return labels
+            return new.select("node", "label")
         labels = new.select("node", "label")
-    return labels
 
 
 def score_with(rows: DataFrame, caller: Callable[[pd.DataFrame], pd.Series], out: str = "score", kind: str = "double") -> DataFrame:
