@@ -15,6 +15,8 @@ Only 33 probe rows a round reach the driver.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,13 +47,7 @@ def _probe(sources: DataFrame, lo: float, hi: float, cover: bool) -> list[tuple[
         .orderBy("i")
         .collect()
     )
-    return [(r.t, _log(r.z) - r.e / r.z, r.most / r.least if cover else r.most / r.z * r.scale) for r in rows]
-
-
-def _log(x: float) -> float:
-    import math
-
-    return math.log(x)
+    return [(r.t, math.log(r.z) - r.e / r.z, r.most / r.least if cover else r.most / r.z * r.scale) for r in rows]
 
 
 def exponent(sources: DataFrame, target: float, repeats: float, cover: bool) -> float:
@@ -107,7 +103,7 @@ def mix_sources(
     grand = totals.agg(F.sum("tokens"), F.sum((F.col("tokens") > 0).cast("int"))).first()
     total, n = int(grand[0] or 0), int(grand[1] or 0)
     live = totals.where("tokens > 0").withColumn("share", F.col("tokens") / F.lit(float(total or 1))).withColumn("scale", F.lit(float(budget or 0) / (total or 1)))
-    t = exponent(live, entropy * _log(n), repeats, budget is None) if n > 1 else 1.0
+    t = exponent(live, entropy * math.log(n), repeats, budget is None) if n > 1 else 1.0
     z = live.agg(F.sum(F.pow("share", F.lit(t)))).first()[0] if n else None
     z = z or 1.0
     if budget is None:
