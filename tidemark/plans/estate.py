@@ -269,3 +269,9 @@ def ag_integrity_census(t):
 @query("""SELECT project, path, bytes FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY bytes DESC, path, file_id) AS rn FROM files) WHERE rn <= 20""")
 def wn_topk_outliers(t):
     return core.capped(t.files, ["project"], [F.col("bytes").desc(), F.col("path"), F.col("file_id")], 20).select("project", "path", "bytes")
+
+
+@query("""SELECT p_brand AS project, p_partkey AS path, CASE WHEN p_partkey % 7 > 0 THEN 1 END::BIGINT AS classes, CASE WHEN p_partkey % 7 > 0 THEN p_size % 5 END::BIGINT AS functions, CASE WHEN p_partkey % 7 > 0 THEN p_size % 3 END::BIGINT AS imports, p_partkey % 7 = 0 AS failed FROM part""")
+def ag_code_inventory(t):
+    body = F.concat(F.repeat(F.lit("import x\n"), F.col("p_size") % 3), F.lit("class A:\n"), F.repeat(F.lit("    def f(self):\n        pass\n"), F.col("p_size") % 5))
+    return census.code_inventory(t.part.select(F.col("p_brand").alias("project"), F.col("p_partkey").alias("path"), F.when(F.col("p_partkey") % 7 > 0, body).alias("content")))
