@@ -110,13 +110,15 @@ def rolling_decay(rows: DataFrame, size: int = 4, pause: float = 0.75, resume: f
 
     The state after a row is that of the last row that crossed either line.
     """
-    w = Window.partitionBy("host").orderBy("ts", "pos")
+    w = Window.partitionBy("host").orderBy("ts", "pos", "ms")
     numbered = rows.withColumn("n", F.row_number().over(w)).withColumn("speed", 1.0 / F.col("ms"))
-    rolling = numbered.withColumn("rolling", F.percentile("speed", F.lit(0.5)).over(w.rowsBetween(-(size - 1), 0)))
+    near = F.array_sort(F.array_compact(F.array("speed", *[F.lag("speed", k).over(w) for k in range(1, size)])))
+    half = lambda up: F.element_at("near", F.floor((F.size("near") + 1 + up) / 2).cast("int"))
+    rolling = numbered.withColumn("near", near).withColumn("rolling", (half(0) + half(1)) / 2).drop("near")
     base = numbered.where(F.col("n") <= size).groupBy("host").agg(F.percentile("speed", F.lit(0.5)).alias("baseline"))
     out = rolling.join(base, "host").withColumn("ratio", F.when(F.col("n") >= size, F.col("rolling") / F.col("baseline")))
     cross = F.when(F.col("ratio") < pause, "pause").when(F.col("ratio") >= resume, "run")
-    return out.withColumn("cross", cross).withColumn("state", F.coalesce(F.last("cross", ignorenulls=True).over(w), F.lit("run"))).select("host", "pos", F.round("ratio", 6).alias("ratio"), "state")
+    return out.withColumn("cross", cross).withColumn("state", F.coalesce(F.last("cross", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit("run"))).select("host", "pos", F.round("ratio", 6).alias("ratio"), "state")
 
 
 def token_windows(messages: DataFrame, budget: int) -> DataFrame:

@@ -85,7 +85,7 @@ def wn_latency_summary(t):
     return ops.latency_summary(ops.occurrences(t.sightings))
 
 
-DECAY = """n AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY ts, pos) AS n, 1.0::DOUBLE / ms AS speed FROM l), r AS (SELECT *, median(speed) OVER (PARTITION BY host ORDER BY n ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS rolling FROM n),
+DECAY = """n AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY ts, pos, ms) AS n, 1.0::DOUBLE / ms AS speed FROM l), r AS (SELECT *, median(speed) OVER (PARTITION BY host ORDER BY n ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS rolling FROM n),
   b AS (SELECT host, median(speed) AS baseline FROM n WHERE n <= 4 GROUP BY 1), q AS (SELECT r.*, CASE WHEN n >= 4 THEN rolling / baseline END AS ratio FROM r JOIN b USING (host))"""
 
 
