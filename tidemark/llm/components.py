@@ -8,24 +8,28 @@ from pyspark.sql import functions as F
 from .shared import settle
 
 
+def _least_first(df: DataFrame) -> DataFrame:
+    return df.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for the nodes of ``edges(a, b)``; the label is the component's smallest node.
 
-    Each round takes the least label of the neighbours and then the label of
-    that label, so chains shrink exponentially. Rounds are kept in the shared
-    folder; only a count of changes reaches the driver.
+    Each round moves every node to its smallest neighbour and contracts the
+    edges, so at least half of the nodes that still have an edge go. Rounds are
+    kept in the shared folder; only whether edges are left reaches the driver.
     """
-    both = settle(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct())
-    labels = settle(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
-    while True:
-        near = (
-            both.join(labels.select(F.col("node").alias("b"), "label"), "b")
-            .groupBy(F.col("a").alias("node"))
-            .agg(F.min("label").alias("near"))
-        )
-        step = labels.join(near, "node", "left").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        up = step.select(F.col("node").alias("label"), F.col("label").alias("top"))
-        new = settle(step.join(up, "label", "left").select("node", "old", F.least("label", F.coalesce("top", "label")).alias("label")))
-        if new.where("label <> old").limit(1).count() == 0:
-            return new.select("node", "label")
-        labels = new.select("node", "label")
+    left = settle(_least_first(edges))
+    found = None
+    while found is None or left.limit(1).count():
+        both = left.union(left.select("b", "a"))
+        move = settle(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to")))
+        if found is None:
+            found = move.select(F.col("a").alias("node"), F.col("to").alias("label"))
+        else:
+            step = move.select(F.col("a").alias("label"), "to")
+            found = settle(found.join(step, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
+        a, b = move.select("a", F.col("to").alias("to_a")), move.select(F.col("a").alias("b"), F.col("to").alias("to_b"))
+        moved = left.join(a, "a").join(b, "b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b"))
+        left = settle(_least_first(moved))
+    return found
