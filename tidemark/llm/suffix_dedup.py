@@ -194,11 +194,11 @@ def first_places(table: pa.Table, width: int, limit: int = INDEX_BYTES) -> list[
     found = []
     for a, b in zip(edges, edges[1:], strict=False):
         part = order[a:b]
-        found.append(_first_places([strings[j] for j in part.tolist()], info[part], block[part], width))
+        found.append(_first_places([strings[j] for j in part.tolist()], key[part], info[part], block[part], width))
     return B.by_block(*(np.concatenate(x) for x in zip(*found, strict=True)), kind=FIRST) if found else []
 
 
-def _first_places(strings: list[bytes], info: np.ndarray, block: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+def _first_places(strings: list[bytes], key: np.ndarray, info: np.ndarray, block: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
     """(block, context hash, offset and number of windows, first id, first place less the offset)."""
     number: dict[bytes, int] = {}
     which = np.array([number.setdefault(s, len(number)) for s in strings], np.int64)
@@ -208,15 +208,52 @@ def _first_places(strings: list[bytes], info: np.ndarray, block: np.ndarray, wid
     head = order[np.concatenate(([True], which[order][1:] != which[order][:-1]))]
     ctx_id, ctx_place = id_[head], place[head]
     distinct = list(number)
-    index = RunIndex(distinct)
-    root = index.equal_windows(width)
     size = np.array([len(s) for s in distinct], np.int64)
-    windows = size - width + 1
-    ctx = np.repeat(np.arange(len(distinct)), windows)
+    text = np.frombuffer(b"".join(distinct), np.uint8)
+    ends = np.cumsum(size)
+    prefix = prefix_hash(text, BASE_A)
+    # a key with one context, and one place in it, has no two equal windows to look for
+    alone = _alone(prefix, ends - size, ends, key[head], min(K, width))
+    known, dense = np.unique(ctx_id, return_inverse=True)
+    plain, indexed = np.flatnonzero(alone), np.flatnonzero(~alone)
+    parts = [(plain, np.zeros(len(plain), np.int64), size[plain] - width + 1, ctx_id[plain], ctx_place[plain])]
+    if len(indexed):
+        parts.append(_indexed_runs([distinct[i] for i in indexed.tolist()], indexed, dense[indexed], known, ctx_place[indexed], width))
+    run_ctx, run_off, span, run_id, run_base = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(run_ctx, kind="stable")
+    run_ctx, run_off, span, run_id, run_base = run_ctx[order], run_off[order], span[order], run_id[order], run_base[order]
+    # a row of the answer for each entry and each run of its context
+    first_run = np.searchsorted(run_ctx, np.arange(len(distinct)))
+    n_runs = np.diff(np.append(first_run, len(run_ctx)))
+    entry = np.repeat(np.arange(len(which)), n_runs[which])
+    r = first_run[which[entry]] + np.arange(len(entry)) - np.repeat(np.cumsum(n_runs[which]) - n_runs[which], n_runs[which])
+    own = (run_id[r] == id_[entry]) & (run_base[r] == place[entry]) & (multi[entry] == 0)
+    entry, r = entry[~own], r[~own]
+    name = span_hash(prefix, ends - size, ends, BASE_A)
+    return block[entry], name[run_ctx[r]], (run_off[r] << 32) | span[r], run_id[r], run_base[r]
+
+
+def _alone(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, key: np.ndarray, k: int) -> np.ndarray:
+    """Contexts whose key has no other context and stands at one place only."""
+    _, inv, n = np.unique(key, return_inverse=True, return_counts=True)
+    m = len(prefix) - k
+    h = (prefix[k:] - prefix[:-k]) * pow_table(inverse(BASE_A), len(prefix))[:m]
+    gram = mix(mix(mix(h) | U64(1)))
+    size = end - start
+    hit = np.concatenate((gram == np.repeat(key, size)[:m], np.zeros(k, bool)))
+    places = np.concatenate(([0], np.cumsum(hit)))
+    return (n[inv] == 1) & (places[np.maximum(end - k + 1, start)] - places[start] == 1)
+
+
+def _indexed_runs(strings: list[bytes], number: np.ndarray, dense: np.ndarray, known: np.ndarray, ctx_place: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """(context, first window, windows, first id, first place less the window) of stretches with one origin."""
+    index = RunIndex(strings)
+    root = index.equal_windows(width)
+    windows = np.array([len(s) for s in strings], np.int64) - width + 1
+    ctx = np.repeat(np.arange(len(strings)), windows)
     step = np.arange(len(ctx)) - np.repeat(np.cumsum(windows) - windows, windows)
     at = index.starts[ctx] + step
     # the least (id, place) of all equal windows
-    known, dense = np.unique(ctx_id, return_inverse=True)
     when = (dense[ctx].astype(np.int64) << 36) + ctx_place[ctx] + step
     least = np.full(index.n, np.iinfo(np.int64).max)
     np.minimum.at(least, root[at], when)
@@ -224,19 +261,7 @@ def _first_places(strings: list[bytes], info: np.ndarray, block: np.ndarray, wid
     first_id, base = known[first >> 36], (first & ((1 << 36) - 1)) - step
     cut = np.concatenate(([True], (ctx[1:] != ctx[:-1]) | (first_id[1:] != first_id[:-1]) | (base[1:] != base[:-1])))
     a = np.flatnonzero(cut)
-    span = np.diff(np.append(a, len(ctx)))
-    run_ctx, run_off, run_id, run_base = ctx[a], step[a], first_id[a], base[a]
-    # a row of the answer for each entry and each run of its context
-    first_run = np.searchsorted(run_ctx, np.arange(len(distinct)))
-    n_runs = np.diff(np.append(first_run, len(run_ctx)))
-    entry = np.repeat(np.arange(len(which)), n_runs[which])
-    r = first_run[which[entry]] + np.arange(len(entry)) - np.repeat(np.cumsum(n_runs[which]) - n_runs[which], n_runs[which])
-    own = (run_id[r] == id_[entry]) & (run_base[r] == place[entry]) & (multi[entry] == 0)
-    entry, r = entry[~own], r[~own]
-    text = np.frombuffer(b"".join(distinct), np.uint8)
-    ends = np.cumsum(size)
-    name = span_hash(prefix_hash(text, BASE_A), ends - size, ends, BASE_A)
-    return block[entry], name[run_ctx[r]], (run_off[r] << 32) | span[r], run_id[r], run_base[r]
+    return number[ctx[a]], step[a], np.diff(np.append(a, len(ctx))), first_id[a], base[a]
 
 
 def cut_repeats(table: pa.Table, told: pa.Table, width: int) -> pa.Table:
