@@ -1,11 +1,13 @@
 """Operators on crafted rows: boundaries, ties and the published rules."""
 
 import datetime as dt
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import derive, joins, scoring, sequence, text
+from tidemark.plans import claims
 
 D = dt.date
 
@@ -110,3 +112,14 @@ def test_claim_fold_skips_superseded(spark):
     pairs = spark.createDataFrame([(1, 2), (2, 3)], "claim_id long, newer long")
     others = spark.createDataFrame([(1, "q")], "claim_id long, other string")
     assert rows(text.claim_outcomes(c, own, pairs, others), "claim_id", "outcome") == [(1, "cross_project"), (2, "superseded"), (3, "captured")]
+
+
+def test_shortlist_reads_whole_documents(spark):
+    claim = "the harbour office keeps every tide table since the flood"
+    noise = lambda n: "".join(f"q{i} z{i % 7} " for i in range(n))
+    texts = {1: noise(2000) + claim, 2: noise(3000), 3: claim + " " + noise(2000), 4: claim, 5: ""}
+    # across the places where windows of 2,000 characters end
+    texts |= {100 + k: ("y " * 2500)[: 2000 * k - 20] + claim + " y" * 900 for k in (1, 2)}
+    t = SimpleNamespace(benchmark=spark.createDataFrame([(1, claim)], "item_id long, text string"), documents=spark.createDataFrame([*texts.items(), (6, None)], "doc_id long, text string"))
+    got = rows(claims.sc_shortlist(t), "chunk_id", "claim_id")
+    assert got == [(i, 1) for i in (1, 3, 4, 101, 102)]

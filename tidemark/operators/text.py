@@ -78,12 +78,27 @@ def claim_similarity(claim: pd.Series, text: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def shortlist(claims: DataFrame, chunks: DataFrame, k: int = 5, floor: float = 0.15) -> DataFrame:
-    """The best chunks of each claim by similarity; candidates share a three-word shingle."""
-    c = claims.select("claim_id", "claim", F.explode(F.array_distinct(shingles(tokens("claim")))).alias("s"))
-    d = chunks.select("chunk_id", F.explode(F.array_distinct(shingles(tokens("text")))).alias("s"))
-    pairs = c.join(d, "s").select("claim_id", "chunk_id").distinct()
-    scored = pairs.join(claims, "claim_id").join(chunks, "chunk_id").select("claim_id", "chunk_id", F.round(claim_similarity("claim", "text"), 6).alias("score")).where(F.col("score") >= floor)
+def windows_of(chunks: DataFrame, width: int, overlap: int) -> DataFrame:
+    """(chunk_id, start, text): windows that together cover each text; what is no longer than ``overlap`` stands whole in one."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length("text") - overlap, F.lit(1)), F.lit(width - overlap))
+    return chunks.select("chunk_id", "text", F.explode(starts).alias("start")).select("chunk_id", "start", F.substring("text", F.col("start"), F.lit(width)).alias("text"))
+
+
+def shortlist(claims: DataFrame, chunks: DataFrame, k: int = 5, floor: float = 0.15, width: int = 2000) -> DataFrame:
+    """The best chunks of each claim by similarity; candidates share a three-word shingle.
+
+    A chunk of any length is read whole, in overlapping windows, and counts with
+    its best one. The overlap is half a window, or twice the longest claim.
+    """
+    longest = claims.agg(F.max(F.length("claim"))).first()[0] or 0
+    overlap = max(width // 2, 2 * longest)
+    parts = windows_of(chunks, overlap + width // 2, overlap)
+    c = claims.select("claim_id", F.explode(F.array_distinct(shingles(tokens("claim")))).alias("s"))
+    d = parts.select("chunk_id", "start", F.explode(F.array_distinct(shingles(tokens("text")))).alias("s"))
+    pairs = c.join(d, "s").select("claim_id", "chunk_id", "start").distinct()
+    met = pairs.join(claims, "claim_id").join(parts, ["chunk_id", "start"])
+    scored = met.select("claim_id", "chunk_id", F.round(claim_similarity("claim", "text"), 6).alias("score")).where(F.col("score") >= floor)
+    scored = scored.groupBy("claim_id", "chunk_id").agg(F.max("score").alias("score"))
     w = Window.partitionBy("claim_id").orderBy(F.col("score").desc(), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -44,7 +44,7 @@ def tx_similarity(t):
 
 @query()
 def sc_shortlist(t):
-    return ops.shortlist(claims_of(t).select("claim_id", "claim"), t.documents.select(F.col("doc_id").alias("chunk_id"), F.substring("text", 1, 2000).alias("text")))
+    return ops.shortlist(claims_of(t).select("claim_id", "claim"), t.documents.select(F.col("doc_id").alias("chunk_id"), "text"))
 
 
 @query("""SELECT doc_id AS claim_id, CASE WHEN doc_id % 9 = 0 THEN 'malformed' WHEN m.seq IS NULL THEN 'wrong_index' WHEN NOT contains(m.content, CASE WHEN doc_id % 2 = 0 THEN substr(m.content, 3, 15) ELSE 'zz' || substr(m.content, 1, 4) END) THEN 'not_literal' ELSE 'kept' END AS reason
