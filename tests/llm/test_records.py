@@ -35,6 +35,20 @@ def test_op5_round_trip(spark):
     assert warc.warc_round_trip(df.limit(0)).count() == 0
 
 
+def test_op5_null_and_repeated_ids_over_the_segment_size(spark):
+    rows = [(None, "u", "a" * 40_000), (None, "u", "b" * 70_000), (None, "v", "c"), (7, "u", "d" * 40_000), (7, "u", "e" * 90_000), (7, "u", "d" * 40_000), (3, "u", "d" * 40_000), (8, "u", "f" * 50_000), (2, "u", "f" * 50_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    path = f"{warc.shared_dir(spark)}/warc-ids"
+    warc.write_pages(df, path)
+    records = warc.read_records(spark, path)
+    ids = [r.record_id for r in records.collect()]
+    assert len(ids) == len(set(ids)) > len(rows)
+    got = [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, r.complete) for r in warc.payloads(warc.reassemble(records)).collect()]
+    refers = {3: 7, 2: 8}
+    want = [(i, len(h), hashlib.sha1(h.encode()).hexdigest(), "revisit" if i in refers else "response", refers.get(i), True) for i, _, h in rows]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_op5_missing_segment_is_told(spark):
     parts = warc.page_records(1, "u", b"y" * 5000, hashlib.sha1(b"y" * 5000).hexdigest(), None, 1000, 400)
     whole = [x for p in parts for x in warc.parse(p + b"\r\n\r\n")]

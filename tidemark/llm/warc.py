@@ -34,8 +34,14 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 PARSED = "page_id long, record_id string, type string, origin string, number int, total long, digest string, refers_to long, block binary"
 
 
-def record_id(page: int | None, number: int) -> str:
-    return f"<urn:uuid:{uuid.UUID(hashlib.md5(f'{page}/{number}'.encode()).hexdigest())}>"
+def record_id(name: str, number: int) -> str:
+    """The id of a segment of the page that is written under ``name``."""
+    return f"<urn:uuid:{uuid.UUID(hashlib.md5(f'{name}/{number}'.encode()).hexdigest())}>"
+
+
+def response_name(digest: str) -> str:
+    """The name of the only response of a payload, which its revisits know too."""
+    return f"payload/{digest}"
 
 
 def sha1_header(hexed: str) -> str:
@@ -66,23 +72,28 @@ def record(fields: list[tuple[str, object]], block: bytes) -> bytes:
     return f"WARC/1.1\r\n{head}Content-Length: {len(block)}\r\n\r\n".encode() + block
 
 
-def page_records(page: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, segment: int, chunk: int) -> list[bytes]:
-    """The records of one page."""
+def page_records(page: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, segment: int, chunk: int, sole: bool = False) -> list[bytes]:
+    """The records of one page, under ids that no other written page has.
+
+    Page ids can be null or repeated, so they are told in a header of their own.
+    ``sole``: one page alone is the response of this payload, here or by reference.
+    """
+    name = response_name(digest) if sole and refers_to is None else uuid.uuid4().hex
     common: list[tuple[str, object]] = [("WARC-Date", "2024-01-01T00:00:00Z"), ("WARC-Page-ID", page)]
     target = ("WARC-Target-URI", (url or f"urn:page:{page}").replace("\r", "%0D").replace("\n", "%0A"))
     http = [("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", sha1_header(digest))]
     if refers_to is not None:
         block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-        extra = [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(refers_to, 1)), ("WARC-Refers-To-Page", refers_to)]
-        return [record([("WARC-Type", "revisit"), ("WARC-Record-ID", record_id(page, 1)), *common, target, *http, *extra], block)]
+        extra = [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(response_name(digest), 1) if sole else None), ("WARC-Refers-To-Page", refers_to)]
+        return [record([("WARC-Type", "revisit"), ("WARC-Record-ID", record_id(name, 1)), *common, target, *http, *extra], block)]
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload, chunk)
     parts = [block[i : i + segment] for i in range(0, len(block), segment)]
     first = ("WARC-Segment-Number", 1 if len(parts) > 1 else None)
-    out = [record([("WARC-Type", "response"), ("WARC-Record-ID", record_id(page, 1)), *common, target, *http, first], parts[0])]
+    out = [record([("WARC-Type", "response"), ("WARC-Record-ID", record_id(name, 1)), *common, target, *http, first], parts[0])]
     for number, part in enumerate(parts[1:], 2):
         total = len(block) if number == len(parts) else None
-        fields = [("WARC-Type", "continuation"), ("WARC-Record-ID", record_id(page, number)), *common, target]
-        out.append(record([*fields, ("WARC-Segment-Origin-ID", record_id(page, 1)), ("WARC-Segment-Number", number), ("WARC-Segment-Total-Length", total)], part))
+        fields = [("WARC-Type", "continuation"), ("WARC-Record-ID", record_id(name, number)), *common, target]
+        out.append(record([*fields, ("WARC-Segment-Origin-ID", record_id(name, 1)), ("WARC-Segment-Number", number), ("WARC-Segment-Total-Length", total)], part))
     return out
 
 
@@ -109,17 +120,23 @@ def payload_of(block: bytes) -> bytes:
 
 
 def write_pages(pages: DataFrame, path: str, page_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 1000, segment: int = 32_768, chunk: int = 4096, records: int = 2000) -> None:
-    """Write the archives. Of equal payloads of at least ``least`` bytes the largest page id is the response."""
+    """Write the archives. Of equal payloads of at least ``least`` bytes the largest page id is the response.
+
+    Where several rows have that id, all are responses; the others name the id
+    and the digest, but none of the equal records.
+    """
     base = pages.select(F.col(page_col).cast("long").alias("page"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary").alias("payload"))
     base = base.withColumn("digest", F.sha1("payload"))
-    groups = base.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.max("page").alias("last"), F.count("*").alias("n")).where("n > 1 and last is not null")
-    told = base.join(groups.select("digest", "last"), "digest", "left").select("page", "url", "payload", "digest", F.when((F.col("last") != F.col("page")) | F.col("page").isNull(), F.col("last")).alias("refers_to"))
+    per_page = base.where(F.octet_length("payload") >= least).groupBy("digest", "page").agg(F.count("*").alias("n"))
+    groups = per_page.groupBy("digest").agg(F.max("page").alias("last"), F.max(F.struct("page", "n")).alias("top"), F.sum("n").alias("n")).where("n > 1 and last is not null")
+    refers_to = F.when((F.col("last") != F.col("page")) | F.col("page").isNull(), F.col("last"))
+    told = base.join(groups.select("digest", "last", (F.col("top.n") == 1).alias("sole")), "digest", "left").select("page", "url", "payload", "digest", refers_to.alias("refers_to"), F.coalesce("sole", F.lit(False)).alias("sole"))
 
     def write(batches):
         for batch in batches:
             out: list[bytes] = []
-            for row in zip(*(batch[c].to_pylist() for c in ("page", "url", "payload", "digest", "refers_to")), strict=True):
-                out += page_records(*row, segment=segment, chunk=chunk)
+            for *row, sole in zip(*(batch[c].to_pylist() for c in ("page", "url", "payload", "digest", "refers_to", "sole")), strict=True):
+                out += page_records(*row, segment=segment, chunk=chunk, sole=sole)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
     text = told.mapInArrow(write, "record binary").select(F.col("record").cast("string").alias("value"))
