@@ -45,8 +45,8 @@ def cut_repeated_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a verified overlap with the benchmark."""
-    bad = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti").select(*COLUMNS)
+    judged = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=COLUMNS[1:])
+    return judged.where("not contaminated").select("doc_id", *[F.col(f"with_{c}").alias(c) for c in COLUMNS[1:]])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

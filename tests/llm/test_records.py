@@ -7,7 +7,7 @@ import pytest
 
 import corpus_pipeline
 from tidemark.llm import warc
-from tidemark.llm.decontamination import decontaminate
+from tidemark.llm.decontamination import MASKS, classes, decontaminate, lossless
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.queries import ORACLE_SQL, QUERIES
 
@@ -72,6 +72,41 @@ def test_op9_tolerates_a_substitution_and_leaves_clean_texts(spark):
     assert decontaminate(docs.limit(0), items).count() == 0 and decontaminate(docs, items.limit(0)).where("contaminated").count() == 0
 
 
+def test_op9_masks_hit_every_accepted_overlap():
+    kinds = classes(MASKS, 13, 0.8)
+    for length in range(1, 14):
+        kind = max(k for k in kinds if k.least <= length)
+        assert lossless(kind.masks, length, length - (4 * length + 4) // 5)
+
+
+def test_op9_equals_brute_force_without_seeds(spark):
+    rnd = random.Random(4)
+    items, docs = [], []
+    for n in (1, 2, 3, 4, 5, 7, 9, 10, 11, 12, 13, 14):
+        items.append((n, [f"i{n}x{k}" for k in range(n)]))
+        for bad in range(4):
+            for _ in range(8):
+                w = list(items[-1][1])
+                for k in rnd.sample(range(n), min(bad, n)):
+                    w[k] = "zz"
+                docs.append((len(docs) + 1, " ".join(["noise"] * rnd.randrange(4) + w + ["noise"] * rnd.randrange(3))))
+    # one id or none: each row by its own text
+    docs += [(None, " ".join(items[-1][1])), (None, "clean text"), (None, None), (1, "clean again"), (None, "clean text")]
+    texts = [" ".join(w) for _, w in items]
+    want = sorted(((i or -1, t or "", brute.contaminated(t, texts)) for i, t in docs))
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(n, " ".join(w)) for n, w in items], "item_id long, text string")
+    got = sorted(((r.doc_id or -1, r.with_text or "", r.contaminated) for r in decontaminate(*frames, carry=("text",)).collect()))
+    assert got == want
+
+
+def test_pipeline_judges_rows_without_an_id_by_their_texts(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    docs = spark.createDataFrame([(None, item, "en", "s", 1), (None, "clean", "en", None, 5), (4, item, None, "s", 1), (4, "clean too", None, "s", 9), (5, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.drop_contaminated(spark, docs, SF)
+    assert left.columns == list(corpus_pipeline.COLUMNS)
+    assert sorted(map(tuple, left.collect()), key=repr) == sorted([(None, "clean", "en", None, 5), (4, "clean too", None, "s", 9), (5, None, None, None, None)], key=repr)
+
+
 def test_op2_weights_and_limits(spark):
     rows = [(i, "big", "a b c d " * 5) for i in range(300)] + [(1000 + i, f"s{i % 3}", "a b " * 3) for i in range(30)] + [(2000, None, "a b"), (2001, "void", None)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string")

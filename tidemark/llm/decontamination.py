@@ -5,21 +5,31 @@ the others, so two spans with a substituted word under a 0 still get one hash.
 Spans of documents and benchmark items meet by mask and hash; each diagonal with
 a hit is verified on the real tokens: some stretch of ``window`` item tokens (or
 the whole item, if shorter) agrees with the document in at least ``identity``
-of its places.
+of its places. Items are put in classes by length, down to one token; the masks
+of a class hit every overlap that the rule accepts (``lossless`` enumerates the
+places of the substitutions), so no verdict hangs on the choice of seeds.
 
 Scale: a document span is hashed in full only if its first two tokens pass a
-bitmap of fixed size (8 KiB) made from the benchmark, so the rows that leave
+bitmap of fixed size (8 KiB for a class in use) made from the benchmark, so the rows that leave
 the scan follow the true and chance hits. Benchmark seeds are broadcast only
 below ``broadcast_rows``; beyond, both sides are shuffled by hash.
 """
 
 from __future__ import annotations
 
+import itertools
+from functools import reduce
+from typing import NamedTuple
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MASKS = ("11011100101", "11010011011")
+#: Masks for whole windows, for items of 10 to 12 tokens (two substitutions) and of 5 to 9 (one).
+MASKS = ("11001001011", "11011011")
+SHORT_MASKS = (("11111", "1100111", "110001011"), ("111", "11011"))
+#: The oracle SQL seeds with these, which miss some overlaps.
+SQL_MASKS = ("11011100101", "11010011011")
 NOT_WORD = r"[^\p{L}\p{N}]+"
 NO_ID = -(1 << 63)
 WORDS_64 = 1024
@@ -39,19 +49,54 @@ def let(value: Column, fn) -> Column:
     return F.element_at(F.transform(F.array(value), fn), 1)
 
 
-def seeds(df: DataFrame, masks: tuple[str, ...], gate: Column | None = None) -> DataFrame:
-    """(id, pos, h) of every masked span of ``df(id, words)`` whose first two tokens pass ``gate``."""
+def lossless(masks: tuple[str, ...], length: int, wrong: int) -> bool:
+    """Whether some mask fits between any ``wrong`` substituted tokens of ``length``."""
+    at = [{i + k for k, bit in enumerate(m) if bit == "1"} for m in masks for i in range(length - len(m) + 1)]
+    return all(any(not places & set(bad) for places in at) for bad in itertools.combinations(range(length), wrong))
+
+
+class Seeds(NamedTuple):
+    """Items of at least ``least`` tokens (and fewer than the next class has) and their masks."""
+
+    least: int
+    masks: tuple[str, ...]
+
+    @property
+    def first(self) -> int:
+        """Tokens at the start of all masks that the gate looks at."""
+        return 2 if all(m.startswith("11") for m in self.masks) else 1
+
+    def number(self, mask: str) -> int:
+        return self.least * 100 + self.masks.index(mask)
 
-    def spans(words: Column, length: int) -> Column:
-        last = F.size(words) - length
+
+def classes(masks: tuple[str, ...], window: int, identity: float) -> list[Seeds]:
+    """Classes for all lengths; where no given masks are lossless, the run of tokens that must be left serves."""
+    out: list[Seeds] = []
+    known = -1
+    for length in range(1, window + 1):
+        wrong = length - int(np.ceil(length * identity))
+        if wrong == known and wrong > 0 and length < window:
+            continue
+        known = wrong
+        run = "1" * max(1, -(-(length - wrong) // (wrong + 1)))
+        given = [masks, *SHORT_MASKS] if length == window else SHORT_MASKS
+        out.append(Seeds(length, next((m for m in given if wrong and lossless(m, length, wrong)), (run,))))
+    return out
+
+
+def seeds(df: DataFrame, used: list[tuple[Seeds, Column | None]]) -> DataFrame:
+    """(id, pos, h) of every masked span of ``df(id, words)`` whose first tokens pass the gate of its class."""
+
+    def spans(words: Column, kind: Seeds, gate: Column | None) -> Column:
+        last = F.size(words) - min(len(m) for m in kind.masks)
         starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
         if gate is not None:
-            starts = F.filter(starts, lambda i: _passes(gate, F.xxhash64(words[i], words[i + 1])))
-        own = [(m, mask) for m, mask in enumerate(masks) if len(mask) == length]
-        hashes = lambda i: F.array(*[F.struct(i.alias("pos"), F.xxhash64(F.lit(m), *_pick(words, i, mask)).alias("h")) for m, mask in own])
-        return F.flatten(F.transform(starts, hashes))
+            starts = F.filter(starts, lambda i: _passes(gate, F.xxhash64(*[words[i + k] for k in range(kind.first)])))
+        hashed = lambda i, m: F.when(i + len(m) <= F.size(words), F.xxhash64(F.lit(kind.number(m)), *_pick(words, i, m)))
+        return F.flatten(F.transform(starts, lambda i: F.array(*[F.struct(i.alias("pos"), hashed(i, m).alias("h")) for m in kind.masks])))
 
-    every = let(F.col("words"), lambda w: F.concat(*[spans(w, n) for n in sorted({len(m) for m in masks})]))
+    every = let(F.col("words"), lambda w: F.concat(*[spans(w, kind, gate) for kind, gate in used]))
     # the outer form keeps the optimizer from testing the spans of a row before it makes them
     return df.select("id", F.inline_outer(every)).where("h is not null")
 
@@ -61,10 +106,10 @@ def _passes(bitmap: Column, h: Column) -> Column:
     return F.call_function("shiftrightunsigned", word, h.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
 
 
-def gate_of(items: DataFrame) -> Column:
-    """65,536 bits for the first two tokens of all spans of the benchmark, whatever its size."""
-    starts = F.sequence(F.lit(0), F.size("words") - 2)
-    pairs = items.where(F.size("words") >= 2).select(F.explode(F.transform(starts, lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1)))).alias("h"))
+def gate_of(items: DataFrame, first: int) -> Column:
+    """65,536 bits for the ``first`` tokens of all spans of a class of the benchmark, whatever its size."""
+    starts = F.sequence(F.lit(0), F.size("words") - first)
+    pairs = items.where(F.size("words") >= first).select(F.explode(F.transform(starts, lambda i: F.xxhash64(*[F.get("words", i + k) for k in range(first)]))).alias("h"))
     bits = (
         pairs.select(F.shiftright(F.col("h").bitwiseAND(F.lit(65535)), 6).alias("slot"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
         .groupBy("slot")
@@ -85,55 +130,60 @@ def decontaminate(
     window: int = 13,
     identity: float = 0.8,
     broadcast_rows: int = 500_000,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Overlap of each document with the benchmark items.
 
     Returns (``id_col``, contaminated, n_items, best_item, best_overlap), a row
     for each input row: the number of items with a verified overlap, and the
     largest number of agreeing tokens in a window with its smallest item.
-    Null texts have no tokens; items shorter than the masks take part with a
-    seed on all their tokens only if they have at least as many tokens as the
-    shortest mask, else not at all; rows of one id (or with null ids) share
-    their result; other columns are ignored.
+    Null texts have no tokens; items without tokens or with a null id take no
+    part; a row's result follows from its own text, also where ids are null or
+    equal; columns in ``carry`` come along as ``with_*``, others are ignored.
     """
-    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"))
-    bench = items.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("item"), tokens(F.col(item_text)).alias("words"))
-    gate = gate_of(bench)
-    of_items = seeds(bench.withColumnRenamed("item", "id"), masks).select(F.col("id").alias("item"), F.col("pos").alias("item_pos"), "h")
+    text = F.col(text_col)
+    # rows of one id and one text have one result; the text is told by 128 bits
+    key = F.struct(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("low"), F.xxhash64(F.lit(1), text).alias("high")).alias("id")
+    base = docs.select(key, text.alias("text"))
+    bench = items.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("item"), tokens(F.col(item_text)).alias("words")).where(F.size("words") > 0)
+    kinds = classes(masks, window, identity)
+    least = F.greatest(F.lit(0), *[F.when(F.size("words") >= kind.least, kind.least) for kind in kinds])
+    bench = bench.withColumn("least", least)
+    present = {r.least for r in bench.select("least").distinct().collect()}  # at most one row a class
+    used = [kind for kind in kinds if kind.least in present] or kinds[-1:]
+    of_kind = {kind: bench.where(F.col("least") == kind.least).select(F.col("item").alias("id"), "words") for kind in used}
+    of_items = reduce(DataFrame.unionByName, [seeds(of_kind[kind], [(kind, None)]) for kind in used]).select(F.col("id").alias("item"), F.col("pos").alias("item_pos"), "h")
     if of_items.count() <= broadcast_rows:
         of_items = F.broadcast(of_items)
-    of_docs = seeds(base.select("id", tokens(F.col("text")).alias("words")), masks, gate)
-    hits = of_docs.join(of_items, "h").select("id", "item", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
+    of_docs = seeds(base.select("id", tokens(F.col("text")).alias("words")), [(kind, gate_of(of_kind[kind], kind.first)) for kind in used])
+    hits = of_docs.join(of_items, "h").groupBy("id", "item").agg(F.collect_set(F.col("pos") - F.col("item_pos")).alias("shifts"))
     side = bench.select("item", F.col("words").alias("item_words"))
-    with_words = base.join(hits, "id").join(side, "item").select("id", "item", "shift", "item_words", tokens(F.col("text")).alias("words"))
+    with_words = base.join(hits, "id").join(side, "item").select("id", "item", "shifts", "item_words", tokens(F.col("text")).alias("words"))
     m = F.size("item_words")
-    agree = let(F.col("words"), lambda words: F.transform(F.col("item_words"), lambda w, j: F.when(F.get(words, F.col("shift") + j) == w, 1).otherwise(0)))
+    agree = lambda words, shift: F.transform(F.col("item_words"), lambda w, j: F.when(F.get(words, shift + j) == w, 1).otherwise(0))
     width = F.least(m, F.lit(window))
     sums = lambda ones: F.transform(F.sequence(F.lit(0), m - width), lambda s: F.aggregate(F.slice(ones, s + 1, width), F.lit(0), lambda a, x: a + x))
-    overlap = F.array_max(let(F.col("agree"), sums))
-    verified = (
-        with_words.select("id", "item", "item_words", agree.alias("agree"))
-        .select("id", "item", width.alias("width"), overlap.alias("overlap"))
-        .where(F.col("overlap") >= F.ceil(F.col("width") * F.lit(identity)))
-    )
+    overlap = let(F.col("words"), lambda words: F.array_max(F.transform(F.col("shifts"), lambda shift: F.array_max(let(agree(words, shift), sums)))))
+    verified = with_words.select("id", "item", width.alias("width"), overlap.alias("overlap")).where(F.col("overlap") >= F.ceil(F.col("width") * F.lit(identity)))
     per_doc = verified.groupBy("id").agg(
         F.count_distinct("item").alias("n_items"),
         F.max(F.struct("overlap", (-F.col("item")).alias("minus"))).alias("best"),
     )
     return (
-        docs.select(F.col(id_col), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"))
+        docs.select(F.col(id_col).alias("own_id"), key, *[F.col(c).alias(f"with_{c}") for c in carry])
         .join(per_doc, "id", "left")
         .select(
-            id_col,
+            F.col("own_id").alias(id_col),
             F.col("best").isNotNull().alias("contaminated"),
             F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
             (-F.col("best.minus")).alias("best_item"),
             F.coalesce("best.overlap", F.lit(0)).cast("long").alias("best_overlap"),
+            *[f"with_{c}" for c in carry],
         )
     )
 
 
-def oracle(masks: tuple[str, ...] = MASKS, window: int = 13, identity: float = 0.8) -> str:
+def oracle(masks: tuple[str, ...] = SQL_MASKS, window: int = 13, identity: float = 0.8) -> str:
     """DuckDB SQL for ``decontaminate`` over documents and benchmark."""
     words = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
     seed = lambda id_: " UNION ALL ".join(
