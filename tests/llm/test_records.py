@@ -4,11 +4,12 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidemark.llm import warc
 from tidemark.llm.decontamination import MASKS, classes, decontaminate, lossless
-from tidemark.llm.mixing import mix_sources
+from tidemark.llm.mixing import mix_sources, quota
 from tidemark.llm.queries import ORACLE_SQL, QUERIES
 
 from ..compare import connect, duck_rows, spark_rows
@@ -121,6 +122,14 @@ def test_op2_weights_and_limits(spark):
     assert mix_sources(docs.limit(0)).count() == 0
 
 
+def test_op2_rounding_drops_no_source(spark):
+    rnd = random.Random(2)
+    rows = [(n, rnd.random()) for n in (rnd.randrange(10**12, 10**13) for _ in range(2000))]
+    df = spark.createDataFrame([(n, w, n / w) for n, w in rows], "tokens long, weight double, size double")
+    of = lambda whole: df.where(quota(F.col("weight"), F.col("size"), whole) < F.col("tokens")).count()
+    assert of(True) == 0 < of(False)
+
+
 def test_pipeline_stages_against_brute_force(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = {}

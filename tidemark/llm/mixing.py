@@ -112,7 +112,7 @@ def mix_sources(
         size = F.lit(float(budget))
     weight = F.pow("share", F.lit(t)) / F.lit(z)
     plan = (
-        live.select("key", "docs", "tokens", weight.alias("weight"), F.floor(weight * size + F.lit(1e-6)).alias("quota"))
+        live.select("key", "docs", "tokens", weight.alias("weight"), quota(weight, size, budget is None).alias("quota"))
         .select("key", "weight", F.expr("quota div tokens").alias("full"), F.expr("quota % tokens").alias("rest"), "docs")
         .unionByName(totals.where("tokens = 0").select("key", F.lit(0.0).alias("weight"), F.lit(1).cast("long").alias("full"), F.lit(0).cast("long").alias("rest"), "docs"))
         .withColumn("blocks", F.ceil(F.col("docs") / block_docs))
@@ -139,6 +139,12 @@ def mix_sources(
     )
 
 
+def quota(weight: Column, size: Column, whole: bool) -> Column:
+    """Tokens that a source gets of ``size``; with ``whole`` all of its ``tokens`` at least, however doubles round."""
+    share = F.floor(weight * size + F.lit(1e-6))
+    return F.greatest(share, F.col("tokens")) if whole else share
+
+
 def oracle(entropy: float = 0.95, repeats: float = 4.0, block_docs: int = 1000, seed: int = 17) -> str:
     """DuckDB SQL for ``mix_sources`` over documents without a budget."""
     steps = []
