@@ -238,7 +238,7 @@ def _alone(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, key: np.ndarr
     _, inv, n = np.unique(key, return_inverse=True, return_counts=True)
     m = len(prefix) - k
     h = (prefix[k:] - prefix[:-k]) * pow_table(inverse(BASE_A), len(prefix))[:m]
-    gram = mix(mix(mix(h) | U64(1)))
+    gram = mix(mix(h) | U64(1))
     size = end - start
     hit = np.concatenate((gram == np.repeat(key, size)[:m], np.zeros(k, bool)))
     places = np.concatenate(([0], np.cumsum(hit)))
