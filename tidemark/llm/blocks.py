@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from .textops import U64
 
 LAST_ID = (1 << 63) - 1
+#: Bytes of text in a block, which a task holds as a whole.
+BLOCK_BYTES = 32 << 20
 ASKED = "bucket int, block int, a binary, b binary, c binary, d binary"
 TOLD = "block int, kind int, a binary, b binary, c binary, d binary"
 
@@ -27,6 +29,12 @@ def shuffle_parts(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def block_count(docs: DataFrame, text_col: str, size: int = BLOCK_BYTES) -> int:
+    """Blocks so that each holds about ``size`` bytes of text, two for each shuffle partition at least."""
+    total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    return max(2 * shuffle_parts(docs), -(-total // size))
+
+
 def in_blocks(docs: DataFrame, id_col: str, text_col: str, blocks: int, carry: tuple[str, ...] = ()) -> DataFrame:
     """(block, id, text, carried columns), one row per document; a null text is empty, a null id comes last."""
     return docs.select(
@@ -70,7 +78,7 @@ def ask_again(blocks: DataFrame, told: DataFrame, fn: Callable[[pa.Table, pa.Tab
 
 def packed(block: int, keys: np.ndarray, *beside: np.ndarray, buckets: int) -> pa.Table:
     """One row per bucket; ``keys`` are sorted, and a bucket is a range of them."""
-    edges = np.searchsorted(keys, (np.arange(1, buckets) * ((1 << 64) // buckets)).astype(U64)) if len(keys) else np.zeros(buckets - 1, int)
+    edges = np.searchsorted(keys, np.array([(i << 64) // buckets for i in range(1, buckets)], U64))
     edges = np.concatenate(([0], edges, [len(keys)]))
     full = np.flatnonzero(np.diff(edges))
     cols = [[deflate(x[edges[i] : edges[i + 1]]) for i in full] for x in (keys, *beside)]
@@ -124,6 +132,14 @@ def by_block(block: np.ndarray, *arrays: np.ndarray, kind: int = 0) -> list[tupl
     return [(int(block[s]), kind, *(a[s:e] for a in arrays)) for s, e in zip(start, end, strict=False)]
 
 
+def matches(values: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of a value, place in the sorted table) of all equal entries."""
+    low = np.searchsorted(table, values, side="left")
+    n = np.searchsorted(table, values, side="right") - low
+    i = np.repeat(np.arange(len(values)), n)
+    return i, np.repeat(low - (np.cumsum(n) - n), n) + np.arange(len(i))
+
+
 def member(values: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(is in the sorted table, its place there)."""
     if not len(table):

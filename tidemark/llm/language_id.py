@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .folds import LETTERS, N_SYMBOLS, SYMBOL, fold_case, held_out, trigram_codes
 from .shared import settle
-from .textops import BASE_A, U64, chunks_of, prefix_hash, span_hash, text_buffer, word_spans
+from .textops import U64, chunks_of, span_hash, text_buffer, word_spans
 
 CHUNK = 1 << 20
 BACKOFF = np.log(0.4)
@@ -37,7 +37,7 @@ def count_rows(batches):
         for a, b in chunks_of(offsets, CHUNK):
             part, off = fold_case(data[offsets[a] : offsets[b]]), offsets[a : b + 1] - offsets[a]
             s, e, row = word_spans(part, off, LETTERS)
-            h = span_hash(prefix_hash(part, BASE_A), s, e, BASE_A)
+            h = span_hash(part, s, e)
             tri = trigram_codes(part, off)
             of_word, of_byte = code[a + row], np.repeat(code[a:b], np.diff(off))
             for i in np.unique(code[a:b]).tolist():
@@ -121,7 +121,7 @@ def identify(column, model: LanguageModel) -> tuple[list[str], np.ndarray]:
         s, e, row = word_spans(part, off, LETTERS)
         if not len(s):
             continue
-        h = span_hash(prefix_hash(part, BASE_A), s, e, BASE_A)
+        h = span_hash(part, s, e)
         _, first, inv = np.unique(h, return_index=True, return_inverse=True)
         by_word = model.word_scores(part, s[first], e[first], h[first])[inv]
         start = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))

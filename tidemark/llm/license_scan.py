@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import ALNUM, BASE_A, chunks_of, fold_ascii, prefix_hash, span_hash, text_buffer, word_spans
+from .textops import ALNUM, chunks_of, fold_ascii, span_hash, text_buffer, word_spans
 
 CHUNK = 1 << 20
 
@@ -51,7 +51,7 @@ def word_hash(words: list[str]) -> list[int]:
     raw = "".join(words).encode()
     size = np.array([len(w.encode()) for w in words], np.int64)
     ends = np.cumsum(size)
-    return span_hash(prefix_hash(np.frombuffer(raw, np.uint8), BASE_A), ends - size, ends, BASE_A).tolist()
+    return span_hash(np.frombuffer(raw, np.uint8), ends - size, ends).tolist()
 
 
 @dataclass
@@ -127,7 +127,7 @@ def scan_batch(column, base: dict[str, str], automata: list[Automaton]) -> dict[
     for a, b in chunks_of(offsets, CHUNK):
         part, off = fold_ascii(data[offsets[a] : offsets[b]]), offsets[a : b + 1] - offsets[a]
         s, e, row = word_spans(part, off, ALNUM)
-        tok = span_hash(prefix_hash(part, BASE_A), s, e, BASE_A)
+        tok = span_hash(part, s, e)
         count = np.bincount(row, minlength=b - a)
         begin = np.cumsum(count) - count
         n_words[a:b] = count

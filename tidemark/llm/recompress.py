@@ -117,13 +117,3 @@ def window_anchors(tokens: np.ndarray, doc: np.ndarray, width: int, plan: tuple
             break
     return best
 
-
-def window_hashes(tokens: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """128-bit hash, in two halves, of the window of ``width`` tokens at each position."""
-    n = max(0, len(tokens) - width + 1)
-    a, b = np.zeros(n, U64), np.zeros(n, U64)
-    other = mix(tokens ^ U64(0x5851F42D4C957F2D))
-    for k in range(width):
-        a = a * U64(0x9E3779B97F4A7C15) + tokens[k : k + n]
-        b = b * U64(0xC2B2AE3D27D4EB4F) + other[k : k + n]
-    return mix(a), mix(b)

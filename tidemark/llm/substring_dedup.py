@@ -8,8 +8,8 @@ the window. A word goes if a window over it also starts in a smaller document.
 
 Scale: two rounds of 8 to 16 bytes for each distinct anchor or candidate window
 of a block. No key arrives more than once per block, so hot passages do not
-pile up. Memory: a block of texts (``blocks`` grows with
-``spark.sql.shuffle.partitions``), or the longest single text.
+pile up. Memory: a block of texts (their number grows with the bytes of the
+table), or the longest single text.
 """
 
 from __future__ import annotations
@@ -21,19 +21,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import blocks as B
-from .recompress import window_anchors, window_hashes
-from .textops import BASE_A, NOT_SPACE, U64, chunks_of, mix, prefix_hash, span_hash, text_buffer, word_spans
+from .recompress import window_anchors
+from .textops import NOT_SPACE, SEEDS, U64, chunks_of, mix, sequence_hash, span_hashes, text_buffer, word_spans
 
 CHUNK = 1 << 20
 
 
-def _chunks(table: pa.Table):
-    """(first row, bytes, offsets, word starts, word ends, word's row, word hashes) of part after part."""
+def _chunks(table: pa.Table, halves: int = 2):
+    """(first row, bytes, offsets, word starts, word ends, word's row, halves of the words' hashes) of part after part."""
     data, offsets = text_buffer(table["text"])
     for a, b in chunks_of(offsets, CHUNK):
         part, off = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         s, e, row = word_spans(part, off, NOT_SPACE)
-        yield a, part, off, s, e, row, span_hash(prefix_hash(part, BASE_A), s, e, BASE_A)
+        yield a, part, off, s, e, row, span_hashes(part, s, e, SEEDS[:halves])
+
+
+def window_hashes(halves: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit hash, in two independent halves, of the window of ``width`` words from each place on."""
+    return sequence_hash(halves[0], width), sequence_hash(halves[1], width, seed=0x6C62272E07BB0142)
 
 
 def _whole(row: np.ndarray, width: int) -> np.ndarray:
@@ -45,7 +50,7 @@ def _whole(row: np.ndarray, width: int) -> np.ndarray:
 def anchors_of(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct anchors of a block, and whether two of its documents have it."""
     keys, rows = [], []
-    for a, _, _, _, _, row, tok in _chunks(table):
+    for a, _, _, _, _, row, (tok,) in _chunks(table, 1):
         at = _whole(row, width)
         k, r = mix(window_anchors(tok, row, width)[at]), row[at] + a
         if len(k):
@@ -77,7 +82,7 @@ def candidates_of(table: pa.Table, told: pa.Table, width: int) -> tuple[np.ndarr
     out = []
     for a, _, _, _, _, row, tok in _chunks(table):
         at = _whole(row, width)
-        hit, _ = B.member(mix(window_anchors(tok, row, width)[at]), shared)
+        hit, _ = B.member(mix(window_anchors(tok[0], row, width)[at]), shared)
         at = at[hit]
         if len(at):
             x, y = window_hashes(tok, width)
@@ -102,14 +107,14 @@ def first_documents(table: pa.Table) -> list[tuple]:
     first = np.flatnonzero(new)
     least = np.minimum.reduceat(low, first)[np.cumsum(new) - 1]
     late = high > least
-    return B.by_block(block[late], x[late], least[late])
+    return B.by_block(block[late], x[late], y[late], least[late])
 
 
 def remove_repeats(table: pa.Table, told: pa.Table, width: int) -> pa.Table:
     ids = B.ids_of(table)
-    x, least = B.unpacked(told, "a", U64), B.unpacked(told, "b", np.int64)
+    x, y, least = B.unpacked(told, "a", U64), B.unpacked(told, "b", U64), B.unpacked(told, "c", np.int64)
     order = np.argsort(x)
-    x, least = x[order], least[order]
+    x, y, least = x[order], y[order], least[order]
     n = table.num_rows
     n_words, n_removed, kept = np.zeros(n, np.int64), np.zeros(n, np.int64), [""] * n
     for a, part, off, s, e, row, tok in _chunks(table):
@@ -117,12 +122,12 @@ def remove_repeats(table: pa.Table, told: pa.Table, width: int) -> pa.Table:
         gone = np.zeros(len(s), bool)
         if len(x):
             at = _whole(row, width)
-            hit, place = B.member(window_hashes(tok, width)[0][at], x)
-            late = np.flatnonzero(hit)
-            late = late[ids[row[at[late]] + a] > least[place[late]]]
+            own = window_hashes(tok, width)
+            i, r = B.matches(own[0][at], x)
+            late = at[i[(own[1][at[i]] == y[r]) & (ids[row[at[i]] + a] > least[r])]]
             cover = np.zeros(len(s) + 1, np.int32)
-            np.add.at(cover, at[late], 1)
-            np.add.at(cover, at[late] + width, -1)
+            np.add.at(cover, late, 1)
+            np.add.at(cover, late + width, -1)
             gone = np.cumsum(cover)[:-1] > 0
         n_words[a : a + docs] = np.bincount(row, minlength=docs)
         n_removed[a : a + docs] = np.bincount(row[gone], minlength=docs)
@@ -158,8 +163,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of one id are never repeats of each other; other columns are ignored; an
     empty table gives an empty table.
     """
-    parts = B.shuffle_parts(docs)
-    n, buckets = blocks or 2 * parts, parts
+    n = blocks or B.block_count(docs, text_col)
+    buckets = max(1, n // 2)
     base = B.in_blocks(docs, id_col, text_col, n)
     shared = B.answer(B.ask(base, lambda t: anchors_of(t, width), buckets), shared_anchors)
     first = B.answer(B.ask_again(base, shared, lambda t, r: candidates_of(t, r, width), buckets), first_documents)

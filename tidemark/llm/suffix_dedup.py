@@ -12,7 +12,7 @@ Scale: a context travels once per block that has it, whatever its number of
 copies. A minimizer that occurs more than ``hot`` times is combined with a
 second one, so that a phrase found in unlike surroundings is split between
 buckets. Memory: a block of texts, a bucket of distinct contexts (both counts
-grow with ``spark.sql.shuffle.partitions``), or the longest text.
+grow with the bytes of the table), or the longest text.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 
 from . import blocks as B
 from .rindex import RunIndex
-from .textops import BASE_A, U64, chunks_of, inverse, mix, pow_table, prefix_hash, span_hash, text_buffer
+from .textops import BASE_A, U64, chunks_of, inverse, mix, pow_table, prefix_hash, span_hashes, text_buffer
 
 CHUNK = 1 << 20
 K = 24
@@ -45,6 +45,13 @@ def sliding(x: np.ndarray, width: int, op: np.ufunc) -> np.ndarray:
     return op(x[: len(x) - (width - size)], x[width - size :]) if width > size else x
 
 
+def grams(data: np.ndarray, k: int) -> np.ndarray:
+    """A hash of the ``k`` bytes from each place on; it deals the work, and equality never hangs on it."""
+    prefix = prefix_hash(data, BASE_A)
+    h = (prefix[k:] - prefix[:-k]) * pow_table(inverse(BASE_A), len(prefix))[: len(prefix) - k]
+    return mix(h) | U64(1)
+
+
 class Windows:
     """The windows of a part of a block, and their minimizers."""
 
@@ -60,9 +67,7 @@ class Windows:
         np.add.at(ok, last[has] + 1, -1)
         self.at = np.flatnonzero(np.cumsum(ok)[:-1] > 0)
         if len(self.at):
-            self.prefix = prefix_hash(part, BASE_A)
-            h = (self.prefix[self.k :] - self.prefix[: -self.k]) * pow_table(inverse(BASE_A), len(part) + 1)[: len(part) + 1 - self.k]
-            self.grams = mix(h) | U64(1)
+            self.grams = grams(part, self.k)
             self.least = sliding(self.grams, width - self.k + 1, np.minimum)
 
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
@@ -199,7 +204,7 @@ def first_places(table: pa.Table, width: int, limit: int = INDEX_BYTES) -> list[
 
 
 def _first_places(strings: list[bytes], key: np.ndarray, info: np.ndarray, block: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
-    """(block, context hash, offset and number of windows, first id, first place less the offset)."""
+    """(block, context's 128-bit hash, offset and number of windows, first id, first place less the offset)."""
     number: dict[bytes, int] = {}
     which = np.array([number.setdefault(s, len(number)) for s in strings], np.int64)
     id_, place, multi = info[:, 0], info[:, 1] >> 1, info[:, 1] & 1
@@ -211,9 +216,8 @@ def _first_places(strings: list[bytes], key: np.ndarray, info: np.ndarray, block
     size = np.array([len(s) for s in distinct], np.int64)
     text = np.frombuffer(b"".join(distinct), np.uint8)
     ends = np.cumsum(size)
-    prefix = prefix_hash(text, BASE_A)
     # a key with one context, and one place in it, has no two equal windows to look for
-    alone = _alone(prefix, ends - size, ends, key[head], min(K, width))
+    alone = _alone(text, ends - size, ends, key[head], min(K, width))
     known, dense = np.unique(ctx_id, return_inverse=True)
     plain, indexed = np.flatnonzero(alone), np.flatnonzero(~alone)
     parts = [(plain, np.zeros(len(plain), np.int64), size[plain] - width + 1, ctx_id[plain], ctx_place[plain])]
@@ -229,18 +233,15 @@ def _first_places(strings: list[bytes], key: np.ndarray, info: np.ndarray, block
     r = first_run[which[entry]] + np.arange(len(entry)) - np.repeat(np.cumsum(n_runs[which]) - n_runs[which], n_runs[which])
     own = (run_id[r] == id_[entry]) & (run_base[r] == place[entry]) & (multi[entry] == 0)
     entry, r = entry[~own], r[~own]
-    name = span_hash(prefix, ends - size, ends, BASE_A)
+    name = np.stack(span_hashes(text, ends - size, ends), axis=1)
     return block[entry], name[run_ctx[r]], (run_off[r] << 32) | span[r], run_id[r], run_base[r]
 
 
-def _alone(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, key: np.ndarray, k: int) -> np.ndarray:
+def _alone(text: np.ndarray, start: np.ndarray, end: np.ndarray, key: np.ndarray, k: int) -> np.ndarray:
     """Contexts whose key has no other context and stands at one place only."""
     _, inv, n = np.unique(key, return_inverse=True, return_counts=True)
-    m = len(prefix) - k
-    h = (prefix[k:] - prefix[:-k]) * pow_table(inverse(BASE_A), len(prefix))[:m]
-    gram = mix(mix(h) | U64(1))
-    size = end - start
-    hit = np.concatenate((gram == np.repeat(key, size)[:m], np.zeros(k, bool)))
+    gram = mix(grams(text, k))
+    hit = np.concatenate((gram == np.repeat(key, end - start)[: len(gram)], np.zeros(k, bool)))
     places = np.concatenate(([0], np.cumsum(hit)))
     return (n[inv] == 1) & (places[np.maximum(end - k + 1, start)] - places[start] == 1)
 
@@ -268,21 +269,20 @@ def cut_repeats(table: pa.Table, told: pa.Table, width: int) -> pa.Table:
     ids = B.ids_of(table)
     hot = np.sort(B.unpacked(of_kind(told, HOTKEYS), "a", U64))
     told = of_kind(told, FIRST)
-    name, span = B.unpacked(told, "a", U64), B.unpacked(told, "b", np.int64)
+    name, span = B.unpacked(told, "a", U64).reshape(-1, 2), B.unpacked(told, "b", np.int64)
     first_id, base = B.unpacked(told, "c", np.int64), B.unpacked(told, "d", np.int64)
-    order = np.argsort(name, kind="stable")
-    name, span, first_id, base = name[order], span[order], first_id[order], base[order]
+    order = np.argsort(name[:, 0])
+    (name, other), span, first_id, base = name[order].T, span[order], first_id[order], base[order]
     n_bytes, n_removed, n_spans, kept = [], [], [], []
     for w in windows_of(table, width):
         cover = np.zeros(len(w.part) + 1, np.int32)
         if len(name):
             _, p, q = w.contexts(hot)
             if len(p):
-                h = span_hash(w.prefix, p, q + width, BASE_A)
-                lo = np.searchsorted(name, h, side="left")
-                n = np.searchsorted(name, h, side="right") - lo
-                i = np.repeat(np.arange(len(p)), n)
-                r = np.repeat(lo, n) + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+                own = span_hashes(w.part, p, q + width)
+                i, r = B.matches(own[0], name)
+                same = own[1][i] == other[r]
+                i, r = i[same], r[same]
                 row = np.searchsorted(w.off, p[i], side="right") - 1
                 here, place = ids[row + w.row], p[i] - w.off[row]
                 late = (first_id[r] < here) | ((first_id[r] == here) & (base[r] < place))
@@ -324,8 +324,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     empty table gives an empty table. ``hot`` sets how work is dealt, never
     the result.
     """
-    parts = B.shuffle_parts(docs)
-    n, buckets = blocks or 2 * parts, parts
+    n = blocks or B.block_count(docs, text_col)
+    buckets = max(1, n // 2)
     base = B.in_blocks(docs, id_col, text_col, n, carry)
     shared = B.answer(B.ask(base, lambda t: minimizers_of(t, width), buckets), lambda t: shared_minimizers(t, hot))
     first = B.answer(B.ask_again(base, shared, lambda t, r: contexts_of(t, r, width), buckets), lambda t: first_places(t, width))

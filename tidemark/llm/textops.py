@@ -13,9 +13,8 @@ import functools
 import numpy as np
 import pyarrow as pa
 
-#: Odd multipliers of two independent polynomial hashes modulo 2**64.
+#: Odd multiplier of the rolling hash of byte strings.
 BASE_A = 0x9E3779B97F4A7C15
-BASE_B = 0xC2B2AE3D27D4EB4F
 U64 = np.uint64
 
 
@@ -68,10 +67,56 @@ def prefix_hash(data: np.ndarray, base: int) -> np.ndarray:
     return out
 
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
-    """Hash of each ``[start, end)``, independent of where it stands."""
-    raw = (prefix[end] - prefix[start]) * pow_table(inverse(base), len(prefix))[start]
-    return mix(raw + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
+@functools.lru_cache(maxsize=16)
+def _multipliers(seed: int, size: int) -> np.ndarray:
+    return mix(np.arange(1, size + 1, dtype=U64) * U64(0xD1342543DE82EF95) + U64(seed)) | U64(1)
+
+
+def multipliers(seed: int, n: int) -> np.ndarray:
+    """``n`` odd numbers without a pattern; sizes are rounded up so that tables are shared."""
+    return _multipliers(seed, 1 << max(6, int(n).bit_length()))[:n]
+
+
+#: Keeps the first bytes of an eight-byte lane.
+LANE_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], U64)
+
+
+#: Seeds of the two hashes of a span.
+SEEDS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seeds: tuple[int, ...] = SEEDS) -> list[np.ndarray]:
+    """Independent 64-bit hashes of each ``data[start:end]``, the same wherever it stands.
+
+    Lanes of eight bytes are mixed and summed with a random multiplier for each
+    lane, so there are no periodic texts that cancel out as in a polynomial.
+    """
+    size = (end - start).astype(np.int64)
+    n = np.maximum((size + 7) >> 3, 1)
+    first = np.cumsum(n) - n
+    lanes = np.ndarray((len(data) + 1,), "<u8", np.concatenate((data, np.zeros(8, np.uint8))).tobytes(), strides=(1,))
+    step = np.arange(int(n.sum())) - np.repeat(first, n)
+    at = np.repeat(start, n) + 8 * step
+    value = mix((lanes[at] & LANE_MASK[np.clip(np.repeat(size, n) - 8 * step, 0, 8)]) + U64(0x9E3779B97F4A7C15))
+    out = []
+    for seed in seeds:
+        each = value * multipliers(seed, int(n.max(initial=1)))[step]
+        out.append(mix((np.add.reduceat(each, first) if len(each) else each) + size.astype(U64) * U64(0xD6E8FEB86659FD93)))
+    return out
+
+
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The first of the two hashes of each span."""
+    return span_hashes(data, start, end, SEEDS[:1])[0]
+
+
+def sequence_hash(tokens: np.ndarray, width: int, seed: int = 0x2545F4914F6CDD1D) -> np.ndarray:
+    """Hash of the ``width`` tokens from each place on."""
+    n = max(0, len(tokens) - width + 1)
+    out = np.zeros(n, U64)
+    for k, by in enumerate(multipliers(seed, width)):
+        out += tokens[k : k + n] * by
+    return mix(out)
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

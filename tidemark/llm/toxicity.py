@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .folds import LETTERS, N_SYMBOLS, SYMBOL, fold_case, held_out, trigram_codes
 from .shared import settle
-from .textops import BASE_A, NOT_SPACE, U64, chunks_of, mix, prefix_hash, span_hash, text_buffer, word_spans
+from .textops import NOT_SPACE, U64, chunks_of, mix, span_hash, text_buffer, word_spans
 
 CHUNK = 1 << 20
 PREFIXES = (4, 5, 6)
@@ -133,11 +133,10 @@ def suspicious(data: np.ndarray, s: np.ndarray, e: np.ndarray, row: np.ndarray)
 
 def cues(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash, word) of each word and of its beginnings."""
-    prefix = prefix_hash(data, BASE_A)
-    hashes, words = [span_hash(prefix, s, e, BASE_A)], [np.arange(len(s))]
+    hashes, words = [span_hash(data, s, e)], [np.arange(len(s))]
     for k in PREFIXES:
         i = np.flatnonzero(e - s > k)
-        hashes.append(mix(span_hash(prefix, s[i], s[i] + k, BASE_A) + U64(k)))
+        hashes.append(mix(span_hash(data, s[i], s[i] + k) + U64(k)))
         words.append(i)
     return np.concatenate(hashes), np.concatenate(words)
 
