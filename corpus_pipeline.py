@@ -28,10 +28,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest document of each group of near copies (rows of an unknown id all stay)."""
-    groups = ngram_join(docs, n=5, similarity=0.8).where("doc_id = class_id").select("doc_id").distinct()
-    known = docs.where("doc_id is not null").join(groups, "doc_id").select(*COLUMNS).dropDuplicates(["doc_id"])
-    return known.unionByName(docs.where("doc_id is null").select(*COLUMNS))
+    """One row of each group of near copies, the smallest document (rows of an unknown id all stay).
+
+    Rows of one id are judged by their own texts, so that unlike texts stay.
+    """
+    keyed = docs.select(*COLUMNS, F.xxhash64("text").alias("key"))
+    groups = ngram_join(keyed, n=5, similarity=0.8, carry=("key",)).where("stays and doc_id is not null").select("doc_id", F.col("with_key").alias("key")).distinct()
+    known = keyed.where("doc_id is not null").join(groups, ["doc_id", "key"]).select(*COLUMNS, "key").dropDuplicates(["doc_id", "key"])
+    return known.select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
 
 def cut_repeated_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
