@@ -33,37 +33,44 @@ class RunIndex:
         self._sample(order, levels)
 
     def _sort(self) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-        """Suffix order by prefix doubling (a suffix stops at its string's end; ties by place), and ranks per length."""
-        i = np.arange(self.n)
-        key = np.zeros(self.n, U64)
+        """Suffix order by prefix doubling (a suffix stops at its string's end; ties by place), and ranks per length.
+
+        Each round looks at the suffixes that are still tied only.
+        """
+        padded = np.concatenate((self.text, np.zeros(SEED, self.text.dtype))).astype(U64)
+        key, inside = np.zeros(self.n, U64), np.ones(self.n, U64)
         for k in range(SEED):
-            key = (key << U64(9)) | self.text[np.minimum(i + k, self.end)].astype(U64)
-        order = np.argsort(key, kind="stable")
+            symbol = padded[k : k + self.n] * inside
+            key = (key << U64(9)) | symbol
+            inside = (symbol > 0).astype(U64)
+        self.key = key
+        order = np.argsort(key)
         sorted_key = key[order]
-        new = np.concatenate(([True], sorted_key[1:] != sorted_key[:-1]))
-        group = np.flatnonzero(new)[np.cumsum(new) - 1]
+        first = np.flatnonzero(np.concatenate(([True], sorted_key[1:] != sorted_key[:-1])))
+        size = np.diff(np.append(first, self.n))
+        group = np.repeat(first, size)
         rank = np.empty(self.n, np.int32)
         rank[order] = group
+        order[: size[0]].sort()  # the string ends
+        slot = np.flatnonzero(np.repeat(size > 1, size) & (group > 0))
+        at, group = order[slot], group[slot]
         levels, h = [(SEED, rank)], SEED
-        longest = int((self.end - i).max())
-        while h < longest:
-            size = np.diff(np.append(np.flatnonzero(new), self.n))
-            tied = np.repeat(size > 1, size) & (group > 0)  # group 0: the string ends
-            slot = np.flatnonzero(tied)
-            if not len(slot):
-                break
-            at = order[slot]
+        longest = int((self.end - np.arange(self.n)).max())
+        while h < longest and len(slot):
             then = rank[np.minimum(at + h, self.end[at])]
-            perm = np.lexsort((then, group[slot]))
-            at, then, old = at[perm], then[perm], group[slot][perm]
+            perm = np.argsort((group << 32) | then)
+            at, then = at[perm], then[perm]
             order[slot] = at
-            split = np.concatenate(([True], (old[1:] != old[:-1]) | (then[1:] != then[:-1])))
-            new[slot] = split
-            group = np.flatnonzero(new)[np.cumsum(new) - 1]
+            first = np.flatnonzero(np.concatenate(([True], (group[1:] != group[:-1]) | (then[1:] != then[:-1]))))
+            size = np.diff(np.append(first, len(slot)))
+            group = np.repeat(slot[first], size)
             rank = rank.copy()
-            rank[at] = group[slot]
+            rank[at] = group
             h *= 2
             levels.append((h, rank))
+            tied = np.repeat(size > 1, size)
+            slot, at, group = slot[tied], at[tied], group[tied]
+        order[slot] = at[np.argsort((group << 32) | at)]
         return order, levels
 
     def _sample(self, order: np.ndarray, levels: list[tuple[int, np.ndarray]]) -> None:
@@ -78,23 +85,26 @@ class RunIndex:
         before = order[np.maximum(slot[at] - 1, 0)]
         self.runs = int(head.sum())
         self.sample, self.neighbour = at, before
+        self.next_sample = np.cumsum(keep) - keep
         self.match = np.where(self.text[before] == 0, 0, self._common(at, before, levels))
 
     def _common(self, x: np.ndarray, y: np.ndarray, levels: list[tuple[int, np.ndarray]]) -> np.ndarray:
-        most = np.minimum(self.end[x] - x, self.end[y] - y)
+        end_x, end_y = self.end[x], self.end[y]
+        most = np.minimum(end_x - x, end_y - y)
         got = np.zeros(len(x), np.int64)
         for h, rank in reversed(levels):
-            same = rank[np.minimum(x + got, self.end[x])] == rank[np.minimum(y + got, self.end[y])]
-            got = np.where(same, np.minimum(got + h, most), got)
-        for _ in range(SEED):
-            same = (got < most) & (self.text[np.minimum(x + got, self.end[x])] == self.text[np.minimum(y + got, self.end[y])])
-            got += same
-        return got
+            same = rank[np.minimum(x + got, end_x)] == rank[np.minimum(y + got, end_y)]
+            got += h * same
+            np.minimum(got, most, out=got)
+        differ = self.key[np.minimum(x + got, end_x)] ^ self.key[np.minimum(y + got, end_y)]
+        for k in range(1, SEED):
+            got += differ < U64(1 << 9 * k)
+        return np.minimum(got, most)
 
     def stream(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Matching statistics: (text position, its predecessor's position, length of their match)."""
         i = np.flatnonzero(self.text)
-        s = np.searchsorted(self.sample, i)
+        s = self.next_sample
         back = self.sample[s] - i
         return i, self.neighbour[s] - back, self.match[s] + back
 
