@@ -1,8 +1,9 @@
 """Operator 3 - license scans by template-markup matching.
 
-A template is wording with marked-up regions: ``[...]`` may be left out and
-``{n}`` stands for one to ``n`` words of any kind. It is compiled into a token automaton,
-which accepts a text only if all mandatory words match exactly and in order.
+A template (``license_templates``) is the wording of a license or notice with
+marked-up regions: ``[...]`` may be left out and ``{n}`` stands for one to ``n``
+words of any kind. It is compiled into a token automaton, which accepts a text
+only if all mandatory words, to the last one, match exactly and in order.
 The automata start only where a template's first two words stand, found by
 comparing word hashes of a whole batch at once; fixed base phrases are counted
 in the same pass.
@@ -12,6 +13,7 @@ Scale: a single map pass without a shuffle; memory is one batch of texts.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,34 +21,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .license_templates import TEMPLATES
 from .textops import ALNUM, chunks_of, fold_ascii, span_hash, text_buffer, word_spans
 
 CHUNK = 1 << 20
 
+#: Brackets, placeholders and words of a template.
+MARKUP = re.compile(r"[\[\]]|\{\d+\}|[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
 # Base phrases and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Label and marked-up wording, in the words of the license texts and notices themselves.
-TEMPLATES = (
-    ("apache-2.0", "licensed under the apache license version 2 0 [the license]"),
-    ("apache-2.0", "licensed to {8} under one or more contributor license agreements"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files [the software]"),
-    ("mit-notice", "released under the [terms of the] mit license"),
-    ("mit-notice", "licensed under the [terms of the] mit license"),
-    ("gpl-2.0", "licensed under the gnu general public license version 2 [or [at your option] any later version]"),
-    ("gpl-3.0", "licensed under the gnu general public license version 3 [or [at your option] any later version]"),
-    ("gpl-notice", "redistribute it and or modify it under the terms of the gnu [lesser] general public license as published by the free software foundation"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("isc", "permission to use copy modify and [or] distribute this software for any purpose with or without fee is hereby granted"),
-    ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0"),
-    ("cc-by", "licensed under [a] [creative commons] cc by 4 0"),
-    ("cc-by-nc", "licensed under [a] [creative commons] cc by nc 4 0"),
-    ("cc-by-sa", "licensed under [a] [creative commons] cc by sa 4 0"),
-    ("cc-by", "licensed under a creative commons attribution {2} international license"),
-    ("all-rights-reserved", "copyright {6} all rights reserved"),
-)
-
-
 def word_hash(words: list[str]) -> list[int]:
     raw = "".join(words).encode()
     size = np.array([len(w.encode()) for w in words], np.int64)
@@ -61,10 +46,11 @@ class Automaton:
     label: str
     word: list[int | None]  # the word hash that leads from state s to s + 1; None takes any word
     free: list[tuple[int, ...]]
+    heads: frozenset[tuple[int | None, int | None]] = frozenset()
 
     @classmethod
     def compile(cls, label: str, markup: str) -> Automaton:
-        parts = markup.replace("[", " [ ").replace("]", " ] ").split()
+        parts = MARKUP.findall(markup.lower())
         words: list[str | None] = []
         skips: list[tuple[int, int]] = []
         opened: list[int] = []
@@ -84,7 +70,11 @@ class Automaton:
         free: list[list[int]] = [[] for _ in range(len(words) + 1)]
         for a, b in skips:
             free[a].append(b)
-        return cls(label, [None if w is None else next(codes) for w in words], [tuple(x) for x in free])
+        made = cls(label, [None if w is None else next(codes) for w in words], [tuple(x) for x in free])
+        made.heads = frozenset(made.starts())
+        if any(first is None for first, _ in made.heads):
+            raise ValueError("a template must begin with a mandatory word")
+        return made
 
     def closure(self, states: set[int]) -> set[int]:
         todo = list(states)
@@ -151,9 +141,7 @@ def scan_batch(column, base: dict[str, str], automata: list[Automaton]) -> dict[
                 base_labels[a + r].add(label)
         for auto in automata:
             places: set[int] = set()
-            for x, y in auto.starts():
-                if x is None:
-                    raise ValueError("a template must begin with a mandatory word")
+            for x, y in auto.heads:
                 i = at(x)
                 if y is not None:
                     i = i[i + 1 < len(tok)]
