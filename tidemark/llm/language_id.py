@@ -1,22 +1,28 @@
 """Operator 8 - language identification, word first with character backoff.
 
 Spark counts, over all texts that may be learned from, the words and the byte
-trigrams of each language. A word that makes up at least ``min_share`` of some
-language's words is known and scored by its log frequency in each language; any
-other word is scored by trigrams, which back off to bigrams and single symbols.
+trigrams of each language. A known word is scored by its log frequency in each
+language; any other word is scored by trigrams, which back off to bigrams and
+single symbols. Known are the words that make up at least ``min_share`` of some
+language's words and occur twice, or with ``min_share`` 0 all words.
 
 Scale: one map pass that counts and one that scores; texts are never shuffled,
 only (language, word) counts. The model's size has a proven bound: at most
-1 / ``min_share`` known words per language and 155**3 trigrams.
+1 / ``min_share`` known words per language and 155**3 trigrams. With
+``min_share`` 0 there is no such bound: documents are dealt into blocks, and a
+join tells each block the counts of its own words.
 """
 
 from __future__ import annotations
 
+import copy
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import block_count
 from .folds import LETTERS, N_SYMBOLS, SYMBOL, fold_case, held_out, trigram_codes
 from .shared import settle
 from .textops import U64, chunks_of, span_hash, text_buffer, word_spans
@@ -24,6 +30,8 @@ from .textops import U64, chunks_of, span_hash, text_buffer, word_spans
 CHUNK = 1 << 20
 BACKOFF = np.log(0.4)
 WORDS, GRAMS = 0, 1
+#: Words whose evidence a score counts.
+MOST_WORDS = 20
 
 
 def count_rows(batches):
@@ -63,11 +71,8 @@ class LanguageModel:
     def __init__(self, langs: list[str], words: tuple, grams: tuple, totals: np.ndarray):
         """``words`` and ``grams`` are (key, language number, count); ``totals`` the words of each language."""
         self.langs, n = langs, len(langs)
-        key, lang, count = words
-        self.known, at = np.unique(key.view(np.uint64), return_inverse=True)
-        table = np.zeros((len(self.known), n))
-        np.add.at(table, (at, lang), count)
-        self.word = np.log((table + 0.5) / (totals + 1.0)).astype(np.float32)
+        self.totals = totals
+        self.learn_words(*words)
         code, lang, count = grams
         self.codes, at = np.unique(code, return_inverse=True)
         tri = np.zeros((len(self.codes), n))
@@ -86,6 +91,12 @@ class LanguageModel:
             self.tri = np.where(tri > 0, full, BACKOFF + self.pair[self.codes % N_SYMBOLS**2]).astype(np.float32)
         self.pair = (BACKOFF + self.pair).astype(np.float32)
 
+    def learn_words(self, key: np.ndarray, lang: np.ndarray, count: np.ndarray) -> None:
+        self.known, at = np.unique(key.view(np.uint64), return_inverse=True)
+        table = np.zeros((len(self.known), len(self.langs)))
+        np.add.at(table, (at, lang), count)
+        self.word = np.log((table + 0.5) / (self.totals + 1.0)).astype(np.float32)
+
     def word_scores(self, data: np.ndarray, s: np.ndarray, e: np.ndarray, h: np.ndarray) -> np.ndarray:
         """Log-likelihood of each word in each language."""
         out = np.zeros((len(s), len(self.langs)), np.float32)
@@ -128,7 +139,7 @@ def identify(column, model: LanguageModel) -> tuple[list[str], np.ndarray]:
         total = np.add.reduceat(by_word.astype(np.float64), start, axis=0)
         words = np.diff(np.append(start, len(row)))
         docs = row[start]
-        total = total / words[:, None] * np.minimum(words, 20)[:, None]
+        total = total / words[:, None] * np.minimum(words, MOST_WORDS)[:, None]
         total -= total.max(1, keepdims=True)
         p = np.exp(total)
         p /= p.sum(1, keepdims=True)
@@ -147,8 +158,10 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Returns (``id_col``, held_out, lang_pred, score), a row for each input row.
     Learns from rows that are not held out (see ``folds``) and have a language;
     texts that are null or have no letter, and all texts if nothing was
-    learned, are ``und`` with score 0. Ties go to the alphabetically first
-    language. Other columns are ignored.
+    learned, are ``und`` with score 0. The score is the probability of the
+    language if its words' mean evidence is counted for ``MOST_WORDS`` words at
+    most, so that long texts keep apart from 1. Ties go to the alphabetically
+    first language. Other columns are ignored.
     """
     base = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = base.where("not held_out and lang is not null and text is not null").select("lang", "text").mapInArrow(count_rows, "lang string, kind int, key long, n long")
@@ -158,17 +171,53 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     schema = f"id {base.schema['id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double"
     if not langs:
         return base.select(F.col("id").alias(id_col), "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    least = F.create_map(*[F.lit(x) for lang in langs for x in (lang, totals[lang] * min_share)])
-    model_rows = counts.where((F.col("kind") == GRAMS) | ((F.col("n") >= least[F.col("lang")]) & (F.col("n") > 1))).toArrow()
+    kept = F.col("kind") == GRAMS
+    if min_share > 0:
+        least = F.create_map(*[F.lit(x) for lang in langs for x in (lang, totals[lang] * min_share)])
+        kept = kept | ((F.col("n") >= least[F.col("lang")]) & (F.col("n") > 1))
+    model_rows = counts.where(kept).toArrow()
     number = np.array([langs.index(x) if x in totals else -1 for x in model_rows["lang"].to_pylist()], np.int64)
     kind, key, n = (model_rows[c].to_numpy() for c in ("kind", "key", "n"))
     words, grams = (kind == WORDS) & (number >= 0), (kind == GRAMS) & (number >= 0)
     model = LanguageModel(langs, (key[words], number[words], n[words]), (key[grams], number[grams], n[grams]), np.array([totals[x] for x in langs], float))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def predict(batches):
-        for batch in batches:
-            names, scores = identify(batch["text"], shared.value)
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["held_out"], pa.array(names, pa.string()), pa.array(scores)], ["id", "held_out", "lang_pred", "score"])
+    def told(ids, held, names: list[str], scores: np.ndarray) -> list:
+        return [ids, held, pa.array(names, pa.string()), pa.array(scores)]
+
+    columns = ["id", "held_out", "lang_pred", "score"]
+    if min_share > 0:
+
+        def predict(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays(told(batch["id"], batch["held_out"], *identify(batch["text"], shared.value)), columns)
+
+        return base.select("id", "held_out", "text").mapInArrow(predict, schema).withColumnRenamed("id", id_col)
 
-    return base.select("id", "held_out", "text").mapInArrow(predict, schema).withColumnRenamed("id", id_col)
+    blocks = block_count(docs, text_col)
+    dealt = base.select(F.pmod(F.xxhash64(F.col("id").cast("string"), F.length("text")), F.lit(blocks)).cast("int").alias("block"), "id", "held_out", "text")
+
+    def ask(group: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        own = distinct_words(table["text"]).view(np.int64)
+        return pa.table({"block": pa.array(np.full(len(own), group[0].as_py()), pa.int32()), "key": own})
+
+    def score(group: tuple[pa.Scalar, ...], table: pa.Table, known: pa.Table) -> pa.Table:
+        own = copy.copy(shared.value)
+        own.learn_words(known["key"].to_numpy(), known["lang"].to_numpy().astype(np.int64), known["n"].to_numpy())
+        return pa.table(told(table["id"], table["held_out"], *identify(table["text"], own)), columns)
+
+    numbers = F.create_map(*[F.lit(x) for i, lang in enumerate(langs) for x in (lang, i)])
+    counted = counts.where(F.col("kind") == WORDS).select("key", numbers[F.col("lang")].alias("lang"), "n")
+    answers = dealt.groupBy("block").applyInArrow(ask, "block int, key long").join(counted, "key")
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, schema).withColumnRenamed("id", id_col)
+
+
+def distinct_words(column) -> np.ndarray:
+    """Sorted hashes of the words of some texts."""
+    data, offsets = text_buffer(column)
+    found = [np.zeros(0, U64)]
+    for a, b in chunks_of(offsets, CHUNK):
+        part, off = fold_case(data[offsets[a] : offsets[b]]), offsets[a : b + 1] - offsets[a]
+        s, e, _ = word_spans(part, off, LETTERS)
+        found.append(np.unique(span_hash(part, s, e)))
+    return np.unique(np.concatenate(found))
