@@ -73,6 +73,12 @@ def test_op9_tolerates_a_substitution_and_leaves_clean_texts(spark):
     assert decontaminate(docs.limit(0), items).count() == 0 and decontaminate(docs, items.limit(0)).where("contaminated").count() == 0
 
 
+def test_op9_id_named_like_its_own_columns(spark):
+    docs = spark.createDataFrame([(1, "one two three four five six seven eight", 3), (2, "nothing here", 4)], "id long, text string, item long")
+    items = spark.createDataFrame([(7, "two three four five six seven")], "item_id long, text string")
+    assert sorted((r.id, r.contaminated) for r in decontaminate(docs, items, id_col="id").collect()) == [(1, True), (2, False)]
+
+
 def test_op9_masks_hit_every_accepted_overlap():
     kinds = classes(MASKS, 13, 0.8)
     for length in range(1, 14):
@@ -117,6 +123,8 @@ def test_op2_weights_and_limits(spark):
     assert abs(sum({r.source: r.weight for r in got}.values()) - 1) < 1e-6
     again = {r.doc_id: r.copies for r in mix_sources(docs, block_docs=10).collect()}
     assert again == {r.doc_id: r.copies for r in got}
+    with pytest.raises(ValueError):
+        mix_sources(docs, budget=10**6)
     small = mix_sources(docs, budget=600, block_docs=10)
     assert small.selectExpr("sum(copies * n_tokens) as n").first().n <= 600
     assert mix_sources(docs.limit(0)).count() == 0

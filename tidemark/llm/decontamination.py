@@ -10,8 +10,9 @@ of a class hit every overlap that the rule accepts (``lossless`` enumerates the
 places of the substitutions), so no verdict hangs on the choice of seeds.
 
 Scale: a document span is hashed in full only if its first two tokens pass a
-bitmap of fixed size (8 KiB for a class in use) made from the benchmark, so the rows that leave
-the scan follow the true and chance hits. Benchmark seeds are broadcast only
+bitmap made from the benchmark (8 to 512 KiB for a class in use; a fuller one lets more
+spans through and changes no result), so the rows that leave the scan follow the true and
+chance hits. Verification carries the stretch of a text beside an item, never the text. Benchmark seeds are broadcast only
 below ``broadcast_rows``; beyond, both sides are shuffled by hash.
 """
 
@@ -28,11 +29,10 @@ from pyspark.sql import functions as F
 #: Masks for whole windows, for items of 10 to 12 tokens (two substitutions) and of 5 to 9 (one).
 MASKS = ("11001001011", "11011011")
 SHORT_MASKS = (("11111", "1100111", "110001011"), ("111", "11011"))
-#: The oracle SQL seeds with these, which miss some overlaps.
-SQL_MASKS = ("11011100101", "11010011011")
 NOT_WORD = r"[^\p{L}\p{N}]+"
 NO_ID = -(1 << 63)
-WORDS_64 = 1024
+#: Bits of the gate of a class: about 16 for each token of the benchmark, within these bounds.
+LEAST_BITS, MOST_BITS = 16, 22
 
 
 def tokens(text: Column) -> Column:
@@ -85,10 +85,10 @@ def classes(masks: tuple[str, ...], window: int, identity: float) -> list[Seeds]
     return out
 
 
-def seeds(df: DataFrame, used: list[tuple[Seeds, Column | None]]) -> DataFrame:
+def seeds(df: DataFrame, used: list[tuple[Seeds, Gate | None]]) -> DataFrame:
     """(id, pos, h) of every masked span of ``df(id, words)`` whose first tokens pass the gate of its class."""
 
-    def spans(words: Column, kind: Seeds, gate: Column | None) -> Column:
+    def spans(words: Column, kind: Seeds, gate: Gate | None) -> Column:
         last = F.size(words) - min(len(m) for m in kind.masks)
         starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
         if gate is not None:
@@ -101,22 +101,27 @@ def seeds(df: DataFrame, used: list[tuple[Seeds, Column | None]]) -> DataFrame:
     return df.select("id", F.inline_outer(every)).where("h is not null")
 
 
-def _passes(bitmap: Column, h: Column) -> Column:
-    word = F.element_at(bitmap, (F.shiftright(h.bitwiseAND(F.lit(65535)), 6) + 1).cast("int"))
+class Gate(NamedTuple):
+    bitmap: Column
+    bits: int
+
+
+def _passes(gate: Gate, h: Column) -> Column:
+    word = F.element_at(gate.bitmap, (F.shiftright(h.bitwiseAND(F.lit((1 << gate.bits) - 1)), 6) + 1).cast("int"))
     return F.call_function("shiftrightunsigned", word, h.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
 
 
-def gate_of(items: DataFrame, first: int) -> Column:
-    """65,536 bits for the ``first`` tokens of all spans of a class of the benchmark, whatever its size."""
+def gate_of(items: DataFrame, first: int, bits: int) -> Gate:
+    """``2 ** bits`` bits for the ``first`` tokens of all spans of a class of the benchmark."""
     starts = F.sequence(F.lit(0), F.size("words") - first)
     pairs = items.where(F.size("words") >= first).select(F.explode(F.transform(starts, lambda i: F.xxhash64(*[F.get("words", i + k) for k in range(first)]))).alias("h"))
-    bits = (
-        pairs.select(F.shiftright(F.col("h").bitwiseAND(F.lit(65535)), 6).alias("slot"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
+    rows = (
+        pairs.select(F.shiftright(F.col("h").bitwiseAND(F.lit((1 << bits) - 1)), 6).alias("slot"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
         .groupBy("slot")
         .agg(F.bit_or("bit").alias("bits"))
     )
-    found = {r.slot: r.bits for r in bits.collect()}  # at most 1,024 rows
-    return F.lit(np.array([found.get(i, 0) for i in range(WORDS_64)], np.int64))
+    found = {r.slot: r.bits for r in rows.collect()}  # at most 2 ** (bits - 6) rows
+    return Gate(F.lit(np.array([found.get(i, 0) for i in range(1 << bits - 6)], np.int64)), bits)
 
 
 def decontaminate(
@@ -149,22 +154,26 @@ def decontaminate(
     kinds = classes(masks, window, identity)
     least = F.greatest(F.lit(0), *[F.when(F.size("words") >= kind.least, kind.least) for kind in kinds])
     bench = bench.withColumn("least", least)
-    present = {r.least for r in bench.select("least").distinct().collect()}  # at most one row a class
+    present = {r.least: r.n for r in bench.groupBy("least").agg(F.sum(F.size("words")).alias("n")).collect()}  # at most one row a class
     used = [kind for kind in kinds if kind.least in present] or kinds[-1:]
     of_kind = {kind: bench.where(F.col("least") == kind.least).select(F.col("item").alias("id"), "words") for kind in used}
     of_items = reduce(DataFrame.unionByName, [seeds(of_kind[kind], [(kind, None)]) for kind in used]).select(F.col("id").alias("item"), F.col("pos").alias("item_pos"), "h")
-    if of_items.count() <= broadcast_rows:
-        of_items = F.broadcast(of_items)
-    of_docs = seeds(base.select("id", tokens(F.col("text")).alias("words")), [(kind, gate_of(of_kind[kind], kind.first)) for kind in used])
-    hits = of_docs.join(of_items, "h").groupBy("id", "item").agg(F.collect_set(F.col("pos") - F.col("item_pos")).alias("shifts"))
     side = bench.select("item", F.col("words").alias("item_words"))
-    with_words = base.join(hits, "id").join(side, "item").select("id", "item", "shifts", "item_words", tokens(F.col("text")).alias("words"))
+    of_items = of_items.join(side.select("item", F.size("item_words").alias("m")), "item")
+    small = of_items.count() <= broadcast_rows
+    told = F.broadcast if small else lambda df: df
+    gates = [(kind, gate_of(of_kind[kind], kind.first, max(LEAST_BITS, min(MOST_BITS, (16 * present.get(kind.least, 1)).bit_length())))) for kind in used]
+    of_docs = seeds(base.select("id", tokens(F.col("text")).alias("words")), gates)
+    hits = of_docs.join(told(of_items), "h").groupBy("id").agg(F.collect_set(F.struct("item", "m", (F.col("pos") - F.col("item_pos")).alias("shift"))).alias("hits"))
+    # the stretch beside the item on each diagonal, whose first token is that of item token -least(shift, 0)
+    beside = lambda words: F.transform("hits", lambda x: F.struct(x["item"].alias("item"), F.least(x["shift"], F.lit(0)).alias("shift"), F.slice(words, F.greatest(x["shift"], F.lit(0)) + 1, x["m"]).alias("words")))
+    stretches = base.join(hits, "id").select("id", F.inline(let(tokens(F.col("text")), beside))).join(told(side), "item")
     m = F.size("item_words")
-    agree = lambda words, shift: F.transform(F.col("item_words"), lambda w, j: F.when(F.get(words, shift + j) == w, 1).otherwise(0))
+    agree = F.transform(F.col("item_words"), lambda w, j: F.when(F.get(F.col("words"), F.col("shift") + j) == w, 1).otherwise(0))
     width = F.least(m, F.lit(window))
     sums = lambda ones: F.transform(F.sequence(F.lit(0), m - width), lambda s: F.aggregate(F.slice(ones, s + 1, width), F.lit(0), lambda a, x: a + x))
-    overlap = let(F.col("words"), lambda words: F.array_max(F.transform(F.col("shifts"), lambda shift: F.array_max(let(agree(words, shift), sums)))))
-    verified = with_words.select("id", "item", width.alias("width"), overlap.alias("overlap")).where(F.col("overlap") >= F.ceil(F.col("width") * F.lit(identity)))
+    overlaps = stretches.select("id", "item", width.alias("width"), F.array_max(let(agree, sums)).alias("overlap"))
+    verified = overlaps.where(F.col("overlap") >= F.ceil(F.col("width") * F.lit(identity)))
     per_doc = verified.groupBy("id").agg(
         F.count_distinct("item").alias("n_items"),
         F.max(F.struct("overlap", (-F.col("item")).alias("minus"))).alias("best"),
@@ -183,23 +192,23 @@ def decontaminate(
     )
 
 
-def oracle(masks: tuple[str, ...] = SQL_MASKS, window: int = 13, identity: float = 0.8) -> str:
-    """DuckDB SQL for ``decontaminate`` over documents and benchmark."""
+def oracle(window: int = 13, identity: float = 0.8) -> str:
+    """DuckDB SQL for ``decontaminate`` over documents and benchmark, without any seeds.
+
+    An overlap that the rule accepts has that many equal tokens on one diagonal,
+    so all diagonals with enough equal tokens are looked at.
+    """
     words = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
-    seed = lambda id_: " UNION ALL ".join(
-        f"SELECT {id_}, i AS pos, {m} AS mask, concat_ws(' ', {', '.join(f'words[i + {k + 1}]' for k, b in enumerate(mask) if b == '1')}) AS h"
-        f" FROM (SELECT {id_}, words, unnest(range(0, len(words) - {len(mask) - 1})) AS i FROM {'d' if id_ == 'doc_id' else 'b'})"
-        for m, mask in enumerate(masks)
-    )
+    need = f"ceil(least(m, {window}) * {identity})"
     return f"""
 WITH d AS (SELECT doc_id, {words} AS words FROM documents),
-b AS (SELECT item_id, {words} AS words FROM benchmark),
-ds AS ({seed("doc_id")}),
-bs AS ({seed("item_id")}),
-hits AS (SELECT DISTINCT doc_id, item_id, ds.pos - bs.pos AS shift FROM ds JOIN bs USING (mask, h)),
+b AS (SELECT item_id, {words} AS words, len(words) AS m FROM benchmark),
+dw AS (SELECT doc_id, unnest(words) AS w, generate_subscripts(words, 1) AS pos FROM d),
+bw AS (SELECT item_id, m, unnest(words) AS w, generate_subscripts(words, 1) AS pos FROM b),
+hits AS (SELECT doc_id, item_id, dw.pos - bw.pos AS shift FROM dw JOIN bw USING (w) GROUP BY 1, 2, 3, m HAVING count(*) >= {need}),
 agree AS (
-  SELECT doc_id, item_id, shift, least(len(b.words), {window}) AS width,
-         list_transform(range(0, len(b.words)), lambda j: CASE WHEN shift + j >= 0 AND d.words[shift + j + 1] = b.words[j + 1] THEN 1 ELSE 0 END) AS a
+  SELECT doc_id, item_id, shift, least(m, {window}) AS width,
+         list_transform(range(0, m), lambda j: CASE WHEN shift + j >= 0 AND d.words[shift + j + 1] = b.words[j + 1] THEN 1 ELSE 0 END) AS a
   FROM hits JOIN d USING (doc_id) JOIN b USING (item_id)),
 best AS (
   SELECT doc_id, item_id, width, list_max(list_transform(range(0, len(a) - width + 1), lambda s: list_sum(list_slice(a, s + 1, s + width)))) AS overlap FROM agree),

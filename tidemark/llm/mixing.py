@@ -83,8 +83,8 @@ def mix_sources(
     """Copies of each document in a mixture of its sources.
 
     ``entropy`` is the target as a part of the largest possible (the log of the
-    number of sources); ``repeats`` limits the epochs of any source. ``budget``
-    is in tokens; None takes the least budget in which every source is seen
+    number of sources); ``repeats`` limits the epochs of any source, and a
+    ``budget`` that no mixture can fill within it is an error. ``budget`` is in tokens; None takes the least budget in which every source is seen
     whole at least once, so no document is lost. Returns (``id_col``,
     ``source_col``, n_tokens, weight, block, copies), a row for each input
     row. Null texts have no tokens and get a copy per full epoch; null sources
@@ -103,6 +103,8 @@ def mix_sources(
     grand = totals.agg(F.sum("tokens"), F.sum((F.col("tokens") > 0).cast("int"))).first()
     total, n = int(grand[0] or 0), int(grand[1] or 0)
     live = totals.where("tokens > 0").withColumn("share", F.col("tokens") / F.lit(float(total or 1))).withColumn("scale", F.lit(float(budget or 0) / (total or 1)))
+    if budget is not None and budget > repeats * total:
+        raise ValueError(f"a budget of {budget} tokens repeats {total} tokens more than {repeats} times")
     t = exponent(live, entropy * math.log(n), repeats, budget is None) if n > 1 else 1.0
     z = live.agg(F.sum(F.pow("share", F.lit(t)))).first()[0] if n else None
     z = z or 1.0

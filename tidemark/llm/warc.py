@@ -13,7 +13,8 @@ checked against the total length and joined.
 
 Scale: payloads move once to meet the size of their group, in a join that Spark can
 split if one payload is very common. Memory: one archive file of at most
-``records`` records.
+``records`` records, whose blocks have at most ``segment`` bytes each (64 MiB
+together), or the longest single page.
 """
 
 from __future__ import annotations
