@@ -13,7 +13,8 @@ rows (a documented bounded sample of the labelled rows, by hash of their id).
 The character model has at most 155**3 entries; a cue needs ``min_cue`` labelled rows, and as many different
 surroundings, and must explain texts that stronger cues do not, so that copies of
 one text do not make cues of its words. That choice is made on the driver, from
-the sample's toxic rows only.
+the places of likely cues in the sample's toxic rows: it is bounded by
+``max_labels`` texts, not by the corpus, but grows with the length of these texts.
 """
 
 from __future__ import annotations
@@ -34,10 +35,14 @@ from .textops import NOT_SPACE, U64, chunks_of, mix, span_hash, text_buffer, wor
 
 CHUNK = 1 << 20
 PREFIXES = (4, 5, 6)
+#: Odds of a text without a cue, as a part of the odds of all labelled rows.
+NO_CUE = 0.02
 #: Readings of signs used in place of letters.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e"}
 #: Signs that may stand between the letters of one word.
 BETWEEN = "-._*'~/\\:,;"
+#: What it costs, in nats, to drop a sign that could be read: more than a likely letter.
+DROPPED = 3.0
 EDGE = ".,;:!?\"()[]{}<>&%#*'-_~/\\|+"
 
 
@@ -88,7 +93,7 @@ def viterbi(places: list[tuple[str, ...]], model: CharModel) -> str:
         new: dict[tuple[int, int], tuple[float, str]] = {}
         for (a, b), (score, text) in best.items():
             for option in options:
-                x, y, s = a, b, score
+                x, y, s = a, b, score - (DROPPED if not option and len(options) > 1 else 0)
                 for byte in option.encode():
                     c = int(SYMBOL[byte])
                     s += model.log_p(x, y, c)
@@ -222,6 +227,7 @@ def toxicity(
     Returns (``id_col``, held_out, score, predicted, n_restored), a row for each
     input row, and the columns named in ``carry`` as ``with_<name>``. The score is the probability, on the learned rows, of the label
     given the strongest cue in the text (or none, as in null and empty texts).
+    A text without a cue has ``NO_CUE`` of the odds of the labelled rows.
     Labels that are null, or of a null id, teach nothing; of several labels of
     an id the largest counts; without labels every score is 0. Other columns
     are ignored.
@@ -236,7 +242,8 @@ def toxicity(
         .orderBy(F.xxhash64("id"), "id")
         .limit(max_labels)
     )
-    taught = base.where("not held_out").join(F.broadcast(known), "id").select("toxic", F.xxhash64("id").alias("doc"), "text")
+    # at most max_labels texts, looked at twice
+    taught = settle(base.where("not held_out").join(F.broadcast(known), "id").select("toxic", F.xxhash64("id").alias("doc"), "text"))
 
     def learn(batches):
         read = reader(model.value)
@@ -359,5 +366,5 @@ def cue_weights(cue: np.ndarray, n1: np.ndarray, n0: np.ndarray) -> tuple[np.nda
     weight = np.log(cautious(n1, n0))
     keep = weight > 0
     order = np.argsort(cue[keep])
-    none = math.log(0.02 * total1 / max(1.0, total0)) if keep.any() else math.log(total1 / max(1.0, total0))
+    none = math.log(NO_CUE * total1 / max(1.0, total0)) if keep.any() else math.log(total1 / max(1.0, total0))
     return cue[keep][order], weight[keep][order], none
