@@ -21,11 +21,6 @@ def median(col: str | Column) -> Column:
     return F.percentile(col, F.lit(0.5))
 
 
-def nearest_rank(values: Column, q: float) -> Column:
-    """Nearest-rank percentile of a sorted array, ranks rounded half to even."""
-    return F.element_at(values, (F.bround(F.lit(q) * (F.size(values) - 1), 0) + 1).cast("int"))
-
-
 def capped(df: DataFrame, keys: Sequence[str], order: Sequence[Column], cap: int) -> DataFrame:
     """The first ``cap`` rows of each group, with the true count and whether rows were left out."""
     w = Window.partitionBy(*keys)
@@ -66,3 +61,20 @@ def zero_filled(counts: DataFrame, key: str, kinds: Sequence[str], value: str =
 
 def mapping(pairs: Mapping[str, object]) -> Column:
     return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
+
+
+def order_statistics(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Count, median, nearest-rank quartiles and range of a measurement per group; unmeasured rows do not count.
+
+    Equal values are counted first, and ranks are read off running counts, so
+    that no group is ever held in one array.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_x")).agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(*keys)
+    ranked = counts.withColumn("_upto", F.sum("_c").over(w.orderBy("_x").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.sum("_c").over(w))
+    at = lambda rank: F.min(F.when(F.col("_upto") > rank, F.col("_x")))
+    last = F.col("_n") - 1
+    return ranked.groupBy(*keys).agg(
+        F.max("_n").alias("n"), ((at(F.floor(last / 2)) + at(F.ceil(last / 2))) / 2).alias("median"),
+        at(F.bround(last * 0.25, 0)).alias("p25"), at(F.bround(last * 0.75, 0)).alias("p75"), F.min("_x").alias("least"), F.max("_x").alias("most"),
+    )

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import capped, first_match, median, nearest_rank, segments, word_count
+from ..functions.core import capped, first_match, median, order_statistics, segments, word_count
 from .derive import doc_type, provenance
 
 CREDENTIAL_NAMES = r"(?i)(^|/)(credentials|secrets?|id_rsa|\.env)[^/]*$"
@@ -135,11 +135,8 @@ def doc_catalogue(census: DataFrame, ranks: Sequence[str]) -> DataFrame:
 
 def calibration(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Count, median, nearest-rank quartiles and range of a measurement; unmeasured rows do not count."""
-    out = rows.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias("v"), median(value).alias("median"))
-    return out.select(
-        *keys, F.size("v").cast("long").alias("n"), F.round("median", 6).alias("median"), F.round(nearest_rank(F.col("v"), 0.25), 6).alias("p25"),
-        F.round(nearest_rank(F.col("v"), 0.75), 6).alias("p75"), F.round(F.element_at("v", 1), 6).alias("least"), F.round(F.element_at("v", -1), 6).alias("most"),
-    )
+    numbers = [F.round(c, 6).alias(c) for c in ("median", "p25", "p75", "least", "most")]
+    return order_statistics(rows, keys, value).select(*keys, "n", *numbers)
 
 
 def timing_parse(lines: DataFrame, value: str = "value") -> DataFrame:

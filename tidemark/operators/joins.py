@@ -52,27 +52,52 @@ def alias_hits(texts: DataFrame, aliases: DataFrame) -> DataFrame:
     """
     first = F.regexp_extract(F.lower("alias"), r"([a-z0-9]+)", 1)
     known = aliases.where(F.length("alias") >= 3).withColumn("word", first)
-    words = texts.select("thread_id", "place", F.lower("content").alias("content"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit("([a-z0-9]+)"), F.lit(1)))).alias("word"))
-    met = words.join(known, "word").where(F.col("content").contains(F.lower("alias")))
+    keyed = texts.select("thread_id", "place", F.lower("content").alias("content"))
+    words = keyed.select("thread_id", "place", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit("([a-z0-9]+)"), F.lit(1)))).alias("word"))
+    # only ids and words meet; a text comes to its aliases once
+    met = words.join(known, "word").groupBy("thread_id", "place").agg(F.collect_set(F.struct("project", "alias", "low_signal")).alias("a"))
+    pairs = keyed.join(met, ["thread_id", "place"]).select("thread_id", "place", "content", F.inline("a"))
     exact = F.expr("concat(' ', content, ' ') rlike concat('[^a-z0-9]\\\\Q', lower(alias), '\\\\E[^a-z0-9]')")
-    best = met.where(exact).groupBy("thread_id", "project", "alias").agg(F.max(F.col("place") == "title").alias("title"), F.max("low_signal").alias("low_signal"))
+    hits = pairs.where(F.col("content").contains(F.lower("alias"))).where(exact)
+    best = hits.groupBy("thread_id", "project", "alias").agg(F.max(F.col("place") == "title").alias("title"), F.max("low_signal").alias("low_signal"))
     weight = F.when(F.col("title"), 0.8).when(F.col("low_signal"), 0.15).otherwise(0.6)
     return best.select("thread_id", "project", "alias", F.when(F.col("title"), "title").otherwise("body").alias("place"), weight.alias("weight"))
 
 
 def cwd_attribution(sessions: DataFrame, keys: DataFrame) -> DataFrame:
-    """Sessions whose working directory names exactly one project."""
-    segs = sessions.select("session_id", F.explode(F.array_distinct(F.array_remove(F.split("cwd", r"[\\/:]+"), ""))).alias("seg"))
-    hits = segs.select("session_id", compact_key(F.col("seg")).alias("key")).join(keys, "key")
+    """Sessions whose working directory names exactly one project, by a segment or by two neighbouring ones."""
+    segs = sessions.select("session_id", F.array_remove(F.split("cwd", r"[\\/:]+"), "").alias("s"))
+    pair = F.transform(F.sequence(F.lit(1), F.greatest(F.size("s"), F.lit(1))), lambda i: F.concat(F.get("s", i - 1), F.coalesce(F.get("s", i), F.lit(""))))
+    units = segs.where(F.size("s") > 0).select("session_id", F.explode(F.array_union("s", pair)).alias("unit"))
+    hits = units.select("session_id", compact_key(F.col("unit")).alias("key")).join(keys, "key")
     return hits.groupBy("session_id").agg(F.count_distinct("project").alias("n"), F.min("project").alias("project")).where("n = 1").drop("n")
 
 
+def contained(texts: DataFrame, needles: DataFrame, width: int = 4) -> DataFrame:
+    """(text_id, needle_id) of all needles that stand anywhere in a text (text_id, body), (needle_id, needle).
+
+    Needle and text meet on the needle's rarest string of ``width`` characters;
+    shorter needles are not looked for.
+    """
+    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (width - 1)), lambda i: F.substring(c, i, F.lit(width))))
+    own = needles.where(F.length("needle") >= width).select("needle_id", "needle", F.explode(grams(F.col("needle"))).alias("gram"))
+    of_texts = texts.where(F.length("body") >= width).select("text_id", F.explode(grams(F.col("body"))).alias("gram")).join(own.select("gram").distinct(), "gram", "left_semi")
+    held = of_texts.groupBy("gram").agg(F.count("*").alias("held"))
+    key = latest(own.join(held, "gram", "left"), ["needle_id"], [F.coalesce("held", F.lit(0)), F.col("gram")]).where("held is not null")
+    met = of_texts.join(key.select("gram", "needle_id"), "gram").groupBy("text_id").agg(F.collect_set("needle_id").alias("n"))
+    pairs = texts.join(met, "text_id").select("text_id", "body", F.explode("n").alias("needle_id")).join(needles, "needle_id")
+    return pairs.where(F.col("body").contains(F.col("needle"))).select("text_id", "needle_id")
+
+
 def exact_link(threads: DataFrame, projects: DataFrame) -> DataFrame:
-    """Threads whose title equals a project's name, or contains its template; the first rule and project win."""
+    """Threads (thread_id, title, first_text) whose title is a project's name, or whose first human text contains its template.
+
+    The first rule and then the first project (project_id, name, template) wins.
+    """
     equal = threads.join(projects, F.col("title") == F.col("name")).select("thread_id", "project_id", F.lit(1).alias("rule"))
-    inside = threads.join(projects.where("template is not null"), F.substring("title", 1, 4) == F.substring("template", 1, 4)).where(F.col("title").startswith(F.col("template")))
-    both = equal.unionByName(inside.select("thread_id", "project_id", F.lit(2).alias("rule")))
-    return latest(both, ["thread_id"], [F.col("rule"), F.col("project_id")])
+    found = contained(threads.select(F.col("thread_id").alias("text_id"), F.col("first_text").alias("body")), projects.where("template is not null").select(F.col("project_id").alias("needle_id"), F.col("template").alias("needle")))
+    inside = found.select(F.col("text_id").alias("thread_id"), F.col("needle_id").alias("project_id"), F.lit(2).alias("rule"))
+    return latest(equal.unionByName(inside), ["thread_id"], [F.col("rule"), F.col("project_id")])
 
 
 def time_plausibility(threads: DataFrame, bursts: DataFrame) -> DataFrame:
@@ -94,11 +119,16 @@ def time_plausibility(threads: DataFrame, bursts: DataFrame) -> DataFrame:
     return near.select("thread_id", "project", F.round(score, 6).alias("plausibility"))
 
 
-def nearest_anchor(items: DataFrame, anchors: DataFrame, days: int = 14, threshold: float = 0.6, width: int = 28) -> DataFrame:
-    """The most similar anchor within ``days`` of each item; all anchors if none is near; null below the threshold.
+def nearest_anchor(items: DataFrame, anchors: DataFrame, days: int = 14, threshold: float = 0.6, width: int = 28, broadcast_rows: int = 10_000, tables: int = 16, bits: int = 8) -> DataFrame:
+    """The most similar anchor within ``days`` of each item, or of all anchors if none is near.
 
     ``items`` has item_id, day and v, ``anchors`` anchor_id, day (or null) and v.
-    Days meet in buckets of ``width`` days, so only neighbouring days are compared.
+    Days meet in buckets of ``width`` days, so only neighbouring days are
+    compared. Undated anchors, and the anchors of items without a near one, are
+    broadcast while they are counted to be at most ``broadcast_rows``; beyond,
+    items and anchors meet where they lie on one side of ``bits`` random planes,
+    in any of ``tables`` sets of planes, so that unlike anchors may be missed.
+    Below the threshold an item begins a thread of its own (``new_thread``).
     """
     cosine = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x))
@@ -108,12 +138,26 @@ def nearest_anchor(items: DataFrame, anchors: DataFrame, days: int = 14, thresho
     left = i.withColumn("b", F.explode(F.array(bucket("day") - 1, bucket("day"), bucket("day") + 1)))
     dated = left.join(a.where("anchor_day is not null").withColumn("b", bucket("anchor_day")), "b").where(F.abs(F.datediff("day", "anchor_day")) <= days).drop("b")
     alone = i.join(dated.select("item_id").distinct(), "item_id", "left_anti")
-    undated = i.join(F.broadcast(a.where("anchor_day is null")))
-    every = alone.join(F.broadcast(a.where("anchor_day is not null")))
+
+    def side(v: Column, table: int) -> Column:
+        # the sign of the product with a plane whose components are -1 or 1 by a hash
+        plane = lambda k: F.aggregate(F.transform(v, lambda x, j: x.cast("double") * (F.pmod(F.xxhash64(F.lit(table * 64 + k), j), F.lit(2)) * 2 - 1)), F.lit(0.0), lambda s, x: s + x)
+        return F.concat(F.lit(f"{table}:"), *[F.when(plane(k) >= 0, "1").otherwise("0") for k in range(bits)])
+
+    def meet(some: DataFrame, targets: DataFrame) -> DataFrame:
+        if targets.count() <= broadcast_rows:
+            return some.join(F.broadcast(targets))
+        sides = lambda c: F.explode(F.array(*[side(F.col(c), k) for k in range(tables)])).alias("side")
+        met = some.select("item_id", sides("v")).join(targets.select("anchor_id", sides("w")), "side").select("item_id", "anchor_id").distinct()
+        return met.join(some, "item_id").join(targets, "anchor_id").select(*some.columns, *targets.columns)
+
+    undated, every = meet(i, a.where("anchor_day is null")), meet(alone, a.where("anchor_day is not null"))
     sim = F.round(F.try_divide(cosine(F.col("v"), F.col("w")), F.col("nv") * F.col("nw")), 6)
     scored = dated.unionByName(undated).unionByName(every).select("item_id", "anchor_id", sim.alias("sim"))
     best = scored.groupBy("item_id").agg(F.max(F.struct("sim", (-F.col("anchor_id")).alias("m"))).alias("best"))
-    return best.select("item_id", F.when(F.col("best.sim") >= threshold, -F.col("best.m")).alias("anchor_id"), F.col("best.sim").alias("sim"))
+    placed = F.col("best.sim") >= threshold
+    out = items.select("item_id").join(best, "item_id", "left")
+    return out.select("item_id", F.when(placed, -F.col("best.m")).alias("anchor_id"), F.col("best.sim").alias("sim"), F.when(~F.coalesce(placed, F.lit(False)), F.concat(F.lit("single-"), F.col("item_id").cast("string"))).alias("new_thread"))
 
 
 def skeleton_exact(skeleton: DataFrame, pool: DataFrame) -> DataFrame:
@@ -134,15 +178,19 @@ def prefix_map(sheet: DataFrame, openers: DataFrame, texts: DataFrame, width: in
     # the longest word inside the key; its first and last may be parts of words
     word = F.expr("get(array_sort(slice(split(key, ' '), 2, greatest(size(split(key, ' ')) - 2, 0)), (a, b) -> case when length(a) <> length(b) then length(b) - length(a) when a < b then -1 when a > b then 1 else 0 end), 0)")
     spoken = texts.select("conversation_id", F.lower(F.trim(F.regexp_replace("content", r"[ \t\n\r\f]+", " "))).alias("body"))
-    words = spoken.select("conversation_id", "body", F.explode(F.array_distinct(F.split("body", " "))).alias("word"))
-    two = rest.withColumn("word", word).join(words, "word").where(F.col("body").contains(F.col("key"))).select("pos", "conversation_id", F.lit(2).alias("pass")).distinct()
+    spoken = spoken.withColumn("body_id", F.xxhash64("conversation_id", "body"))
+    words = spoken.select("body_id", F.explode(F.array_distinct(F.split("body", " "))).alias("word")).distinct()
+    met = rest.withColumn("word", word).join(words, "word").groupBy("body_id").agg(F.collect_set(F.struct("pos", "key")).alias("s"))
+    pairs = spoken.join(met, "body_id").select("conversation_id", "body", F.inline("s"))
+    two = pairs.where(F.col("body").contains(F.col("key"))).select("pos", "conversation_id", F.lit(2).alias("pass")).distinct()
     return one.unionByName(two)
 
 
 def ambiguity_pairing(hits: DataFrame) -> DataFrame:
     """Candidate pairs (pos, project, conversation_id, row_day, conv_day, key): one to one, paired by date rank, or refused."""
     w = Window.partitionBy("key")
-    rows = hits.withColumn("n_rows", F.size(F.collect_set("pos").over(w))).withColumn("n_conv", F.size(F.collect_set("conversation_id").over(w))).withColumn("n_proj", F.size(F.collect_set("project").over(w)))
+    n = hits.groupBy("key").agg(F.count_distinct("pos").alias("n_rows"), F.count_distinct("conversation_id").alias("n_conv"), F.count_distinct("project").alias("n_proj"))
+    rows = hits.join(n, "key")
     rank_row = F.dense_rank().over(w.orderBy("row_day", "pos"))
     rank_conv = F.dense_rank().over(w.orderBy("conv_day", "conversation_id"))
     out = rows.withColumn("rr", rank_row).withColumn("rc", rank_conv)
@@ -157,7 +205,7 @@ def reconcile_both_ways(mapped: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def title_coherence(left: DataFrame, right: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Pairs of equal normalised titles, then the best word overlap of each left title still alone."""
+    """Pairs of equal normalised titles, then the best word overlap of each left title still alone, then what is left on either side."""
     norm = lambda df, p: df.select(F.col("id").alias(f"{p}_id"), F.trim(F.regexp_replace(F.lower("title"), r"[^a-z0-9]+", " ")).alias(f"{p}_title"))
     a, b = norm(left, "l"), norm(right, "r")
     exact = a.join(b, F.col("l_title") == F.col("r_title")).select("l_id", "r_id", F.lit(1.0).alias("score"))
@@ -168,7 +216,11 @@ def title_coherence(left: DataFrame, right: DataFrame, threshold: float = 0.5) -
         .groupBy("l_id", "r_id").agg(F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     )
     near = shared.select("l_id", "r_id", F.round(F.col("c") / (F.col("na") + F.col("nb") - F.col("c")), 6).alias("score")).where(F.col("score") >= threshold)
-    return exact.unionByName(latest(near, ["l_id"], [F.col("score").desc(), F.col("r_id")]))
+    pairs = exact.unionByName(latest(near, ["l_id"], [F.col("score").desc(), F.col("r_id")]))
+    none = F.lit(None).cast("double").alias("score")
+    only_l = a.join(pairs.select("l_id"), "l_id", "left_anti").select("l_id", F.lit(None).cast("long").alias("r_id"), none)
+    only_r = b.join(pairs.select("r_id"), "r_id", "left_anti").select(F.lit(None).cast("long").alias("l_id"), "r_id", none)
+    return pairs.unionByName(only_l).unionByName(only_r)
 
 
 def snapshot_diff(docs: DataFrame, fields: Sequence[str] = ("bytes", "words", "headings")) -> DataFrame:
@@ -181,6 +233,17 @@ def snapshot_diff(docs: DataFrame, fields: Sequence[str] = ("bytes", "words", "h
     return sides.withColumn("change", change).where("change is not null").select("name", "path", "change")
 
 
+def snapshot_projects(projects: DataFrame) -> DataFrame:
+    """Projects (snapshot_date, name, latest_hash) added, removed, or with a moved head between the two newest snapshots."""
+    return snapshot_diff(projects.withColumn("path", F.lit("")), ["latest_hash"]).select("name", F.when(F.col("change") == "changed", "moved").otherwise(F.col("change")).alias("change"))
+
+
+def snapshot_commits(commits: DataFrame, projects: DataFrame) -> DataFrame:
+    """Commits (snapshot_date, name, hash) of projects with a moved head that the previous snapshot does not have."""
+    new = snapshot_diff(commits.withColumnRenamed("hash", "path"), ["path"]).where("change = 'added'").select("name", F.col("path").alias("hash"))
+    return new.join(snapshot_projects(projects).where("change = 'moved'"), "name", "left_semi")
+
+
 def drift(trail: DataFrame, built: DataFrame, window: int = 30) -> DataFrame:
     """Alerts per project from its talk (project, latest, present) and its build activity (project, new_commits)."""
     newest = trail.agg(F.max("latest").alias("newest"))
@@ -204,6 +267,13 @@ def vault_rollup(projects: DataFrame, threads: DataFrame, messages: DataFrame, k
     return projects.join(per, key, "left").select(*projects.columns, zero("threads"), zero("substantive"), zero("messages"), F.col("latest"))
 
 
+def vault_maps(threads: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Counts of a store as (kind, key, n): threads per account and per confidence, unlinked threads per account, evidence per signal."""
+    tally = lambda df, kind, col: df.groupBy(F.coalesce(F.col(col), F.lit("none")).alias("key")).agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "key", "n")
+    unlinked = threads.where("project_link is null")
+    return tally(threads, "account", "account").unionByName(tally(threads, "confidence", "project_confidence")).unionByName(tally(unlinked, "unlinked", "account")).unionByName(tally(evidence, "signal", "signal"))
+
+
 def project_trail(threads: DataFrame, evidence: DataFrame) -> DataFrame:
     """Per linked project: threads, true latest, best confidence and dominant signal."""
     rank = F.when(F.col("project_confidence") == "manual", 0).when(F.col("project_confidence") == "exact", 1).when(F.col("project_confidence") == "evidence", 2).when(F.col("project_confidence") == "fuzzy", 3).otherwise(4)
@@ -234,9 +304,17 @@ def linked_thread(threads: DataFrame) -> DataFrame:
 
 
 def registry_assemble(curated: DataFrame, found: DataFrame) -> DataFrame:
-    """Curated entries with the facts of the repositories found; entries unseen stay, repositories unclaimed are added."""
-    joined = curated.join(found, "name", "full")
-    return joined.select("name", F.coalesce("project", F.concat(F.lit("auto-"), F.lower("name"))).alias("project"), F.col("bytes").isNotNull().alias("present"), F.col("project").isNotNull().alias("curated"), F.col("bytes"))
+    """Curated entries (name, project, aliases, suppress) with the facts of the repositories found (name, bytes, aliases).
+
+    Entries unseen stay, repositories unclaimed are added; aliases of both sides
+    are joined in normal form, without those that the entry suppresses.
+    """
+    none = F.array().cast("array<string>")
+    plain = lambda c: F.transform(F.coalesce(c, none), lambda x: F.regexp_replace(F.lower(x), r"[^a-z0-9]+", ""))
+    f = found.select("name", "bytes", F.col("aliases").alias("found_aliases"))
+    joined = curated.join(f, "name", "full")
+    aliases = F.array_sort(F.array_except(F.array_union(plain(F.col("aliases")), plain(F.col("found_aliases"))), plain(F.col("suppress"))))
+    return joined.select("name", F.coalesce("project", F.concat(F.lit("auto-"), F.lower("name"))).alias("project"), F.col("bytes").isNotNull().alias("present"), F.col("project").isNotNull().alias("curated"), "bytes", aliases.alias("aliases"))
 
 
 def registry_merge(old: DataFrame, new: DataFrame) -> DataFrame:

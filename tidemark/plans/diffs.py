@@ -55,7 +55,8 @@ def jn_alias_hits(t):
 
 
 @query("""WITH k AS (SELECT DISTINCT string_split(host, '.')[1] AS project, lower(string_split(host, '.')[1]) AS key FROM (SELECT regexp_extract(url, '://([^/]+)', 1) AS host FROM pages)),
-  h AS (SELECT DISTINCT page_id AS session_id, unnest(list_filter(regexp_split_to_array(replace(url, '.', '/'), '[\\\\/:]+'), lambda x: x <> '')) AS seg FROM pages)
+  sg AS (SELECT page_id, list_filter(regexp_split_to_array(replace(url, '.', '/'), '[\\\\/:]+'), lambda x: x <> '') AS s FROM pages),
+  h AS (SELECT page_id AS session_id, unnest(list_concat(s, list_transform(range(1, len(s) + 1), lambda i: s[i] || coalesce(s[i + 1], '')))) AS seg FROM sg)
   SELECT session_id, min(project) AS project FROM (SELECT session_id, regexp_replace(lower(seg), '[-_ ./\\\\]+', '', 'g') AS key FROM h) JOIN k USING (key) GROUP BY 1 HAVING count(DISTINCT project) = 1""")
 def jn_cwd_attribution(t):
     host = F.split_part(F.regexp_extract("url", "://([^/]+)", 1), F.lit("."), F.lit(1))
@@ -63,14 +64,16 @@ def jn_cwd_attribution(t):
     return joins.cwd_attribution(t.pages.select(F.col("page_id").alias("session_id"), F.replace("url", F.lit("."), F.lit("/")).alias("cwd")), keys)
 
 
-@query("""WITH p AS (SELECT 'p' || p_partkey::VARCHAR AS project_id, p_type AS name, CASE WHEN p_partkey % 2 = 0 THEN p_brand END AS template FROM part WHERE p_partkey <= 60),
-  th AS (SELECT p_partkey AS thread_id, CASE WHEN p_partkey % 3 = 0 THEN p_brand || ' x' ELSE p_type END AS title FROM part),
-  b AS (SELECT thread_id, project_id, 1 AS rule FROM th JOIN p ON title = name UNION ALL SELECT thread_id, project_id, 2 FROM th JOIN p ON starts_with(title, template))
+@query("""WITH p AS (SELECT 'p' || p_partkey::VARCHAR AS project_id, p_type || ' ' || (p_partkey % 50)::VARCHAR AS name, CASE WHEN p_partkey % 2 = 0 THEN p_name END AS template FROM part),
+  th AS (SELECT p_partkey AS thread_id, p_type || ' ' || (p_partkey % 90)::VARCHAR AS title, 'about ' || p_name || p_brand || ' and more' AS first_text FROM part),
+  b AS (SELECT thread_id, project_id, 1 AS rule FROM th JOIN p ON title = name UNION ALL SELECT thread_id, project_id, 2 FROM th JOIN p ON contains(first_text, template))
   SELECT thread_id, project_id, rule FROM (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY rule, project_id) AS rn FROM b) WHERE rn = 1""")
 def jn_exact_link(t):
-    projects = t.part.where("p_partkey <= 60").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("project_id"), F.col("p_type").alias("name"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")).alias("template"))
-    title = F.when(F.col("p_partkey") % 3 == 0, F.concat("p_brand", F.lit(" x"))).otherwise(F.col("p_type"))
-    return joins.exact_link(t.part.select(F.col("p_partkey").alias("thread_id"), title.alias("title")), projects)
+    k = F.col("p_partkey")
+    numbered = lambda n: F.concat("p_type", F.lit(" "), (k % n).cast("string"))
+    projects = t.part.select(F.concat(F.lit("p"), k.cast("string")).alias("project_id"), numbered(50).alias("name"), F.when(k % 2 == 0, F.col("p_name")).alias("template"))
+    threads = t.part.select(k.alias("thread_id"), numbered(90).alias("title"), F.concat(F.lit("about "), "p_name", "p_brand", F.lit(" and more")).alias("first_text"))
+    return joins.exact_link(threads, projects)
 
 
 BURSTS = """b AS (SELECT project, min(d) AS "from", max(d) AS "to" FROM (SELECT *, sum(brk) OVER (PARTITION BY project ORDER BY d) AS g FROM (SELECT *, CASE WHEN d - lag(d) OVER (PARTITION BY project ORDER BY d) > 7 THEN 1 ELSE 0 END AS brk
@@ -88,23 +91,25 @@ def jn_time_window(t):
     return joins.time_plausibility(threads, bursts(t.commits.select("project", F.to_date("ts").alias("day"))))
 
 
-@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, DATE '2024-01-01' + (vec_id % 60)::INT AS day FROM embeddings), a AS (SELECT vec_id AS anchor_id, v, CASE WHEN vec_id % 40 <> 0 THEN day END AS day FROM e WHERE vec_id % 20 = 0), i AS (SELECT * FROM e WHERE vec_id % 20 = 1),
+@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, DATE '2024-01-01' + (vec_id % 60)::INT AS day FROM embeddings), a AS (SELECT vec_id AS anchor_id, v, CASE WHEN vec_id % 40 <> 0 THEN day END AS day FROM e WHERE vec_id % 20 = 0), i AS (SELECT * FROM e WHERE vec_id % 20 <> 0),
   near AS (SELECT DISTINCT vec_id FROM i JOIN a ON a.day IS NOT NULL AND abs(i.day - a.day) <= 14), j AS (SELECT i.vec_id AS item_id, anchor_id, round(list_dot_product(i.v, a.v) / (sqrt(list_dot_product(i.v, i.v)) * sqrt(list_dot_product(a.v, a.v))), 6) AS sim
   FROM i JOIN a ON a.day IS NULL OR abs(i.day - a.day) <= 14 OR i.vec_id NOT IN (SELECT vec_id FROM near))
-  SELECT item_id, CASE WHEN sim >= 0.2 THEN anchor_id END AS anchor_id, sim FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY sim DESC, anchor_id) AS rn FROM j) WHERE rn = 1""")
+  SELECT item_id, CASE WHEN sim >= 0.2 THEN anchor_id END AS anchor_id, sim, CASE WHEN sim < 0.2 THEN 'single-' || item_id::VARCHAR END AS new_thread FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY sim DESC, anchor_id) AS rn FROM j) WHERE rn = 1""")
 def jn_nearest_anchor(t):
     day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("vec_id") % 60).cast("int"))
     e = t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("v"), day.alias("day"))
     anchors = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("anchor_id"), F.when(F.col("vec_id") % 40 != 0, F.col("day")).alias("day"), "v")
-    return joins.nearest_anchor(e.where("vec_id % 20 = 1").withColumnRenamed("vec_id", "item_id"), anchors, threshold=0.2)
+    return joins.nearest_anchor(e.where("vec_id % 20 <> 0").withColumnRenamed("vec_id", "item_id"), anchors, threshold=0.2)
 
 
-@query("""WITH s AS (SELECT *, row_number() OVER (PARTITION BY role, k ORDER BY thread_id, seq) AS n FROM (SELECT *, trim(regexp_replace(substr(content, 1, 3), '[ \\t\\n\\r\\f]+', ' ', 'g')) AS k FROM messages WHERE thread_id % 2 = 0)),
-  p AS (SELECT *, row_number() OVER (PARTITION BY role, k ORDER BY thread_id * 1000 + seq) AS n FROM (SELECT *, trim(regexp_replace(substr(content, 1, 3), '[ \\t\\n\\r\\f]+', ' ', 'g')) AS k FROM messages WHERE thread_id % 2 = 1))
+@query("""WITH s AS (SELECT *, row_number() OVER (PARTITION BY role, k ORDER BY thread_id, seq) AS n FROM (SELECT *, trim(regexp_replace(content, '[ \\t\\n\\r\\f]+', ' ', 'g')) AS k FROM messages)),
+  p AS (SELECT *, row_number() OVER (PARTITION BY role, k ORDER BY thread_id * 1000 + seq) AS n FROM (SELECT *, trim(regexp_replace(CASE WHEN thread_id % 3 = 0 THEN content || '!' ELSE content END, '[ \\t\\n\\r\\f]+', ' ', 'g')) AS k FROM messages))
   SELECT s.thread_id AS skeleton_id, s.seq AS idx, p.thread_id * 1000 + p.seq AS pool_id FROM s LEFT JOIN p USING (role, k, n)""")
 def jn_skeleton_exact(t):
-    m = t.messages.withColumn("content", F.substring("content", 1, 3))
-    return joins.skeleton_exact(m.where("thread_id % 2 = 0").select(F.col("thread_id").alias("skeleton_id"), F.col("seq").alias("idx"), "role", "content"), m.where("thread_id % 2 = 1").select((F.col("thread_id") * 1000 + F.col("seq")).alias("pool_id"), "role", "content"))
+    m = t.messages
+    spaced = F.replace("content", F.lit(" "), F.lit("  "))
+    pool = m.select((F.col("thread_id") * 1000 + F.col("seq")).alias("pool_id"), "role", F.when(F.col("thread_id") % 3 == 0, F.concat(spaced, F.lit("!"))).otherwise(spaced).alias("content"))
+    return joins.skeleton_exact(m.select(F.col("thread_id").alias("skeleton_id"), F.col("seq").alias("idx"), "role", "content"), pool)
 
 
 @query("""WITH n AS (SELECT thread_id AS conversation_id, seq, lower(trim(regexp_replace(content, '[ \\t\\n\\r\\f]+', ' ', 'g'))) AS body FROM messages), s AS (SELECT conversation_id * 1000 + seq AS pos, substr(CASE WHEN conversation_id % 2 = 0 THEN body ELSE substr(body, 1, 80) END, 1, 200) AS key FROM n WHERE seq <= 1),
@@ -137,8 +142,9 @@ def jn_reconcile_both_ways(t):
 
 @query("""WITH a AS (SELECT p_partkey AS id, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS title FROM part WHERE p_partkey % 2 = 0), b AS (SELECT p_partkey AS id, trim(regexp_replace(lower(CASE WHEN p_partkey % 9 = 0 THEN p_name ELSE p_type || ' ' || p_name END), '[^a-z0-9]+', ' ', 'g')) AS title FROM part WHERE p_partkey % 3 = 0),
   e AS (SELECT a.id AS l_id, b.id AS r_id, 1.0::DOUBLE AS score FROM a JOIN b USING (title)), ra AS (SELECT id, list_distinct(string_split(title, ' ')) AS w FROM a WHERE id NOT IN (SELECT l_id FROM e)), rb AS (SELECT id, list_distinct(string_split(title, ' ')) AS w FROM b WHERE id NOT IN (SELECT r_id FROM e)),
-  n AS (SELECT ra.id AS l_id, rb.id AS r_id, round(len(list_intersect(ra.w, rb.w))::DOUBLE / (len(ra.w) + len(rb.w) - len(list_intersect(ra.w, rb.w))), 6) AS score FROM ra, rb)
-  SELECT * FROM e UNION ALL SELECT l_id, r_id, score FROM (SELECT *, row_number() OVER (PARTITION BY l_id ORDER BY score DESC, r_id) AS rn FROM n WHERE score >= 0.5) WHERE rn = 1""")
+  n AS (SELECT ra.id AS l_id, rb.id AS r_id, round(len(list_intersect(ra.w, rb.w))::DOUBLE / (len(ra.w) + len(rb.w) - len(list_intersect(ra.w, rb.w))), 6) AS score FROM ra, rb),
+  pr AS (SELECT * FROM e UNION ALL SELECT l_id, r_id, score FROM (SELECT *, row_number() OVER (PARTITION BY l_id ORDER BY score DESC, r_id) AS rn FROM n WHERE score >= 0.5) WHERE rn = 1)
+  SELECT * FROM pr UNION ALL SELECT id, NULL, NULL FROM a WHERE id NOT IN (SELECT l_id FROM pr) UNION ALL SELECT NULL, id, NULL FROM b WHERE id NOT IN (SELECT r_id FROM pr)""")
 def jn_title_coherence(t):
     right = F.when(F.col("p_partkey") % 9 == 0, F.col("p_name")).otherwise(F.concat_ws(" ", "p_type", "p_name"))
     return joins.title_coherence(t.part.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title")), t.part.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("id"), right.alias("title")))
@@ -158,6 +164,39 @@ def jn_snapshot_diff(t):
     return joins.snapshot_diff(s.select("snapshot_date", F.col("project").alias("name"), F.col("doc_id").cast("string").alias("path"), (F.col("bytes") + bump).alias("bytes"), (F.col("doc_id") % 7).alias("words"), (F.col("doc_id") % 3).alias("headings")))
 
 
+HEADS = """hd AS (SELECT CASE WHEN n = 0 THEN '2024-01-01' WHEN n = 1 THEN '2024-01-08' ELSE '2023-12-01' END AS snapshot_date, s_name AS name, s_suppkey AS k, n, 'h' || (s_suppkey * 10 + CASE WHEN n = 1 AND s_suppkey % 3 = 0 THEN 1 ELSE 0 END)::VARCHAR AS latest_hash
+  FROM supplier, range(0, 3) r(n) WHERE NOT (n = 0 AND s_suppkey % 7 = 0) AND NOT (n = 1 AND s_suppkey % 5 = 0)),
+  pd AS (SELECT coalesce(o.name, w.name) AS name, CASE WHEN o.name IS NULL THEN 'added' WHEN w.name IS NULL THEN 'removed' WHEN o.latest_hash <> w.latest_hash THEN 'moved' END AS change FROM (SELECT * FROM hd WHERE n = 0) o FULL JOIN (SELECT * FROM hd WHERE n = 1) w ON o.name = w.name)"""
+
+
+def heads(t):
+    days = F.array(*[F.struct(F.lit(i).alias("n"), F.lit(d).alias("snapshot_date")) for i, d in enumerate(("2024-01-01", "2024-01-08", "2023-12-01"))])
+    k = F.col("s_suppkey")
+    s = t.supplier.select(k, F.col("s_name").alias("name"), F.inline(days)).where("not (n = 0 and s_suppkey % 7 = 0) and not (n = 1 and s_suppkey % 5 = 0)")
+    moved = F.when((F.col("n") == 1) & (k % 3 == 0), 1).otherwise(0)
+    return s.withColumn("latest_hash", F.concat(F.lit("h"), (k * 10 + moved).cast("string")))
+
+
+@query(f"WITH {HEADS} SELECT name, change FROM pd WHERE change IS NOT NULL", name="jn_snapshot_diff_projects")
+def jn_snapshot_diff_projects(t):
+    return joins.snapshot_projects(heads(t).select("snapshot_date", "name", "latest_hash"))
+
+
+@query(f"""WITH {HEADS}, c AS (SELECT snapshot_date, name, n, 'h' || (k * 10 + j)::VARCHAR AS hash FROM hd, range(0, 2) g(j) WHERE n = 1 OR j = 0) SELECT w.name, w.hash FROM c w WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM c o WHERE o.n = 0 AND o.name = w.name AND o.hash = w.hash)
+  AND name IN (SELECT name FROM pd WHERE change = 'moved')""", name="jn_snapshot_diff_commits")
+def jn_snapshot_diff_commits(t):
+    h = heads(t)
+    c = h.select("snapshot_date", "name", "n", "s_suppkey", F.explode(F.array(F.lit(0), F.lit(1))).alias("j")).where("n = 1 or j = 0")
+    commits = c.select("snapshot_date", "name", F.concat(F.lit("h"), (F.col("s_suppkey") * 10 + F.col("j")).cast("string")).alias("hash"))
+    return joins.snapshot_commits(commits, h.select("snapshot_date", "name", "latest_hash"))
+
+
+@query("""SELECT 'account' AS kind, account AS key, count(*) AS n FROM threads GROUP BY 2 UNION ALL SELECT 'confidence', coalesce(project_confidence, 'none'), count(*) FROM threads GROUP BY 2
+  UNION ALL SELECT 'unlinked', account, count(*) FROM threads WHERE project_link IS NULL GROUP BY 2 UNION ALL SELECT 'signal', signal, count(*) FROM evidence GROUP BY 2""", name="jn_vault_rollup_maps")
+def jn_vault_rollup_maps(t):
+    return joins.vault_maps(t.threads, t.evidence)
+
+
 @query("""WITH tr AS (SELECT project_link AS project, max(updated_at)::DATE AS latest, min(thread_id) % 3 > 0 AS present FROM threads WHERE project_link IS NOT NULL GROUP BY 1), bu AS (SELECT 'p' || n_nationkey::VARCHAR AS project, count(s_suppkey) AS new_commits FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_suppkey % 2 = 0 GROUP BY 1),
   j AS (SELECT coalesce(tr.project, bu.project) AS project, latest, coalesce(present, false) AS present, coalesce(new_commits, 0) AS c, coalesce((SELECT max(latest) FROM tr) - latest <= 30, false) AS recent FROM tr FULL JOIN bu ON tr.project = bu.project)
   SELECT project, 'discussed_not_present' AS alert FROM j WHERE latest IS NOT NULL AND NOT present UNION ALL SELECT project, 'talked_not_built' FROM j WHERE recent AND present AND c = 0 UNION ALL SELECT project, 'built_not_discussed' FROM j WHERE NOT recent AND c > 0""")
@@ -195,11 +234,16 @@ def jn_linked_thread(t):
     return joins.linked_thread(t.threads)
 
 
-@query("""WITH c AS (SELECT s_name AS name, 'p' || s_nationkey::VARCHAR AS project FROM supplier WHERE s_suppkey % 3 > 0), f AS (SELECT s_name AS name, s_suppkey * 10 AS bytes FROM supplier WHERE s_suppkey % 4 > 0)
-  SELECT coalesce(c.name, f.name) AS name, coalesce(project, 'auto-' || lower(f.name)) AS project, bytes IS NOT NULL AS present, project IS NOT NULL AS curated, bytes FROM c FULL JOIN f ON c.name = f.name""")
+@query("""WITH c AS (SELECT s_name AS name, 'p' || s_nationkey::VARCHAR AS project, [s_name, 'Old ' || s_nationkey::VARCHAR] AS al, CASE WHEN s_suppkey % 2 = 0 THEN ['OLD-' || s_nationkey::VARCHAR] END AS su FROM supplier WHERE s_suppkey % 3 > 0),
+  f AS (SELECT s_name AS name, s_suppkey * 10 AS bytes, ['repo_' || s_suppkey::VARCHAR, s_name] AS al FROM supplier WHERE s_suppkey % 4 > 0),
+  j AS (SELECT coalesce(c.name, f.name) AS name, coalesce(project, 'auto-' || lower(f.name)) AS project, bytes IS NOT NULL AS present, project IS NOT NULL AS curated, bytes,
+  list_transform(list_concat(coalesce(c.al, []), coalesce(f.al, [])), lambda x: regexp_replace(lower(x), '[^a-z0-9]+', '', 'g')) AS al, list_transform(coalesce(c.su, []), lambda x: regexp_replace(lower(x), '[^a-z0-9]+', '', 'g')) AS su FROM c FULL JOIN f ON c.name = f.name)
+  SELECT name, project, present, curated, bytes, array_to_string(list_sort(list_distinct(list_filter(al, lambda x: NOT list_contains(su, x)))), ',') AS aliases FROM j""")
 def jn_registry_assemble(t):
-    s = t.supplier
-    return joins.registry_assemble(s.where("s_suppkey % 3 > 0").select(F.col("s_name").alias("name"), F.concat(F.lit("p"), F.col("s_nationkey").cast("string")).alias("project")), s.where("s_suppkey % 4 > 0").select(F.col("s_name").alias("name"), (F.col("s_suppkey") * 10).alias("bytes")))
+    s, k, n = t.supplier, F.col("s_suppkey"), F.col("s_nationkey").cast("string")
+    curated = s.where("s_suppkey % 3 > 0").select(F.col("s_name").alias("name"), F.concat(F.lit("p"), n).alias("project"), F.array("s_name", F.concat(F.lit("Old "), n)).alias("aliases"), F.when(k % 2 == 0, F.array(F.concat(F.lit("OLD-"), n))).alias("suppress"))
+    found = s.where("s_suppkey % 4 > 0").select(F.col("s_name").alias("name"), (k * 10).alias("bytes"), F.array(F.concat(F.lit("repo_"), k.cast("string")), "s_name").alias("aliases"))
+    return joins.registry_assemble(curated, found).withColumn("aliases", F.array_join("aliases", ","))
 
 
 @query("""WITH o AS (SELECT p_partkey AS id, make_date(2020, 1 + p_size % 12, 1) AS s, [p_brand, p_type] AS a, p_size % 2 = 0 AS m FROM part WHERE p_partkey % 3 > 0), n AS (SELECT p_partkey AS id, make_date(2020, 1 + p_partkey % 12, 1) AS s, [p_brand, p_name] AS a FROM part WHERE p_partkey % 4 > 0)

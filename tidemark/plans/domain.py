@@ -23,8 +23,8 @@ VIEWS: dict[str, str] = {
   CASE conv_id % 6 WHEN 0 THEN 'none' WHEN 1 THEN 'manual' WHEN 2 THEN 'exact' WHEN 3 THEN 'evidence' WHEN 4 THEN 'fuzzy' END AS project_confidence,
   conv_id % 11 = 0 AS suggested_close FROM conversations GROUP BY conv_id""",
     "projects": "SELECT 'p' || CAST(n_nationkey AS STRING) AS project_id, n_name AS name, n_regionkey AS program FROM nation",
-    "registry": """SELECT 'g' || CAST(r_regionkey AS STRING) AS id, 'program' AS tier, r_name AS canonical_name, NULL AS program, NULL AS project FROM region
-  UNION ALL SELECT 'p' || CAST(n_nationkey AS STRING), 'project', n_name, 'g' || CAST(n_regionkey AS STRING), NULL FROM nation
+    "registry": """SELECT 'g' || CAST(r_regionkey AS STRING) AS id, 'program' AS tier, r_name AS canonical_name, CAST(NULL AS STRING) AS program, CAST(NULL AS STRING) AS project FROM region
+  UNION ALL SELECT 'p' || CAST(n_nationkey AS STRING), 'project', n_name, 'g' || CAST(n_regionkey AS STRING), CAST(NULL AS STRING) FROM nation
   UNION ALL SELECT 'r' || CAST(s_suppkey AS STRING), 'repo', s_name, 'g' || CAST(n_regionkey AS STRING), 'p' || CAST(n_nationkey AS STRING) FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
     "files": """SELECT page_id AS file_id, regexp_extract(url, '://([^/]+)', 1) AS project, regexp_extract(url, '://[^/]+/(.*)$', 1) AS path,
   CAST(length(html) AS BIGINT) AS bytes, html AS content,
@@ -34,9 +34,10 @@ VIEWS: dict[str, str] = {
   text AS content, CAST(length(text) AS BIGINT) AS bytes FROM documents""",
     "commits": """SELECT 'c' || CAST(o_custkey % 40 AS STRING) AS project, substr(md5(CAST(o_orderkey AS STRING)), 1, 12) AS hash, CAST(o_orderdate AS TIMESTAMP) AS ts,
   o_orderpriority AS author, o_orderstatus AS subject FROM orders""",
-    "evidence": """SELECT l_orderkey * 10 + l_linenumber AS evidence_id, l_orderkey % 500 AS thread_id, 'r' || CAST(1 + l_suppkey % 10 AS STRING) AS project,
+    "evidence": """SELECT l_orderkey * 10 + l_linenumber AS evidence_id, l_orderkey % 500 AS thread_id,
+  CASE l_partkey % 4 WHEN 0 THEN 'p' || CAST(l_suppkey % 25 AS STRING) WHEN 1 THEN 'g' || CAST(l_suppkey % 5 AS STRING) ELSE 'r' || CAST(1 + l_suppkey % 10 AS STRING) END AS project,
   CASE l_linenumber % 4 WHEN 0 THEN 'filename_xref' WHEN 1 THEN 'path_mention' WHEN 2 THEN 'name_alias' ELSE 'vocabulary' END AS signal,
-  round(l_discount * 9, 4) AS weight, 'o' || CAST(l_partkey % 12 AS STRING) AS origin FROM lineitem WHERE l_orderkey % 3 = 0""",
+  round(l_discount * 9, 4) AS weight, 'o' || CAST(l_partkey % 12 AS STRING) AS origin FROM lineitem""",
     "queue": """SELECT o_orderkey AS item_id, CASE o_orderkey % 3 WHEN 0 THEN 'project_link' WHEN 1 THEN 'link_ambiguous' ELSE 'link_downgrade' END AS type, o_orderkey % 97 AS thread_id,
   round(o_totalprice / 600000, 4) AS confidence, CASE o_orderstatus WHEN 'O' THEN 'pending' WHEN 'F' THEN 'confirmed' ELSE 'rejected' END AS status,
   'p' || CAST(o_custkey % 25 AS STRING) AS candidate_project, CASE WHEN o_orderkey % 3 = 1 THEN 'p' || CAST((o_custkey + 7) % 25 AS STRING) END AS rival_project FROM orders""",
