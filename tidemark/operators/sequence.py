@@ -11,11 +11,19 @@ from pyspark.sql import functions as F
 from ..functions.core import latest
 
 
-def bursts(days: DataFrame, gap: int = 7) -> DataFrame:
-    """Distinct days of each project as islands without a gap of more than ``gap`` days."""
+def bursts(days: DataFrame, gap: int = 7, first_seen: DataFrame | None = None) -> DataFrame:
+    """Distinct days of each project as islands without a gap of more than ``gap`` days.
+
+    A project's earliest island is widened to its ``first_seen`` (project,
+    first_seen), if that is earlier.
+    """
     w = Window.partitionBy("project").orderBy("day")
     marked = days.select("project", "day").distinct().withColumn("new", (F.coalesce(F.datediff("day", F.lag("day").over(w)), F.lit(0)) > gap).cast("int"))
-    return marked.withColumn("g", F.sum("new").over(w)).groupBy("project", "g").agg(F.min("day").alias("from"), F.max("day").alias("to"), F.count("*").alias("days")).drop("g")
+    out = marked.withColumn("g", F.sum("new").over(w)).groupBy("project", "g").agg(F.min("day").alias("from"), F.max("day").alias("to"), F.count("*").alias("days"))
+    if first_seen is not None:
+        seen = first_seen.groupBy("project").agg(F.min("first_seen").alias("seen"))
+        out = out.join(seen, "project", "left").withColumn("from", F.when(F.col("g") == 0, F.least("from", "seen")).otherwise(F.col("from"))).drop("seen")
+    return out.drop("g")
 
 
 def sessionize(rows: DataFrame, gap_s: int = 1800) -> DataFrame:
@@ -42,6 +50,21 @@ def fingerprint_groups(rows: DataFrame) -> DataFrame:
     return rows.where("hash is not null").select("id", F.concat(F.lit("batch-"), F.substring("hash", 1, 8)).alias("thread_id"), (F.row_number().over(w) - 1).alias("seq"))
 
 
+def fingerprint_threads(rows: DataFrame) -> DataFrame:
+    """The threads of ``fingerprint_groups`` (rows with content): title, times and the queue row that each one gets."""
+    first = F.min_by(F.coalesce("content", F.lit("")), F.struct("ts", "id"))
+    per = rows.where("hash is not null").groupBy("hash").agg(F.substring(first, 1, 60).alias("title"), F.min("ts").alias("created_at"), F.max("ts").alias("updated_at"), F.count("*").alias("n"))
+    title = F.coalesce(F.nullif("title", F.lit("")), F.lit("Untitled"))
+    return per.select(F.concat(F.lit("batch-"), F.substring("hash", 1, 8)).alias("thread_id"), title.alias("title"), "created_at", "updated_at", F.lit("thread_grouping").alias("type"), F.lit("pending").alias("status"), "n")
+
+
+def annotated(rows: DataFrame) -> DataFrame:
+    """All rows of an append-only map, each marked whether it is the current one of its key."""
+    key = F.coalesce(F.col("session_id") != "", F.lit(False))
+    last = F.row_number().over(Window.partitionBy("session_id").orderBy(F.col("pos").desc())) == 1
+    return rows.withColumn("is_current", key & last & (F.col("status") != "revoked"))
+
+
 def latest_wins(rows: DataFrame) -> DataFrame:
     """The last row of each key, unless it revokes the key."""
     return latest(rows.where("session_id is not null and session_id <> ''"), ["session_id"], [F.col("pos").desc()]).where("status <> 'revoked'")
@@ -96,19 +119,27 @@ def occurrences(events: DataFrame) -> DataFrame:
     )
 
 
-def latency_summary(found: DataFrame) -> DataFrame:
-    """Occurrences raised, ruled, resolved without a ruling, and the median hours to the first ruling."""
+def latency_summary(found: DataFrame, as_of: str | None = None) -> DataFrame:
+    """Occurrences raised, ruled, resolved without a ruling and still open, the median hours to the first ruling, and the days the oldest has been open.
+
+    ``as_of`` is the newest time in the table unless it is given.
+    """
     hours = (F.unix_timestamp("first_ruling") - F.unix_timestamp("opened")) / 3600.0
+    newest = F.max(F.greatest("opened", "resolved", "first_ruling"))
+    now = F.unix_timestamp(F.lit(as_of).cast("timestamp")) if as_of else F.unix_timestamp(newest)
+    oldest = F.unix_timestamp(F.min(F.when(F.col("resolved").isNull(), F.col("opened"))))
     return found.agg(
         F.count("*").alias("raised"), F.count("first_ruling").alias("ruled"), F.count_if(F.col("resolved").isNotNull() & F.col("first_ruling").isNull()).alias("resolved_unruled"),
-        F.count_if(F.col("resolved").isNull()).alias("still_open"), F.round(F.percentile(hours, F.lit(0.5)), 6).alias("median_hours"),
+        F.count_if(F.col("resolved").isNull()).alias("still_open"), F.round(F.percentile(hours, F.lit(0.5)), 6).alias("median_hours"), F.round((now - oldest) / 86400.0, 6).alias("oldest_open_days"),
     )
 
 
-def rolling_decay(rows: DataFrame, size: int = 4, pause: float = 0.75, resume: float = 0.9) -> DataFrame:
-    """Speed (1 / ms) of each unit against the median of the first ``size``; pausing starts below ``pause`` and ends at ``resume``.
+def rolling_decay(rows: DataFrame, size: int = 4, pause: float = 0.75, resume: float = 0.9, cap: int = 3) -> DataFrame:
+    """Speed (1 / ms) of each unit against the median of the first ``size``, and what follows from it.
 
-    The state after a row is that of the last row that crossed either line.
+    Pausing starts below ``pause`` and ends at ``resume``; after ``cap`` pauses
+    in a row the run goes on (``cap_reached``) until it has recovered. The
+    action of a row is observing, none, pause, cap_reached or resume.
     """
     w = Window.partitionBy("host").orderBy("ts", "pos", "ms")
     numbered = rows.withColumn("n", F.row_number().over(w)).withColumn("speed", 1.0 / F.col("ms"))
@@ -117,8 +148,19 @@ def rolling_decay(rows: DataFrame, size: int = 4, pause: float = 0.75, resume: f
     rolling = numbered.withColumn("near", near).withColumn("rolling", (half(0) + half(1)) / 2).drop("near")
     base = numbered.where(F.col("n") <= size).groupBy("host").agg(F.percentile("speed", F.lit(0.5)).alias("baseline"))
     out = rolling.join(base, "host").withColumn("ratio", F.when(F.col("n") >= size, F.col("rolling") / F.col("baseline")))
-    cross = F.when(F.col("ratio") < pause, "pause").when(F.col("ratio") >= resume, "run")
-    return out.withColumn("cross", cross).withColumn("state", F.coalesce(F.last("cross", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit("run"))).select("host", "pos", F.round("ratio", 6).alias("ratio"), "state")
+    # a slow stretch begins at a row below the lower line and ends at one above the upper
+    cross = F.when(F.col("ratio") < pause, 1).when(F.col("ratio") >= resume, 0)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    marked = out.withColumn("slow", F.coalesce(F.last(cross, ignorenulls=True).over(upto), F.lit(0)))
+    before = F.coalesce(F.lag("slow").over(w), F.lit(0))
+    marked = marked.withColumn("was", before).withColumn("stretch", F.sum(((F.col("slow") == 1) & (before == 0)).cast("int")).over(upto))
+    count = F.row_number().over(Window.partitionBy("host", "stretch", "slow").orderBy("ts", "pos", "ms"))
+    action = (
+        F.when(F.col("ratio").isNull(), "observing").when((F.col("slow") == 0) & (F.col("was") == 1), "resume").when(F.col("slow") == 0, "none")
+        .when(count <= cap, "pause").when(count == cap + 1, "cap_reached").otherwise("none")
+    )
+    state = F.when(F.col("slow") == 0, "run").when(count <= cap, "pause").otherwise("capped")
+    return marked.select("host", "pos", F.round("ratio", 6).alias("ratio"), state.alias("state"), action.alias("action"))
 
 
 def token_windows(messages: DataFrame, budget: int) -> DataFrame:
@@ -133,24 +175,31 @@ def token_windows(messages: DataFrame, budget: int) -> DataFrame:
 
 
 def batch_packing(items: DataFrame, small: int, budget: int, members: int) -> DataFrame:
-    """Small items (project, pos, tokens) packed in order into batches; a large one stands alone and ends the batch."""
+    """Small items (project, pos, tokens) packed in order into batches; a large one stands alone and ends the batch.
+
+    Each large item is a new start, so only the small ones between two of them
+    are folded together; running sums then number the batches of a project.
+    """
+    w = Window.partitionBy("project").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    runs = items.withColumn("large", F.col("tokens") > small).withColumn("run", F.sum(F.col("large").cast("int")).over(w))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
         batch, used, count, out = 0, 0, 0, []
         for n in pdf["tokens"]:
-            if n > small:
-                batch += count > 0
-                out.append(batch)
-                batch, used, count = batch + 1, 0, 0
-                continue
             if count and (used + n > budget or count >= members):
                 batch, used, count = batch + 1, 0, 0
             out.append(batch)
             used, count = used + n, count + 1
-        return pdf.assign(batch=out)[["project", "pos", "batch"]]
-
-    return items.groupBy("project").applyInPandas(pack, "project string, pos long, batch long")
+        return pdf.assign(local=out)[["project", "pos", "run", "local"]]
+
+    packed = runs.where("not large").select("project", "pos", "tokens", "run").groupBy("project", "run").applyInPandas(pack, "project string, pos long, run long, local long")
+    n = runs.groupBy("project", "run").agg(F.max(F.col("large").cast("long")).alias("own")).join(packed.groupBy("project", "run").agg((F.max("local") + 1).alias("b")), ["project", "run"], "left")
+    before = F.sum(F.col("own") + F.coalesce("b", F.lit(0))).over(Window.partitionBy("project").orderBy("run").rowsBetween(Window.unboundedPreceding, -1))
+    first = n.select("project", "run", "own", F.coalesce(before, F.lit(0)).alias("first"))
+    large = runs.where("large").select("project", "pos", "run", F.lit(None).cast("long").alias("local"))
+    out = packed.unionByName(large).join(first, ["project", "run"])
+    return out.select("project", "pos", (F.col("first") + F.coalesce(F.col("own") + F.col("local"), F.lit(0))).alias("batch"))
 
 
 def _fold(sizes: Iterable[int], budget: int) -> list[int]:

@@ -9,9 +9,12 @@ from .catalog import query
 from .diffs import BURSTS
 
 
-@query(f"""WITH {BURSTS} SELECT project, "from"::VARCHAR AS "from", "to"::VARCHAR AS "to" FROM b""")
+@query(f"""WITH {BURSTS}, s AS (SELECT 'c' || o_custkey::VARCHAR AS project, min(o_orderdate)::DATE - 400 AS seen FROM orders WHERE o_custkey < 40 AND o_custkey % 3 = 0 GROUP BY 1)
+  SELECT b.project, CASE WHEN "from" = min("from") OVER (PARTITION BY b.project) THEN least("from", seen) ELSE "from" END::VARCHAR AS "from", "to"::VARCHAR AS "to" FROM b LEFT JOIN s ON s.project = b.project""")
 def wn_bursts(t):
-    out = ops.bursts(t.commits.select("project", F.to_date("ts").alias("day")))
+    own = t.orders.where("o_custkey < 40 and o_custkey % 3 = 0").groupBy(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("project"))
+    seen = own.agg(F.date_sub(F.to_date(F.min("o_orderdate")), 400).alias("first_seen"))
+    out = ops.bursts(t.commits.select("project", F.to_date("ts").alias("day")), first_seen=seen)
     return out.select("project", F.col("from").cast("string").alias("from"), F.col("to").cast("string").alias("to"))
 
 
@@ -33,6 +36,20 @@ def wn_fingerprint_groups(t):
     return ops.fingerprint_groups(t.activity.select(F.col("event_id").alias("id"), "ts", h.alias("hash")))
 
 
+@query("""WITH a AS (SELECT *, md5(user_id::VARCHAR || event_type) AS h FROM activity WHERE event_id % 5 > 0) SELECT 'batch-' || substr(h, 1, 8) AS thread_id, CASE WHEN arg_min(c, (ts, event_id)) = '' THEN 'Untitled' ELSE arg_min(c, (ts, event_id)) END AS title, floor(epoch(min(ts)))::BIGINT AS created_at, floor(epoch(max(ts)))::BIGINT AS updated_at,
+  'thread_grouping' AS type, 'pending' AS status, count(*) AS n FROM (SELECT *, CASE WHEN event_id % 3 = 0 THEN '' ELSE substr(event_type || ' ' || event_id::VARCHAR, 1, 60) END AS c FROM a) GROUP BY h""", name="wn_fingerprint_groups_threads")
+def wn_fingerprint_groups_threads(t):
+    h = F.when(F.col("event_id") % 5 > 0, F.md5(F.concat(F.col("user_id").cast("string"), "event_type")))
+    content = F.when(F.col("event_id") % 3 != 0, F.concat_ws(" ", "event_type", F.col("event_id").cast("string")))
+    out = ops.fingerprint_threads(t.activity.select(F.col("event_id").alias("id"), "ts", h.alias("hash"), content.alias("content")))
+    return out.withColumn("created_at", F.unix_timestamp("created_at")).withColumn("updated_at", F.unix_timestamp("updated_at"))
+
+
+@query("SELECT session_id, pos, status, status <> 'revoked' AND pos = max(pos) OVER (PARTITION BY session_id) AS is_current FROM map_rows", name="wn_latest_wins_annotated")
+def wn_latest_wins_annotated(t):
+    return ops.annotated(t.map_rows).select("session_id", "pos", "status", "is_current")
+
+
 @query("SELECT session_id, project_id, pos FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY pos DESC) AS rn FROM map_rows) WHERE rn = 1 AND status <> 'revoked'")
 def wn_latest_wins(t):
     return ops.latest_wins(t.map_rows).select("session_id", "project_id", "pos")
@@ -80,7 +97,8 @@ def wn_occurrences(t):
 
 
 @query(f"""WITH {OCC} SELECT count(*) AS raised, count(first_ruling) AS ruled, count_if(resolved IS NOT NULL AND first_ruling IS NULL)::BIGINT AS resolved_unruled, count_if(resolved IS NULL)::BIGINT AS still_open,
-  round(median((floor(epoch(first_ruling))::BIGINT - floor(epoch(opened))::BIGINT) / 3600.0), 6) AS median_hours FROM f""")
+  round(median((floor(epoch(first_ruling))::BIGINT - floor(epoch(opened))::BIGINT) / 3600.0), 6) AS median_hours,
+  round((floor(epoch(max(greatest(opened, resolved, first_ruling))))::BIGINT - floor(epoch(min(CASE WHEN resolved IS NULL THEN opened END)))::BIGINT) / 86400.0, 6) AS oldest_open_days FROM f""")
 def wn_latency_summary(t):
     return ops.latency_summary(ops.occurrences(t.sightings))
 
@@ -89,7 +107,14 @@ DECAY = """n AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY ts, pos
   b AS (SELECT host, median(speed) AS baseline FROM n WHERE n <= 4 GROUP BY 1), q AS (SELECT r.*, CASE WHEN n >= 4 THEN rolling / baseline END AS ratio FROM r JOIN b USING (host))"""
 
 
-@query(f"""WITH l AS (SELECT pos, ts, ms, 'h' || (pos % 50)::VARCHAR AS host FROM ledger), {DECAY} SELECT host, pos, round(ratio, 6) AS ratio, coalesce(last_value(CASE WHEN ratio < 0.75 THEN 'pause' WHEN ratio >= 0.9 THEN 'run' END IGNORE NULLS) OVER (PARTITION BY host ORDER BY n), 'run') AS state FROM q""")
+STATES = """sl AS (SELECT *, coalesce(last_value(CASE WHEN ratio < 0.75 THEN 1 WHEN ratio >= 0.9 THEN 0 END IGNORE NULLS) OVER (PARTITION BY host ORDER BY n), 0) AS slow FROM q),
+  wa AS (SELECT *, coalesce(lag(slow) OVER (PARTITION BY host ORDER BY n), 0) AS was FROM sl), sr AS (SELECT *, sum(CASE WHEN slow = 1 AND was = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY host ORDER BY n) AS stretch FROM wa),
+  co AS (SELECT *, row_number() OVER (PARTITION BY host, stretch, slow ORDER BY n) AS k FROM sr)
+  SELECT host, pos, round(ratio, 6) AS ratio, CASE WHEN slow = 0 THEN 'run' WHEN k <= 3 THEN 'pause' ELSE 'capped' END AS state,
+  CASE WHEN ratio IS NULL THEN 'observing' WHEN slow = 0 AND was = 1 THEN 'resume' WHEN slow = 0 THEN 'none' WHEN k <= 3 THEN 'pause' WHEN k = 4 THEN 'cap_reached' ELSE 'none' END AS action FROM co"""
+
+
+@query(f"WITH l AS (SELECT pos, ts, ms, 'h' || (pos % 50)::VARCHAR AS host FROM ledger), {DECAY}, {STATES}")
 def wn_rolling_decay(t):
     return ops.rolling_decay(t.ledger.withColumn("host", F.concat(F.lit("h"), (F.col("pos") % 50).cast("string"))))
 
@@ -101,7 +126,11 @@ def wn_token_windows(t):
     return ops.token_windows(t.messages, 120)
 
 
-@query()
+@query("""WITH RECURSIVE m AS (SELECT 'acc' || (conv_id % 3)::VARCHAR AS project, conv_id * 1000 + turn AS pos, floor(length(text) / 4.0)::BIGINT AS tokens, row_number() OVER (PARTITION BY conv_id % 3 ORDER BY conv_id * 1000 + turn) AS n FROM conversations),
+  f AS (SELECT project, pos, n, 0::BIGINT AS batch, CASE WHEN tokens > 100 THEN 1 ELSE 0 END::BIGINT AS cur, CASE WHEN tokens > 100 THEN 0 ELSE tokens END AS used, CASE WHEN tokens > 100 THEN 0 ELSE 1 END::BIGINT AS cnt FROM m WHERE n = 1
+    UNION ALL SELECT project, pos, n, own, CASE WHEN large THEN own + 1 ELSE own END, CASE WHEN large THEN 0 WHEN own > cur THEN tokens ELSE used + tokens END, CASE WHEN large THEN 0 WHEN own > cur THEN 1 ELSE cnt + 1 END
+    FROM (SELECT m.project, m.pos, m.n, m.tokens, f.cur, f.used, f.cnt, m.tokens > 100 AS large, CASE WHEN m.tokens > 100 THEN f.cur + CASE WHEN f.cnt > 0 THEN 1 ELSE 0 END WHEN f.cnt > 0 AND (f.used + m.tokens > 300 OR f.cnt >= 6) THEN f.cur + 1 ELSE f.cur END AS own FROM f JOIN m ON m.project = f.project AND m.n = f.n + 1))
+  SELECT project, pos, batch FROM f""")
 def wn_batch_packing(t):
     items = t.conversations.select(F.concat(F.lit("acc"), (F.col("conv_id") % 3).cast("string")).alias("project"), (F.col("conv_id") * 1000 + F.col("turn")).alias("pos"), F.floor(F.length("text") / 4).cast("long").alias("tokens"))
     return ops.batch_packing(items, 100, 300, 6)
