@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.core import latest
+from .graph import components, kept, leaders
 
 TOKEN = r"[\p{L}\p{N}]+"
 
@@ -19,18 +21,28 @@ def tokens(text: str | Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))), F.lit(f"({TOKEN})"), F.lit(1))
 
 
-def ranked_search(docs: DataFrame, queries: DataFrame, k: int = 60, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Documents (doc_id, content) ranked for each query (query_id, q) by BM25 over an inverted index."""
-    lists = docs.select("doc_id", tokens("content").alias("w")).withColumn("len", F.size("w"))
+def ranked_search(docs: DataFrame, queries: DataFrame, k: int = 60, project: str | None = None, first_type: str = "knowledge", around: int = 90, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """The ``k`` best documents (doc_id, project, doc_type, content) for each query (query_id, q) by BM25.
+
+    Documents of ``first_type`` come before all others, then the score decides.
+    ``project`` keeps the documents of one project (term statistics are those of
+    all). The snippet stands around the first word of the query that is found.
+    """
+    lists = docs.select("doc_id", "project", "doc_type", tokens("content").alias("w")).withColumn("len", F.size("w"))
     stats = lists.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
     wanted = queries.select("query_id", F.explode(F.array_distinct(tokens("q"))).alias("term"))
-    index = lists.select("doc_id", "len", F.explode("w").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term", "doc_id", "len").agg(F.count("*").alias("tf"))
+    index = lists.select("doc_id", "project", "doc_type", "len", F.explode("w").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term", "doc_id", "project", "doc_type", "len").agg(F.count("*").alias("tf"))
     df = index.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    hits = index.join(df, "term").join(F.broadcast(stats)).join(wanted, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(idf * tf), 6).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
-    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    asked = index if project is None else index.where(F.col("project") == project)
+    hits = asked.join(df, "term").join(F.broadcast(stats)).join(wanted, "term").groupBy("query_id", "doc_id", "doc_type").agg(F.round(F.sum(idf * tf), 4).alias("score"), F.collect_set("term").alias("terms"))
+    w = Window.partitionBy("query_id").orderBy((F.col("doc_type") != first_type).cast("int"), F.col("score").desc(), "doc_id")
+    top = hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    low = F.lower("content")
+    at = F.array_min(F.filter(F.transform("terms", lambda x: F.instr(low, x)), lambda i: i > 0))
+    snippet = F.substring(F.col("content"), F.greatest(at - around, F.lit(1)), F.lit(2 * around))
+    return top.join(docs.select("doc_id", "content"), "doc_id").select("query_id", "rank", "doc_id", "doc_type", "score", snippet.alias("snippet"))
 
 
 def substring_search(docs: DataFrame, needle: str, around: int = 90) -> DataFrame:
@@ -42,6 +54,12 @@ def substring_search(docs: DataFrame, needle: str, around: int = 90) -> DataFram
     return docs.where(at > 0).select("doc_id", hits.alias("hits"), snippet.alias("snippet"))
 
 
+def top_hits(found: DataFrame, k: int) -> DataFrame:
+    """The ``k`` documents of a substring search with the most hits, with their rank."""
+    best = found.orderBy(F.col("hits").desc(), "doc_id").limit(k)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.col("hits").desc(), "doc_id")))
+
+
 def evidence_spans(pairs: DataFrame) -> DataFrame:
     """First and last position of ``needle`` in ``body``, both with white space folded and in lower case; 0 if absent."""
     norm = lambda c: F.lower(F.trim(F.regexp_replace(c, r"[ \t\n\r\f]+", " ")))
@@ -73,7 +91,7 @@ def claim_similarity(claim: pd.Series, text: pd.Series) -> pd.Series:
     """Matched run length over the claim's length."""
     out = []
     for x, y in zip(claim, text, strict=True):
-        blocks = difflib.SequenceMatcher(None, x or "", y or "").get_matching_blocks()
+        blocks = difflib.SequenceMatcher(None, (x or "").casefold(), (y or "").casefold()).get_matching_blocks()
         out.append(sum(m.size for m in blocks) / len(x) if x else 0.0)
     return pd.Series(out)
 
@@ -130,14 +148,24 @@ def fuzzy_titles(threads: DataFrame, projects: DataFrame, least: float = 0.45) -
     return latest(scored.where(F.col("score") >= least), ["thread_id"], [F.col("score").desc(), F.col("project_id")])
 
 
-def fuzzy_skeleton(skeleton: DataFrame, pool: DataFrame, least: float = 0.9, sure: float = 0.97) -> DataFrame:
-    """Best pool row for each skeleton message by sequence ratio, among rows of like length that share a beginning."""
-    band = F.floor(F.log(F.length("content") + 1.0) / F.log(F.lit(1.5)))
-    key = F.substring(F.regexp_replace(F.lower("content"), r"[^a-z]+", ""), 1, 6)
-    s = skeleton.select("skeleton_id", F.col("content").alias("a"), key.alias("key"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
-    p = pool.select("pool_id", F.col("content").alias("b"), key.alias("key"), band.alias("band"))
-    near = s.join(p, ["key", "band"]).where(F.length("a") <= 2 * F.length("b")).where(F.length("b") <= 2 * F.length("a"))
-    scored = near.select("skeleton_id", "pool_id", F.round(sequence_ratio("a", "b"), 6).alias("ratio")).where(F.col("ratio") >= least)
+def fuzzy_skeleton(skeleton: DataFrame, pool: DataFrame, least: float = 0.9, sure: float = 0.97, rarest: int = 8) -> DataFrame:
+    """Best pool row for each skeleton message by sequence ratio, among rows of like length that share a rare word.
+
+    Equal texts are compared once. A skeleton text asks for pool texts that hold
+    one of its ``rarest`` rarest words; texts of fewer words ask with all. A pool
+    row is taken by one message only, and a message that loses its row takes no other.
+    """
+    word_list = lambda c: F.array_distinct(tokens(c))
+    a = skeleton.groupBy(F.col("content").alias("a")).agg(F.min("skeleton_id").alias("skeleton_id"))
+    b = pool.groupBy(F.col("content").alias("b")).agg(F.min("pool_id").alias("pool_id"))
+    held = b.select("pool_id", F.length("b").alias("lb"), F.explode(word_list("b")).alias("word"))
+    df = held.groupBy("word").agg(F.count("*").alias("df"))
+    asked = a.select("skeleton_id", F.length("a").alias("la"), F.explode(word_list("a")).alias("word")).join(df, "word")
+    rare = asked.withColumn("rn", F.row_number().over(Window.partitionBy("skeleton_id").orderBy("df", "word"))).where(F.col("rn") <= rarest)
+    # a ratio of ``least`` bounds the lengths: 2 * shorter / (shorter + longer) is at least that
+    fits = 2 * F.least("la", "lb") >= least * (F.col("la") + F.col("lb"))
+    met = rare.join(held, "word").where(fits).select("skeleton_id", "pool_id").distinct()
+    scored = met.join(a, "skeleton_id").join(b, "pool_id").select("skeleton_id", "pool_id", F.round(sequence_ratio("a", "b"), 6).alias("ratio")).where(F.col("ratio") >= least)
     taken = latest(latest(scored, ["skeleton_id"], [F.col("ratio").desc(), F.col("pool_id")]), ["pool_id"], [F.col("ratio").desc(), F.col("skeleton_id")])
     return taken.withColumn("review", F.col("ratio") < sure)
 
@@ -172,52 +200,65 @@ def vocabulary_votes(threads: DataFrame, terms: DataFrame, k: int = 3) -> DataFr
     return used.join(terms, "term").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).select("thread_id", "project", "term", F.lit(0.3).alias("weight"))
 
 
-def recurrence_leaders(items: DataFrame, similarity: float = 0.55) -> DataFrame:
-    """Leader clustering of each project's items in order: an item joins the first leader it is like, or leads."""
-
-    def lead(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        leaders: list[tuple[int, set[str]]] = []
-        out = []
-        for pos, words in zip(pdf["pos"], pdf["words"], strict=True):
-            mine = set(words)
-            found = next((p for p, theirs in leaders if mine and len(mine & theirs) / len(mine | theirs) >= similarity), None)
-            if found is None:
-                leaders.append((pos, mine))
-                found = pos
-            out.append(found)
-        return pdf.assign(leader=out)[["project", "pos", "conversation_id", "leader"]]
-
-    led = items.select("project", "pos", "conversation_id", F.array_distinct(tokens("text")).alias("words")).groupBy("project").applyInPandas(lead, "project string, pos long, conversation_id long, leader long")
-    return led.groupBy("project", "leader").agg(F.count("*").alias("n"), F.count_distinct("conversation_id").alias("conversations"))
-
-
-def recurrence_pairs(items: DataFrame, similarity: float, rarest: int = 4) -> DataFrame:
-    """Pairs of items (pos, text) with a token Jaccard of at least ``similarity``, met on one of their rarest tokens."""
-    w = items.select("pos", F.array_distinct(tokens("text")).alias("words"))
-    t = w.select("pos", F.size("words").alias("n"), F.explode("words").alias("t"))
-    df = t.groupBy("t").agg(F.count("*").alias("df"))
-    rare = t.join(df, "t").withColumn("rn", F.row_number().over(Window.partitionBy("pos").orderBy("df", "t"))).where(F.col("rn") <= rarest).select("pos", "t")
-    met = rare.alias("a").join(rare.alias("b"), "t").where("a.pos < b.pos").select(F.col("a.pos").alias("a"), F.col("b.pos").alias("b")).distinct()
-    j = met.join(w.select(F.col("pos").alias("a"), F.col("words").alias("wa")), "a").join(w.select(F.col("pos").alias("b"), F.col("words").alias("wb")), "b")
-    score = F.round(F.try_divide(F.size(F.array_intersect("wa", "wb")).cast("double"), F.size(F.array_union("wa", "wb"))), 6)
-    return j.select("a", "b", score.alias("score")).where(F.col("score") >= similarity)
+def like_pairs(items: DataFrame, similarity: float, group: str | None = None) -> DataFrame:
+    """All pairs (a, b, score) of items (pos, text) of a group with a token Jaccard of at least ``similarity``.
 
+    Items with one set of tokens form a class, compared once and given out as a
+    chain. Two sets of that likeness share one of the n - ceil(similarity * n) + 1
+    rarest tokens of each, and their sizes differ by no more than the similarity
+    allows; so only these are joined, and no pair is lost.
+    """
+    keys = [group] if group else []
+    words = F.array_sort(F.array_distinct(tokens("text")))
+    w = items.select("pos", *keys, words.alias("words")).where(F.size("words") > 0)
+    classes = w.groupBy(*keys, "words").agg(F.min("pos").alias("rep"), F.array_sort(F.collect_list("pos")).alias("all"))
+    t = classes.select("rep", *keys, F.size("words").alias("n"), F.explode("words").alias("t"))
+    df = t.groupBy(*keys, "t").agg(F.count("*").alias("df"))
+    rank = F.row_number().over(Window.partitionBy("rep").orderBy("df", "t"))
+    prefix = t.join(df, [*keys, "t"]).withColumn("rn", rank).where(F.col("rn") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1).where("df > 1").select(*keys, "t", "rep", "n")
+    x, y = prefix.select(*keys, "t", F.col("rep").alias("a"), F.col("n").alias("na")), prefix.select(*keys, "t", F.col("rep").alias("b"), F.col("n").alias("nb"))
+    met = x.join(y, [*keys, "t"]).where("a < b").where(F.least("na", "nb") >= F.greatest("na", "nb") * similarity - 1e-9).select("a", "b").distinct()
+    j = met.join(classes.select(F.col("rep").alias("a"), F.col("words").alias("wa")), "a").join(classes.select(F.col("rep").alias("b"), F.col("words").alias("wb")), "b")
+    score = F.round(F.size(F.array_intersect("wa", "wb")) / F.size(F.array_union("wa", "wb")), 6)
+    near = j.select("a", "b", score.alias("score")).where(F.col("score") >= similarity)
+    chain = F.transform(F.sequence(F.lit(2), F.size("all")), lambda i: F.struct(F.element_at("all", i - 1).alias("a"), F.element_at("all", i).alias("b")))
+    return near.unionByName(classes.where(F.size("all") > 1).select(F.inline(chain)).withColumn("score", F.lit(1.0)))
+
+
+def recurrence_leaders(items: DataFrame, similarity: float = 0.55, k: int = 10) -> DataFrame:
+    """Leader clustering of each project's items (project, pos, conversation_id, text), ranked by their conversations.
+
+    An item joins the first leader it is like, or leads; the ``k`` clusters of
+    a project with the most conversations are returned.
+    """
+    pairs = kept(like_pairs(items, similarity, "project").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    # of a class only the first item meets other classes; the others follow where it goes
+    words = F.array_sort(F.array_distinct(tokens("text")))
+    w = items.select("project", "pos", "conversation_id", words.alias("words"))
+    first = w.groupBy("project", "words").agg(F.min("pos").alias("rep"))
+    own = w.join(first, ["project", "words"]).withColumn("rep", F.when(F.size("words") == 0, F.col("pos")).otherwise(F.col("rep")))
+    reps = own.where("pos = rep").select("pos")
+    between = pairs.join(reps.select(F.col("pos").alias("a")), "a", "left_semi").join(reps.select(F.col("pos").alias("b")), "b", "left_semi")
+    led = own.join(leaders(reps, between).select(F.col("pos").alias("rep"), "leader"), "rep")
+    out = led.groupBy("project", "leader").agg(F.count("*").alias("n"), F.count_distinct("conversation_id").alias("conversations"))
+    w = Window.partitionBy("project").orderBy(F.col("conversations").desc(), "leader")
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def recurrence_groups(items: DataFrame, similarity: float, conversations: int = 3, weeks: int = 2) -> DataFrame:
+    """Single-link groups of items (pos, conversation_id, day, text) that last: enough conversations, in enough ISO weeks."""
+    found = components(like_pairs(items, similarity).select("a", "b"))
+    week = F.concat_ws("-", F.extract(F.lit("YEAROFWEEK"), F.col("day")), F.weekofyear("day"))
+    out = items.withColumn("week", week).join(found.select(F.col("node").alias("pos"), "label"), "pos").groupBy("label").agg(
+        F.count("*").alias("size"), F.count_distinct("text").alias("texts"), F.count_distinct("conversation_id").alias("conversations"), F.count_distinct("week").alias("weeks"), F.min("day").alias("first"), F.max("day").alias("last")
+    )
+    return out.where((F.col("conversations") >= conversations) & (F.col("weeks") >= weeks))
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label) of an edge table (a, b): every node takes the least label around it until none changes.
 
-    Each round is kept in the session's checkpoint folder if one is set.
-    """
-    keep = (lambda df: df.checkpoint()) if edges.sparkSession.sparkContext.getCheckpointDir() else (lambda df: df.persist())
-    both = keep(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = keep(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")))
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        new = keep(labels.join(near, "node").select("node", F.least("label", "near").alias("label"), (F.col("near") < F.col("label")).alias("moved")))
-        if not new.where("moved").limit(1).count():
-            return new.select("node", "label")
-        labels = new.select("node", "label")
+def recurrence_sweep(items: DataFrame, thresholds: Sequence[float] = (0.5, 0.6, 0.7), **least: int) -> DataFrame:
+    """Lasting groups and their items at each threshold."""
+    rows = [recurrence_groups(items, x, **least).agg(F.count("*").alias("groups"), F.coalesce(F.sum("size"), F.lit(0)).alias("items")).select(F.lit(x).alias("threshold"), "groups", "items") for x in thresholds]
+    return reduce(DataFrame.unionByName, rows)
 
 
 def score_with(rows: DataFrame, caller: Callable[[pd.DataFrame], pd.Series], out: str = "score", kind: str = "double") -> DataFrame:
@@ -231,6 +272,21 @@ def score_with(rows: DataFrame, caller: Callable[[pd.DataFrame], pd.Series], out
     return rows.mapInPandas(run, f"{fields}, {out} {kind}")
 
 
+def claim_pairs(claims: DataFrame, floor: float = 0.5) -> DataFrame:
+    """(claim_id, newer): claims of a project (project, pos, claim_id, claim) at least ``floor`` like a newer one.
+
+    Likeness is the matched run length over the older claim's length, for pairs
+    that share a word of four letters or more (or any word, where a claim has none).
+    """
+    long = F.filter(F.array_distinct(tokens("claim")), lambda w: F.length(w) >= 4)
+    words = claims.select("project", "claim_id", "pos", F.explode(F.when(F.size(long) > 0, long).otherwise(F.array_distinct(tokens("claim")))).alias("w"))
+    x, y = words.select("project", "w", "claim_id", "pos"), words.select("project", "w", F.col("claim_id").alias("newer"), F.col("pos").alias("newer_pos"))
+    met = x.join(y, ["project", "w"]).where("pos < newer_pos").select("claim_id", "newer").distinct()
+    text = claims.select("claim_id", "claim")
+    j = met.join(text, "claim_id").join(text.select(F.col("claim_id").alias("newer"), F.col("claim").alias("other")), "newer")
+    return j.select("claim_id", "newer", claim_similarity("claim", "other").alias("score")).where(F.col("score") >= floor).select("claim_id", "newer")
+
+
 def claim_outcomes(claims: DataFrame, own: DataFrame, pairs: DataFrame, others: DataFrame) -> DataFrame:
     """Outcome of each claim: captured by its own corpus, superseded by a newer established claim, found in another project, or a gap.
 
@@ -261,11 +317,30 @@ def claim_outcomes(claims: DataFrame, own: DataFrame, pairs: DataFrame, others:
 
 
 def findings(outcomes: DataFrame, with_file: DataFrame, samples: int = 5) -> DataFrame:
-    """Outcomes per project that has a knowledge file, with a few samples."""
-    kept = outcomes.join(with_file, "project", "left_semi")
+    """Outcomes per project that has a knowledge file, with a few samples and, for superseded claims, the days until the newer ones.
+
+    ``outcomes`` has project, claim_id, outcome, day and newer_day.
+    """
+    kept_ = outcomes.join(with_file, "project", "left_semi")
     w = Window.partitionBy("project", "outcome").orderBy("claim_id")
-    top = kept.withColumn("rn", F.row_number().over(w))
-    return top.groupBy("project", "outcome").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("rn") <= samples, F.col("claim_id")))), ",").alias("samples"))
+    top = kept_.withColumn("rn", F.row_number().over(w))
+    few = F.array_join(F.array_sort(F.collect_list(F.when(F.col("rn") <= samples, F.col("claim_id")))), ",")
+    days = F.datediff("newer_day", "day")
+    return top.groupBy("project", "outcome").agg(F.count("*").alias("n"), few.alias("samples"), F.min(days).alias("least_days"), F.max(days).alias("most_days"))
+
+
+def run_health(claims: DataFrame, conversations: DataFrame, mapped: DataFrame, projects: DataFrame) -> DataFrame:
+    """One row of what a thin run must not hide: rejected claims, conversations without a time or a project, projects without a knowledge file.
+
+    ``claims`` has rejected, ``conversations`` session_id and real_time,
+    ``mapped`` session_id, ``projects`` project and knowledge_files.
+    """
+    c = claims.agg(F.count("*").alias("claims"), F.count_if("rejected").alias("rejected"))
+    untimed = conversations.agg(F.count("*").alias("conversations"), F.count_if(F.col("real_time").isNull()).alias("excluded"))
+    unmapped = conversations.join(mapped.select("session_id").distinct(), "session_id", "left_anti").agg(F.count("*").alias("unmapped"))
+    bare = projects.agg(F.count_if(F.coalesce("knowledge_files", F.lit(0)) == 0).alias("without_file"))
+    one = reduce(lambda x, y: x.join(F.broadcast(y)), [c, untimed, unmapped, bare])
+    return one.withColumn("rejection_rate", F.round(F.try_divide("rejected", "claims"), 6))
 
 
 def checklist(lines: DataFrame, results: DataFrame) -> DataFrame:
@@ -277,14 +352,23 @@ def checklist(lines: DataFrame, results: DataFrame) -> DataFrame:
     return items.join(last, "item", "left").select("doc_id", "item", "section", F.col("line").rlike(r"^- \[[xX]\]").alias("ticked"), "verdict")
 
 
-def lifecycle_board(names: DataFrame, roles: Sequence[str]) -> DataFrame:
-    """Document names ``ROLE_stem.md`` as one card per stem; the column follows from the roles that exist."""
+def lifecycle_board(docs: DataFrame, roles: Sequence[str]) -> DataFrame:
+    """Documents ``ROLE_stem.md`` (name, folder, content) as one card per stem; the column follows from the roles that exist.
+
+    Cards count their checkboxes, and find a stem split over folders, and
+    documents without a date stamp.
+    """
     role = F.upper(F.regexp_extract("name", r"^([A-Za-z]+)_", 1))
     stem = F.regexp_extract("name", r"^[A-Za-z]+_(.+?)(?:\.md)?$", 1)
-    cards = names.select(role.alias("role"), stem.alias("stem")).where("stem <> ''").groupBy("stem").pivot("role", list(roles)).count()
-    has = [F.col(r).isNotNull() for r in roles]
-    column = F.coalesce(*[F.when(h, F.lit(r.lower())) for r, h in reversed(list(zip(roles, has, strict=True)))], F.lit("none"))
-    return cards.select("stem", column.alias("column"), *[h.alias(r.lower()) for r, h in zip(roles, has, strict=True)])
+    text = F.coalesce("content", F.lit(""))
+    done, all_ = F.regexp_count(text, F.lit(r"(?m)^- \[[xX]\] ")), F.regexp_count(text, F.lit(r"(?m)^- \[[ xX]\] "))
+    stamped = text.rlike(r"\d{4}-\d{2}-\d{2}")
+    rows = docs.select(role.alias("role"), stem.alias("stem"), "folder", done.alias("done"), all_.alias("boxes"), stamped.alias("stamped")).where("stem <> ''")
+    has = [F.coalesce(F.bool_or(F.col("role") == r), F.lit(False)).alias(r.lower()) for r in roles]
+    cards = rows.groupBy("stem").agg(*has, F.sum("done").alias("done"), F.sum("boxes").alias("boxes"), F.count_distinct("folder").alias("folders"), F.count_if(~F.col("stamped")).alias("unstamped"))
+    column = F.coalesce(*[F.when(F.col(r.lower()), F.lit(r.lower())) for r in reversed(roles)], F.lit("none"))
+    found = F.array_join(F.array_compact(F.array(F.when(F.col("folders") > 1, "split_stem"), F.when(F.col("unstamped") > 0, "unstamped"))), ",")
+    return cards.select("stem", column.alias("column"), *[r.lower() for r in roles], "done", "boxes", found.alias("findings"))
 
 
 def log_calls(lines: DataFrame, start: str) -> DataFrame:
@@ -293,3 +377,16 @@ def log_calls(lines: DataFrame, start: str) -> DataFrame:
     marked = lines.withColumn("record", F.sum(F.col("value").rlike(start).cast("int")).over(w)).where("record > 0")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"]), "\n")
     return marked.groupBy("host", "record").agg(F.min("pos").alias("pos"), F.count("*").alias("lines"), text.alias("text"))
+
+
+def log_requests(calls: DataFrame, loads: DataFrame) -> DataFrame:
+    """Records of ``log_calls`` with timings, token counts, errors, and the load events (host, pos) seen before each."""
+    number = lambda k: F.regexp_extract("text", rf"{k}[=:]\s*([0-9.]+)", 1).try_cast("double")
+    out = calls.select(
+        "host", "record", "pos", number("ms").alias("ms"), number("prompt_tokens").alias("prompt_tokens"), number("completion_tokens").alias("completion_tokens"),
+        F.col("text").rlike(r"(?i)\berror\b").alias("error"), F.lit(0).alias("load"),
+    )
+    marks = loads.select("host", F.lit(None).cast("long").alias("record"), "pos", *[F.lit(None).cast("double").alias(c) for c in ("ms", "prompt_tokens", "completion_tokens")], F.lit(False).alias("error"), F.lit(1).alias("load"))
+    w = Window.partitionBy("host").orderBy("pos", "load").rowsBetween(Window.unboundedPreceding, -1)
+    seen = out.unionByName(marks).withColumn("loads_before", F.coalesce(F.sum("load").over(w), F.lit(0)))
+    return seen.where("load = 0").drop("load")

@@ -14,21 +14,44 @@ def claims_of(t):
     return t.benchmark.select(F.col("item_id").alias("claim_id"), F.concat(F.lit("p"), (F.col("item_id") % 5).cast("string")).alias("project"), F.col("item_id").alias("pos"), F.col("text").alias("claim"))
 
 
-@query(f"""WITH l AS (SELECT doc_id, {TOK.format("content")} AS w FROM docs), st AS (SELECT count(*) AS n_docs, avg(len(w)) AS avg_len FROM l), q AS (SELECT DISTINCT item_id AS query_id, unnest({TOK.format("text")}) AS term FROM benchmark WHERE item_id < 10),
-  ix AS (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM l), tf AS (SELECT doc_id, n, term, count(*) AS tf FROM ix WHERE term IN (SELECT term FROM q) GROUP BY 1, 2, 3), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
-  s AS (SELECT query_id, doc_id, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / avg_len)))), 4) AS score FROM tf JOIN df USING (term) JOIN q USING (term), st GROUP BY 1, 2)
-  SELECT query_id, round(max(score), 3) AS best, count(*) AS n FROM s GROUP BY 1""")
+def typed(t):
+    return t.docs.withColumn("doc_type", F.when(F.col("doc_id") % 7 == 0, "knowledge").otherwise("other"))
+
+
+RANKED = f"""l AS (SELECT doc_id, project, CASE WHEN doc_id % 7 = 0 THEN 'knowledge' ELSE 'other' END AS doc_type, content, {TOK.format("content")} AS w FROM docs), st AS (SELECT count(*) AS n_docs, avg(len(w)) AS avg_len FROM l), q AS (SELECT DISTINCT item_id AS query_id, unnest({TOK.format("text")}) AS term FROM benchmark),
+  ix AS (SELECT doc_id, project, doc_type, len(w) AS n, unnest(w) AS term FROM l), tf AS (SELECT doc_id, project, doc_type, n, term, count(*) AS tf FROM ix WHERE term IN (SELECT term FROM q) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+  s AS (SELECT query_id, doc_id, project, doc_type, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / avg_len)))), 4) AS score, list(term) AS terms FROM tf JOIN df USING (term) JOIN q USING (term), st GROUP BY ALL)"""
+
+
+def ranked_sql(where: str, k: int) -> str:
+    return f"""WITH {RANKED}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY doc_type <> 'knowledge', score DESC, doc_id) AS rank FROM s WHERE {where}),
+  p AS (SELECT r.*, content, list_min(list_filter(list_transform(terms, lambda x: instr(lower(content), x)), lambda i: i > 0)) AS pos FROM r JOIN l USING (doc_id) WHERE rank <= {k})
+  SELECT query_id, rank::INT AS rank, doc_id, doc_type, score, substring(content, greatest(pos - 90, 1), 180) AS snippet FROM p"""
+
+
+@query(ranked_sql("true", 60))
 def tx_ranked_search(t):
-    q = t.benchmark.where("item_id < 10").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
-    out = ops.ranked_search(t.docs, q, k=1 << 30)
-    return out.groupBy("query_id").agg(F.round(F.max(F.round("score", 4)), 3).alias("best"), F.count("*").alias("n"))
+    return ops.ranked_search(typed(t), t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("q")))
+
 
+@query(ranked_sql("project = 'src1'", 5), name="tx_ranked_search_project")
+def tx_ranked_search_project(t):
+    return ops.ranked_search(typed(t), t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("q")), k=5, project="src1")
 
-@query("SELECT doc_id, ((length(lower(content)) - length(replace(lower(content), 'license', ''))) / 7)::BIGINT AS hits, substring(content, greatest(instr(lower(content), 'license') - 90, 1), 187) AS snippet FROM docs WHERE contains(lower(content), 'license')")
+
+HITS = "SELECT doc_id, ((length(lower(content)) - length(replace(lower(content), 'license', ''))) / 7)::BIGINT AS hits, substring(content, greatest(instr(lower(content), 'license') - 90, 1), 187) AS snippet FROM docs WHERE contains(lower(content), 'license')"
+
+
+@query(HITS)
 def tx_substring_search(t):
     return ops.substring_search(t.docs, "LICENSE")
 
 
+@query(f"WITH h AS ({HITS}) SELECT *, row_number() OVER (ORDER BY hits DESC, doc_id)::INT AS rank FROM h ORDER BY hits DESC, doc_id LIMIT 25", name="tx_substring_search_top")
+def tx_substring_search_top(t):
+    return ops.top_hits(ops.substring_search(t.docs, "LICENSE"), 25)
+
+
 @query("""WITH n AS (SELECT conv_id, turn, lower(trim(regexp_replace(text, '[ \\t\\n\\r\\f]+', ' ', 'g'))) AS b, lower(trim(regexp_replace(substr(text, 11, 20), '[ \\t\\n\\r\\f]+', ' ', 'g'))) AS q FROM conversations)
   SELECT conv_id, turn, instr(b, q)::INT AS start, CASE WHEN instr(b, q) > 0 THEN instr(b, q) + length(q) ELSE 0 END::INT AS "end" FROM n""")
 def tx_evidence_span(t):
@@ -65,7 +88,8 @@ def sc_confirm_verify(t):
 
 @query()
 def jn_fuzzy_title(t):
-    return ops.fuzzy_titles(t.threads, t.part.select(F.col("p_partkey").alias("project_id"), F.col("p_name").alias("name")).union(t.benchmark.select("item_id", "text")))
+    names = t.messages.where("seq = 0").select(F.col("thread_id").alias("project_id"), F.substring("content", 5, 45).alias("name"))
+    return ops.fuzzy_titles(t.threads, names)
 
 
 @query()
@@ -80,30 +104,60 @@ def jn_pair_diff(t):
     return ops.pair_diff(ids.select(F.col("thread_id").alias("l_id"), (F.col("thread_id") + 1).alias("r_id")), t.messages)
 
 
-@query(f"""WITH x AS (SELECT project, unnest({TOK.format("content")}) AS term FROM docs), tf AS (SELECT project, term, count(*) AS tf FROM x GROUP BY 1, 2), n AS (SELECT count(DISTINCT project) AS n FROM docs), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+VOCABULARY = f"""x AS (SELECT project, unnest({TOK.format("content")}) AS term FROM docs), tf AS (SELECT project, term, count(*) AS tf FROM x GROUP BY 1, 2), n AS (SELECT count(DISTINCT project) AS n FROM docs), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
   s AS (SELECT project, term, round((1 + ln(tf)) * ln(n / df), 6) AS score, regexp_matches(term, '[0-9_]') AS code FROM tf JOIN df USING (term), n WHERE df <= greatest(n * 0.34, 1)),
-  r AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY score DESC, term) AS rank, row_number() OVER (PARTITION BY project, code ORDER BY score DESC, term) AS cr FROM s)
-  SELECT project, term, score, code FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY (code AND cr <= 12) DESC, rank) AS slot FROM r) WHERE slot <= 50""")
+  r AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY score DESC, term) AS rank, row_number() OVER (PARTITION BY project, code ORDER BY score DESC, term) AS cr FROM s),
+  vo AS (SELECT project, term, score, code FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY (code AND cr <= 12) DESC, rank) AS slot FROM r) WHERE slot <= 50)"""
+
+
+@query(f"WITH {VOCABULARY} SELECT * FROM vo")
 def sc_vocab_fingerprint(t):
     return ops.vocabulary(t.docs)
 
 
-@query()
+@query(f"""WITH {VOCABULARY}, us AS (SELECT DISTINCT doc_id AS thread_id, unnest({TOK.format("content")}) AS term FROM docs)
+  SELECT thread_id, project, term, 0.3::DOUBLE AS weight FROM (SELECT *, row_number() OVER (PARTITION BY thread_id, project ORDER BY score DESC, term) AS rn FROM us JOIN vo USING (term)) WHERE rn <= 3""")
 def sc_vocab_votes(t):
-    threads = t.messages.select("thread_id", "content")
-    return ops.vocabulary_votes(threads, ops.vocabulary(t.docs))
+    return ops.vocabulary_votes(t.docs.select(F.col("doc_id").alias("thread_id"), "content"), ops.vocabulary(t.docs))
 
 
-@query()
+@query(f"""WITH RECURSIVE i AS (SELECT 'a' || (conv_id % 3)::VARCHAR AS project, conv_id * 1000 + turn AS pos, conv_id AS c, list_distinct({TOK.format("text")}) AS w, row_number() OVER (PARTITION BY conv_id % 3 ORDER BY conv_id * 1000 + turn) AS n FROM conversations),
+  f AS (SELECT project, n, pos, c, pos AS leader, [{{'p': pos, 'w': w}}] AS ls FROM i WHERE n = 1 UNION ALL
+    SELECT project, n, pos, c, coalesce(hit, pos), CASE WHEN hit IS NULL THEN list_append(ls, {{'p': pos, 'w': w}}) ELSE ls END
+    FROM (SELECT i.*, f.ls, (list_filter(f.ls, lambda l: len(i.w) > 0 AND round(len(list_intersect(l.w, i.w))::DOUBLE / (len(l.w) + len(i.w) - len(list_intersect(l.w, i.w))), 6) >= 0.55)[1]).p AS hit FROM f JOIN i ON i.project = f.project AND i.n = f.n + 1)),
+  g AS (SELECT project, leader, count(*) AS n, count(DISTINCT c) AS conversations FROM f GROUP BY 1, 2) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY conversations DESC, leader)::INT AS rank FROM g) WHERE rank <= 10""")
 def sc_recurrence_greedy(t):
     items = t.messages.select(F.concat(F.lit("a"), (F.col("thread_id") % 3).cast("string")).alias("project"), (F.col("thread_id") * 1000 + F.col("seq")).alias("pos"), F.col("thread_id").alias("conversation_id"), F.col("content").alias("text"))
     return ops.recurrence_leaders(items)
 
 
-@query()
+def lasting_sql(name: str, threshold: float) -> str:
+    """Tables named after ``name``: the lasting groups of documents."""
+    return f"""{name}e AS (SELECT a.pos AS a, b.pos AS b FROM it a JOIN it b ON a.pos <> b.pos AND least(len(a.w), len(b.w)) >= {threshold} * greatest(len(a.w), len(b.w)) - 1e-9
+    WHERE round(len(list_intersect(a.w, b.w))::DOUBLE / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))), 6) >= {threshold}),
+  {name}r AS (SELECT DISTINCT a AS node, a AS m FROM {name}e UNION SELECT e.b, r.m FROM {name}r r JOIN {name}e e ON r.node = e.a AND r.m < e.b),
+  {name}l AS (SELECT node, min(m) AS label FROM {name}r GROUP BY 1),
+  {name} AS (SELECT label, count(*) AS size, count(DISTINCT text) AS texts, count(DISTINCT conversation_id) AS conversations, count(DISTINCT isoyear(day) * 100 + weekofyear(day)) AS weeks, min(day) AS first, max(day) AS last
+    FROM it JOIN {name}l ON pos = node GROUP BY 1 HAVING count(DISTINCT conversation_id) >= 2 AND count(DISTINCT isoyear(day) * 100 + weekofyear(day)) >= 2)"""
+
+
+ITEMS = f"it AS (SELECT doc_id AS pos, doc_id % 97 AS conversation_id, DATE '2023-12-20' + (doc_id % 90)::INT AS day, text, list_distinct({TOK.format('text')}) AS w FROM documents WHERE len({TOK.format('text')}) > 0)"
+
+
+def dated_items(t):
+    day = F.date_add(F.lit("2023-12-20").cast("date"), (F.col("doc_id") % 90).cast("int"))
+    return t.documents.select(F.col("doc_id").alias("pos"), (F.col("doc_id") % 97).alias("conversation_id"), day.alias("day"), "text")
+
+
+@query(f"WITH RECURSIVE {ITEMS}, {lasting_sql('g', 0.7)} SELECT label, size, texts, conversations, weeks, first::VARCHAR AS first, last::VARCHAR AS last FROM g")
 def sc_recurrence_components(t):
-    pairs = ops.recurrence_pairs(t.documents.select(F.col("doc_id").alias("pos"), "text"), 0.7)
-    return ops.components(pairs)
+    out = ops.recurrence_groups(dated_items(t), 0.7, conversations=2, weeks=2)
+    return out.withColumn("first", F.col("first").cast("string")).withColumn("last", F.col("last").cast("string"))
+
+
+@query("WITH RECURSIVE " + ", ".join([ITEMS, *[lasting_sql(f"g{i}", x) for i, x in enumerate((0.5, 0.6, 0.7))]]) + " " + " UNION ALL ".join(f"SELECT {x}::DOUBLE AS threshold, count(*) AS groups, coalesce(sum(size), 0)::BIGINT AS items FROM g{i}" for i, x in enumerate((0.5, 0.6, 0.7))), name="sc_recurrence_components_sweep")
+def sc_recurrence_components_sweep(t):
+    return ops.recurrence_sweep(dated_items(t), conversations=2, weeks=2)
 
 
 @query()
@@ -113,21 +167,27 @@ def sc_claim_match(t):
     words = d.select("doc_id", F.explode(F.array_distinct(ops.shingles(ops.tokens("text"), 6))).alias("s"))
     mine = c.select("claim_id", "project", F.explode(F.array_distinct(ops.shingles(ops.tokens("claim"), 6))).alias("s"))
     hit = mine.join(words, "s").select("claim_id", "project", F.concat(F.lit("p"), (F.col("doc_id") % 5).cast("string")).alias("other")).distinct()
-    pairs = c.alias("a").join(c.alias("b"), F.expr("a.project = b.project and a.pos < b.pos and substr(a.claim, 1, 3) = substr(b.claim, 1, 3)")).select(F.col("a.claim_id"), F.col("b.claim_id").alias("newer"))
-    return ops.claim_outcomes(c, hit.where("project = other"), pairs, hit.where("project <> other"))
+    return ops.claim_outcomes(c, hit.where("project = other"), ops.claim_pairs(c), hit.where("project <> other"))
 
 
-@query("""WITH o AS (SELECT item_id AS claim_id, 'p' || (item_id % 5)::VARCHAR AS project, CASE item_id % 3 WHEN 0 THEN 'gap' WHEN 1 THEN 'captured' ELSE 'superseded' END AS outcome FROM benchmark), r AS (SELECT *, row_number() OVER (PARTITION BY project, outcome ORDER BY claim_id) AS rn FROM o WHERE project <> 'p4')
-  SELECT project, outcome, count(*) AS n, string_agg(CASE WHEN rn <= 5 THEN claim_id::VARCHAR END, ',' ORDER BY claim_id) AS samples FROM r GROUP BY 1, 2""")
+@query("""WITH o AS (SELECT item_id AS claim_id, 'p' || (item_id % 5)::VARCHAR AS project, CASE item_id % 3 WHEN 0 THEN 'gap' WHEN 1 THEN 'captured' ELSE 'superseded' END AS outcome, CASE WHEN item_id % 3 = 2 THEN item_id * 2 % 31 END AS days FROM benchmark),
+  r AS (SELECT *, row_number() OVER (PARTITION BY project, outcome ORDER BY claim_id) AS rn FROM o WHERE project <> 'p4')
+  SELECT project, outcome, count(*) AS n, string_agg(CASE WHEN rn <= 5 THEN claim_id::VARCHAR END, ',' ORDER BY claim_id) AS samples, min(days) AS least_days, max(days) AS most_days FROM r GROUP BY 1, 2""")
 def ag_findings_sections(t):
     k = F.col("claim_id") % 3
-    out = claims_of(t).select("project", "claim_id", F.when(k == 0, "gap").when(k == 1, "captured").otherwise("superseded").alias("outcome"))
+    start = F.lit("2024-01-01").cast("date")
+    newer = F.when(k == 2, F.date_add(start, (F.col("claim_id") * 2 % 31).cast("int")))
+    out = claims_of(t).select("project", "claim_id", F.when(k == 0, "gap").when(k == 1, "captured").otherwise("superseded").alias("outcome"), start.alias("day"), newer.alias("newer_day"))
     return ops.findings(out, out.where("project <> 'p4'").select("project"))
 
 
-@query("""SELECT count(*) AS docs, round(count_if(text LIKE '%password=%') / count(*)::DOUBLE, 6) AS rejection_rate, count_if(doc_id % 5 = 0)::BIGINT AS excluded, count(DISTINCT source) AS projects FROM documents""")
+@query("""SELECT (SELECT count(*) FROM documents) AS claims, (SELECT count_if(text LIKE '%password=%') FROM documents)::BIGINT AS rejected, (SELECT count(*) FROM customer) AS conversations, (SELECT count_if(c_custkey % 5 = 0) FROM customer)::BIGINT AS excluded,
+  (SELECT count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)) AS unmapped, (SELECT count_if(n = 0) FROM (SELECT n_nationkey, count(s_suppkey) AS n FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1))::BIGINT AS without_file,
+  (SELECT round(count_if(text LIKE '%password=%') / count(*)::DOUBLE, 6) FROM documents) AS rejection_rate""")
 def ag_run_health(t):
-    return t.documents.agg(F.count("*").alias("docs"), F.round(F.count_if(F.col("text").contains("password=")) / F.count("*"), 6).alias("rejection_rate"), F.count_if(F.col("doc_id") % 5 == 0).alias("excluded"), F.count_distinct("source").alias("projects"))
+    conversations = t.customer.select(F.col("c_custkey").alias("session_id"), F.when(F.col("c_custkey") % 5 != 0, F.lit("2024-01-01").cast("timestamp")).alias("real_time"))
+    projects = t.nation.join(t.supplier, F.col("n_nationkey") == F.col("s_nationkey"), "left").groupBy(F.col("n_nationkey").alias("project")).agg(F.count("s_suppkey").alias("knowledge_files"))
+    return ops.run_health(t.documents.select(F.coalesce(F.col("text").contains("password="), F.lit(False)).alias("rejected")), conversations, t.orders.select(F.col("o_custkey").alias("session_id")), projects)
 
 
 @query("""WITH l AS (SELECT conv_id AS doc_id, turn, CASE turn % 3 WHEN 0 THEN '# ' || role ELSE CASE WHEN conv_id % 2 = 0 THEN '- [x] i' ELSE '- [ ] i' END || turn::VARCHAR || ' text' END AS line FROM conversations),
@@ -140,12 +200,15 @@ def ag_checklist_items(t):
     return ops.checklist(lines, t.events.select(F.concat(F.lit("i"), (F.col("event_id") % 9).cast("string")).alias("item"), F.col("event_type").alias("verdict"), F.col("event_id").alias("pos")))
 
 
-@query("""WITH n AS (SELECT CASE p_partkey % 3 WHEN 0 THEN 'BRIEF' WHEN 1 THEN 'REPORT' ELSE 'UAT' END AS role, 's' || (p_size % 20)::VARCHAR AS stem FROM part WHERE p_partkey % 5 > 1), b AS (SELECT stem, bool_or(role = 'BRIEF') AS brief, bool_or(role = 'REPORT') AS report, bool_or(role = 'UAT') AS uat FROM n GROUP BY 1)
-  SELECT stem, CASE WHEN uat THEN 'uat' WHEN report THEN 'report' WHEN brief THEN 'brief' ELSE 'none' END AS "column", brief, report, uat FROM b""")
+@query("""WITH n AS (SELECT CASE p_partkey % 3 WHEN 0 THEN 'BRIEF' WHEN 1 THEN 'REPORT' ELSE 'UAT' END AS role, 's' || (p_size * 7 + p_partkey % 11)::VARCHAR AS stem, p_brand AS folder, p_partkey % 4 AS done, 1 + p_partkey % 4 AS boxes, p_partkey % 5 > 0 AS stamped FROM part),
+  b AS (SELECT stem, bool_or(role = 'BRIEF') AS brief, bool_or(role = 'REPORT') AS report, bool_or(role = 'UAT') AS uat, sum(done)::BIGINT AS done, sum(boxes)::BIGINT AS boxes, count(DISTINCT folder) AS folders, count_if(NOT stamped) AS bare FROM n GROUP BY 1)
+  SELECT stem, CASE WHEN uat THEN 'uat' WHEN report THEN 'report' WHEN brief THEN 'brief' ELSE 'none' END AS "column", brief, report, uat, done, boxes, concat_ws(',', CASE WHEN folders > 1 THEN 'split_stem' END, CASE WHEN bare > 0 THEN 'unstamped' END) AS findings FROM b""")
 def ag_lifecycle_board(t):
-    k = F.col("p_partkey") % 3
-    name = F.concat(F.when(k == 0, "BRIEF_s").when(k == 1, "REPORT_s").otherwise("UAT_s"), (F.col("p_size") % 20).cast("string"), F.lit(".md"))
-    return ops.lifecycle_board(t.part.where("p_partkey % 5 > 1").select(name.alias("name")), ("BRIEF", "REPORT", "UAT"))
+    k = F.col("p_partkey")
+    role = F.when(k % 3 == 0, "BRIEF_s").when(k % 3 == 1, "REPORT_s").otherwise("UAT_s")
+    name = F.concat(role, (F.col("p_size") * 7 + k % 11).cast("string"), F.lit(".md"))
+    content = F.concat(F.when(k % 5 > 0, "on 2024-02-03\n").otherwise("undated\n"), F.repeat(F.lit("- [x] a\n"), (k % 4).cast("int")), F.lit("- [ ] b\n"))
+    return ops.lifecycle_board(t.part.select(name.alias("name"), F.col("p_brand").alias("folder"), content.alias("content")), ("BRIEF", "REPORT", "UAT"))
 
 
 @query("""WITH l AS (SELECT user_id AS host, event_id AS pos, CASE WHEN event_id % 3 = 0 THEN '[2024] start ' || event_type ELSE '  more ' || event_type END AS value FROM events), r AS (SELECT *, sum(CASE WHEN value LIKE '[2024]%' THEN 1 ELSE 0 END) OVER (PARTITION BY host ORDER BY pos) AS record FROM l)
@@ -155,7 +218,18 @@ def ag_log_calls(t):
     return ops.log_calls(t.events.select(F.col("user_id").alias("host"), F.col("event_id").alias("pos"), value.alias("value")), r"^\[2024\]")
 
 
-@query()
+@query("""WITH l AS (SELECT user_id AS host, event_id AS pos, event_id % 3 = 0 AS starts, event_type, event_id % 11 = 0 AS load FROM events), r AS (SELECT *, sum(CASE WHEN starts THEN 1 ELSE 0 END) OVER (PARTITION BY host ORDER BY pos) AS record FROM l),
+  g AS (SELECT host, record::BIGINT AS record, min(pos) AS pos, max(CASE WHEN starts THEN pos END)::DOUBLE AS ms, min(CASE WHEN NOT starts THEN pos END)::DOUBLE AS prompt_tokens, bool_or(event_type = 'error') AS error FROM r WHERE record > 0 GROUP BY 1, 2)
+  SELECT g.host, g.record, g.pos, ms, prompt_tokens, NULL::DOUBLE AS completion_tokens, error, (SELECT count(*) FROM l WHERE load AND l.host = g.host AND l.pos < g.pos) AS loads_before FROM g""", name="ag_log_calls_requests")
+def ag_log_calls_requests(t):
+    id_ = F.col("event_id").cast("string")
+    value = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("[2024] ms="), id_, F.lit(" "), "event_type")).otherwise(F.concat(F.lit("  prompt_tokens: "), id_, F.lit(" "), "event_type"))
+    rows = t.events.select(F.col("user_id").alias("host"), F.col("event_id").alias("pos"), value.alias("value"))
+    loads = t.events.where("event_id % 11 = 0").select(F.col("user_id").alias("host"), F.col("event_id").alias("pos"))
+    return ops.log_requests(ops.log_calls(rows, r"^\[2024\]"), loads)
+
+
+@query("SELECT item_id, text, length(text)::DOUBLE AS score FROM benchmark")
 def ud_scorer_hook(t):
     return ops.score_with(t.benchmark, lambda pdf: pdf["text"].str.len().astype("float64"))
 
