@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import capped, first_match, median, order_statistics, segments, word_count
-from .derive import doc_type, provenance
+from .derive import VENDORED_DIRS, doc_type, provenance
 
 CREDENTIAL_NAMES = r"(?i)(^|/)(credentials|secrets?|id_rsa|\.env)[^/]*$"
 
@@ -48,11 +49,24 @@ def commit_ledger(commits: DataFrame, by: Column, cap: int = 1000) -> tuple[Data
     return counts, newest
 
 
-def repo_summary(commits: DataFrame) -> DataFrame:
-    return commits.groupBy("project").agg(
+def commit_days(commits: DataFrame) -> DataFrame:
+    """Commits of each project and day."""
+    return commits.groupBy("project", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
+
+
+def repo_summary(commits: DataFrame, files: DataFrame) -> DataFrame:
+    """Per project: newest and first commit, their number, and the files (project, path, dirty) not committed."""
+    per = commits.groupBy("project").agg(
         F.max_by("hash", F.struct("ts", "hash")).alias("latest_hash"), F.max("ts").cast("date").cast("string").alias("latest"),
         F.min("ts").cast("date").cast("string").alias("first"), F.count("*").alias("n"),
     )
+    dirty = files.groupBy("project").agg(F.count_if("dirty").alias("dirty"))
+    return per.join(dirty, "project", "left").withColumn("dirty", F.coalesce("dirty", F.lit(0)))
+
+
+def estate_totals(summary: DataFrame) -> DataFrame:
+    """All projects of a summary in one row."""
+    return summary.agg(F.count("*").alias("projects"), F.sum("n").alias("commits"), F.sum("dirty").alias("dirty"), F.count_if(F.col("dirty") > 0).alias("dirty_projects"), F.max("latest").alias("latest"))
 
 
 def marker_census(texts: DataFrame, tags: Sequence[str], cap: int = 500) -> DataFrame:
@@ -159,10 +173,32 @@ def comention_pairs(texts: DataFrame, key: str, pattern: str) -> DataFrame:
 
 
 def file_census(files: DataFrame, depth: int = 4) -> DataFrame:
-    """Files and bytes of each directory, directories below ``depth`` folded upward."""
+    """Files, bytes and extensions of each directory of the working set, directories below ``depth`` folded upward."""
     parts = segments(F.col("path"))
     folder = F.array_join(F.slice(parts, 1, F.least(F.size(parts) - 1, F.lit(depth))), "/")
-    return files.groupBy("project", folder.alias("folder")).agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"))
+    ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
+    per = files.where(mass_reason().isNull()).groupBy("project", folder.alias("folder"), ext.alias("ext")).agg(F.count("*").alias("n"), F.sum("bytes").alias("b"))
+    kinds = F.array_sort(F.collect_list(F.struct("ext", "n")))
+    return per.groupBy("project", "folder").agg(F.sum("n").alias("files"), F.sum("b").alias("bytes"), F.array_join(F.transform(kinds, lambda x: F.concat_ws(":", x["ext"], x["n"].cast("string"))), ",").alias("extensions"))
+
+
+def mass_reason(vendored: Sequence[str] = VENDORED_DIRS) -> Column:
+    """Why a file counts as mass: a vendored directory, else that it is ignored; null in the working set."""
+    parts = segments(F.col("path"))
+    return first_match([(F.exists(F.slice(parts, 1, F.size(parts) - 1), lambda s: s.isin(*vendored)), "vendored"), (F.col("git_status") == "ignored", "ignored")])
+
+
+def file_tiers(files: DataFrame) -> DataFrame:
+    """Per project: files and bytes in the working set, in the mass by reason, in all, and those at risk (untracked and not ignored).
+
+    The working set and the mass add up to all files.
+    """
+    r = files.withColumn("reason", mass_reason())
+    n = lambda c, name: [F.count_if(c).alias(f"{name}_files"), F.coalesce(F.sum(F.when(c, F.col("bytes"))), F.lit(0)).alias(f"{name}_bytes")]
+    return r.groupBy("project").agg(
+        *n(F.col("reason").isNull(), "working"), *n(F.coalesce(F.col("reason") == "vendored", F.lit(False)), "vendored"), *n(F.coalesce(F.col("reason") == "ignored", F.lit(False)), "ignored"),
+        *n(F.col("git_status") == "untracked", "risk"), F.count("*").alias("files"), F.sum("bytes").alias("bytes"),
+    )
 
 
 def component_sizes(files: DataFrame) -> DataFrame:
@@ -171,16 +207,49 @@ def component_sizes(files: DataFrame) -> DataFrame:
     return out.select(F.when(F.col("g") == 1, "(all)").otherwise(F.col("component")).alias("component"), "files", "bytes")
 
 
-def import_census(texts: DataFrame, pattern: str, local: DataFrame, cap: int = 25) -> DataFrame:
-    """Names referred to from each text, counted once a text, without the local ones."""
-    names = texts.select("project", "path", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(pattern), F.lit(1)))).alias("name"))
-    n = names.join(local, "name", "left_anti").groupBy("name").agg(F.count("*").alias("n"))
+def import_census(texts: DataFrame, local: DataFrame, standard: DataFrame, cap: int = 25) -> DataFrame:
+    """Top-level modules that source texts import, counted once a text, without the local and the standard ones (name)."""
+    line = r"(?m)^[ \t]*(?:from[ \t]+([A-Za-z_][A-Za-z0-9_]*)|import[ \t]+([A-Za-z_][A-Za-z0-9_]*))"
+    hits = F.array_union(F.regexp_extract_all("content", F.lit(line), F.lit(1)), F.regexp_extract_all("content", F.lit(line), F.lit(2)))
+    names = texts.select("project", "path", F.explode(F.array_remove(hits, "")).alias("name"))
+    n = names.join(local, "name", "left_anti").join(standard, "name", "left_anti").groupBy("name").agg(F.count("*").alias("n"))
     return n.orderBy(F.desc("n"), "name").limit(cap)
 
 
-def decision_tally(records: DataFrame) -> DataFrame:
-    """Numbered entries per project and status tier."""
-    return records.groupBy("project", "tier").agg(F.count("*").alias("n"))
+# Status words of decision logs and the tiers they count for.
+TIERS = {"confirmed": "CONFIRMED", "assumed": "ASSUMED", "pending": "PENDING", "accepted": "accepted", "superseded": "superseded"}
+
+
+def decision_entries(docs: DataFrame) -> DataFrame:
+    """Numbered entries (``## 12``) of decision logs (project, path, content), each with its tier."""
+    part = F.explode(F.slice(F.split("content", r"(?m)^(?=##[ \t]+\d+\b)"), 1, 1 << 30)).alias("part")
+    entries = docs.select("project", "path", part).withColumn("number", F.regexp_extract("part", r"^##[ \t]+(\d+)\b", 1)).where("number <> ''")
+    body = F.regexp_replace("part", r"^[^\n]*", "")
+    word = F.lower(F.regexp_extract(body, r"(?i)status(?:\*\*)?\s*[:=]\s*\*{0,2}\s*([A-Za-z]+)", 1))
+    return entries.select("project", "path", F.col("number").cast("long").alias("number"), first_match([(word == k, v) for k, v in TIERS.items()], "other").alias("tier"))
+
+
+def open_questions(docs: DataFrame) -> DataFrame:
+    """Sections headed "open questions" or "open decisions" (project, path, content), with their list items."""
+    part = F.explode(F.split("content", r"(?m)^(?=#{1,6}[ \t])")).alias("part")
+    sections = docs.select("project", "path", part).where(F.col("part").rlike(r"(?i)\A#{1,6}[ \t]+open[ \t]+(questions|decisions)\b"))
+    body = F.regexp_replace("part", r"\A[^\n]*\n?", "")
+    return sections.select("project", "path", F.regexp_count(body, F.lit(r"(?m)^[ \t]*(?:[-*+]|\d+\.)[ \t]+\S")).cast("long").alias("items"))
+
+
+def decision_tally(logs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Decisions per project and tier: entries of the logs, and the items of open questions in any document as PENDING."""
+    n = decision_entries(logs).groupBy("project", "tier").agg(F.count("*").alias("n"))
+    still = open_questions(docs).groupBy("project").agg(F.sum("items").alias("n")).where("n > 0").select("project", F.lit("PENDING").alias("tier"), "n")
+    return n.unionByName(still).groupBy("project", "tier").agg(F.sum("n").alias("n"))
+
+
+def decision_documents(docs: DataFrame) -> DataFrame:
+    """Title and status of decision documents (project, path, content)."""
+    return docs.select(
+        "project", "path", F.trim(F.regexp_extract("content", r"(?m)^#[ \t]+([^\n]+)$", 1)).alias("title"),
+        F.trim(F.regexp_extract("content", r"(?im)^(?:\*\*)?status(?:\*\*)?[ \t]*[:=][ \t]*\*{0,2}[ \t]*([A-Za-z]+)", 1)).alias("status"),
+    )
 
 
 def write_targets(texts: DataFrame) -> DataFrame:
@@ -198,3 +267,25 @@ def code_inventory(texts: DataFrame) -> DataFrame:
         "project", "path", n(r"(?m)^[ \t]*class [A-Za-z_]").alias("classes"), n(r"(?m)^[ \t]*(async )?def [A-Za-z_]").alias("functions"),
         n(r"(?m)^[ \t]*(import|from) [A-Za-z_]").alias("imports"), F.col("content").isNull().alias("failed"),
     )
+
+
+def integrity_census(threads: DataFrame, queue: DataFrame) -> DataFrame:
+    """Counts of a store as (kind, key, n): threads by confidence, linked threads, the substantive flag, queue rows by type."""
+    tally = lambda df, kind, key: df.groupBy(key.alias("key")).agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "key", "n")
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("none"))
+    linked = threads.where("project_link is not null")
+    return reduce(DataFrame.unionByName, [tally(threads, "confidence", text("project_confidence")), tally(linked, "linked", F.lit("all")), tally(threads, "substantive", text("substantive")), tally(queue, "queue", text("type"))])
+
+
+def integrity_change(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Two censuses side by side, with the difference of each count."""
+    b, a = before.withColumnRenamed("n", "n_before"), after.withColumnRenamed("n", "n_after")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return b.join(a, ["kind", "key"], "full").select("kind", "key", zero("n_before").alias("n_before"), zero("n_after").alias("n_after"), (zero("n_after") - zero("n_before")).alias("change"))
+
+
+def must_be_empty(rows: DataFrame, what: str) -> None:
+    """The post-condition of a repair: an error tells how many rows are left."""
+    left = rows.count()
+    if left:
+        raise ValueError(f"{left} rows left: {what}")

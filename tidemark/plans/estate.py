@@ -126,6 +126,11 @@ def ag_commit_ledger(t):
     return census.commit_ledger(t.commits, F.coalesce(core.mapping(ALIASES)[F.col("author")], F.col("author")))[0]
 
 
+@query("SELECT project, ts::DATE::VARCHAR AS day, count(*) AS n FROM commits GROUP BY 1, 2", name="ag_commit_ledger_days")
+def ag_commit_ledger_days(t):
+    return census.commit_days(t.commits).withColumn("day", F.col("day").cast("string"))
+
+
 @query("""SELECT project, hash, true_count, true_count > 20 AS truncated FROM (SELECT project, hash, count(*) OVER (PARTITION BY project) AS true_count,
   row_number() OVER (PARTITION BY project ORDER BY ts DESC, hash) AS rn FROM commits) WHERE rn <= 20""")
 def ag_commit_ledger_newest(t):
@@ -140,9 +145,23 @@ def jn_author_fold(t):
     return author_fold(t.commits, aliases).groupBy("project", "author").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT project, max_by(hash, (ts, hash)) AS latest_hash, max(ts)::DATE::VARCHAR AS latest, min(ts)::DATE::VARCHAR AS first, count(*) AS n FROM commits GROUP BY 1""")
+SUMMARY = """sm AS (SELECT project, max_by(hash, (ts, hash)) AS latest_hash, max(ts)::DATE::VARCHAR AS latest, min(ts)::DATE::VARCHAR AS first, count(*) AS n FROM commits GROUP BY 1),
+  dt AS (SELECT 'c' || (s_suppkey % 60)::VARCHAR AS project, count_if(s_suppkey % 3 = 0)::BIGINT AS dirty FROM supplier GROUP BY 1), sd AS (SELECT sm.*, coalesce(dirty, 0) AS dirty FROM sm LEFT JOIN dt USING (project))"""
+
+
+def summary(t):
+    files = t.supplier.select(F.concat(F.lit("c"), (F.col("s_suppkey") % 60).cast("string")).alias("project"), F.col("s_name").alias("path"), (F.col("s_suppkey") % 3 == 0).alias("dirty"))
+    return census.repo_summary(t.commits, files)
+
+
+@query(f"WITH {SUMMARY} SELECT * FROM sd")
 def ag_repo_summary(t):
-    return census.repo_summary(t.commits)
+    return summary(t)
+
+
+@query(f"WITH {SUMMARY} SELECT count(*) AS projects, sum(n)::BIGINT AS commits, sum(dirty)::BIGINT AS dirty, count_if(dirty > 0)::BIGINT AS dirty_projects, max(latest) AS latest FROM sd", name="ag_repo_summary_totals")
+def ag_repo_summary_totals(t):
+    return census.estate_totals(summary(t))
 
 
 MARKERS = ("the", "der", "License")
@@ -231,9 +250,31 @@ def ag_comention_pairs(t):
     return census.comention_pairs(t.messages, "thread_id", r"\b(the|der|that|with|les|que|die)\b")
 
 
-@query("""SELECT project, array_to_string(string_split(path, '/')[1:least(len(string_split(path, '/')) - 1, 4)], '/') AS folder, count(*) AS files, sum(bytes)::BIGINT AS bytes FROM files GROUP BY 1, 2""")
+FILES = """fi AS (SELECT project, path || CASE file_id % 3 WHEN 0 THEN '.py' WHEN 1 THEN '.MD' ELSE '' END AS path, bytes, git_status FROM files),
+  fr AS (SELECT *, CASE WHEN len(list_filter(string_split(path, '/')[1:-2], lambda s: s IN ('node_modules', '.venv', 'venv', '__pycache__', '.git', 'dist', 'build', 'site-packages', 'vendor'))) > 0 THEN 'vendored' WHEN git_status = 'ignored' THEN 'ignored' END AS reason
+  FROM (SELECT project, CASE WHEN bytes % 4 = 0 THEN 'vendor/' || path ELSE path END AS path, bytes, git_status FROM fi))"""
+
+
+def manifest(t):
+    k = F.col("file_id") % 3
+    path = F.concat("path", F.when(k == 0, ".py").when(k == 1, ".MD").otherwise(""))
+    return t.files.select("project", F.when(F.col("bytes") % 4 == 0, F.concat(F.lit("vendor/"), path)).otherwise(path).alias("path"), "bytes", "git_status")
+
+
+@query(f"""WITH {FILES}, d AS (SELECT project, array_to_string(string_split(path, '/')[1:least(len(string_split(path, '/')) - 1, 4)], '/') AS folder, lower(regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1)) AS ext, count(*) AS n, sum(bytes)::BIGINT AS b FROM fr WHERE reason IS NULL GROUP BY 1, 2, 3)
+  SELECT project, folder, sum(n)::BIGINT AS files, sum(b)::BIGINT AS bytes, string_agg(ext || ':' || n::VARCHAR, ',' ORDER BY ext) AS extensions FROM d GROUP BY 1, 2""")
 def ag_file_census(t):
-    return census.file_census(t.files)
+    return census.file_census(manifest(t))
+
+
+def tier_sql(where: str, name: str) -> str:
+    return f"count_if({where})::BIGINT AS {name}_files, coalesce(sum(CASE WHEN {where} THEN bytes END), 0)::BIGINT AS {name}_bytes"
+
+
+@query(f"""WITH {FILES} SELECT project, {tier_sql('reason IS NULL', 'working')}, {tier_sql("coalesce(reason = 'vendored', false)", 'vendored')}, {tier_sql("coalesce(reason = 'ignored', false)", 'ignored')}, {tier_sql("git_status = 'untracked'", 'risk')},
+  count(*) AS files, sum(bytes)::BIGINT AS bytes FROM fr GROUP BY 1""", name="ag_file_census_tiers")
+def ag_file_census_tiers(t):
+    return census.file_tiers(manifest(t))
 
 
 @query("SELECT coalesce(component, '(all)') AS component, files, bytes FROM (SELECT git_status AS component, count(*) AS files, sum(bytes)::BIGINT AS bytes FROM files GROUP BY ROLLUP (git_status))")
@@ -241,16 +282,36 @@ def ag_component_sizes(t):
     return census.component_sizes(t.files.withColumnRenamed("git_status", "component"))
 
 
-@query("""WITH x AS (SELECT DISTINCT file_id, unnest(regexp_extract_all(content, 'href="/([^"]+)"', 1)) AS name FROM files)
-  SELECT name, count(*) AS n FROM x WHERE name NOT IN ('the', 'of') GROUP BY 1 ORDER BY n DESC, name LIMIT 25""")
+@query("""WITH x AS (SELECT DISTINCT p_partkey, unnest(list_filter([lower(p_brand[1:5]) || (p_size % 9)::VARCHAR, 'm' || (p_partkey % 13)::VARCHAR, CASE WHEN p_partkey % 2 = 0 THEN 'os' END], lambda x: x IS NOT NULL)) AS name FROM part)
+  SELECT name, count(*) AS n FROM x WHERE name NOT IN ('m1', 'm2', 'os', 'sys') GROUP BY 1 ORDER BY n DESC, name LIMIT 25""")
 def ag_import_census(t):
-    local = t.spark.createDataFrame([("the",), ("of",)], "name string")
-    return census.import_census(t.files, r'href="/([^"]+)"', local)
+    names = lambda *xs: t.spark.createDataFrame([(x,) for x in xs], "name string")
+    first, second = F.concat(F.lower(F.substring("p_brand", 1, 5)), (F.col("p_size") % 9).cast("string")), F.concat(F.lit("m"), (F.col("p_partkey") % 13).cast("string"))
+    body = F.concat(F.lit("import "), first, F.lit(".sub as x\nimport "), first, F.lit("\nfrom "), second, F.lit(".a import b\n"), F.when(F.col("p_partkey") % 2 == 0, "    import os\n").otherwise("# import none"))
+    return census.import_census(t.part.select(F.col("p_brand").alias("project"), F.col("p_partkey").alias("path"), body.alias("content")), names("m1", "m2"), names("os", "sys"))
+
+
+def decision_logs(t):
+    k = F.col("o_orderkey")
+    status = F.when(k % 4 == 0, "**Status:** CONFIRMED").when(k % 4 == 1, "Status: accepted").when(k % 4 == 2, "status = **Pending").otherwise("no word")
+    entry = F.concat(F.lit("## "), k.cast("string"), F.lit(" — status: ASSUMED in the title\n"), status, F.lit("\n\n"))
+    body = F.array_join(F.array_sort(F.collect_list(entry)), "")
+    asked = F.concat(F.lit("# Notes\n## Open questions here\n"), F.repeat(F.lit("- item\n"), (F.count("*") % 3).cast("int")), F.lit("1. last\ntext\n# End\n- not one\n"))
+    docs = t.orders.groupBy(F.concat(F.lit("p"), (F.col("o_custkey") % 50).cast("string")).alias("project")).agg(body.alias("log"), asked.alias("notes"))
+    return docs.select("project", F.lit("DECISIONS.md").alias("path"), F.concat(F.lit("# Log\nintro\n"), "log").alias("content")), docs.select("project", F.lit("notes.md").alias("path"), F.col("notes").alias("content"))
 
 
-@query("SELECT project, CASE author WHEN '1-URGENT' THEN 'PENDING' ELSE 'DECIDED' END AS tier, count(*) AS n FROM commits GROUP BY 1, 2")
+@query("""WITH e AS (SELECT 'p' || (o_custkey % 50)::VARCHAR AS project, CASE o_orderkey % 4 WHEN 0 THEN 'CONFIRMED' WHEN 1 THEN 'accepted' WHEN 2 THEN 'PENDING' ELSE 'other' END AS tier FROM orders),
+  a AS (SELECT project, tier, count(*) AS n FROM e GROUP BY 1, 2 UNION ALL SELECT project, 'PENDING', count(*) % 3 + 1 FROM e GROUP BY 1) SELECT project, tier, sum(n)::BIGINT AS n FROM a GROUP BY 1, 2""")
 def ag_decision_records(t):
-    return census.decision_tally(t.commits.withColumn("tier", F.when(F.col("author") == "1-URGENT", "PENDING").otherwise("DECIDED")))
+    return census.decision_tally(*decision_logs(t))
+
+
+@query("SELECT o_clerk AS path, 'Use ' || o_clerk AS title, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'Accepted' END AS status FROM (SELECT o_orderkey, 'adr/' || o_orderkey::VARCHAR || '.md' AS o_clerk FROM orders)", name="ag_decision_records_documents")
+def ag_decision_records_documents(t):
+    path = F.concat(F.lit("adr/"), F.col("o_orderkey").cast("string"), F.lit(".md"))
+    content = F.concat(F.lit("intro\n# Use "), path, F.lit("\n\n"), F.when(F.col("o_orderkey") % 3 == 0, "## Status\nnone\n").otherwise("**Status**: **Accepted** on Monday\n"))
+    return census.decision_documents(t.orders.select(F.lit("p").alias("project"), path.alias("path"), content.alias("content"))).select("path", "title", "status")
 
 
 @query("""WITH f AS (SELECT project, unnest(regexp_extract_all(content, '(?i)\\b(insert\\s+into|update|delete\\s+from)\\s+([A-Za-z_][A-Za-z0-9_]*)?')) AS hit FROM (SELECT 'm' || (o_custkey % 20)::VARCHAR AS project,
@@ -261,9 +322,21 @@ def ag_write_targets(t):
     return census.write_targets(t.orders.select(F.concat(F.lit("m"), (F.col("o_custkey") % 20).cast("string")).alias("project"), F.lit("x").alias("path"), text.alias("content")))
 
 
-@query("SELECT project_confidence, suggested_close, count(*) AS n FROM threads GROUP BY 1, 2")
+CENSUS_OF = """SELECT 'confidence' AS kind, coalesce(project_confidence, 'none') AS key, count(*) AS n FROM {0} GROUP BY 2 UNION ALL SELECT 'linked', 'all', count(*) FROM {0} WHERE project_link IS NOT NULL HAVING count(*) > 0
+  UNION ALL SELECT 'substantive', (thread_id % 2 = 0)::VARCHAR, count(*) FROM {0} GROUP BY 2 UNION ALL SELECT 'queue', type, count(*) FROM {1} GROUP BY 2"""
+
+
+@query(f"""WITH fx AS (SELECT thread_id, CASE WHEN project_link IN (SELECT project_id FROM projects) THEN project_link END AS project_link, nullif(project_confidence, 'none') AS project_confidence FROM threads),
+  q2 AS (SELECT type FROM queue UNION ALL SELECT 'orphan_link' FROM threads WHERE project_link IS NOT NULL AND project_link NOT IN (SELECT project_id FROM projects)), b AS ({CENSUS_OF.format('threads', 'queue')}), a AS ({CENSUS_OF.format('fx', 'q2')})
+  SELECT coalesce(b.kind, a.kind) AS kind, coalesce(b.key, a.key) AS key, coalesce(b.n, 0) AS n_before, coalesce(a.n, 0) AS n_after, coalesce(a.n, 0) - coalesce(b.n, 0) AS change FROM b FULL JOIN a ON b.kind = a.kind AND b.key = a.key""")
 def ag_integrity_census(t):
-    return t.threads.groupBy("project_confidence", "suggested_close").agg(F.count("*").alias("n"))
+    from ..operators.joins import orphan_links
+
+    threads = t.threads.withColumn("substantive", F.col("thread_id") % 2 == 0)
+    fixed, repairs = orphan_links(derive.normalise_confidence(threads), t.projects)
+    census.must_be_empty(orphan_links(fixed, t.projects)[1], "links to no project")
+    before = census.integrity_census(threads, t.queue)
+    return census.integrity_change(before, census.integrity_census(fixed, t.queue.select("type").unionByName(repairs.select("type"))))
 
 
 @query("""SELECT project, path, bytes FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY bytes DESC, path, file_id) AS rn FROM files) WHERE rn <= 20""")
