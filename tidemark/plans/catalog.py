@@ -48,3 +48,9 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     _load()
     return dict(_ORACLE)
+
+
+def manifest() -> list[tuple[str, str, bool]]:
+    """(name, family, whether SQL checks it) of every registered job."""
+    _load()
+    return [(name, name.split("_")[0], name in _ORACLE) for name in sorted(_QUERIES)]

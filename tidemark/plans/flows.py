@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..sources import chats
 from ..streaming import jobs
 from .catalog import query
+from .sequence import DECAY, STATES
 
 
 def folder(t, name: str) -> str:
@@ -16,6 +17,8 @@ def folder(t, name: str) -> str:
     spark = t.spark
     base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
         base = tempfile.mkdtemp(prefix="tidemark-")
@@ -41,7 +44,7 @@ def drained(t, stream, mode: str = "append"):
 
 def export_json(t):
     message = F.struct(F.concat_ws("-", "conv_id", "turn").alias("uuid"), F.when(F.col("role") == "user", "human").otherwise("assistant").alias("sender"), "text", F.lpad(F.col("turn").cast("string"), 6, "0").alias("created_at"))
-    return t.conversations.groupBy("conv_id").agg(F.to_json(F.struct(F.first(F.col("conv_id").cast("string")).alias("uuid"), F.lit("t").alias("name"), F.collect_list(message).alias("chat_messages"))).alias("value"))
+    return t.conversations.groupBy("conv_id").agg(F.to_json(F.struct(F.first(F.col("conv_id").cast("string")).alias("uuid"), F.lit("t").alias("name"), F.first(F.when(F.col("conv_id") % 3 > 0, F.concat(F.lit("proj"), (F.col("conv_id") % 3).cast("string")))).alias("project_name"), F.collect_list(message).alias("chat_messages"))).alias("value"))
 
 
 @query("SELECT conv_id::VARCHAR AS thread_id, row_number() OVER (PARTITION BY conv_id ORDER BY lpad(turn::VARCHAR, 6, '0'), turn) - 1 AS seq, conv_id::VARCHAR || '-' || turn::VARCHAR AS message_id, CASE WHEN role = 'user' THEN 'user' ELSE 'assistant' END AS role, text AS content FROM conversations")
@@ -49,9 +52,24 @@ def src_chat_export(t):
     return chats.chat_export(export_json(t))[1]
 
 
-@query()
+@query("SELECT thread_id, 't' AS title, link AS project_link, CASE WHEN link IS NOT NULL THEN 'exact' END AS project_confidence FROM (SELECT DISTINCT conv_id::VARCHAR AS thread_id, CASE WHEN conv_id % 3 > 0 THEN 'proj' || (conv_id % 3)::VARCHAR END AS link FROM conversations)", name="src_chat_export_threads")
+def src_chat_export_threads(t):
+    return chats.chat_export(export_json(t))[0].drop("created_at")
+
+
+HTML = r"""regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->', '', 'gis')"""
+for _pattern, _text, _flags in ((r"<pre[^>]*>", r"\n```\n", "gi"), (r"</pre>", r"\n```\n", "gi"), (r"<(br|/p|/div|/li|/h[1-6]|/tr)[^>]*>", r"\n", "gi"), (r"<[^>]+>", "", "gs")):
+    HTML = f"regexp_replace({HTML}, '{_pattern}', '{_text}', '{_flags}')".replace(r"\n", "' || chr(10) || '")
+for _name, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+    HTML = f"replace({HTML}, '{_name}', '{_char}')"
+HTML = f"trim(regexp_replace({HTML}, '\\n{{2,}}', chr(10), 'g'))"
+
+
+@query(f"""WITH h AS (SELECT page_id AS id, CASE WHEN page_id % 4 > 0 THEN url END AS prompt, {HTML} AS answer, substr(md5(url), 1, 16) AS turn_hash FROM pages)
+  SELECT id, turn_hash, 0 AS seq, 'user' AS role, prompt AS content FROM h WHERE prompt IS NOT NULL UNION ALL SELECT id, turn_hash, 1, 'assistant', answer FROM h WHERE prompt IS NOT NULL AND length(answer) > 0
+  UNION ALL SELECT id, turn_hash, 0, 'activity_log', coalesce(answer, '') FROM h WHERE prompt IS NULL""")
 def src_activity_html(t):
-    return chats.activity_html(t.pages.select(F.col("page_id").alias("id"), F.col("url").alias("prompt"), "html", F.md5("url").alias("attachments")))
+    return chats.activity_html(t.pages.select(F.col("page_id").alias("id"), F.when(F.col("page_id") % 4 > 0, F.col("url")).alias("prompt"), "html", F.md5("url").alias("attachments")))
 
 
 @query("""SELECT 'mdmanual-' || substr(sha1('t' || conv_id::VARCHAR), 1, 12) AS thread_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS turn, CASE WHEN turn % 2 = 0 THEN 'user' ELSE 'assistant' END AS role, trim(text) AS content FROM conversations WHERE trim(text) <> ''""")
@@ -61,17 +79,57 @@ def src_md_transcript(t):
     return chats.md_transcript(t.conversations.groupBy("conv_id").agg(body.alias("body")).select(F.concat(F.lit("t"), F.col("conv_id").cast("string")).alias("path"), F.concat(F.lit("---\nk: v\n---\n"), "body").alias("content")))
 
 
-@query("SELECT conv_id AS session_id, CASE WHEN turn % 7 = 3 THEN 'bad_line' WHEN turn % 7 = 5 OR role = 'system' THEN 'bookkeeping' ELSE 'message' END AS kind, count(*) AS n FROM conversations GROUP BY 1, 2")
-def src_jsonl_sessions(t):
+def session_lines(t):
+    """Conversations as session files: a bad line, a summary and titles among the messages."""
     blocks = F.array(F.struct(F.lit("thinking").alias("type"), F.lit("x").alias("text")), F.struct(F.lit("text").alias("type"), F.col("text").alias("text")))
-    row = F.to_json(F.struct(F.when(F.col("turn") % 7 == 5, "summary").otherwise(F.col("role")).alias("type"), F.struct("role", blocks.alias("content")).alias("message")))
-    lines = t.conversations.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("line_no"), F.when(F.col("turn") % 7 == 3, "{broken").otherwise(row).alias("value"))
-    return chats.jsonl_sessions(lines)[1]
+    k = F.col("turn") % 7
+    kind = F.when(k == 5, "summary").when(k == 1, "ai-title").when((k == 2) & (F.col("conv_id") % 2 == 0), "custom-title").otherwise(F.col("role"))
+    named = F.concat("role", F.lit(" "), F.col("turn").cast("string"))
+    row = F.to_json(F.struct(
+        kind.alias("type"), F.when(kind == "custom-title", named).alias("customTitle"), F.when((kind == "ai-title") & (F.col("conv_id") % 5 > 0), named).alias("aiTitle"),
+        F.when(F.col("turn") % 2 == 0, F.concat_ws("-", "conv_id", "turn")).alias("uuid"), F.struct("role", blocks.alias("content")).alias("message"),
+    ))
+    return t.conversations.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("line_no"), F.when(k == 3, "{broken").otherwise(row).alias("value"))
+
 
+KIND = "CASE WHEN turn % 7 = 3 THEN 'bad_line' WHEN turn % 7 = 5 THEN 'bookkeeping' WHEN turn % 7 = 1 OR (turn % 7 = 2 AND conv_id % 2 = 0) THEN 'title' WHEN role IN ('system', 'summary') THEN 'bookkeeping' ELSE 'message' END"
+SAID = f"sm AS (SELECT conv_id AS session_id, turn AS line_no, role, text AS content, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS seq, CASE WHEN turn % 2 = 0 THEN conv_id::VARCHAR || '-' || turn::VARCHAR END AS uuid FROM conversations WHERE {KIND} = 'message' AND text <> '')"
 
-@query("SELECT 's' || (conv_id % 4)::VARCHAR AS store, count(DISTINCT conv_id) AS sessions, count(*) AS messages, sum(strlen(text))::BIGINT AS bytes, min(turn) AS least, max(turn) AS most FROM conversations GROUP BY 1")
+
+@query(f"SELECT conv_id AS session_id, {KIND} AS kind, count(*) AS n FROM conversations GROUP BY 1, 2")
+def src_jsonl_sessions(t):
+    return chats.jsonl_sessions(session_lines(t))[1]
+
+
+@query(f"WITH {SAID} SELECT session_id, line_no, role, content, seq, coalesce(uuid, substr(sha256(session_id::VARCHAR || ':' || seq::VARCHAR), 1, 32)) AS message_id FROM sm", name="src_jsonl_sessions_messages")
+def src_jsonl_sessions_messages(t):
+    return chats.jsonl_sessions(session_lines(t))[0].drop("ts")
+
+
+@query(f"""WITH {SAID}, st AS (SELECT conv_id AS session_id, arg_max(CASE WHEN turn % 7 = 2 AND conv_id % 2 = 0 THEN role || ' ' || turn::VARCHAR END, CASE WHEN turn % 7 = 2 AND conv_id % 2 = 0 THEN turn END) AS custom,
+  arg_max(CASE WHEN turn % 7 = 1 AND conv_id % 5 > 0 THEN role || ' ' || turn::VARCHAR END, CASE WHEN turn % 7 = 1 AND conv_id % 5 > 0 THEN turn END) AS made FROM conversations GROUP BY 1),
+  us AS (SELECT session_id, arg_min(content, line_no) AS said FROM sm WHERE role = 'user' GROUP BY 1)
+  SELECT session_id, coalesce(custom, made, CASE WHEN length(said) > 80 THEN substr(said, 1, 80) || '…' ELSE said END) AS title FROM st LEFT JOIN us USING (session_id)""", name="src_jsonl_sessions_titles")
+def src_jsonl_sessions_titles(t):
+    return chats.jsonl_sessions(session_lines(t))[2]
+
+
+@query("""WITH m AS (SELECT 's' || (conv_id % 4)::VARCHAR AS store, conv_id AS thread_id, conv_id * 10 + turn % 2 AS session_id, turn % 2 = 1 AS side, text, DATE '2024-01-01' + turn::INT AS d FROM conversations), f AS (SELECT store, string_agg(DISTINCT path, ',' ORDER BY path) AS failed FROM (SELECT 's' || (n_nationkey % 6)::VARCHAR AS store, n_name AS path FROM nation) GROUP BY 1),
+  p AS (SELECT store, count(DISTINCT thread_id) AS sessions, count(DISTINCT CASE WHEN side THEN session_id END) AS sub_sessions, count(*) AS messages, sum(strlen(text))::BIGINT AS bytes, min(d)::VARCHAR AS first, max(d)::VARCHAR AS last FROM m GROUP BY 1)
+  SELECT coalesce(p.store, f.store) AS store, sessions, sub_sessions, messages, bytes, first, last, coalesce(failed, '') AS failed FROM p FULL JOIN f ON p.store = f.store""")
 def src_transcript_census(t):
-    return chats.transcript_census(t.messages.withColumn("store", F.concat(F.lit("s"), (F.col("thread_id") % 4).cast("string"))))
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.col("seq").cast("int"))
+    rows = t.messages.select(F.concat(F.lit("s"), (F.col("thread_id") % 4).cast("string")).alias("store"), "thread_id", (F.col("thread_id") * 10 + F.col("seq") % 2).alias("session_id"), (F.col("seq") % 2 == 1).alias("is_sidechain"), "content", day.cast("string").alias("ts"))
+    return chats.transcript_census(rows, t.nation.select(F.concat(F.lit("s"), (F.col("n_nationkey") % 6).cast("string")).alias("store"), F.col("n_name").alias("path")))
+
+
+@query("""WITH o AS (SELECT conv_id || '-' || turn AS message_id, conv_id AS thread_id, turn AS seq, role, text AS content FROM conversations WHERE turn % 3 > 0), n AS (SELECT conv_id || '-' || turn AS message_id, conv_id + 1 AS thread_id, turn + 100 AS seq, 'x' AS role, CASE WHEN turn % 5 > 0 THEN text || '!' END AS content FROM conversations WHERE turn % 2 = 0)
+  SELECT coalesce(o.message_id, n.message_id) AS message_id, coalesce(o.thread_id, n.thread_id) AS thread_id, coalesce(n.seq, o.seq) AS seq, coalesce(o.role, n.role) AS role, CASE WHEN n.message_id IS NOT NULL THEN n.content ELSE o.content END AS content FROM o FULL JOIN n ON o.message_id = n.message_id""", name="src_session_upsert_messages")
+def src_session_upsert_messages(t):
+    id_, k = F.concat_ws("-", F.col("thread_id").cast("string"), F.col("seq").cast("string")), F.col("seq")
+    m = t.messages.withColumn("message_id", id_).withColumn("created_at", F.lit(None).cast("timestamp"))
+    fresh = m.where(k % 2 == 0).select("message_id", (F.col("thread_id") + 1).alias("thread_id"), (k + 100).alias("seq"), F.lit("x").alias("role"), F.when(k % 5 > 0, F.concat("content", F.lit("!"))).alias("content"), "created_at")
+    return chats.message_upsert(m.where(k % 3 > 0), fresh).drop("created_at")
 
 
 @query("""WITH n AS (SELECT thread_id, 'new ' || title AS title, 'q' AS project_link, 'fuzzy' AS project_confidence FROM threads WHERE thread_id % 3 > 0), o AS (SELECT * FROM threads WHERE thread_id % 4 > 0)
@@ -95,6 +153,23 @@ def src_snapshot_store(t):
     return t.spark.read.parquet(path).groupBy(F.col("snapshot_date").cast("string").alias("snapshot_date")).agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
 
 
+@query("SELECT '2024-01-02' AS snapshot_date, count(*) AS n, sum(bytes)::BIGINT AS bytes FROM docs", name="src_snapshot_store_latest")
+def src_snapshot_store_latest(t):
+    path, docs = folder(t, "snapshots"), t.docs.select("doc_id", "bytes")
+    for day, rows in (("2024-01-01", docs.where("doc_id % 2 = 0")), ("2024-01-02", docs)):
+        chats.write_snapshot(rows, path, day)
+    newest = chats.latest_snapshot(t.spark.read.parquet(path))
+    return newest.groupBy(F.col("snapshot_date").cast("string").alias("snapshot_date")).agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+
+
+@query("SELECT (DATE '2024-01-01' + (page_id % 3)::INT)::VARCHAR AS generated, count(*) AS n FROM pages GROUP BY 1", name="src_bundle_verify_archive")
+def src_bundle_verify_archive(t):
+    path = folder(t, "bundles")
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 3).cast("int"))
+    chats.write_archive(t.pages.select(F.col("page_id").alias("name"), F.col("html").cast("binary").alias("content"), day.alias("generated_at")), path)
+    return t.spark.read.parquet(path).groupBy(F.col("generated").cast("string").alias("generated")).agg(F.count("*").alias("n"))
+
+
 @query("SELECT page_id AS name, CASE WHEN page_id % 3 > 0 THEN page_id % 3 = 1 END AS verified FROM pages")
 def src_bundle_verify(t):
     files = t.pages.select(F.col("page_id").alias("name"), F.col("html").cast("binary").alias("content"))
@@ -115,6 +190,14 @@ def src_markdown_sink(t):
     return chats.markdown_documents(t.threads, t.messages)
 
 
+@query("""WITH b AS (SELECT thread_id, string_agg('**' || role || ':** ' || content, chr(10) || chr(10) ORDER BY seq, role, content) AS body FROM messages GROUP BY 1)
+  SELECT source, unnest(string_split('---' || chr(10) || 'title: ' || coalesce(title, '') || chr(10) || 'source: ' || source || chr(10) || '---' || chr(10) || coalesce(body, ''), chr(10))) AS line FROM threads LEFT JOIN b USING (thread_id)""", name="src_markdown_sink_written")
+def src_markdown_sink_written(t):
+    path = folder(t, "markdown")
+    chats.write_documents(chats.markdown_documents(t.threads, t.messages), path)
+    return t.spark.read.text(path).select("source", F.col("value").alias("line"))
+
+
 @query("""WITH f AS (SELECT * FROM docs WHERE project IN ('src1', 'src2') AND doc_id % 2 = 0) SELECT doc_id, 'fresh' AS state FROM f UNION ALL SELECT doc_id, 'old' FROM docs WHERE project NOT IN (SELECT project FROM f)""")
 def src_partial_overwrite(t):
     rows = t.docs.select("doc_id", "project")
@@ -154,6 +237,17 @@ def st_incremental_scan(t):
     return t.spark.read.parquet(out)
 
 
+@query("WITH v AS (SELECT DISTINCT user_id, event_type FROM events WHERE event_id % 7 > 0) SELECT user_id, event_type, (SELECT max(event_id) FROM events) AS mark FROM v", name="st_incremental_scan_mark")
+def st_incremental_scan_mark(t):
+    keys = ["user_id", "event_type"]
+    rows = t.events.select(F.col("event_id").alias("row_id"), F.when(F.col("event_id") % 7 > 0, F.col("user_id")).alias("user_id"), "event_type")
+    half = rows.agg((F.max("row_id") / 2).cast("long").alias("m")).first().m
+    none = t.spark.createDataFrame([], "mark long")
+    first, mark = jobs.scan_above(rows.where(F.col("row_id") <= half), none, None, keys)
+    second, last = jobs.scan_above(rows, mark, first, keys)
+    return first.unionByName(second).join(F.broadcast(last))
+
+
 @query("SELECT project, signature FROM (SELECT project, md5(count(*)::VARCHAR || project) AS signature FROM docs GROUP BY 1) WHERE project <> 'src1'")
 def st_skip_unchanged(t):
     now = t.docs.groupBy("project").agg(F.count("*").alias("n")).select("project", F.md5(F.concat(F.col("n").cast("string"), "project")).alias("signature"))
@@ -168,14 +262,18 @@ def st_content_cache(t):
     return jobs.content_cache(items, cache, "f1")[1].select("key")
 
 
-@query()
+@query("""WITH s AS (SELECT user_id AS fingerprint, event_id, event_id % 3 = 1 AS seen, event_id % 4 = 0 AS aged FROM events WHERE event_id % 3 < 2), w AS (SELECT *, coalesce(lag(seen) OVER (PARTITION BY fingerprint ORDER BY event_id), false) AS was FROM s),
+  o AS (SELECT *, sum(CASE WHEN seen AND NOT was THEN 1 ELSE 0 END) OVER (PARTITION BY fingerprint ORDER BY event_id) AS occurrence FROM w),
+  a AS (SELECT *, row_number() OVER (PARTITION BY fingerprint, occurrence, seen AND aged ORDER BY event_id) AS ra FROM o)
+  SELECT fingerprint, event_id, occurrence::BIGINT AS occurrence, CASE WHEN seen AND NOT was THEN 'opened' WHEN seen THEN 'aged' ELSE 'closed' END AS change FROM a WHERE (seen AND NOT was) OR (seen AND aged AND ra = 1) OR (NOT seen AND was)""")
 def st_event_occurrences(t):
-    return drained(t, jobs.occurrence_events(streamed(t, "sightings", ["fingerprint", "event_id", "kind"])))
+    return drained(t, jobs.occurrence_events(streamed(t, "sightings", ["fingerprint", "event_id", "kind", (F.col("event_id") % 4 == 0).alias("aged")])))
 
 
-@query()
+@query(f"""WITH l AS (SELECT pos, make_timestamp(pos) AS ts, ms, 'h' || (pos % 50)::VARCHAR AS host FROM ledger), {DECAY}, {STATES.replace("SELECT host, pos, round(ratio, 6) AS ratio, CASE WHEN slow = 0 THEN 'run' WHEN k <= 3 THEN 'pause' ELSE 'capped' END AS state,", "SELECT host, pos,")}""")
 def st_rolling_decay(t):
-    return drained(t, jobs.decay_states(streamed(t, "ledger", ["host", "pos", "ms"])))
+    host = F.concat(F.lit("h"), (F.col("pos") % 50).cast("string")).alias("host")
+    return drained(t, jobs.decay_states(streamed(t, "ledger", [host, "pos", "ms"])))
 
 
 @query("SELECT user_id, event_type FROM events")
@@ -183,12 +281,3 @@ def st_dropzone_ingest(t):
     path, archive = folder(t, "landing"), folder(t, "archive")
     t.events.select("user_id", "event_type").write.json(path)
     return drained(t, jobs.dropzone(t.spark, path, "user_id long, event_type string", archive))
-
-
-@query()
-def ud_job_registry(t):
-    from .catalog import _ORACLE, _QUERIES
-
-    rows = [(name, name.split("_")[0], name in _ORACLE) for name in sorted(_QUERIES)]
-    manifest = t.spark.createDataFrame(rows, "name string, family string, checked boolean")
-    return manifest.join(t.region.agg(F.count("*").alias("regions")))

@@ -35,6 +35,22 @@ def append_new(target: str, keys: list[str]):
     return write
 
 
+def scan_above(rows: DataFrame, marks: DataFrame, target: DataFrame | None, keys: list[str], order: str = "row_id") -> tuple[DataFrame, DataFrame]:
+    """(new votes, the next mark): only rows above the stored high-water mark (mark) are looked at.
+
+    ``target`` holds the votes of earlier scans, which are not repeated; with
+    no mark stored all rows are scanned. The next mark is the greatest row seen,
+    also where its row gave no vote.
+    """
+    mark = marks.agg(F.max("mark").alias("mark"))
+    fresh = rows.join(F.broadcast(mark)).where(F.col("mark").isNull() | (F.col(order) > F.col("mark"))).drop("mark")
+    votes = fresh.select(*keys).dropna().distinct()
+    if target is not None:
+        votes = votes.join(target.select(*keys), keys, "left_anti")
+    after = rows.agg(F.max(order).alias("seen")).join(mark).select(F.greatest("seen", "mark").alias("mark"))
+    return votes, after
+
+
 def skip_unchanged(current: DataFrame, known: DataFrame, key: str = "project", signature: str = "signature") -> DataFrame:
     """Rows whose signature is new or has changed."""
     return current.join(known.select(key, signature), [key, signature], "left_anti")
@@ -47,46 +63,58 @@ def content_cache(items: DataFrame, cache: DataFrame, fingerprint: str) -> tuple
     return hashed.join(live.select("key", "hash", "result"), ["key", "hash"]), hashed.join(live, ["key", "hash"], "left_anti")
 
 
-def decay_states(rows: DataFrame, size: int = 4, pause: float = 0.75, resume: float = 0.9) -> DataFrame:
-    """Pause or run decisions of each host from its live timings (host, pos, ms), rows of a batch in order of ``pos``."""
+def decay_states(rows: DataFrame, size: int = 4, pause: float = 0.75, resume: float = 0.9, cap: int = 3) -> DataFrame:
+    """Actions for each host from its live timings (host, pos, ms), rows of a batch in order of ``pos`` and ``ms``; as ``rolling_decay`` decides."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        first, recent, now = state.get if state.exists else ([], [], "run")
+        first, recent, pauses = state.get if state.exists else ([], [], 0)
         first, recent = list(first), list(recent)
         out = []
-        rows_ = pd.concat(list(batches)).sort_values("pos")
+        rows_ = pd.concat(list(batches)).sort_values(["pos", "ms"])
         for pos, ms in zip(rows_["pos"], rows_["ms"], strict=True):
             speed = 1.0 / ms
             if len(first) < size:
                 first.append(speed)
             recent = [*recent, speed][-size:]
+            action = "observing"
             if len(first) == size:
                 ratio = pd.Series(recent).median() / pd.Series(first).median()
-                now = "pause" if ratio < pause else "run" if ratio >= resume else now
-            out.append((key[0], pos, now))
-        state.update((first, recent, now))
-        yield pd.DataFrame(out, columns=["host", "pos", "state"])
+                action = "none"
+                if ratio >= resume:
+                    action, pauses = ("resume" if pauses else "none"), 0
+                elif pauses or ratio < pause:
+                    pauses += 1
+                    action = "pause" if pauses <= cap else "cap_reached" if pauses == cap + 1 else "none"
+            out.append((key[0], pos, action))
+        state.update((first, recent, pauses))
+        yield pd.DataFrame(out, columns=["host", "pos", "action"])
 
-    return rows.groupBy("host").applyInPandasWithState(step, "host string, pos long, state string", "first array<double>, recent array<double>, now string", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("host").applyInPandasWithState(step, "host string, pos long, action string", "first array<double>, recent array<double>, pauses long", "append", GroupStateTimeout.NoTimeout)
 
 
 def occurrence_events(conditions: DataFrame) -> DataFrame:
-    """Occurrences opened and closed by each condition's live readings (fingerprint, event_id, kind)."""
+    """Occurrences opened, aged and closed by each condition's live readings (fingerprint, event_id, kind, aged).
+
+    The first reading of an open occurrence that is aged gives one more sighting.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        number, is_open = state.get if state.exists else (0, False)
+        number, is_open, told = state.get if state.exists else (0, False, False)
         out = []
-        for event, kind in pd.concat(list(batches)).sort_values("event_id")[["event_id", "kind"]].itertuples(index=False):
+        for event, kind, aged in pd.concat(list(batches)).sort_values("event_id")[["event_id", "kind", "aged"]].itertuples(index=False):
             if kind == "sighting" and not is_open:
-                number, is_open = number + 1, True
+                number, is_open, told = number + 1, True, bool(aged)
                 out.append((key[0], event, number, "opened"))
+            elif kind == "sighting" and aged and not told:
+                told = True
+                out.append((key[0], event, number, "aged"))
             elif kind == "resolution" and is_open:
                 is_open = False
                 out.append((key[0], event, number, "closed"))
-        state.update((number, is_open))
+        state.update((number, is_open, told))
         yield pd.DataFrame(out, columns=["fingerprint", "event_id", "occurrence", "change"])
 
-    return conditions.groupBy("fingerprint").applyInPandasWithState(step, "fingerprint long, event_id long, occurrence long, change string", "number long, is_open boolean", "append", GroupStateTimeout.NoTimeout)
+    return conditions.groupBy("fingerprint").applyInPandasWithState(step, "fingerprint long, event_id long, occurrence long, change string", "number long, is_open boolean, told boolean", "append", GroupStateTimeout.NoTimeout)
 
 
 def dropzone(spark, path: str, schema: str, archive: str) -> DataFrame:
