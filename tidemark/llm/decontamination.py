@@ -12,7 +12,8 @@ places of the substitutions), so no verdict hangs on the choice of seeds.
 Scale: a document span is hashed in full only if its first two tokens pass a
 bitmap made from the benchmark (8 to 512 KiB for a class in use; a fuller one lets more
 spans through and changes no result), so the rows that leave the scan follow the true and
-chance hits. Verification carries the stretch of a text beside an item, never the text. Benchmark seeds are broadcast only
+chance hits. While these are counted to be at most ``broadcast_rows``, they are
+broadcast to the texts, which are then never shuffled. Verification carries the stretch of a text beside an item, never the text. Benchmark seeds are broadcast only
 below ``broadcast_rows``; beyond, both sides are shuffled by hash.
 """
 
@@ -26,6 +27,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import settle
+
 #: Masks for whole windows, for items of 10 to 12 tokens (two substitutions) and of 5 to 9 (one).
 MASKS = ("11001001011", "11011011")
 SHORT_MASKS = (("11111", "1100111", "110001011"), ("111", "11011"))
@@ -164,10 +167,13 @@ def decontaminate(
     told = F.broadcast if small else lambda df: df
     gates = [(kind, gate_of(of_kind[kind], kind.first, max(LEAST_BITS, min(MOST_BITS, (16 * present.get(kind.least, 1)).bit_length())))) for kind in used]
     of_docs = seeds(base.select("id", tokens(F.col("text")).alias("words")), gates)
-    hits = of_docs.join(told(of_items), "h").groupBy("id").agg(F.collect_set(F.struct("item", "m", (F.col("pos") - F.col("item_pos")).alias("shift"))).alias("hits"))
+    # one row for each document, item and diagonal; as long as they are few, the texts stay where they are
+    hits = settle(of_docs.join(told(of_items), "h").select("id", "item", "m", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct())
+    few = F.broadcast if hits.count() <= broadcast_rows else lambda df: df
+    per_id = hits.groupBy("id").agg(F.collect_list(F.struct("item", "m", "shift")).alias("hits"))
     # the stretch beside the item on each diagonal, whose first token is that of item token -least(shift, 0)
     beside = lambda words: F.transform("hits", lambda x: F.struct(x["item"].alias("item"), F.least(x["shift"], F.lit(0)).alias("shift"), F.slice(words, F.greatest(x["shift"], F.lit(0)) + 1, x["m"]).alias("words")))
-    stretches = base.join(hits, "id").select("id", F.inline(let(tokens(F.col("text")), beside))).join(told(side), "item")
+    stretches = base.join(few(per_id), "id").select("id", F.inline(let(tokens(F.col("text")), beside))).join(told(side), "item")
     m = F.size("item_words")
     agree = F.transform(F.col("item_words"), lambda w, j: F.when(F.get(F.col("words"), F.col("shift") + j) == w, 1).otherwise(0))
     width = F.least(m, F.lit(window))
@@ -180,7 +186,7 @@ def decontaminate(
     )
     return (
         docs.select(F.col(id_col).alias("own_id"), key, *[F.col(c).alias(f"with_{c}") for c in carry])
-        .join(per_doc, "id", "left")
+        .join(few(per_doc), "id", "left")
         .select(
             F.col("own_id").alias(id_col),
             F.col("best").isNotNull().alias("contaminated"),
