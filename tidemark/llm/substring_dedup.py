@@ -107,14 +107,30 @@ def first_documents(table: pa.Table) -> list[tuple]:
     first = np.flatnonzero(new)
     least = np.minimum.reduceat(low, first)[np.cumsum(new) - 1]
     late = high > least
-    return B.by_block(block[late], x[late], y[late], least[late])
+    return [coded(*row) for row in B.by_block(block[late], x[late], y[late], least[late])]
+
+
+def coded(block: int, kind: int, x: np.ndarray, y: np.ndarray, least: np.ndarray) -> tuple:
+    """An answer with each document's id told once, and a short number for it beside each window."""
+    ids, code = np.unique(least, return_inverse=True)
+    return block, kind, x, y, code.astype(np.uint16 if len(ids) <= 1 << 16 else np.uint32), ids
+
+
+def decoded(told: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(halves of the windows' hashes, smallest documents) of all answers, in order of the first half."""
+    least = [np.zeros(0, np.int64)]
+    for x, code, ids in zip(*(told[c] for c in "acd"), strict=True):
+        n = len(x.as_buffer()) // 8
+        kind = np.uint16 if n and len(code.as_buffer()) == 2 * n else np.uint32
+        least.append(np.frombuffer(ids.as_buffer(), np.int64)[np.frombuffer(code.as_buffer(), kind)])
+    x, y = B.unpacked(told, "a", U64), B.unpacked(told, "b", U64)
+    order = np.argsort(x)
+    return x[order], y[order], np.concatenate(least)[order]
 
 
 def remove_repeats(table: pa.Table, told: pa.Table, width: int) -> pa.Table:
     ids = B.ids_of(table)
-    x, y, least = B.unpacked(told, "a", U64), B.unpacked(told, "b", U64), B.unpacked(told, "c", np.int64)
-    order = np.argsort(x)
-    x, y, least = x[order], y[order], least[order]
+    x, y, least = decoded(told)
     n = table.num_rows
     n_words, n_removed, kept = np.zeros(n, np.int64), np.zeros(n, np.int64), [""] * n
     for a, part, off, s, e, row, tok in _chunks(table):
