@@ -32,7 +32,7 @@ from .textops import NOT_SPACE, U64, chunks_of, mix, multipliers, sequence_hash,
 
 CHUNK = 1 << 20
 #: Classes in a part of a candidate cluster, parts of a cluster, and bytes of n-gram sets in a part.
-PART, MOST_PARTS, PART_BYTES = 2048, 64, 16 << 20
+PART, MOST_PARTS, PART_BYTES = 256, 64, 16 << 20
 #: Clusters of more than one part whose sizes are broadcast.
 BROADCAST_ROWS = 200_000
 
