@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tidemark.llm.components import components
 from tidemark.llm.ngram_join import bands_for, ngram_join
 from tidemark.llm.queries import QUERIES
 from tidemark.llm.rindex import RunIndex
@@ -179,3 +180,9 @@ def test_op10_parts_do_not_change_links(spark, part, most, size):
         rows.append((i, " ".join(w)))
     got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join(frame(spark, rows), part=part, most_parts=most, part_bytes=size).collect()}
     assert got == brute.near_groups(rows)
+
+
+def test_components_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(70, 71), (72, 71)], "a long, b long")
+    got = {r.node: r.label for r in components(edges).collect()}
+    assert {got[i] for i in range(61)} == {0} and got[71] == got[72] == got[70] == 70
