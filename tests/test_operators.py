@@ -1,12 +1,15 @@
 """Operators on crafted rows: boundaries, ties and the published rules."""
 
+import collections
 import datetime as dt
+import difflib
+import random
 from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import derive, joins, scoring, sequence, text
+from tidemark.operators import census, derive, graph, joins, scoring, sequence, text
 from tidemark.plans import claims
 
 D = dt.date
@@ -123,3 +126,115 @@ def test_shortlist_reads_whole_documents(spark):
     t = SimpleNamespace(benchmark=spark.createDataFrame([(1, claim)], "item_id long, text string"), documents=spark.createDataFrame([*texts.items(), (6, None)], "doc_id long, text string"))
     got = rows(claims.sc_shortlist(t), "chunk_id", "claim_id")
     assert got == [(i, 1) for i in (1, 3, 4, 101, 102)]
+
+
+def words_of(x):
+    return set(x.lower().split())
+
+
+def texts(n, seed):
+    rnd = random.Random(seed)
+    base = [" ".join(rnd.choice("abcdefghijklmnopqrst") * 2 for _ in range(rnd.randrange(1, 9))) for _ in range(n // 3)]
+    out = list(base)
+    while len(out) < n:
+        w = rnd.choice(base).split()
+        w[rnd.randrange(len(w))] = rnd.choice(("new", "aa", ""))
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize("similarity", [0.5, 0.55, 0.7])
+def test_like_pairs_lose_none(spark, similarity):
+    rows_ = list(enumerate(texts(60, 4)))
+    got = graph.components(text.like_pairs(spark.createDataFrame(rows_, "pos long, text string"), similarity).select("a", "b"))
+    label = {i: i for i, _ in rows_}
+    like = lambda x, y: words_of(x) and words_of(y) and len(words_of(x) & words_of(y)) / len(words_of(x) | words_of(y)) >= similarity
+    changed = True
+    while changed:
+        changed = False
+        for i, x in rows_:
+            for j, y in rows_:
+                if i != j and like(x, y) and label[j] > label[i]:
+                    label[j], changed = label[i], True
+    size = collections.Counter(label.values())
+    assert dict(rows(got, "node", "label")) == {i: c for i, c in label.items() if size[c] > 1}
+
+
+def test_leaders_follow_the_order(spark):
+    rnd = random.Random(6)
+    pairs = sorted({tuple(sorted(rnd.sample(range(40), 2))) for _ in range(70)})
+    want: dict[int, int] = {}
+    for i in range(40):
+        first = next((a for a in range(i) if want[a] == a and (a, i) in pairs), None)
+        want[i] = i if first is None else first
+    got = graph.leaders(spark.range(40).withColumnRenamed("id", "pos"), spark.createDataFrame(pairs, "a long, b long"))
+    assert dict(rows(got, "pos", "leader")) == want
+
+
+def test_long_chains_are_one_component(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(500, 501), (7, 7)], "a long, b long")
+    got = dict(rows(graph.components(edges), "node", "label"))
+    assert {got[i] for i in range(61)} == {0} and got[501] == 500
+
+
+def test_claim_similarity_is_the_matched_run_length(spark):
+    pairs = [("The Harbour keeps tables", "yes, the harbour office keeps the tables"), ("abc", ""), ("", "abc"), ("x" * 30, "y" * 400)]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i long, a string, b string").select("i", text.claim_similarity("a", "b").alias("s"))
+    runs = lambda a, b: sum(m.size for m in difflib.SequenceMatcher(None, a.casefold(), b.casefold()).get_matching_blocks()) / len(a) if a else 0.0
+    assert rows(df, "i", "s") == [(i, runs(a, b)) for i, (a, b) in enumerate(pairs)]
+
+
+def test_claim_pairs_are_of_one_project_and_newer(spark):
+    c = spark.createDataFrame([("p", 1, 1, "the gate closes at nine every evening"), ("p", 2, 2, "the gate closes at eight every evening"), ("p", 3, 3, "unrelated words only"), ("q", 4, 4, "the gate closes at nine every evening")], "project string, pos long, claim_id long, claim string")
+    assert rows(text.claim_pairs(c), "claim_id", "newer") == [(1, 2)]
+
+
+def test_fuzzy_titles_against_all_pairs(spark):
+    titles = [(1, "harbour office tables"), (2, "Harbour Tables"), (3, "nothing alike"), (4, "office")]
+    names = [(10, "harbour tables"), (11, "harbour office"), (12, "garden")]
+    got = {r.thread_id: (r.project_id, r.score) for r in text.fuzzy_titles(spark.createDataFrame(titles, "thread_id long, title string"), spark.createDataFrame(names, "project_id long, name string")).collect()}
+    want = {}
+    for i, x in titles:
+        for j, y in names:
+            a, b = x.lower(), y.lower()
+            shared = {w for w in a.split() if len(w) >= 4} & {w for w in b.split() if len(w) >= 4}
+            score = 1.0 if a == b else max(difflib.SequenceMatcher(None, a, b).ratio(), len(shared) / len(b.split()))
+            if shared and score >= 0.45 and (i not in want or round(score, 6) > want[i][1]):
+                want[i] = (j, round(score, 6))
+    assert got == want
+
+
+def test_skeletons_meet_whatever_their_beginning(spark):
+    body = "keeps every tide table since the flood of that winter and shows them on request"
+    s = spark.createDataFrame([(1, "The harbour office " + body), (2, "ok"), (3, "far away")], "skeleton_id long, content string")
+    p = spark.createDataFrame([(7, "A harbour office " + body), (8, "ok"), (9, "nothing")], "pool_id long, content string")
+    assert rows(text.fuzzy_skeleton(s, p), "skeleton_id", "pool_id") == [(1, 7), (2, 8)]
+
+
+def test_budget_without_an_estimate_is_refused(spark):
+    c = spark.createDataFrame([(1, 1, 5), (1, 2, None)], "g long, id long, cost long")
+    with pytest.raises(ValueError):
+        scoring.rank_budget(c, "g", [F.col("id")], 10, 1.0)
+
+
+def test_post_condition_tells_what_is_left(spark):
+    census.must_be_empty(spark.range(0), "none")
+    with pytest.raises(ValueError, match="3 rows left"):
+        census.must_be_empty(spark.range(3), "some")
+
+
+def test_order_statistics_take_ties_nulls_and_single_rows(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("a", 9.0), ("a", None), (None, 4.0), ("b", None)], "k string, x double")
+    got = sorted(((r.k or "", r.n, r.median, r.p25, r.p75, r.least, r.most) for r in census.calibration(df, ["k"], "x").collect()))
+    assert got == [("", 1, 4.0, 4.0, 4.0, 4.0, 4.0), ("a", 3, 1.0, 1.0, 9.0, 1.0, 9.0)]
+
+
+def test_nearest_anchor_beyond_the_broadcast_limit(spark):
+    rnd = random.Random(2)
+    v = lambda: [rnd.gauss(0, 1) for _ in range(8)]
+    anchors = [(i, None, v()) for i in range(30)]
+    items = [(100 + i, D(2024, 1, 1), [x + rnd.gauss(0, 0.05) for x in anchors[i][2]]) for i in range(30)]
+    a = spark.createDataFrame(anchors, "anchor_id long, day date, v array<double>")
+    i = spark.createDataFrame(items, "item_id long, day date, v array<double>")
+    want = rows(joins.nearest_anchor(i, a), "item_id", "anchor_id")
+    assert want == [(100 + k, k) for k in range(30)] == rows(joins.nearest_anchor(i, a, broadcast_rows=0, bits=4), "item_id", "anchor_id")

@@ -20,7 +20,10 @@ def test_equals_sql(spark, con, name):
     assert spark_rows(QUERIES[name](spark, SF)) == duck_rows(con, ORACLE[name])
 
 
+#: Rows of the jobs that rest on sequence ratios, which SQL does not have; their operators are tested by themselves.
+RATIOS = {"jn_fuzzy_title": 1, "jn_skeleton_fuzzy": 50, "jn_pair_diff": 1, "sc_claim_match": 40, "sc_shortlist": 1}
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
-def test_runs(spark, name):
-    cols, rows = spark_rows(QUERIES[name](spark, SF))
-    assert cols and isinstance(rows, list)
+def test_gives_rows(spark, name):
+    assert len(spark_rows(QUERIES[name](spark, SF))[1]) >= RATIOS[name]

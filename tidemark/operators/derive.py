@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.core import days_between, first_match, origin_key, segments
 
@@ -103,10 +106,16 @@ def evidence_origin(signal: Column, detail: Column) -> Column:
     return origin_key(F.when(signal == "name_alias", F.split_part(detail, F.lit("@"), F.lit(1))).otherwise(detail))
 
 
+@F.pandas_udf(T.StringType())
+def compatible(text: pd.Series) -> pd.Series:
+    """Compatibility form (NFKC) without case distinctions."""
+    return text.map(lambda x: unicodedata.normalize("NFKC", x).casefold(), na_action="ignore")
+
+
 def normal_text(text: Column) -> Column:
-    """Curly quotes and dashes folded, white space collapsed, lower case."""
-    folded = F.translate(text, "‘’“”–— ", "''\"\"-- ")
-    return F.lower(F.trim(F.regexp_replace(folded, r"[ \t\n\r\f]+", " ")))
+    """Compatibility form, curly quotes and dashes folded, white space collapsed, case folded."""
+    folded = F.translate(compatible(text), "‘’“”–— ", "''\"\"-- ")
+    return F.trim(F.regexp_replace(folded, r"[ \t\n\r\f]+", " "))
 
 
 def git_status(files: DataFrame, tracked: DataFrame, ignored: DataFrame) -> DataFrame:

@@ -14,21 +14,32 @@ def kept(df: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for the nodes of ``edges(a, b)``; the label is the component's smallest node.
 
-    Each round points every node to its smallest neighbour and contracts the
-    edges, so at least half of the nodes that still have one go.
+    Each round points every node to its smallest neighbour, follows the pointers
+    to their ends by doubling, and contracts the edges; so at least half of the
+    nodes that still have one go, in chains as well.
     """
     sorted_ = lambda df: kept(df.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     found, left = kept(nodes.select("node", F.col("node").alias("label"))), sorted_(edges)
     while left.limit(1).count():
         near = left.union(left.select("b", "a")).groupBy(F.col("a").alias("from")).agg(F.min("b").alias("near"))
-        point = kept(near.select("from", F.least("from", "near").alias("to")))
+        point = to_ends(kept(near.select("from", F.least("from", "near").alias("to"))))
         found = kept(found.join(point, found["label"] == point["from"], "left").select("node", F.coalesce("to", "label").alias("label")))
         ends = [point.select(F.col("from").alias(c), F.col("to").alias(f"{c}2")) for c in ("a", "b")]
         left = sorted_(left.join(ends[0], "a").join(ends[1], "b").select(F.col("a2").alias("a"), F.col("b2").alias("b")))
     return found
 
 
+def to_ends(point: DataFrame) -> DataFrame:
+    """Pointers (from, to), each to itself or a smaller node, followed to their ends."""
+    while True:
+        onward = point.select(F.col("from").alias("to"), F.col("to").alias("end"))
+        jumped = kept(point.join(onward, "to").select("from", F.col("end").alias("to"), (F.col("end") < F.col("to")).alias("moved")))
+        point = jumped.select("from", "to")
+        if not jumped.where("moved").limit(1).count():
+            return point
+
+
 def leaders(items: DataFrame, pairs: DataFrame) -> DataFrame:
     """(pos, leader): items (pos) in order of ``pos``, each joining the first leader that it is paired with, or leading.
 

@@ -77,9 +77,11 @@ def prj_origin_key(t):
     return t.part.select("p_partkey", derive.evidence_origin(F.lit("name_alias"), detail).alias("origin"))
 
 
-@query("SELECT conv_id, turn, lower(trim(regexp_replace(translate(text, '‘’“”–— ', '''''\"\"-- '), '[ \\t\\n\\r\\f]+', ' ', 'g'))) AS norm FROM conversations")
+@query("SELECT conv_id, turn, trim(regexp_replace(translate(replace(lower(nfc_normalize(text || CASE WHEN turn % 2 = 0 THEN ' fi 12' ELSE ' “Straße”' END)), 'ß', 'ss'), '‘’“”–— ', '''''\"\"-- '), '[ \\t\\n\\r\\f]+', ' ', 'g')) AS norm FROM conversations")
 def prj_text_norm(t):
-    return t.conversations.select("conv_id", "turn", derive.normal_text(F.col("text")).alias("norm"))
+    # a ligature and full-width digits on one half, quotes and a sharp s on the other
+    more = F.when(F.col("turn") % 2 == 0, " \ufb01 \uff11\uff12").otherwise(" “Straße”")
+    return t.conversations.select("conv_id", "turn", derive.normal_text(F.concat("text", more)).alias("norm"))
 
 
 @query("""WITH ign AS (SELECT DISTINCT project, path FROM files WHERE git_status = 'ignored'), dirs AS (SELECT DISTINCT project, string_split(path, '/')[1] AS d FROM files WHERE file_id % 50 = 3)
@@ -233,6 +235,12 @@ def ag_calibration(t):
     return census.calibration(t.ledger, ["model_id", "stage", "cool_down"], "ms")
 
 
+@query("""SELECT model_id, stage, host, prompt, config, n, round(median, 6) AS median, round(v[round_even(0.25 * (n - 1), 0)::INT + 1], 6) AS p25, round(v[round_even(0.75 * (n - 1), 0)::INT + 1], 6) AS p75, round(v[1], 6) AS least, round(v[-1], 6) AS most
+  FROM (SELECT model_id, stage, host, pos % 3 AS prompt, pos % 2 AS config, count(*) AS n, median(ms) AS median, list_sort(list(ms)) AS v FROM ledger GROUP BY model_id, stage, host, pos % 3, pos % 2)""", name="ag_calibration_units")
+def ag_calibration_units(t):
+    return census.calibration(t.ledger.withColumn("prompt", F.col("pos") % 3).withColumn("config", F.col("pos") % 2), ["model_id", "stage", "host", "prompt", "config"], "ms")
+
+
 @query("""SELECT pos, model_id, stage, floor(ms)::DOUBLE AS ms, CASE WHEN pos % 5 = 0 THEN NULL ELSE floor(ms / 2)::DOUBLE END AS tokens FROM ledger""")
 def ag_timing_parse(t):
     line = F.format_string("model=%s stage=%s ms=%s tokens=%s", "model_id", "stage", F.floor("ms").cast("string"), F.when(F.col("pos") % 5 == 0, "unavailable").otherwise(F.floor(F.col("ms") / 2).cast("string")))
