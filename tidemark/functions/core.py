@@ -75,6 +75,6 @@ def order_statistics(rows: DataFrame, keys: Sequence[str], value: str) -> DataFr
     at = lambda rank: F.min(F.when(F.col("_upto") > rank, F.col("_x")))
     last = F.col("_n") - 1
     return ranked.groupBy(*keys).agg(
-        F.max("_n").alias("n"), ((at(F.floor(last / 2)) + at(F.ceil(last / 2))) / 2).alias("median"),
+        F.max("_n").alias("n"), (at(F.floor(last / 2)) + (at(F.ceil(last / 2)) - at(F.floor(last / 2))) * 0.5).alias("median"),
         at(F.bround(last * 0.25, 0)).alias("p25"), at(F.bround(last * 0.75, 0)).alias("p75"), F.min("_x").alias("least"), F.max("_x").alias("most"),
     )

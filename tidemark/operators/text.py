@@ -245,9 +245,9 @@ def recurrence_leaders(items: DataFrame, similarity: float = 0.55, k: int = 10)
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def recurrence_groups(items: DataFrame, similarity: float, conversations: int = 3, weeks: int = 2) -> DataFrame:
+def recurrence_groups(items: DataFrame, pairs: DataFrame, conversations: int = 3, weeks: int = 2) -> DataFrame:
     """Single-link groups of items (pos, conversation_id, day, text) that last: enough conversations, in enough ISO weeks."""
-    found = components(like_pairs(items, similarity).select("a", "b"))
+    found = components(pairs.select("a", "b"))
     week = F.concat_ws("-", F.extract(F.lit("YEAROFWEEK"), F.col("day")), F.weekofyear("day"))
     out = items.withColumn("week", week).join(found.select(F.col("node").alias("pos"), "label"), "pos").groupBy("label").agg(
         F.count("*").alias("size"), F.count_distinct("text").alias("texts"), F.count_distinct("conversation_id").alias("conversations"), F.count_distinct("week").alias("weeks"), F.min("day").alias("first"), F.max("day").alias("last")
@@ -256,9 +256,10 @@ def recurrence_groups(items: DataFrame, similarity: float, conversations: int =
 
 
 def recurrence_sweep(items: DataFrame, thresholds: Sequence[float] = (0.5, 0.6, 0.7), **least: int) -> DataFrame:
-    """Lasting groups and their items at each threshold."""
-    rows = [recurrence_groups(items, x, **least).agg(F.count("*").alias("groups"), F.coalesce(F.sum("size"), F.lit(0)).alias("items")).select(F.lit(x).alias("threshold"), "groups", "items") for x in thresholds]
-    return reduce(DataFrame.unionByName, rows)
+    """Lasting groups and their items at each threshold; pairs are found once, at the lowest."""
+    pairs = kept(like_pairs(items, min(thresholds)))
+    total = lambda x: recurrence_groups(items, pairs.where(F.col("score") >= x), **least).agg(F.count("*").alias("groups"), F.coalesce(F.sum("size"), F.lit(0)).alias("items"))
+    return reduce(DataFrame.unionByName, [total(x).select(F.lit(x).alias("threshold"), "groups", "items") for x in thresholds])
 
 
 def score_with(rows: DataFrame, caller: Callable[[pd.DataFrame], pd.Series], out: str = "score", kind: str = "double") -> DataFrame:

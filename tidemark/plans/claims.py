@@ -133,15 +133,15 @@ def sc_recurrence_greedy(t):
 
 def lasting_sql(name: str, threshold: float) -> str:
     """Tables named after ``name``: the lasting groups of documents."""
-    return f"""{name}e AS (SELECT a.pos AS a, b.pos AS b FROM it a JOIN it b ON a.pos <> b.pos AND least(len(a.w), len(b.w)) >= {threshold} * greatest(len(a.w), len(b.w)) - 1e-9
-    WHERE round(len(list_intersect(a.w, b.w))::DOUBLE / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))), 6) >= {threshold}),
+    return f"""{name}e AS (SELECT a, b FROM pc WHERE score >= {threshold} UNION ALL SELECT b, a FROM pc WHERE score >= {threshold}),
   {name}r AS (SELECT DISTINCT a AS node, a AS m FROM {name}e UNION SELECT e.b, r.m FROM {name}r r JOIN {name}e e ON r.node = e.a AND r.m < e.b),
   {name}l AS (SELECT node, min(m) AS label FROM {name}r GROUP BY 1),
   {name} AS (SELECT label, count(*) AS size, count(DISTINCT text) AS texts, count(DISTINCT conversation_id) AS conversations, count(DISTINCT isoyear(day) * 100 + weekofyear(day)) AS weeks, min(day) AS first, max(day) AS last
     FROM it JOIN {name}l ON pos = node GROUP BY 1 HAVING count(DISTINCT conversation_id) >= 2 AND count(DISTINCT isoyear(day) * 100 + weekofyear(day)) >= 2)"""
 
 
-ITEMS = f"it AS (SELECT doc_id AS pos, doc_id % 97 AS conversation_id, DATE '2023-12-20' + (doc_id % 90)::INT AS day, text, list_distinct({TOK.format('text')}) AS w FROM documents WHERE len({TOK.format('text')}) > 0)"
+ITEMS = f"""it AS (SELECT doc_id AS pos, doc_id % 97 AS conversation_id, DATE '2023-12-20' + (doc_id % 90)::INT AS day, text, list_distinct({TOK.format('text')}) AS w FROM documents WHERE len({TOK.format('text')}) > 0),
+  wt AS (SELECT pos, len(w) AS n, hash(unnest(w)) AS t FROM it), pc AS MATERIALIZED (SELECT a.pos AS a, b.pos AS b, round(count(*)::DOUBLE / (a.n + b.n - count(*)), 6) AS score FROM wt a JOIN wt b ON a.t = b.t AND a.pos < b.pos AND a.n <= 2.01 * b.n AND b.n <= 2.01 * a.n GROUP BY a.pos, b.pos, a.n, b.n HAVING count(*) * 3.01 >= a.n + b.n)"""
 
 
 def dated_items(t):
@@ -151,7 +151,8 @@ def dated_items(t):
 
 @query(f"WITH RECURSIVE {ITEMS}, {lasting_sql('g', 0.7)} SELECT label, size, texts, conversations, weeks, first::VARCHAR AS first, last::VARCHAR AS last FROM g")
 def sc_recurrence_components(t):
-    out = ops.recurrence_groups(dated_items(t), 0.7, conversations=2, weeks=2)
+    items = dated_items(t)
+    out = ops.recurrence_groups(items, ops.like_pairs(items, 0.7), conversations=2, weeks=2)
     return out.withColumn("first", F.col("first").cast("string")).withColumn("last", F.col("last").cast("string"))
 
 

@@ -235,10 +235,10 @@ def ag_calibration(t):
     return census.calibration(t.ledger, ["model_id", "stage", "cool_down"], "ms")
 
 
-@query("""SELECT model_id, stage, host, prompt, config, n, round(median, 6) AS median, round(v[round_even(0.25 * (n - 1), 0)::INT + 1], 6) AS p25, round(v[round_even(0.75 * (n - 1), 0)::INT + 1], 6) AS p75, round(v[1], 6) AS least, round(v[-1], 6) AS most
+@query("""SELECT model_id, stage, host, prompt, config, n, round(round(median, 6), 4) AS median, round(v[round_even(0.25 * (n - 1), 0)::INT + 1], 6) AS p25, round(v[round_even(0.75 * (n - 1), 0)::INT + 1], 6) AS p75, round(v[1], 6) AS least, round(v[-1], 6) AS most
   FROM (SELECT model_id, stage, host, pos % 3 AS prompt, pos % 2 AS config, count(*) AS n, median(ms) AS median, list_sort(list(ms)) AS v FROM ledger GROUP BY model_id, stage, host, pos % 3, pos % 2)""", name="ag_calibration_units")
 def ag_calibration_units(t):
-    return census.calibration(t.ledger.withColumn("prompt", F.col("pos") % 3).withColumn("config", F.col("pos") % 2), ["model_id", "stage", "host", "prompt", "config"], "ms")
+    return census.calibration(t.ledger.withColumn("prompt", F.col("pos") % 3).withColumn("config", F.col("pos") % 2), ["model_id", "stage", "host", "prompt", "config"], "ms").withColumn("median", F.round("median", 4))
 
 
 @query("""SELECT pos, model_id, stage, floor(ms)::DOUBLE AS ms, CASE WHEN pos % 5 = 0 THEN NULL ELSE floor(ms / 2)::DOUBLE END AS tokens FROM ledger""")
