@@ -111,19 +111,26 @@ def first_documents(table: pa.Table) -> list[tuple]:
 
 
 def coded(block: int, kind: int, x: np.ndarray, y: np.ndarray, least: np.ndarray) -> tuple:
-    """An answer with each document's id told once, and a short number for it beside each window."""
+    """An answer with each document's id told once, and a short number for it beside each window.
+
+    Windows were told apart by all 128 bits; 96 of them are enough for a block to find its own.
+    """
     ids, code = np.unique(least, return_inverse=True)
-    return block, kind, x, y, code.astype(np.uint16 if len(ids) <= 1 << 16 else np.uint32), ids
+    return block, kind, x, short(y), code.astype(np.uint16 if len(ids) <= 1 << 16 else np.uint32), ids
+
+
+def short(y: np.ndarray) -> np.ndarray:
+    return (y >> U64(32)).astype(np.uint32)
 
 
 def decoded(told: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(halves of the windows' hashes, smallest documents) of all answers, in order of the first half."""
+    """(first half of the windows' hashes, beginning of the other, smallest documents) of all answers, in order of the first."""
     least = [np.zeros(0, np.int64)]
     for x, code, ids in zip(*(told[c] for c in "acd"), strict=True):
         n = len(x.as_buffer()) // 8
         kind = np.uint16 if n and len(code.as_buffer()) == 2 * n else np.uint32
         least.append(np.frombuffer(ids.as_buffer(), np.int64)[np.frombuffer(code.as_buffer(), kind)])
-    x, y = B.unpacked(told, "a", U64), B.unpacked(told, "b", U64)
+    x, y = B.unpacked(told, "a", U64), B.unpacked(told, "b", np.uint32)
     order = np.argsort(x)
     return x[order], y[order], np.concatenate(least)[order]
 
@@ -140,7 +147,7 @@ def remove_repeats(table: pa.Table, told: pa.Table, width: int) -> pa.Table:
             at = _whole(row, width)
             own = window_hashes(tok, width)
             i, r = B.matches(own[0][at], x)
-            late = at[i[(own[1][at[i]] == y[r]) & (ids[row[at[i]] + a] > least[r])]]
+            late = at[i[(short(own[1][at[i]]) == y[r]) & (ids[row[at[i]] + a] > least[r])]]
             cover = np.zeros(len(s) + 1, np.int32)
             np.add.at(cover, late, 1)
             np.add.at(cover, late + width, -1)
