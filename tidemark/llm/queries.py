@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, mixing
+from . import decontamination, mixing, secret_scan
 from .decontamination import decontaminate
 from .language_id import language_id
 from .license_scan import license_scan
 from .mixing import mix_sources
 from .ngram_join import ngram_join
 from .permutation_index import nearest_neighbours
+from .secret_scan import secret_scan as scan_secrets
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
 from .toxicity import toxicity
@@ -63,9 +64,14 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"), n=5, similarity=0.8)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_mix_sources, op3_license_scan, op4_permutation_index, op5_warc, op6_suffix_dedup, op7_toxicity, op8_language_id, op9_decontaminate, op10_ngram_join)}
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_mix_sources, op3_license_scan, op4_permutation_index, op5_warc, op6_suffix_dedup, op7_toxicity, op8_language_id, op9_decontaminate, op10_ngram_join, op11_secret_scan)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_mix_sources": mixing.oracle(),
     "op9_decontaminate": decontamination.oracle(),
+    "op11_secret_scan": secret_scan.oracle(),
 }
