@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontamination, mixing, secret_scan
+from .conversation_repair import repair_conversations
 from .decontamination import decontaminate
 from .language_id import language_id
 from .license_scan import license_scan
@@ -14,6 +15,7 @@ from .permutation_index import nearest_neighbours
 from .secret_scan import secret_scan as scan_secrets
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
+from .token_alignment import align_tokens
 from .toxicity import toxicity
 from .warc import warc_round_trip
 
@@ -68,7 +70,15 @@ def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_mix_sources, op3_license_scan, op4_permutation_index, op5_warc, op6_suffix_dedup, op7_toxicity, op8_language_id, op9_decontaminate, op10_ngram_join, op11_secret_scan)}
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_mix_sources, op3_license_scan, op4_permutation_index, op5_warc, op6_suffix_dedup, op7_toxicity, op8_language_id, op9_decontaminate, op10_ngram_join, op11_secret_scan, op12_token_alignment, op13_conversation_repair)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_mix_sources": mixing.oracle(),
