@@ -207,68 +207,6 @@ def component_sizes(files: DataFrame) -> DataFrame:
     return out.select(F.when(F.col("g") == 1, "(all)").otherwise(F.col("component")).alias("component"), "files", "bytes")
 
 
-def import_census(texts: DataFrame, local: DataFrame, standard: DataFrame, cap: int = 25) -> DataFrame:
-    """Top-level modules that source texts import, counted once a text, without the local and the standard ones (name)."""
-    line = r"(?m)^[ \t]*(?:from[ \t]+([A-Za-z_][A-Za-z0-9_]*)|import[ \t]+([A-Za-z_][A-Za-z0-9_]*))"
-    hits = F.array_union(F.regexp_extract_all("content", F.lit(line), F.lit(1)), F.regexp_extract_all("content", F.lit(line), F.lit(2)))
-    names = texts.select("project", "path", F.explode(F.array_remove(hits, "")).alias("name"))
-    n = names.join(local, "name", "left_anti").join(standard, "name", "left_anti").groupBy("name").agg(F.count("*").alias("n"))
-    return n.orderBy(F.desc("n"), "name").limit(cap)
-
-
-# Status words of decision logs and the tiers they count for.
-TIERS = {"confirmed": "CONFIRMED", "assumed": "ASSUMED", "pending": "PENDING", "accepted": "accepted", "superseded": "superseded"}
-
-
-def decision_entries(docs: DataFrame) -> DataFrame:
-    """Numbered entries (``## 12``) of decision logs (project, path, content), each with its tier."""
-    part = F.explode(F.slice(F.split("content", r"(?m)^(?=##[ \t]+\d+\b)"), 1, 1 << 30)).alias("part")
-    entries = docs.select("project", "path", part).withColumn("number", F.regexp_extract("part", r"^##[ \t]+(\d+)\b", 1)).where("number <> ''")
-    body = F.regexp_replace("part", r"^[^\n]*", "")
-    word = F.lower(F.regexp_extract(body, r"(?i)status(?:\*\*)?\s*[:=]\s*\*{0,2}\s*([A-Za-z]+)", 1))
-    return entries.select("project", "path", F.col("number").cast("long").alias("number"), first_match([(word == k, v) for k, v in TIERS.items()], "other").alias("tier"))
-
-
-def open_questions(docs: DataFrame) -> DataFrame:
-    """Sections headed "open questions" or "open decisions" (project, path, content), with their list items."""
-    part = F.explode(F.split("content", r"(?m)^(?=#{1,6}[ \t])")).alias("part")
-    sections = docs.select("project", "path", part).where(F.col("part").rlike(r"(?i)\A#{1,6}[ \t]+open[ \t]+(questions|decisions)\b"))
-    body = F.regexp_replace("part", r"\A[^\n]*\n?", "")
-    return sections.select("project", "path", F.regexp_count(body, F.lit(r"(?m)^[ \t]*(?:[-*+]|\d+\.)[ \t]+\S")).cast("long").alias("items"))
-
-
-def decision_tally(logs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Decisions per project and tier: entries of the logs, and the items of open questions in any document as PENDING."""
-    n = decision_entries(logs).groupBy("project", "tier").agg(F.count("*").alias("n"))
-    still = open_questions(docs).groupBy("project").agg(F.sum("items").alias("n")).where("n > 0").select("project", F.lit("PENDING").alias("tier"), "n")
-    return n.unionByName(still).groupBy("project", "tier").agg(F.sum("n").alias("n"))
-
-
-def decision_documents(docs: DataFrame) -> DataFrame:
-    """Title and status of decision documents (project, path, content)."""
-    return docs.select(
-        "project", "path", F.trim(F.regexp_extract("content", r"(?m)^#[ \t]+([^\n]+)$", 1)).alias("title"),
-        F.trim(F.regexp_extract("content", r"(?im)^(?:\*\*)?status(?:\*\*)?[ \t]*[:=][ \t]*\*{0,2}[ \t]*([A-Za-z]+)", 1)).alias("status"),
-    )
-
-
-def write_targets(texts: DataFrame) -> DataFrame:
-    """Verbs and tables of data-changing statements in source text; verbs without a table are unresolved."""
-    pattern = r"(?i)\b(insert\s+into|update|delete\s+from)\s+([A-Za-z_][A-Za-z0-9_]*)?"
-    found = texts.select("project", "path", F.explode(F.regexp_extract_all("content", F.lit(pattern), F.lit(0))).alias("hit"))
-    verb, target = F.upper(F.regexp_extract("hit", r"(?i)^(insert|update|delete)", 1)), F.regexp_extract("hit", pattern, 2)
-    return found.select("project", verb.alias("verb"), F.nullif(target, F.lit("")).alias("target")).groupBy("project", "verb", "target").agg(F.count("*").alias("n"))
-
-
-def code_inventory(texts: DataFrame) -> DataFrame:
-    """Classes, functions and imports of each source text, found by line; texts that are null are kept as failures."""
-    n = lambda pattern: F.regexp_count("content", F.lit(pattern)).cast("long")
-    return texts.select(
-        "project", "path", n(r"(?m)^[ \t]*class [A-Za-z_]").alias("classes"), n(r"(?m)^[ \t]*(async )?def [A-Za-z_]").alias("functions"),
-        n(r"(?m)^[ \t]*(import|from) [A-Za-z_]").alias("imports"), F.col("content").isNull().alias("failed"),
-    )
-
-
 def integrity_census(threads: DataFrame, queue: DataFrame) -> DataFrame:
     """Counts of a store as (kind, key, n): threads by confidence, linked threads, the substantive flag, queue rows by type."""
     tally = lambda df, kind, key: df.groupBy(key.alias("key")).agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "key", "n")

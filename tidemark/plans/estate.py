@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import core
-from ..operators import census, derive
+from ..operators import census, derive, source
 from .catalog import query
 
 DOC_TYPE = """CASE WHEN regexp_matches(lower(path), '(^|/)adr/') THEN 'adr' WHEN contains(lower(stem), '_knowledge') THEN 'knowledge' WHEN lower(name) = 'claude.md' THEN 'claude_md'
@@ -290,13 +290,20 @@ def ag_component_sizes(t):
     return census.component_sizes(t.files.withColumnRenamed("git_status", "component"))
 
 
-@query("""WITH x AS (SELECT DISTINCT p_partkey, unnest(list_filter([lower(p_brand[1:5]) || (p_size % 9)::VARCHAR, 'm' || (p_partkey % 13)::VARCHAR, CASE WHEN p_partkey % 2 = 0 THEN 'os' END], lambda x: x IS NOT NULL)) AS name FROM part)
+# every third part's text says "import" in a docstring and a comment, every fourth goes on over lines, every eleventh has an open bracket
+@query("""WITH x AS (SELECT DISTINCT p_partkey, unnest(list_filter([lower(p_brand[1:5]) || (p_size % 9)::VARCHAR, 'm' || (p_partkey % 13)::VARCHAR, CASE WHEN p_partkey % 2 = 0 THEN 'os' END, CASE WHEN p_partkey % 4 = 1 THEN 'json' END, CASE WHEN p_partkey % 4 = 1 THEN 'requests' END], lambda x: x IS NOT NULL)) AS name FROM part WHERE p_partkey % 11 > 0)
   SELECT name, count(*) AS n FROM x WHERE name NOT IN ('m1', 'm2', 'os', 'sys') GROUP BY 1 ORDER BY n DESC, name LIMIT 25""")
 def ag_import_census(t):
     names = lambda *xs: t.spark.createDataFrame([(x,) for x in xs], "name string")
-    first, second = F.concat(F.lower(F.substring("p_brand", 1, 5)), (F.col("p_size") % 9).cast("string")), F.concat(F.lit("m"), (F.col("p_partkey") % 13).cast("string"))
-    body = F.concat(F.lit("import "), first, F.lit(".sub as x\nimport "), first, F.lit("\nfrom "), second, F.lit(".a import b\n"), F.when(F.col("p_partkey") % 2 == 0, "    import os\n").otherwise("# import none"))
-    return census.import_census(t.part.select(F.col("p_brand").alias("project"), F.col("p_partkey").alias("path"), body.alias("content")), names("m1", "m2"), names("os", "sys"))
+    k = F.col("p_partkey")
+    first, second = F.concat(F.lower(F.substring("p_brand", 1, 5)), (F.col("p_size") % 9).cast("string")), F.concat(F.lit("m"), (k % 13).cast("string"))
+    body = F.concat(
+        F.when(k % 3 == 0, '"""Notes\nimport quoted\nit\'s here\n"""\n# import none\n').otherwise("x = 'import this, that'\n"),
+        F.lit("import "), first, F.lit(".sub as x\nimport "), first, F.lit("\nfrom "), second, F.lit(".a import (\n    b,\n    c,\n)\n"),
+        F.when(k % 2 == 0, "if x:\n    import os; y = 1\n").when(k % 4 == 1, "import json, \\\n    requests.adapters as r\n").otherwise("from .near import z\n"),
+        F.when(k % 11 == 0, "f(1, [2\n").otherwise(""),
+    )
+    return source.import_census(t.part.select(F.col("p_brand").alias("project"), k.alias("path"), body.alias("content")), names("m1", "m2"), names("os", "sys"))
 
 
 def decision_logs(t):
@@ -312,22 +319,27 @@ def decision_logs(t):
 @query("""WITH e AS (SELECT 'p' || (o_custkey % 50)::VARCHAR AS project, CASE o_orderkey % 4 WHEN 0 THEN 'CONFIRMED' WHEN 1 THEN 'accepted' WHEN 2 THEN 'PENDING' ELSE 'other' END AS tier FROM orders),
   a AS (SELECT project, tier, count(*) AS n FROM e GROUP BY 1, 2 UNION ALL SELECT project, 'PENDING', count(*) % 3 + 1 FROM e GROUP BY 1) SELECT project, tier, sum(n)::BIGINT AS n FROM a GROUP BY 1, 2""")
 def ag_decision_records(t):
-    return census.decision_tally(*decision_logs(t))
+    return source.decision_tally(*decision_logs(t))
 
 
 @query("SELECT o_clerk AS path, 'Use ' || o_clerk AS title, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'Accepted' END AS status FROM (SELECT o_orderkey, 'adr/' || o_orderkey::VARCHAR || '.md' AS o_clerk FROM orders)", name="ag_decision_records_documents")
 def ag_decision_records_documents(t):
     path = F.concat(F.lit("adr/"), F.col("o_orderkey").cast("string"), F.lit(".md"))
     content = F.concat(F.lit("intro\n# Use "), path, F.lit("\n\n"), F.when(F.col("o_orderkey") % 3 == 0, "## Status\nnone\n").otherwise("**Status**: **Accepted** on Monday\n"))
-    return census.decision_documents(t.orders.select(F.lit("p").alias("project"), path.alias("path"), content.alias("content"))).select("path", "title", "status")
+    return source.decision_documents(t.orders.select(F.lit("p").alias("project"), path.alias("path"), content.alias("content"))).select("path", "title", "status")
 
 
-@query("""WITH f AS (SELECT project, unnest(regexp_extract_all(content, '(?i)\\b(insert\\s+into|update|delete\\s+from)\\s+([A-Za-z_][A-Za-z0-9_]*)?')) AS hit FROM (SELECT 'm' || (o_custkey % 20)::VARCHAR AS project,
-  CASE o_orderstatus WHEN 'O' THEN 'update orders set x; insert into ' || lower(substr(o_orderpriority, 3)) WHEN 'F' THEN 'delete from parts' ELSE 'select 1; update ' END AS content FROM orders))
-  SELECT project, upper(regexp_extract(hit, '(?i)^(insert|update|delete)', 1)) AS verb, nullif(regexp_extract(hit, '(?i)\\b(insert\\s+into|update|delete\\s+from)\\s+([A-Za-z_][A-Za-z0-9_]*)?', 2), '') AS target, count(*) AS n FROM f GROUP BY 1, 2, 3""")
+@query("""SELECT 'm' || (o_custkey % 20)::VARCHAR AS project, o_orderkey::VARCHAR || '.py' AS path, CASE WHEN o_orderkey % 13 = 0 THEN 'unparsed' ELSE 'ok' END AS status,
+  CASE WHEN o_orderkey % 13 > 0 THEN CASE o_orderstatus WHEN 'O' THEN 'log_' || lower(substr(o_orderpriority, 1, 1)) || ',orders' WHEN 'F' THEN 'parts' ELSE '' END END AS writes,
+  CASE WHEN o_orderkey % 13 > 0 THEN CASE o_orderstatus WHEN 'O' THEN '' WHEN 'F' THEN '7' ELSE '4,5' END END AS unresolved FROM orders WHERE o_orderkey % 13 = 0 OR o_orderkey % 5 > 0""")
 def ag_write_targets(t):
-    text = F.when(F.col("o_orderstatus") == "O", F.concat(F.lit("update orders set x; insert into "), F.lower(F.substring("o_orderpriority", 3, 99)))).when(F.col("o_orderstatus") == "F", "delete from parts").otherwise("select 1; update ")
-    return census.write_targets(t.orders.select(F.concat(F.lit("m"), (F.col("o_custkey") % 20).cast("string")).alias("project"), F.lit("x").alias("path"), text.alias("content")))
+    k = F.col("o_orderkey")
+    both = F.concat(F.lit("    c.execute(\"update orders set a = 'delete from b'\")\n    c.executemany('INSERT OR IGNORE  INTO '\n        'log_"), F.lower(F.substring("o_orderpriority", 1, 1)), F.lit(" values (?)', rows)\n"))
+    one = F.lit('    # c.execute("update none")\n    c.execute("""delete\n      from `parts`""")\n    c.execute(sql)\n')
+    none = F.lit('    c.execute(f"update {name} set x = 1"); c.execute("select 1")\n    c.execute("update " + name)\n')
+    body = F.when(F.col("o_orderstatus") == "O", both).when(F.col("o_orderstatus") == "F", one).otherwise(none)
+    text = F.concat(F.lit('"""Docs: update this."""\n\ndef run(c, rows):\n'), F.when(k % 5 > 0, body).otherwise("    return 'update prose'\n"), F.when(k % 13 == 0, "x = 'open\n").otherwise(""))
+    return source.write_targets(t.orders.select(F.concat(F.lit("m"), (F.col("o_custkey") % 20).cast("string")).alias("project"), F.concat(k.cast("string"), F.lit(".py")).alias("path"), text.alias("content")))
 
 
 CENSUS_OF = """SELECT 'confidence' AS kind, coalesce(project_confidence, 'none') AS key, count(*) AS n FROM {0} GROUP BY 2 UNION ALL SELECT 'linked', 'all', count(*) FROM {0} WHERE project_link IS NOT NULL HAVING count(*) > 0
@@ -352,7 +364,9 @@ def wn_topk_outliers(t):
     return core.capped(t.files, ["project"], [F.col("bytes").desc(), F.col("path"), F.col("file_id")], 20).select("project", "path", "bytes")
 
 
-@query("""SELECT p_brand AS project, p_partkey AS path, CASE WHEN p_partkey % 7 > 0 THEN 1 END::BIGINT AS classes, CASE WHEN p_partkey % 7 > 0 THEN p_size % 5 END::BIGINT AS functions, CASE WHEN p_partkey % 7 > 0 THEN p_size % 3 END::BIGINT AS imports, p_partkey % 7 = 0 AS failed FROM part""")
+@query("""SELECT p_brand AS project, p_partkey AS path, CASE WHEN p_partkey % 7 > 1 THEN 1 END::BIGINT AS classes, CASE WHEN p_partkey % 7 > 1 THEN p_size % 5 END::BIGINT AS functions, CASE WHEN p_partkey % 7 > 1 THEN p_size % 3 END::BIGINT AS imports, p_partkey % 7 <= 1 AS failed FROM part""")
 def ag_code_inventory(t):
-    body = F.concat(F.repeat(F.lit("import x\n"), F.col("p_size") % 3), F.lit("class A:\n"), F.repeat(F.lit("    def f(self):\n        pass\n"), F.col("p_size") % 5))
-    return census.code_inventory(t.part.select(F.col("p_brand").alias("project"), F.col("p_partkey").alias("path"), F.when(F.col("p_partkey") % 7 > 0, body).alias("content")))
+    k, size = F.col("p_partkey"), F.col("p_size")
+    imports = F.when(size % 3 == 1, "import x.y, x\n").when(size % 3 == 2, "from .a import (b,\n  c)\nimport x, x.z as y\n").otherwise("# import x\n")
+    body = F.concat(imports, F.lit('class A(B, metaclass=M):\n    """class of 99\n    def none(self): import y\n    """\n'), F.repeat(F.lit("    async def f(self, a={1: ')'}) -> list[int]:\n        return a  # def g(\n"), size % 5), F.when(k % 7 == 1, "class of 99\n").otherwise(""))
+    return source.code_inventory(t.part.select(F.col("p_brand").alias("project"), k.alias("path"), F.when(k % 7 > 0, body).alias("content")))
