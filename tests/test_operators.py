@@ -206,8 +206,8 @@ def test_fuzzy_titles_against_all_pairs(spark):
 
 def test_skeletons_meet_whatever_their_beginning(spark):
     body = "keeps every tide table since the flood of that winter and shows them on request"
-    s = spark.createDataFrame([(1, "The harbour office " + body), (2, "ok"), (3, "far away")], "skeleton_id long, content string")
-    p = spark.createDataFrame([(7, "A harbour office " + body), (8, "ok"), (9, "nothing")], "pool_id long, content string")
+    s = spark.createDataFrame([(1, "c", "user", "The harbour office " + body), (2, "c", "user", "ok"), (3, "c", "user", "far away")], "skeleton_id long, conversation_id string, role string, content string")
+    p = spark.createDataFrame([(7, "user", "A harbour office " + body), (8, "user", "ok"), (9, "user", "nothing")], "pool_id long, role string, content string")
     assert rows(text.fuzzy_skeleton(s, p), "skeleton_id", "pool_id") == [(1, 7), (2, 8)]
 
 
@@ -227,14 +227,3 @@ def test_order_statistics_take_ties_nulls_and_single_rows(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("a", 9.0), ("a", None), (None, 4.0), ("b", None)], "k string, x double")
     got = sorted(((r.k or "", r.n, r.median, r.p25, r.p75, r.least, r.most) for r in census.calibration(df, ["k"], "x").collect()))
     assert got == [("", 1, 4.0, 4.0, 4.0, 4.0, 4.0), ("a", 3, 1.0, 1.0, 9.0, 1.0, 9.0)]
-
-
-def test_nearest_anchor_beyond_the_broadcast_limit(spark):
-    rnd = random.Random(2)
-    v = lambda: [rnd.gauss(0, 1) for _ in range(8)]
-    anchors = [(i, None, v()) for i in range(30)]
-    items = [(100 + i, D(2024, 1, 1), [x + rnd.gauss(0, 0.05) for x in anchors[i][2]]) for i in range(30)]
-    a = spark.createDataFrame(anchors, "anchor_id long, day date, v array<double>")
-    i = spark.createDataFrame(items, "item_id long, day date, v array<double>")
-    want = rows(joins.nearest_anchor(i, a), "item_id", "anchor_id")
-    assert want == [(100 + k, k) for k in range(30)] == rows(joins.nearest_anchor(i, a, broadcast_rows=0, bits=4), "item_id", "anchor_id")

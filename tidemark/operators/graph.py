@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """A table computed once and kept in the session's checkpoint folder, where one is set."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+    """A table computed once and kept in the session's checkpoint folder; without one, an error off local mode."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not found and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(found or tempfile.mkdtemp(prefix="tidemark-"))
+    return df.checkpoint()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import compact_key, latest
+from .automaton import find_all
+from .graph import kept
 
 
 def author_fold(commits: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -47,18 +49,12 @@ def alias_hits(texts: DataFrame, aliases: DataFrame) -> DataFrame:
     """Aliases that stand in a text between characters that are neither letters nor digits.
 
     ``texts`` has thread_id, place (title or body) and content, ``aliases``
-    project, alias and low_signal. Texts and aliases meet on the alias's first
-    word, then the whole alias is looked for. A title beats a body.
+    project, alias and low_signal. All aliases are looked for in one pass over the
+    texts, which are not shuffled. A title beats a body.
     """
-    first = F.regexp_extract(F.lower("alias"), r"([a-z0-9]+)", 1)
-    known = aliases.where(F.length("alias") >= 3).withColumn("word", first)
-    keyed = texts.select("thread_id", "place", F.lower("content").alias("content"))
-    words = keyed.select("thread_id", "place", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit("([a-z0-9]+)"), F.lit(1)))).alias("word"))
-    # only ids and words meet; a text comes to its aliases once
-    met = words.join(known, "word").groupBy("thread_id", "place").agg(F.collect_set(F.struct("project", "alias", "low_signal")).alias("a"))
-    pairs = keyed.join(met, ["thread_id", "place"]).select("thread_id", "place", "content", F.inline("a"))
-    exact = F.expr("concat(' ', content, ' ') rlike concat('[^a-z0-9]\\\\Q', lower(alias), '\\\\E[^a-z0-9]')")
-    hits = pairs.where(F.col("content").contains(F.lower("alias"))).where(exact)
+    known = aliases.where(F.length("alias") >= 3).withColumn("needle", F.lower("alias"))
+    asked = texts.select(F.struct("thread_id", "place").alias("text_id"), F.lower("content").alias("body"))
+    hits = find_all(asked, known, bounded=True).select("text_id.*", "needle").join(known, "needle")
     best = hits.groupBy("thread_id", "project", "alias").agg(F.max(F.col("place") == "title").alias("title"), F.max("low_signal").alias("low_signal"))
     weight = F.when(F.col("title"), 0.8).when(F.col("low_signal"), 0.15).otherwise(0.6)
     return best.select("thread_id", "project", "alias", F.when(F.col("title"), "title").otherwise("body").alias("place"), weight.alias("weight"))
@@ -73,20 +69,9 @@ def cwd_attribution(sessions: DataFrame, keys: DataFrame) -> DataFrame:
     return hits.groupBy("session_id").agg(F.count_distinct("project").alias("n"), F.min("project").alias("project")).where("n = 1").drop("n")
 
 
-def contained(texts: DataFrame, needles: DataFrame, width: int = 4) -> DataFrame:
-    """(text_id, needle_id) of all needles that stand anywhere in a text (text_id, body), (needle_id, needle).
-
-    Needle and text meet on the needle's rarest string of ``width`` characters;
-    shorter needles are not looked for.
-    """
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (width - 1)), lambda i: F.substring(c, i, F.lit(width))))
-    own = needles.where(F.length("needle") >= width).select("needle_id", "needle", F.explode(grams(F.col("needle"))).alias("gram"))
-    of_texts = texts.where(F.length("body") >= width).select("text_id", F.explode(grams(F.col("body"))).alias("gram")).join(own.select("gram").distinct(), "gram", "left_semi")
-    held = of_texts.groupBy("gram").agg(F.count("*").alias("held"))
-    key = latest(own.join(held, "gram", "left"), ["needle_id"], [F.coalesce("held", F.lit(0)), F.col("gram")]).where("held is not null")
-    met = of_texts.join(key.select("gram", "needle_id"), "gram").groupBy("text_id").agg(F.collect_set("needle_id").alias("n"))
-    pairs = texts.join(met, "text_id").select("text_id", "body", F.explode("n").alias("needle_id")).join(needles, "needle_id")
-    return pairs.where(F.col("body").contains(F.col("needle"))).select("text_id", "needle_id")
+def contained(texts: DataFrame, needles: DataFrame) -> DataFrame:
+    """(text_id, needle_id) of all needles that stand anywhere in a text (text_id, body), (needle_id, needle); an empty needle stands nowhere."""
+    return find_all(texts, needles).join(needles, "needle").select("text_id", "needle_id")
 
 
 def exact_link(threads: DataFrame, projects: DataFrame) -> DataFrame:
@@ -119,47 +104,86 @@ def time_plausibility(threads: DataFrame, bursts: DataFrame) -> DataFrame:
     return near.select("thread_id", "project", F.round(score, 6).alias("plausibility"))
 
 
-def nearest_anchor(items: DataFrame, anchors: DataFrame, days: int = 14, threshold: float = 0.6, width: int = 28, broadcast_rows: int = 10_000, tables: int = 16, bits: int = 8) -> DataFrame:
+def nearest_anchor(items: DataFrame, anchors: DataFrame, days: int = 14, threshold: float = 0.6, width: int = 28, broadcast_rows: int = 10_000, pivots: int = 256) -> DataFrame:
     """The most similar anchor within ``days`` of each item, or of all anchors if none is near.
 
     ``items`` has item_id, day and v, ``anchors`` anchor_id, day (or null) and v.
     Days meet in buckets of ``width`` days, so only neighbouring days are
     compared. Undated anchors, and the anchors of items without a near one, are
-    broadcast while they are counted to be at most ``broadcast_rows``; beyond,
-    items and anchors meet where they lie on one side of ``bits`` random planes,
-    in any of ``tables`` sets of planes, so that unlike anchors may be missed.
-    Below the threshold an item begins a thread of its own (``new_thread``).
+    broadcast while they are counted to be at most ``broadcast_rows``; beyond, the
+    nearest is found by ``metric_candidates``, with the same answers. Below the
+    threshold an item begins a thread of its own (``new_thread``).
     """
-    cosine = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x))
-    a = anchors.select("anchor_id", F.col("day").alias("anchor_day"), F.col("v").alias("w"), norm(F.col("v")).alias("nw"))
-    i = items.select("item_id", "day", "v", norm(F.col("v")).alias("nv"))
+    a = anchors.select("anchor_id", F.col("day").alias("anchor_day"), F.col("v").alias("w"), norm("v").alias("nw"))
+    i = items.select("item_id", "day", "v", norm("v").alias("nv"))
     bucket = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01").cast("date")) / width)
     left = i.withColumn("b", F.explode(F.array(bucket("day") - 1, bucket("day"), bucket("day") + 1)))
     dated = left.join(a.where("anchor_day is not null").withColumn("b", bucket("anchor_day")), "b").where(F.abs(F.datediff("day", "anchor_day")) <= days).drop("b")
     alone = i.join(dated.select("item_id").distinct(), "item_id", "left_anti")
 
-    def side(v: Column, table: int) -> Column:
-        # the sign of the product with a plane whose components are -1 or 1 by a hash
-        plane = lambda k: F.aggregate(F.transform(v, lambda x, j: x.cast("double") * (F.pmod(F.xxhash64(F.lit(table * 64 + k), j), F.lit(2)) * 2 - 1)), F.lit(0.0), lambda s, x: s + x)
-        return F.concat(F.lit(f"{table}:"), *[F.when(plane(k) >= 0, "1").otherwise("0") for k in range(bits)])
+    def scored(pairs: DataFrame) -> DataFrame:
+        return pairs.select("item_id", "anchor_id", likeness("v", "nv", "w", "nw").alias("sim"))
 
     def meet(some: DataFrame, targets: DataFrame) -> DataFrame:
         if targets.count() <= broadcast_rows:
-            return some.join(F.broadcast(targets))
-        sides = lambda c: F.explode(F.array(*[side(F.col(c), k) for k in range(tables)])).alias("side")
-        met = some.select("item_id", sides("v")).join(targets.select("anchor_id", sides("w")), "side").select("item_id", "anchor_id").distinct()
-        return met.join(some, "item_id").join(targets, "anchor_id").select(*some.columns, *targets.columns)
+            return scored(some.join(F.broadcast(targets)))
+        return metric_candidates(some, targets, pivots)
 
     undated, every = meet(i, a.where("anchor_day is null")), meet(alone, a.where("anchor_day is not null"))
-    sim = F.round(F.try_divide(cosine(F.col("v"), F.col("w")), F.col("nv") * F.col("nw")), 6)
-    scored = dated.unionByName(undated).unionByName(every).select("item_id", "anchor_id", sim.alias("sim"))
-    best = scored.groupBy("item_id").agg(F.max(F.struct("sim", (-F.col("anchor_id")).alias("m"))).alias("best"))
+    best = scored(dated).unionByName(undated).unionByName(every).groupBy("item_id").agg(F.max(F.struct("sim", (-F.col("anchor_id")).alias("m"))).alias("best"))
     placed = F.col("best.sim") >= threshold
     out = items.select("item_id").join(best, "item_id", "left")
     return out.select("item_id", F.when(placed, -F.col("best.m")).alias("anchor_id"), F.col("best.sim").alias("sim"), F.when(~F.coalesce(placed, F.lit(False)), F.concat(F.lit("single-"), F.col("item_id").cast("string"))).alias("new_thread"))
 
 
+def norm(v: str) -> Column:
+    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x))
+
+
+def cosine(v: str | Column, nv: str | Column, w: str | Column, nw: str | Column) -> Column:
+    dot = F.aggregate(F.zip_with(v, w, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
+    return F.try_divide(dot, (F.col(nv) if isinstance(nv, str) else nv) * (F.col(nw) if isinstance(nw, str) else nw))
+
+
+def likeness(v: str, nv: str, w: str, nw: str) -> Column:
+    return F.round(cosine(v, nv, w, nw), 6)
+
+
+#: Similarities are compared after rounding, so all within this of the best may be the best.
+TIE = 1e-6
+
+
+def metric_candidates(items: DataFrame, targets: DataFrame, pivots: int = 256) -> DataFrame:
+    """(item_id, anchor_id, sim): some anchors of each item, the most similar and its ties with the smallest ids among them.
+
+    Vectors are seen as points on the unit sphere. Each anchor goes to its nearest
+    pivot. An item is first compared with the anchors of its own nearest pivot;
+    the best distance d found there rules out all pivots, and at the others all
+    anchors, of which the triangle inequality tells that they are farther. What
+    is left is compared in a second round, so no answer is lost, however the
+    vectors lie. Equal vectors are compared once, as the smallest id. Only the
+    pivots, a bounded number, are broadcast.
+    """
+    t = targets.where("nw > 0").groupBy("w").agg(F.min("anchor_id").alias("anchor_id"), F.first("nw").alias("nw"))
+    points = F.broadcast(t.orderBy(F.xxhash64("anchor_id"), "anchor_id").limit(pivots).agg(F.collect_list(F.struct(F.col("anchor_id").alias("cell"), F.col("w").alias("pw"), F.col("nw").alias("np"))).alias("points")))
+    between = lambda c: F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * c))
+    far = lambda v, nv: F.transform("points", lambda p: F.struct(between(cosine(v, nv, p["pw"], p["np"])).alias("d"), p["cell"].alias("cell")))
+    dealt = kept(t.join(points).withColumn("near", F.array_min(far("w", "nw"))).select("anchor_id", "w", "nw", F.col("near.cell").alias("cell"), F.col("near.d").alias("r")))
+    asks = kept(items.where("nv > 0").groupBy("v").agg(F.min("item_id").alias("rep"), F.first("nv").alias("nv")).join(points).withColumn("far", far("v", "nv")).drop("points").withColumn("near", F.array_min("far")))
+    pair = lambda df: df.select("rep", "anchor_id", likeness("v", "nv", "w", "nw").alias("sim"))
+    one = kept(pair(asks.select("rep", "v", "nv", F.col("near.cell").alias("cell")).join(dealt, "cell")))
+    slack = 1e-9
+    bound = one.groupBy("rep").agg((between(F.max("sim") - TIE) + slack).alias("ub"))
+    # of each pivot the distances of its nearest and farthest anchor; one row for all
+    rims = F.broadcast(dealt.groupBy("cell").agg(F.min("r").alias("low"), F.max("r").alias("high")).agg(F.map_from_entries(F.collect_list(F.struct("cell", F.struct("low", "high")))).alias("rims")))
+    open_ = F.filter("far", lambda p: (p["cell"] != F.col("near.cell")) & (p["d"] - F.col("near.d") <= 2 * F.col("ub")) & (p["d"] - F.col("ub") <= F.col("rims")[p["cell"]]["high"]) & (p["d"] + F.col("ub") >= F.col("rims")[p["cell"]]["low"]))
+    wide = asks.join(bound, "rep").join(rims).select("rep", "v", "nv", "ub", F.inline(open_))
+    two = pair(wide.join(dealt, "cell").where(F.abs(F.col("d") - F.col("r")) <= F.col("ub")))
+    same = items.where("nv > 0").join(asks.select("v", "rep"), "v").select("item_id", "rep")
+    best = one.unionByName(two).groupBy("rep").agg(F.max(F.struct("sim", (-F.col("anchor_id")).alias("m"))).alias("best"))
+    return same.join(best, "rep").select("item_id", (-F.col("best.m")).alias("anchor_id"), F.col("best.sim").alias("sim"))
+
+
 def skeleton_exact(skeleton: DataFrame, pool: DataFrame) -> DataFrame:
     """Skeleton messages claim pool rows of the same role and text, each row once, in order."""
     key = F.trim(F.regexp_replace("content", r"[ \t\n\r\f]+", " "))
@@ -175,14 +199,9 @@ def prefix_map(sheet: DataFrame, openers: DataFrame, texts: DataFrame, width: in
     s = sheet.select("pos", norm("first_message").alias("key"))
     one = s.join(openers.select("conversation_id", norm("content").alias("key")), "key").select("pos", "conversation_id", F.lit(1).alias("pass"))
     rest = s.join(one.select("pos").distinct(), "pos", "left_anti").where(F.length("key") >= least)
-    # the longest word inside the key; its first and last may be parts of words
-    word = F.expr("get(array_sort(slice(split(key, ' '), 2, greatest(size(split(key, ' ')) - 2, 0)), (a, b) -> case when length(a) <> length(b) then length(b) - length(a) when a < b then -1 when a > b then 1 else 0 end), 0)")
-    spoken = texts.select("conversation_id", F.lower(F.trim(F.regexp_replace("content", r"[ \t\n\r\f]+", " "))).alias("body"))
-    spoken = spoken.withColumn("body_id", F.xxhash64("conversation_id", "body"))
-    words = spoken.select("body_id", F.explode(F.array_distinct(F.split("body", " "))).alias("word")).distinct()
-    met = rest.withColumn("word", word).join(words, "word").groupBy("body_id").agg(F.collect_set(F.struct("pos", "key")).alias("s"))
-    pairs = spoken.join(met, "body_id").select("conversation_id", "body", F.inline("s"))
-    two = pairs.where(F.col("body").contains(F.col("key"))).select("pos", "conversation_id", F.lit(2).alias("pass")).distinct()
+    spoken = texts.select(F.col("conversation_id").alias("text_id"), F.lower(F.trim(F.regexp_replace("content", r"[ \t\n\r\f]+", " "))).alias("body"))
+    found = find_all(spoken, rest.select(F.col("key").alias("needle")))
+    two = found.join(rest, F.col("needle") == F.col("key")).select("pos", F.col("text_id").alias("conversation_id"), F.lit(2).alias("pass")).distinct()
     return one.unionByName(two)
 
 

@@ -148,26 +148,81 @@ def fuzzy_titles(threads: DataFrame, projects: DataFrame, least: float = 0.45) -
     return latest(scored.where(F.col("score") >= least), ["thread_id"], [F.col("score").desc(), F.col("project_id")])
 
 
-def fuzzy_skeleton(skeleton: DataFrame, pool: DataFrame, least: float = 0.9, sure: float = 0.97, rarest: int = 8) -> DataFrame:
-    """Best pool row for each skeleton message by sequence ratio, among rows of like length that share a rare word.
+def bracketed(skeleton: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Skeleton messages (conversation_id, skeleton_id) with the times (after, before) of the anchors (skeleton_id, at) around them in their conversation."""
+    w = Window.partitionBy("conversation_id").orderBy("skeleton_id")
+    at = skeleton.join(anchors.groupBy("skeleton_id").agg(F.min("at").alias("at")), "skeleton_id", "left")
+    after = F.last("at", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    before = F.first("at", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    return at.withColumn("after", after).withColumn("before", before).drop("at")
 
-    Equal texts are compared once. A skeleton text asks for pool texts that hold
-    one of its ``rarest`` rarest words; texts of fewer words ask with all. A pool
-    row is taken by one message only, and a message that loses its row takes no other.
+
+def skeleton_candidates(skeleton: DataFrame, pool: DataFrame, least: float = 0.9, rarest: int = 8) -> DataFrame:
+    """(text_key, pool_id, ratio): pool rows of the role and a sequence ratio above ``least``, for each distinct role and text of the skeleton.
+
+    Equal texts are compared once. A skeleton text asks for pool texts of like
+    length that hold one of its ``rarest`` rarest words; texts of fewer words ask with all.
     """
     word_list = lambda c: F.array_distinct(tokens(c))
-    a = skeleton.groupBy(F.col("content").alias("a")).agg(F.min("skeleton_id").alias("skeleton_id"))
-    b = pool.groupBy(F.col("content").alias("b")).agg(F.min("pool_id").alias("pool_id"))
-    held = b.select("pool_id", F.length("b").alias("lb"), F.explode(word_list("b")).alias("word"))
-    df = held.groupBy("word").agg(F.count("*").alias("df"))
-    asked = a.select("skeleton_id", F.length("a").alias("la"), F.explode(word_list("a")).alias("word")).join(df, "word")
-    rare = asked.withColumn("rn", F.row_number().over(Window.partitionBy("skeleton_id").orderBy("df", "word"))).where(F.col("rn") <= rarest)
-    # a ratio of ``least`` bounds the lengths: 2 * shorter / (shorter + longer) is at least that
-    fits = 2 * F.least("la", "lb") >= least * (F.col("la") + F.col("lb"))
-    met = rare.join(held, "word").where(fits).select("skeleton_id", "pool_id").distinct()
-    scored = met.join(a, "skeleton_id").join(b, "pool_id").select("skeleton_id", "pool_id", F.round(sequence_ratio("a", "b"), 6).alias("ratio")).where(F.col("ratio") >= least)
-    taken = latest(latest(scored, ["skeleton_id"], [F.col("ratio").desc(), F.col("pool_id")]), ["pool_id"], [F.col("ratio").desc(), F.col("skeleton_id")])
-    return taken.withColumn("review", F.col("ratio") < sure)
+    a = skeleton.select("text_key", "role", F.col("content").alias("a")).distinct()
+    b = pool.groupBy("role", F.col("content").alias("b")).agg(F.min("pool_id").alias("rep"))
+    held = b.select("rep", "role", F.length("b").alias("lb"), F.explode(word_list("b")).alias("word"))
+    df = held.groupBy("role", "word").agg(F.count("*").alias("df"))
+    asked = a.select("text_key", "role", F.length("a").alias("la"), F.explode(word_list("a")).alias("word")).join(df, ["role", "word"])
+    rare = asked.withColumn("rn", F.row_number().over(Window.partitionBy("text_key").orderBy("df", "word"))).where(F.col("rn") <= rarest)
+    # a ratio above ``least`` bounds the lengths: 2 * shorter / (shorter + longer) is more than that
+    fits = 2 * F.least("la", "lb") > least * (F.col("la") + F.col("lb"))
+    met = rare.join(held, ["role", "word"]).where(fits).select("text_key", "rep").distinct()
+    scored = met.join(a, "text_key").join(b.select("rep", "b"), "rep").select("text_key", "rep", sequence_ratio("b", "a").alias("ratio")).where(F.col("ratio") > least)
+    members = pool.join(b, [pool["role"] == b["role"], pool["content"] == b["b"]]).select("rep", "pool_id")
+    return scored.join(members, "rep").select("text_key", "pool_id", "ratio")
+
+
+def assign_in_order(asks: DataFrame, lists: DataFrame) -> DataFrame:
+    """(ask_id, target): each ask takes the first free target of its list, in order of ``ask_id``.
+
+    ``asks`` (ask_id, list_id), ``lists`` (list_id, place, target) with places from
+    1. Asks propose to their next target, a target holds the first of its
+    proposers, and the others go on to their next, until none is refused; that is
+    what taking turns gives. The k-th ask of a list begins at place k, since
+    those before it take what stands earlier, so equal asks need one round.
+    """
+    k = F.row_number().over(Window.partitionBy("list_id").orderBy("ask_id"))
+    lists = kept(lists)
+    state = kept(asks.select("ask_id", "list_id", k.cast("int").alias("place")))
+    while True:
+        proposed = state.join(lists, ["list_id", "place"])
+        holder = proposed.groupBy("target").agg(F.min("ask_id").alias("holder"))
+        told = kept(proposed.join(holder, "target").select("ask_id", "list_id", "place", "target", (F.col("ask_id") == F.col("holder")).alias("held")))
+        if told.where("not held").isEmpty():
+            return told.select("ask_id", "target")
+        state = told.select("ask_id", "list_id", (F.col("place") + F.when(F.col("held"), 0).otherwise(1)).alias("place"))
+
+
+def fuzzy_skeleton(skeleton: DataFrame, pool: DataFrame, anchors: DataFrame | None = None, least: float = 0.9, sure: float = 0.97, rarest: int = 8) -> DataFrame:
+    """A pool row (pool_id, role, content, at) for each skeleton message (skeleton_id, conversation_id, role, content) by sequence ratio.
+
+    Messages take turns in order of their id: each takes the row of its role with
+    the highest ratio above ``least`` that is free, the first of equal ones. With
+    ``anchors`` (skeleton_id, at), a row with a time must lie between the anchors
+    around the message. Matches below ``sure`` are for review.
+    """
+    keyed = skeleton.withColumn("text_key", F.struct(F.xxhash64("role", "content"), F.xxhash64(F.lit(1), "role", "content"), F.length("content")))
+    found = kept(skeleton_candidates(keyed, pool, least, rarest))
+    if anchors is None:
+        asks, fitting = keyed.select("skeleton_id", F.col("text_key").alias("list_id")), found.withColumnRenamed("text_key", "list_id")
+    else:
+        # messages of one text and one bracket have one list
+        inside = bracketed(keyed, anchors).withColumn("list_id", F.struct("text_key", "after", "before"))
+        asks = inside.select("skeleton_id", "list_id")
+        lists = inside.select("list_id", "text_key", "after", "before").distinct()
+        fits = F.col("at").isNull() | (F.coalesce(F.col("after") <= F.col("at"), F.lit(True)) & F.coalesce(F.col("at") <= F.col("before"), F.lit(True)))
+        fitting = lists.join(found, "text_key").join(pool.select("pool_id", "at"), "pool_id").where(fits).select("list_id", "pool_id", "ratio")
+    place = F.row_number().over(Window.partitionBy("list_id").orderBy(F.col("ratio").desc(), "pool_id"))
+    ranked = kept(fitting.withColumn("place", place))
+    taken = assign_in_order(asks.select(F.col("skeleton_id").alias("ask_id"), "list_id"), ranked.select("list_id", "place", F.col("pool_id").alias("target")))
+    out = taken.join(asks, F.col("ask_id") == F.col("skeleton_id")).join(ranked.withColumnRenamed("list_id", "of"), (F.col("list_id") == F.col("of")) & (F.col("target") == F.col("pool_id")))
+    return out.select("skeleton_id", "pool_id", F.round("ratio", 6).alias("ratio"), (F.col("ratio") < sure).alias("review"))
 
 
 def pair_diff(pairs: DataFrame, messages: DataFrame) -> DataFrame:

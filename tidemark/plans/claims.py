@@ -94,8 +94,9 @@ def jn_fuzzy_title(t):
 
 @query()
 def jn_skeleton_fuzzy(t):
-    m = t.messages
-    return ops.fuzzy_skeleton(m.select((F.col("thread_id") * 1000 + F.col("seq")).alias("skeleton_id"), "content"), m.select((F.col("thread_id") * 1000 + F.col("seq")).alias("pool_id"), F.concat("content", F.lit(".")).alias("content")))
+    m = t.messages.withColumn("own", F.col("thread_id") * 1000 + F.col("seq"))
+    pool = m.select(F.col("own").alias("pool_id"), "role", F.concat("content", F.lit(".")).alias("content"))
+    return ops.fuzzy_skeleton(m.select(F.col("own").alias("skeleton_id"), F.col("thread_id").alias("conversation_id"), "role", "content"), pool)
 
 
 @query()

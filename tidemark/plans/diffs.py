@@ -64,14 +64,14 @@ def jn_cwd_attribution(t):
     return joins.cwd_attribution(t.pages.select(F.col("page_id").alias("session_id"), F.replace("url", F.lit("."), F.lit("/")).alias("cwd")), keys)
 
 
-@query("""WITH p AS (SELECT 'p' || p_partkey::VARCHAR AS project_id, p_type || ' ' || (p_partkey % 50)::VARCHAR AS name, CASE WHEN p_partkey % 2 = 0 THEN p_name END AS template FROM part),
+@query("""WITH p AS (SELECT 'p' || p_partkey::VARCHAR AS project_id, p_type || ' ' || (p_partkey % 50)::VARCHAR AS name, CASE WHEN p_partkey % 2 = 0 THEN p_name WHEN p_partkey % 10 = 1 THEN substr(p_brand, 7) END AS template FROM part),
   th AS (SELECT p_partkey AS thread_id, p_type || ' ' || (p_partkey % 90)::VARCHAR AS title, 'about ' || p_name || p_brand || ' and more' AS first_text FROM part),
   b AS (SELECT thread_id, project_id, 1 AS rule FROM th JOIN p ON title = name UNION ALL SELECT thread_id, project_id, 2 FROM th JOIN p ON contains(first_text, template))
   SELECT thread_id, project_id, rule FROM (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY rule, project_id) AS rn FROM b) WHERE rn = 1""")
 def jn_exact_link(t):
     k = F.col("p_partkey")
     numbered = lambda n: F.concat("p_type", F.lit(" "), (k % n).cast("string"))
-    projects = t.part.select(F.concat(F.lit("p"), k.cast("string")).alias("project_id"), numbered(50).alias("name"), F.when(k % 2 == 0, F.col("p_name")).alias("template"))
+    projects = t.part.select(F.concat(F.lit("p"), k.cast("string")).alias("project_id"), numbered(50).alias("name"), F.when(k % 2 == 0, F.col("p_name")).when(k % 10 == 1, F.substring("p_brand", 7, 9)).alias("template"))
     threads = t.part.select(k.alias("thread_id"), numbered(90).alias("title"), F.concat(F.lit("about "), "p_name", "p_brand", F.lit(" and more")).alias("first_text"))
     return joins.exact_link(threads, projects)
 
