@@ -26,6 +26,7 @@ import json
 import os
 import re
 import uuid
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +39,10 @@ from .shared import shared_dir
 VOCABULARIES = "/opt/tokenizers"
 #: Bytes of text whose stretches are numbered together, and most stretches of them.
 BLOCK_BYTES, BLOCK_STRETCHES = 16 << 20, 200_000
-#: A link is the number of A's token times this, plus that of B's.
+#: A link is the number of A's token times this, plus that of B's; both are below it.
 B_IDS = 1 << 16
+#: Stretches that are encoded by themselves: those that end in a blank, or hold a character that B reads as one.
+ODD = re.compile(r"▁|\s\Z")
 #: From a blank or line end after another character up to the next.
 STRETCH = re.compile(r"[ \n]\s*\S*(?:[^\S \n]\s*\S*)*")
 PIECES = "block string, doc boolean, id {id}, n_a long, n_b long, n_groups long, n_links long, n_overlaps long, digest string, stretches binary, links binary, held binary"
@@ -67,7 +70,11 @@ class Csr:
         n = np.diff(other.at)[self.columns]
         step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
         code = np.repeat(rows, n) * other.width + other.columns[np.repeat(other.at[self.columns], n) + step]
-        code, value = np.unique(code, return_counts=True)
+        if len(code) and (code[1:] >= code[:-1]).all():
+            first = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+            code, value = code[first], np.diff(np.append(first, len(code)))
+        else:
+            code, value = np.unique(code, return_counts=True)
         return code // other.width, code % other.width, value
 
 
@@ -98,6 +105,45 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(i): i for i in plain} | {chr(0x100 + k): i for k, i in enumerate(others)}
 
 
+class TokenBytes:
+    """Bytes of the tokens of one tokenizer."""
+
+    def __init__(self, raw: list[bytes]):
+        self.raw = raw
+        self.names = [str(i) for i in range(len(raw))]
+        self.size = np.array([len(x) for x in raw], np.int64)
+        self.at = np.cumsum(self.size) - self.size
+        self.data = np.frombuffer(b"".join(raw), np.uint8)
+
+    def joined(self, ids: np.ndarray) -> np.ndarray:
+        n = self.size[ids]
+        return self.data[np.repeat(self.at[ids] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+
+
+class Encoded(NamedTuple):
+    """Tokens of A and of B of some stretches, one after another, how many each stretch has, and whether it fits."""
+
+    a: np.ndarray
+    n_a: np.ndarray
+    b: np.ndarray
+    n_b: np.ndarray
+    fits: np.ndarray
+
+    @classmethod
+    def interleaved(cls, parts: list[Encoded], second: np.ndarray) -> Encoded:
+        """Stretches of two parts in one order, in which ``second`` tells the part."""
+        order = np.empty(len(second), np.int64)
+        order[~second], order[second] = np.arange(len(parts[0].n_a)), np.arange(len(parts[1].n_a)) + len(parts[0].n_a)
+
+        def put(tokens: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            first = (np.cumsum(n) - n)[order]
+            n = n[order]
+            return tokens[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], n
+
+        a, n_a, b, n_b, fits = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return cls(*put(a, n_a), *put(b, n_b), fits[order])
+
+
 class Tokenizers:
     """Both tokenizers and the bytes of their tokens."""
 
@@ -110,33 +156,70 @@ class Tokenizers:
         self.a.encode_special_tokens = True
         letters = byte_alphabet()
         vocabulary = self.a.get_vocab()
-        size = max(vocabulary.values()) + 1
-        self.bytes_a = [b""] * size
+        raw = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
-            self.bytes_a[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
+            raw[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
+        self.table_a = TokenBytes(raw)
         rule = json.loads(self.a.to_str())["pre_tokenizer"]
         self.b = sentencepiece.SentencePieceProcessor(model_file=f"{folder}/{file_b}")
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.table_b = TokenBytes([bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)])
+        if max(len(raw), len(pieces)) > B_IDS:
+            raise ValueError(f"vocabularies of more than {B_IDS} tokens")
         own = [p for i, p in enumerate(pieces) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i))]
         self.blank = self.b.piece_to_id("▁")
         #: Whether no piece goes on over a place where texts are cut.
-        self.cuts = rule["type"] == "ByteLevel" and rule["use_regex"] and not rule["add_prefix_space"] and not any(re.search("[^▁]▁|\n| ", p) for p in own) and self.bytes_b[self.blank] == b" "
+        self.cuts = rule["type"] == "ByteLevel" and rule["use_regex"] and not rule["add_prefix_space"] and not any(re.search("[^▁]▁|\n| ", p) for p in own) and self.table_b.raw[self.blank] == b" "
 
     def stretches(self, text: str) -> list[str]:
         """The blank and the text, in parts that both tokenizers encode on their own."""
         return STRETCH.findall(" " + text) if self.cuts else [" " + text]
 
-    def encode(self, stretches: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Tokens of A and of B; B puts a blank before what it encodes, which is taken from the stretch or from its tokens."""
-        a = [x.ids for x in self.a.encode_batch_fast(stretches, add_special_tokens=False)]
-        b = self.b.encode([s[1:] if s[0] == " " else s for s in stretches], num_threads=1)
+    def encode(self, stretches: list[str]) -> Encoded:
+        """Tokens of stretches: plain ones as one text, others one by one."""
+        odd = [i for i, s in enumerate(stretches) if ODD.search(s)] if self.cuts else range(len(stretches))
+        if not len(odd):
+            return self.encode_joined(stretches) or self.encode_each(stretches)
+        is_odd = set(odd)
+        parts = [x for x in ([s for i, s in enumerate(stretches) if i not in is_odd], [stretches[i] for i in odd]) if x]
+        both = [self.encode_joined(x) or self.encode_each(x) if k == 0 and len(parts) == 2 else self.encode_each(x) for k, x in enumerate(parts)]
+        if len(parts) == 1:
+            return both[0]
+        return Encoded.interleaved(both, np.array([i in is_odd for i in range(len(stretches))]))
+
+    def encode_joined(self, stretches: list[str]) -> Encoded | None:
+        """None unless both tokenizers give the bytes back and begin a token at each stretch."""
+        text = "".join(stretches)
+        raw = np.frombuffer(text.encode(), np.uint8)
+        ends = np.cumsum([len(s.encode()) for s in stretches])
+        out = []
+        for ids, table in ((self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.table_a), (self.of_b([text])[0], self.table_b)):
+            ids = np.array(ids, np.int64)
+            token_ends = np.cumsum(table.size[ids])
+            at = np.searchsorted(token_ends, ends)
+            if token_ends[-1] != len(raw) or (token_ends[at] != ends).any() or not np.array_equal(table.joined(ids), raw):
+                return None
+            out += [ids, np.diff(at + 1, prepend=0)]
+        return Encoded(*out, np.ones(len(stretches), bool))
+
+    def encode_each(self, stretches: list[str]) -> Encoded:
+        """Tokens of each stretch; those that are not given back byte for byte have none and do not fit."""
+        ids_a = [x.ids for x in self.a.encode_batch_fast(stretches, add_special_tokens=False)]
+        ids_b = self.of_b(stretches)
+        fits = np.array([b"".join([self.table_a.raw[i] for i in a]) == s.encode() == b"".join([self.table_b.raw[i] for i in b]) for s, a, b in zip(stretches, ids_a, ids_b, strict=True)])
+        flat = lambda rows: np.array([x for r, fit in zip(rows, fits, strict=True) if fit for x in r], np.int64)
+        sizes = lambda rows: np.array([len(r) * bool(fit) for r, fit in zip(rows, fits, strict=True)], np.int64)
+        return Encoded(flat(ids_a), sizes(ids_a), flat(ids_b), sizes(ids_b), fits)
+
+    def of_b(self, stretches: list[str]) -> list[list[int]]:
+        """Tokens of B, which puts a blank before what it encodes: it is taken from the stretch or from its tokens."""
+        out = self.b.encode([s[1:] if s[0] == " " else s for s in stretches], num_threads=1)
         for i, s in enumerate(stretches):
             if s == " ":
-                b[i] = [self.blank]
-            elif s[0] != " " and b[i][:1] == [self.blank]:
-                b[i] = b[i][1:]
-        return a, b
+                out[i] = [self.blank]
+            elif s[0] != " " and out[i][:1] == [self.blank]:
+                out[i] = out[i][1:]
+        return out
 
 
 @functools.lru_cache(maxsize=2)
@@ -151,92 +234,94 @@ class Block:
         self.tools = tools
         self.number: dict[str, int] = {}
         self.groups: list[str] = []
+        #: Tokens of A and B, groups, links and overlaps of each stretch.
         self.sizes = np.zeros((0, 5), np.int64)
-        self.fits: list[bool] = []
-        self.links: list[np.ndarray] = []
-        self.held: list[np.ndarray] = []
+        self.fits = np.zeros(0, bool)
+        self.codes = [np.zeros(0, np.uint32)]
         self.docs: list[np.ndarray] = []
 
     def learn(self, new: list[str]) -> None:
         """Encode stretches and keep their groups and links."""
         if not new:
             return
-        ids_a, ids_b = self.tools.encode(new)
-        for s in new:
-            self.number[s] = len(self.number)
-        fits, spans = [], []
-        for s, a, b in zip(new, ids_a, ids_b, strict=True):
-            raw = s.encode("utf-8", "surrogatepass")
-            parts_a, parts_b = [self.tools.bytes_a[i] for i in a], [self.tools.bytes_b[i] for i in b]
-            fits.append(b"".join(parts_a) == raw and b"".join(parts_b) == raw)
-            spans.append(([len(x) for x in parts_a], [len(x) for x in parts_b]) if fits[-1] else ([], []))
+        e = self.tools.encode(new)
+        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
         # one product for all stretches, whose bytes stand one after another
-        flat = lambda rows: np.fromiter((x for r in rows for x in r), np.int64)
-        token_a = flat(a for a, fit in zip(ids_a, fits, strict=True) if fit)
-        token_b = flat(b for b, fit in zip(ids_b, fits, strict=True) if fit)
-        group_a, group_b, link_a, link_b, overlaps = align(np.cumsum(flat(x for x, _ in spans)), np.cumsum(flat(x for _, x in spans)))
-        code = token_a[link_a] * B_IDS + token_b[link_b]
-        n_a, n_b = np.array([len(x) for x, _ in spans]), np.array([len(x) for _, x in spans])
-        to_a, to_b = np.concatenate(([0], np.cumsum(n_a))), np.concatenate(([0], np.cumsum(n_b)))
+        group_a, group_b, link_a, link_b, overlaps = align(np.cumsum(self.tools.table_a.size[e.a]), np.cumsum(self.tools.table_b.size[e.b]))
+        to_a = np.concatenate(([0], np.cumsum(e.n_a)))
         n_groups = np.zeros(len(new), np.int64)
-        some = n_a > 0
+        some = e.n_a > 0
         n_groups[some] = group_a[to_a[1:][some] - 1] - group_a[to_a[:-1][some]] + 1
         to_g = np.concatenate(([0], np.cumsum(n_groups)))
         to_l = np.searchsorted(link_a, to_a)
         over = np.concatenate(([0], np.cumsum(overlaps)))
-        for told in self.told(token_a, group_a, token_b, group_b, to_g):
-            self.groups.append(told)
-        self.fits += fits
-        self.sizes = np.concatenate((self.sizes, np.stack((n_a, n_b, n_groups, np.diff(to_l), np.diff(over[to_g])), axis=1)))
-        self.links += [code[i:j] for i, j in zip(to_l[:-1].tolist(), to_l[1:].tolist(), strict=True)]
-
-    @staticmethod
-    def told(token_a: np.ndarray, group_a: np.ndarray, token_b: np.ndarray, group_b: np.ndarray, to_g: np.ndarray):
+        self.groups += self.told(e, group_a, group_b, to_g)
+        self.fits = np.concatenate((self.fits, e.fits))
+        self.codes.append((e.a[link_a] * B_IDS + e.b[link_b]).astype(np.uint32))
+        self.sizes = np.concatenate((self.sizes, np.stack((e.n_a, e.n_b, n_groups, np.diff(to_l), np.diff(over[to_g])), axis=1)))
+
+    def told(self, e: Encoded, group_a: np.ndarray, group_b: np.ndarray, to_g: np.ndarray) -> list[str]:
         """Groups of each stretch as ``a1,a2|b1;a3|b2,b3``."""
 
-        def parts(token: np.ndarray, group: np.ndarray) -> list[str]:
-            names = token.astype(str).tolist()
+        def parts(token: np.ndarray, group: np.ndarray, names: list[str]) -> list[str]:
+            own = [names[i] for i in token.tolist()]
             edges = np.searchsorted(group, np.arange(int(to_g[-1]) + 1)).tolist()
-            return [names[a] if b == a + 1 else ",".join(names[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+            return [own[a] if b == a + 1 else ",".join(own[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
 
-        both = [f"{a}|{b}" for a, b in zip(parts(token_a, group_a), parts(token_b, group_b), strict=True)]
-        for a, b in zip(to_g[:-1].tolist(), to_g[1:].tolist(), strict=True):
-            yield ";".join(both[a:b])
+        sides = zip(parts(e.a, group_a, self.tools.table_a.names), parts(e.b, group_b, self.tools.table_b.names), strict=True)
+        both = [f"{a}|{b}" for a, b in sides]
+        edges = to_g.tolist()
+        return [both[a] if b == a + 1 else ";".join(both[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
 
     def add(self, texts: list[str | None]) -> list[tuple]:
         """(n_a, n_b, n_groups, n_links, n_overlaps, digest, numbers of the stretches) of each text."""
         cut = [self.tools.stretches(t) if t else [] for t in texts]
-        self.learn(list(dict.fromkeys(s for c in cut for s in c if s not in self.number)))
-        out = []
-        for c in cut:
-            numbers = np.fromiter((self.number[s] for s in c), np.int64, len(c))
-            own = np.unique(numbers)
-            if not c or not all(self.fits[i] for i in own.tolist()):
+        known = self.number
+        self.learn(list({s: None for c in cut for s in c if s not in known}))
+        codes = np.concatenate(self.codes)
+        self.codes = [codes]
+        n_links = self.sizes[:, 3]
+        first = np.cumsum(n_links) - n_links
+        name, groups, out, rows = known.__getitem__, self.groups.__getitem__, [], []
+        for k, c in enumerate(cut):
+            numbers = np.array(list(map(name, c)), np.int32)
+            if not c or not self.fits[numbers].all():
                 out.append((0, 0, 0, 0, 0, "", np.zeros(0, np.int32)))
                 continue
             digest = hashlib.sha256()
-            for k in range(0, len(c), 4096):
-                digest.update(((";" if k else "") + ";".join(self.groups[i] for i in numbers[k : k + 4096].tolist())).encode())
-            out.append((*self.sizes[numbers].sum(0).tolist(), digest.hexdigest(), numbers.astype(np.int32)))
-            self.held.append(np.unique(np.concatenate([self.links[i] for i in own.tolist()])))
-            if len(self.held) >= 256:
-                self.settle_held()
+            for i in range(0, len(c), 1 << 14):
+                digest.update(((";" if i else "") + ";".join(map(groups, numbers[i : i + (1 << 14)].tolist()))).encode())
+            out.append((*self.sizes[numbers].sum(0).tolist(), digest.hexdigest(), numbers))
+            rows.append((k, np.unique(numbers)))
+        if rows:
+            # links of all these documents at once, each told once a document
+            own = np.concatenate([x for _, x in rows])
+            n = n_links[own]
+            code = codes[np.repeat(first[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+            doc = np.repeat(np.repeat(np.array([k for k, _ in rows], np.uint64), [len(x) for _, x in rows]), n)
+            each = np.unique((doc << np.uint64(32)) | code.astype(np.uint64))
+            link, count = np.unique((each & np.uint64(0xFFFFFFFF)).astype(np.uint32), return_counts=True)
+            self.docs.append(np.stack((link.astype(np.int64), count)))
+            if len(self.docs) > 8:
+                self.docs = [summed(self.docs)]
         return out
 
-    def settle_held(self) -> None:
-        """Add up how many documents hold each link."""
-        if self.held:
-            code, n = np.unique(np.concatenate(self.held), return_counts=True)
-            self.docs.append(np.stack((code, n)))
-            self.held = []
-        if len(self.docs) > 8:
-            self.docs = [summed(self.docs)]
-
     def rows(self) -> tuple[bytes, bytes]:
-        """Links of all stretches (a count, then the links), and (link, number of documents) of the block."""
-        self.settle_held()
-        counts = np.array([len(x) for x in self.links], np.int64)
-        return np.concatenate(([len(counts)], counts, *self.links)).astype(np.int64).tobytes(), summed(self.docs).astype(np.int64).tobytes()
+        """Links of all stretches (how many, how many each, and they), and (link, number of documents) of the block; compressed."""
+        n = self.sizes[:, 3].astype(np.uint32)
+        held = summed(self.docs)
+        return packed(np.concatenate((np.array([len(n)], np.uint32), n, *self.codes))), packed(held[0].astype(np.uint32), held[1].astype(np.uint32))
+
+
+def packed(*parts: np.ndarray) -> bytes:
+    """Numbers of 32 bits, after their number of bytes."""
+    raw = np.concatenate(parts).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpacked(blob: pa.Buffer, dtype=np.uint32) -> np.ndarray:
+    size = int.from_bytes(blob.slice(0, 8).to_pybytes(), "little")
+    return np.frombuffer(pa.decompress(blob.slice(8), decompressed_size=size, codec="zstd", asbytes=True), dtype)
 
 
 def summed(parts: list[np.ndarray]) -> np.ndarray:
@@ -286,7 +371,7 @@ def align_tokens(
                 made = block.add(texts.slice(done, upto - done).to_pylist())
                 cols = list(zip(*made, strict=True))
                 n = upto - done
-                arrays = [pa.array([name] * n), pa.array([True] * n), batch["id"].slice(done, n), *(pa.array(cols[k], pa.int64()) for k in range(5)), pa.array(cols[5], pa.string()), pa.array([x.tobytes() for x in cols[6]], pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())]
+                arrays = [pa.array([name] * n), pa.array([True] * n), batch["id"].slice(done, n), *(pa.array(cols[k], pa.int64()) for k in range(5)), pa.array(cols[5], pa.string()), pa.array([packed(x) for x in cols[6]], pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, names)
                 done, size, open_rows = upto, size + here, True
                 if size >= block_bytes or len(block.number) >= BLOCK_STRETCHES:
@@ -298,7 +383,7 @@ def align_tokens(
     def unpack(batches):
         for batch in batches:
             for name, held in zip(batch["block"], batch["held"], strict=True):
-                code, n = np.frombuffer(held.as_buffer(), np.int64).reshape(2, -1)
+                code, n = unpacked(held.as_buffer()).astype(np.int64).reshape(2, -1)
                 for k in range(0, len(code), 1 << 16):
                     part = slice(k, k + (1 << 16))
                     yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(code[part])), pa.array(code[part]), pa.array(n[part])], ["block", "link", "n"])
@@ -314,7 +399,7 @@ def align_tokens(
     answers = held.select("block", "link").join(told, "link")
 
     def finish(group: tuple[pa.Scalar, ...], table: pa.Table, known: pa.Table) -> pa.Table:
-        links = np.frombuffer(next(x for x in table["links"] if x.is_valid).as_buffer(), np.int64)
+        links = unpacked(next(x for x in table["links"] if x.is_valid).as_buffer()).astype(np.int64)
         counts, code = links[1 : 1 + links[0]], links[1 + links[0] :]
         key = known["link"].to_numpy()
         order = np.argsort(key)
@@ -325,7 +410,7 @@ def align_tokens(
         edge = np.concatenate(([0], np.cumsum(counts)))
         of_stretch = [np.diff(np.concatenate(([0], np.cumsum(np.where(some, x[at], 0) if len(key) else np.zeros(len(code), np.int64))))[edge]) for x in (n, top)]
         rows = table.filter(table["doc"])
-        held = [np.frombuffer(x.as_buffer(), np.int32) for x in rows["stretches"]]
+        held = [unpacked(x.as_buffer(), np.int32) for x in rows["stretches"]]
         sums = [[int(x[h].sum()) for h in held] for x in of_stretch]
         out = {c: rows[c] for c in ("id", "n_a", "n_b", "n_groups", "n_links", "n_overlaps")}
         return pa.table(out | {"n_best": pa.array(sums[1], pa.int64()), "count_sum": pa.array(sums[0], pa.int64()), "groups_sha256": rows["digest"]})
