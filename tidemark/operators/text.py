@@ -21,30 +21,6 @@ def tokens(text: str | Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))), F.lit(f"({TOKEN})"), F.lit(1))
 
 
-def ranked_search(docs: DataFrame, queries: DataFrame, k: int = 60, project: str | None = None, first_type: str = "knowledge", around: int = 90, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """The ``k`` best documents (doc_id, project, doc_type, content) for each query (query_id, q) by BM25.
-
-    Documents of ``first_type`` come before all others, then the score decides.
-    ``project`` keeps the documents of one project (term statistics are those of
-    all). The snippet stands around the first word of the query that is found.
-    """
-    lists = docs.select("doc_id", "project", "doc_type", tokens("content").alias("w")).withColumn("len", F.size("w"))
-    stats = lists.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
-    wanted = queries.select("query_id", F.explode(F.array_distinct(tokens("q"))).alias("term"))
-    index = lists.select("doc_id", "project", "doc_type", "len", F.explode("w").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term", "doc_id", "project", "doc_type", "len").agg(F.count("*").alias("tf"))
-    df = index.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    asked = index if project is None else index.where(F.col("project") == project)
-    hits = asked.join(df, "term").join(F.broadcast(stats)).join(wanted, "term").groupBy("query_id", "doc_id", "doc_type").agg(F.round(F.sum(idf * tf), 4).alias("score"), F.collect_set("term").alias("terms"))
-    w = Window.partitionBy("query_id").orderBy((F.col("doc_type") != first_type).cast("int"), F.col("score").desc(), "doc_id")
-    top = hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    low = F.lower("content")
-    at = F.array_min(F.filter(F.transform("terms", lambda x: F.instr(low, x)), lambda i: i > 0))
-    snippet = F.substring(F.col("content"), F.greatest(at - around, F.lit(1)), F.lit(2 * around))
-    return top.join(docs.select("doc_id", "content"), "doc_id").select("query_id", "rank", "doc_id", "doc_type", "score", snippet.alias("snippet"))
-
-
 def substring_search(docs: DataFrame, needle: str, around: int = 90) -> DataFrame:
     """Documents that hold a text in any case, with the number of hits and what stands around the first."""
     low, q = F.lower("content"), needle.lower()

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..sources import chats
+from ..sources.store import StoredTable, replace_by
 from ..streaming import jobs
 from .catalog import query
 from .sequence import DECAY, STATES
@@ -137,7 +138,13 @@ def src_session_upsert_messages(t):
   CASE WHEN o.project_confidence IN ('manual', 'exact') THEN o.project_confidence ELSE coalesce(n.project_confidence, o.project_confidence) END AS project_confidence FROM n FULL JOIN o ON n.thread_id = o.thread_id""")
 def src_session_upsert(t):
     fresh = t.threads.where("thread_id % 3 > 0").select("thread_id", F.concat(F.lit("new "), "title").alias("title"), F.lit("q").alias("project_link"), F.lit("fuzzy").alias("project_confidence"))
-    return chats.session_upsert(t.threads.where("thread_id % 4 > 0"), fresh)
+    columns = ["thread_id", "title", "project_link", "project_confidence"]
+    stored = t.threads.where("thread_id % 4 > 0").select(*columns)
+    vault = StoredTable(t.spark, folder(t, "vault"), stored.schema, "thread_id")
+    vault.merge(stored, "first", chats.session_upsert)
+    for batch in ("second", "second"):
+        vault.merge(fresh, batch, chats.session_upsert)
+    return vault.read()
 
 
 @query("SELECT event_type AS stage, sum(user_id)::BIGINT AS new, sum(event_id % 3)::BIGINT AS changed, sum(event_id % 2)::BIGINT AS skipped FROM events WHERE event_id > 100 GROUP BY 1")
@@ -201,8 +208,11 @@ def src_markdown_sink_written(t):
 @query("""WITH f AS (SELECT * FROM docs WHERE project IN ('src1', 'src2') AND doc_id % 2 = 0) SELECT doc_id, 'fresh' AS state FROM f UNION ALL SELECT doc_id, 'old' FROM docs WHERE project NOT IN (SELECT project FROM f)""")
 def src_partial_overwrite(t):
     rows = t.docs.select("doc_id", "project")
-    out = chats.partial_overwrite(rows.withColumn("state", F.lit("old")), rows.where("project in ('src1', 'src2') and doc_id % 2 = 0").withColumn("state", F.lit("fresh")), "project")
-    return out.select("doc_id", "state")
+    old = rows.withColumn("state", F.lit("old"))
+    table = StoredTable(t.spark, folder(t, "projects"), old.schema, "project")
+    table.merge(old, "first", replace_by("project"))
+    table.merge(rows.where("project in ('src1', 'src2') and doc_id % 2 = 0").withColumn("state", F.lit("fresh")), "second", replace_by("project"))
+    return table.read().select("doc_id", "state")
 
 
 @query("""WITH m AS (SELECT user_id AS account, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) < 86400000000 THEN 0 ELSE 1 END AS new FROM activity), s AS (SELECT *, sum(new) OVER (PARTITION BY account ORDER BY ts) AS g FROM m)
@@ -225,16 +235,18 @@ def st_live_ledger(t):
     return drained(t, jobs.live_ledger(streamed(t, "ledger", ["pos", line.alias("value")]))).select("pos", "model_id", "stage", "ms")
 
 
-@query("SELECT DISTINCT user_id, event_type FROM events")
+@query("SELECT DISTINCT user_id, event_type, (SELECT max(event_id) FROM events)::VARCHAR AS mark FROM events")
 def st_incremental_scan(t):
-    out = folder(t, "votes")
-    for part in ("event_id % 2 = 0", "event_id % 3 = 0", "true"):
+    votes = t.events.limit(0).select("user_id", "event_type")
+    table = StoredTable(t.spark, folder(t, "votes"), votes.schema, "user_id")
+    for name, part in (("even", "event_id % 2 = 0"), ("third", "event_id % 3 = 0"), ("all", "true"), ("all", "true")):
         path = folder(t, "part")
-        rows = t.events.where(part).select("user_id", "event_type")
+        rows = t.events.where(part).select("event_id", "user_id", "event_type")
         rows.write.parquet(path)
-        q = t.spark.readStream.schema(rows.schema).parquet(path).writeStream.foreachBatch(jobs.append_new(out, ["user_id", "event_type"])).option("checkpointLocation", folder(t, "state")).trigger(availableNow=True).start()
+        # the last stream begins anew, as after a lost checkpoint, and its batches are known by their names
+        q = t.spark.readStream.schema(rows.schema).parquet(path).writeStream.foreachBatch(jobs.merge_new(table, ["user_id", "event_type"], name, "event_id")).option("checkpointLocation", folder(t, "state")).trigger(availableNow=True).start()
         q.awaitTermination()
-    return t.spark.read.parquet(out)
+    return table.read().withColumn("mark", F.lit(table.mark()))
 
 
 @query("WITH v AS (SELECT DISTINCT user_id, event_type FROM events WHERE event_id % 7 > 0) SELECT user_id, event_type, (SELECT max(event_id) FROM events) AS mark FROM v", name="st_incremental_scan_mark")

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.store import StoredTable, add_new
+
 
 def session_windows(events: DataFrame, gap: str = "30 minutes", late: str = "1 day") -> DataFrame:
     """Gap sessions of each account (account, ts) with a watermark for late rows."""
@@ -22,15 +24,20 @@ def live_ledger(lines: DataFrame) -> DataFrame:
     return timing_parse(lines).where("ms is not null")
 
 
-def append_new(target: str, keys: list[str]):
-    """A ``foreachBatch`` writer that appends only rows whose keys the target does not hold."""
+def merge_new(table: StoredTable, keys: list[str], name: str, order: str | None = None):
+    """A ``foreachBatch`` writer that adds rows whose keys the stored table does not hold.
+
+    Only the partitions of the batch's keys are read and rewritten. The batch is
+    known by the stream's name and its number, so one that is replayed changes
+    nothing; the greatest ``order`` seen is kept as the table's high-water mark.
+    """
 
-    def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.dropDuplicates(keys)
-        if spark._jvm.org.apache.hadoop.fs.Path(target).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(target)):
-            fresh = fresh.join(spark.read.parquet(target).select(*keys), keys, "left_anti")
-        fresh.write.mode("append").parquet(target)
+    def write(batch: DataFrame, number: int) -> None:
+        mark = None
+        if order is not None:
+            seen, former = batch.agg(F.max(order).alias("m")).first().m, table.mark()
+            mark = former if seen is None else str(seen if former is None else max(seen, type(seen)(former)))
+        table.merge(batch.select(*keys).dropna().distinct(), f"{name}-{number}", add_new(*keys), mark)
 
     return write
 
