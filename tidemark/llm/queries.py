@@ -55,7 +55,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_id(table(spark, sf_dir, "documents"))
+    return language_id(table(spark, sf_dir, "documents"), min_share=0)
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
