@@ -48,14 +48,17 @@ def to_ends(point: DataFrame) -> DataFrame:
             return point
 
 
-def leaders(items: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(pos, leader): items (pos) in order of ``pos``, each joining the first leader that it is paired with, or leading.
+def leaders(items: DataFrame, pairs: DataFrame, sure: DataFrame | None = None) -> DataFrame:
+    """(pos, leader): items (pos) in order of ``pos``, each joining the first leader that it is paired with, or leading; those in ``sure`` (pos) lead.
 
     ``pairs`` (a, b, with a before b) are the like items. A round settles every
     item whose earlier partners are settled far enough: it follows if one of
     them leads, and leads if none of them is open or leads.
     """
-    state = kept(items.select("pos", F.lit("open").alias("state")))
+    state = items.select("pos", F.lit("open").alias("state"))
+    if sure is not None:
+        state = items.select("pos").join(sure.select("pos", F.lit("leads").alias("sure")), "pos", "left").select("pos", F.coalesce("sure", F.lit("open")).alias("state"))
+    state = kept(state)
     while True:
         earlier = pairs.join(state.select(F.col("pos").alias("a"), F.col("state").alias("before")), "a").groupBy(F.col("b").alias("pos"))
         seen = earlier.agg(F.bool_or(F.col("before") == "leads").alias("some"), F.bool_or(F.col("before") == "open").alias("wait"))

@@ -6,7 +6,9 @@ import difflib
 from collections.abc import Callable, Sequence
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,27 +74,114 @@ def claim_similarity(claim: pd.Series, text: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def windows_of(chunks: DataFrame, width: int, overlap: int) -> DataFrame:
-    """(chunk_id, start, text): windows that together cover each text; what is no longer than ``overlap`` stands whole in one."""
-    starts = F.sequence(F.lit(1), F.greatest(F.length("text") - overlap, F.lit(1)), F.lit(width - overlap))
-    return chunks.select("chunk_id", "text", F.explode(starts).alias("start")).select("chunk_id", "start", F.substring("text", F.col("start"), F.lit(width)).alias("text"))
-
-
-def shortlist(claims: DataFrame, chunks: DataFrame, k: int = 5, floor: float = 0.15, width: int = 2000) -> DataFrame:
-    """The best chunks of each claim by similarity; candidates share a three-word shingle.
-
-    A chunk of any length is read whole, in overlapping windows, and counts with
-    its best one. The overlap is half a window, or twice the longest claim.
+def folded(text: str) -> np.ndarray:
+    """Code points of a text without its cases."""
+    return np.frombuffer(text.casefold().encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+#: Slots of the table that tells which pairs of characters a chunk holds; a shared slot only loosens a bound.
+SLOTS = 1 << 16
+#: Characters of claims that are broadcast at once.
+MOST_CHARS = 2_000_000
+
+
+class ClaimSet:
+    """Claims laid out one after another, so that the bounds of all of them for one chunk are a few passes over arrays."""
+
+    def __init__(self, rows: list[tuple[int, str]]):
+        self.ids, self.texts = [i for i, _ in rows], [t.casefold() for _, t in rows]
+        self.size = np.array([len(t) for _, t in rows], np.int64)
+        parts = [folded(t) for _, t in rows]
+        self.chars = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+        n = np.array([len(x) for x in parts], np.int64)
+        self.first = np.cumsum(n) - n
+        self.filled = n > 0
+        self.owner = np.repeat(np.arange(len(rows)), n)
+        # places whose next character belongs to the same claim
+        self.linked = np.append(self.owner[1:] == self.owner[:-1], False)
+        self.pair = slot(self.chars, np.append(self.chars[1:], np.uint32(0)))
+
+    def bounds(self, chunk: np.ndarray) -> np.ndarray:
+        """For each claim a proven upper bound of its matched run length in a chunk.
+
+        A run of two characters or more lies where neighbouring pairs of the claim
+        occur in the chunk, and every run holds a character that may begin one: in a
+        chunk of 200 characters or more those that make up at most a hundredth of it
+        (the matcher's own rule), else any that occurs; a run that begins both texts
+        needs none. So only stretches of linked characters that hold such a one, or
+        begin alike, can match.
+        """
+        values, counts = np.unique(chunk, return_counts=True)
+        seeds = values[counts <= len(chunk) // 100 + 1] if len(chunk) >= 200 else values
+        table = np.zeros(SLOTS, bool)
+        table[slot(chunk[:-1], chunk[1:])] = True
+        goes_on = table[self.pair] & self.linked
+        begins = np.append(True, ~goes_on[:-1])[: len(self.chars)]
+        stretch = np.cumsum(begins) - 1
+        seeded = np.bincount(stretch, weights=np.isin(self.chars, seeds), minlength=1) > 0
+        if len(chunk) and len(self.chars):
+            heads = self.first[self.filled]
+            seeded[stretch[heads[self.chars[heads] == chunk[0]]]] = True
+        out = np.zeros(len(self.ids), np.int64)
+        if len(self.chars):
+            out[self.filled] = np.add.reduceat(seeded[stretch].astype(np.int64), self.first[self.filled])
+        return out
+
+
+def slot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return ((a.astype(np.uint64) * np.uint64(0x9E3779B1) + b.astype(np.uint64) * np.uint64(0x85EBCA77)) >> np.uint64(8)) % np.uint64(SLOTS)
+
+
+def shortlist(claims: DataFrame, chunks: DataFrame, k: int = 5, floor: float = 0.15, most_chars: int = MOST_CHARS) -> DataFrame:
+    """The ``k`` best chunks (chunk_id, text) of each claim (claim_id, claim) by matched run length over the claim's length.
+
+    Every claim is held against every whole chunk, by a bound first: a pair is
+    matched in full only if it may reach the floor and the claim's best ``k`` of
+    the task so far; so nothing is lost. Claims are broadcast, as many as make up
+    ``most_chars`` characters, else chunks are passed once for each part of them.
+    A task gives ``k`` rows a claim at most. Ties go to the smaller chunk.
     """
-    longest = claims.agg(F.max(F.length("claim"))).first()[0] or 0
-    overlap = max(width // 2, 2 * longest)
-    parts = windows_of(chunks, overlap + width // 2, overlap)
-    c = claims.select("claim_id", F.explode(F.array_distinct(shingles(tokens("claim")))).alias("s"))
-    d = parts.select("chunk_id", "start", F.explode(F.array_distinct(shingles(tokens("text")))).alias("s"))
-    pairs = c.join(d, "s").select("claim_id", "chunk_id", "start").distinct()
-    met = pairs.join(claims, "claim_id").join(parts, ["chunk_id", "start"])
-    scored = met.select("claim_id", "chunk_id", F.round(claim_similarity("claim", "text"), 6).alias("score")).where(F.col("score") >= floor)
-    scored = scored.groupBy("claim_id", "chunk_id").agg(F.max("score").alias("score"))
+    spark = claims.sparkSession
+    asked = claims.where("claim <> ''").select(F.col("claim_id").cast("long").alias("claim_id"), "claim")
+    total = asked.agg(F.sum(F.length("claim"))).first()[0] or 0
+    parts = max(1, -(-total // most_chars))
+    base = chunks.where("text is not null").select(F.col("chunk_id").cast("long").alias("chunk_id"), "text")
+
+    def passed(part: int) -> DataFrame:
+        rows = [(r.claim_id, r.claim) for r in asked.where(F.pmod(F.xxhash64("claim_id"), F.lit(parts)) == part).collect()]
+        shared = spark.sparkContext.broadcast(rows)
+
+        def run(batches):
+            own = ClaimSet(shared.value)
+            best: list[list[tuple[float, int]]] = [[] for _ in own.ids]
+            least = np.full(len(own.ids), floor)
+            matcher = difflib.SequenceMatcher()
+            for batch in batches:
+                for chunk, text in zip(batch["chunk_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                    bound = own.bounds(folded(text)) / np.maximum(own.size, 1)
+                    # a bound that equals the least of the best may still win by the smaller id
+                    open_ = np.flatnonzero(bound >= least - 1e-6)
+                    if not len(open_):
+                        continue
+                    matcher.set_seq2(text.casefold())
+                    for c in open_.tolist():
+                        matcher.set_seq1(own.texts[c])
+                        score = round(sum(m.size for m in matcher.get_matching_blocks()) / int(own.size[c]), 6)
+                        if score >= floor:
+                            best[c] = sorted([*best[c], (-score, chunk)])[:k]
+                            least[c] = max(floor, -best[c][-1][0]) if len(best[c]) == k else floor
+            found = [(own.ids[c], chunk, -score) for c, rows_ in enumerate(best) for score, chunk in rows_]
+            ids, chunk_ids, scores = zip(*found, strict=True) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(chunk_ids, pa.int64()), pa.array(scores, pa.float64())], ["claim_id", "chunk_id", "score"])
+
+        found = base.mapInArrow(run, "claim_id long, chunk_id long, score double")
+        if parts == 1:
+            return found
+        out = kept(found)
+        shared.destroy()
+        return out
+
+    scored = reduce(DataFrame.unionByName, [passed(x) for x in range(parts)])
     w = Window.partitionBy("claim_id").orderBy(F.col("score").desc(), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -322,30 +411,17 @@ def claim_pairs(claims: DataFrame, floor: float = 0.5) -> DataFrame:
 def claim_outcomes(claims: DataFrame, own: DataFrame, pairs: DataFrame, others: DataFrame) -> DataFrame:
     """Outcome of each claim: captured by its own corpus, superseded by a newer established claim, found in another project, or a gap.
 
-    ``claims`` has project, pos and claim_id; ``own`` the claims captured;
-    ``pairs`` (claim_id, newer) the like claims of a project; ``others``
-    (claim_id, other). A claim is compared only with newer claims that are not
-    themselves superseded; the fold runs over a project's short pair lists.
+    ``claims`` has claim_id; ``own`` the claims captured; ``pairs`` (claim_id,
+    newer) the like claims of a project; ``others`` (claim_id, other). A claim is
+    superseded by the first newer claim that is not itself superseded, unless it
+    is captured; that is settled in rounds over the pairs of all projects at once.
     """
-    news = pairs.groupBy("claim_id").agg(F.collect_list("newer").alias("newer"))
-    o = others.groupBy("claim_id").agg(F.min("other").alias("other"))
-    j = claims.join(own.select("claim_id", F.lit(True).alias("captured")).distinct(), "claim_id", "left").join(news, "claim_id", "left").join(o, "claim_id", "left")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        gone: set[int] = set()
-        out = {}
-        for r in pdf.sort_values("pos", ascending=False).itertuples():
-            newer = [x for x in (r.newer if r.newer is not None else []) if x not in gone]
-            if r.captured is True:
-                out[r.claim_id] = ("captured", None)
-            elif newer:
-                gone.add(r.claim_id)
-                out[r.claim_id] = ("superseded", min(newer))
-            else:
-                out[r.claim_id] = ("cross_project", None) if isinstance(r.other, str) else ("gap", None)
-        return pd.DataFrame({"claim_id": list(out), "outcome": [v[0] for v in out.values()], "by": pd.array([v[1] for v in out.values()], "Int64")})
-
-    return j.groupBy("project").applyInPandas(fold, "claim_id long, outcome string, by long")
+    captured = own.select(F.col("claim_id").alias("pos")).distinct()
+    settled = leaders(claims.select(F.col("claim_id").alias("pos")), kept(pairs.select(F.col("newer").alias("a"), F.col("claim_id").alias("b")).distinct()), captured)
+    j = settled.join(captured.withColumn("captured", F.lit(True)), "pos", "left").join(others.groupBy(F.col("claim_id").alias("pos")).agg(F.min("other").alias("other")), "pos", "left")
+    newer = F.when(F.col("captured").isNull() & (F.col("leader") != F.col("pos")), F.col("leader"))
+    outcome = F.when(F.col("captured"), "captured").when(newer.isNotNull(), "superseded").when(F.col("other").isNotNull(), "cross_project").otherwise("gap")
+    return j.select(F.col("pos").alias("claim_id"), outcome.alias("outcome"), newer.alias("by"))
 
 
 def findings(outcomes: DataFrame, with_file: DataFrame, samples: int = 5) -> DataFrame:
