@@ -5,10 +5,11 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..sources import chats
 from ..sources.store import StoredTable, replace_by
-from ..streaming import jobs
+from ..streaming import jobs, stateful
 from .catalog import query
 from .sequence import DECAY, STATES
 
@@ -288,8 +289,57 @@ def st_rolling_decay(t):
     return drained(t, jobs.decay_states(streamed(t, "ledger", [host, "pos", "ms"])))
 
 
-@query("SELECT user_id, event_type FROM events")
+@query("SELECT user_id, event_type, p::VARCHAR || ' ' || CASE WHEN p = 3 THEN 'rejected' ELSE 'ingested' END AS outcome FROM (SELECT *, event_id % 5 AS p FROM events) WHERE p <> 3 UNION ALL SELECT NULL, NULL, '3 rejected'")
 def st_dropzone_ingest(t):
-    path, archive = folder(t, "landing"), folder(t, "archive")
-    t.events.select("user_id", "event_type").write.json(path)
-    return drained(t, jobs.dropzone(t.spark, path, "user_id long, event_type string", archive))
+    path, archive, target = folder(t, "landing"), folder(t, "archive"), folder(t, "rows")
+    part = F.col("event_id") % 5
+    # one file for each remainder; the fourth holds a line that ends early
+    line = F.to_json(F.struct("user_id", "event_type", part.alias("p")))
+    lines = t.events.select(part.alias("part"), F.when((part == 3) & (F.col("event_id") < 10), F.substring(line, 1, 20)).otherwise(line).alias("value"))
+    for k in range(5):
+        lines.where(F.col("part") == k).select("value").coalesce(1).write.mode("append").text(path)
+    schema = StructType.fromDDL("user_id long, event_type string, p long")
+    journal = StoredTable(t.spark, folder(t, "journal"), StructType.fromDDL(jobs.JOURNAL), "file", parts=4)
+    # the second run has lost its checkpoint: what is in the journal is not added again
+    for _ in range(2):
+        stream = jobs.landing(t.spark, path, files_a_batch=2)
+        stream.writeStream.foreachBatch(jobs.ingest_files(schema, target, journal, archive)).option("checkpointLocation", folder(t, "state")).trigger(availableNow=True).start().awaitTermination()
+    rows = jobs.ingested(t.spark, schema, target, journal).select("user_id", "event_type", F.concat(F.col("p").cast("string"), F.lit(" ingested")).alias("outcome"))
+    told = journal.read().where("outcome = 'rejected' and broken > 0 and first_broken is not null")
+    left = t.spark.read.text(path).select(F.regexp_extract("value", '"p":([0-9])', 1).alias("p")).where("p <> ''").distinct()
+    # what is left in the folder is the rejected file
+    return rows.unionByName(told.crossJoin(F.broadcast(left.limit(1))).select(F.lit(None).cast("long").alias("user_id"), F.lit(None).cast("string").alias("event_type"), F.concat("p", F.lit(" "), "outcome").alias("outcome")))
+
+
+AGE_S = 3 * 86400
+
+
+@query(f"""WITH s AS (SELECT user_id AS fingerprint, event_id, epoch_ms(CAST(ts AS TIMESTAMP)) AS ms, event_id % 3 = 1 AS seen, event_id % 3 = 0 AS done FROM events),
+  w AS (SELECT * FROM s WHERE seen OR done), x AS (SELECT *, coalesce(lag(seen) OVER (PARTITION BY fingerprint ORDER BY ms, event_id), false) AS was FROM w),
+  o AS (SELECT *, sum(CASE WHEN seen AND NOT was THEN 1 ELSE 0 END) OVER (PARTITION BY fingerprint ORDER BY ms, event_id) AS occurrence FROM x),
+  op AS (SELECT fingerprint, event_id, ms, occurrence FROM o WHERE seen AND NOT was), cl AS (SELECT fingerprint, event_id, ms, occurrence FROM o WHERE done AND was),
+  a AS (SELECT op.fingerprint, op.occurrence FROM op LEFT JOIN cl USING (fingerprint, occurrence) WHERE coalesce(cl.ms >= op.ms + {AGE_S}000, true)
+    AND (op.ms + {AGE_S}000 <= (SELECT max(ms) - 3600000 FROM s) OR EXISTS (SELECT 1 FROM s l WHERE l.fingerprint = op.fingerprint AND l.ms >= op.ms + {AGE_S}000)))
+  SELECT fingerprint, event_id, occurrence::BIGINT AS occurrence, 'opened' AS change FROM op UNION ALL SELECT fingerprint, event_id, occurrence::BIGINT, 'closed' FROM cl UNION ALL SELECT fingerprint, NULL, occurrence::BIGINT, 'aged' FROM a""", name="st_event_occurrences_aged")
+def st_event_occurrences_aged(t):
+    with stateful.timed_state(t.spark):
+        return drained(t, stateful.ageing_occurrences(streamed(t, "sightings", ["fingerprint", "event_id", "ts", "kind"]), AGE_S * 1000))
+
+
+CTX = "CASE WHEN event_id % 4 = 0 THEN event_type END"
+
+
+@query(f"""WITH c AS (SELECT user_id, ts, event_id, coalesce(last_value({CTX} IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id), '') AS ctx FROM activity),
+  m AS (SELECT *, floor(epoch(ts))::BIGINT - lag(floor(epoch(ts))::BIGINT) OVER w AS gap, lag(ctx) OVER w AS prev FROM c WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+  n AS (SELECT *, CASE WHEN coalesce(gap > 86400, true) OR ctx <> prev THEN 1 ELSE 0 END AS new FROM m), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM n)
+  SELECT user_id AS account, session::BIGINT AS session, count(*) AS n, arg_min(event_id, (ts, event_id)) AS first_id, round(greatest(0.0, least(1.0, 1 - coalesce(avg(CASE WHEN new = 0 THEN gap END), 0.0) / 86400)), 6) AS confidence FROM s GROUP BY 1, 2""", name="st_session_window_context")
+def st_session_window_context(t):
+    path = folder(t, "activity")
+    rows = t.activity.select(F.col("user_id").alias("account"), "ts", F.col("event_id").alias("id"), F.when(F.col("event_id") % 4 == 0, F.col("event_type")).alias("context"))
+    # rows in three batches that have nothing to do with their order, then one far later row, which lets all sessions end
+    for k in range(3):
+        rows.where(F.pmod(F.xxhash64("id"), F.lit(3)) == k).coalesce(1).write.mode("append").parquet(path)
+    rows.agg((F.max("ts") + F.expr("interval 400 days")).alias("ts")).select(F.lit(-1).cast("long").alias("account"), "ts", F.lit(-1).cast("long").alias("id"), F.lit(None).cast("string").alias("context")).write.mode("append").parquet(path)
+    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    with stateful.timed_state(t.spark):
+        return drained(t, stateful.context_sessions(stream, 86400, "200 days")).where("account >= 0").select("account", "session", "n", "first_id", "confidence")

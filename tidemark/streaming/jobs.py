@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StringType, StructField, StructType
 
-from ..sources.store import StoredTable, add_new
+from ..operators.graph import kept
+from ..sources.store import StoredTable, add_new, replace_by
 
 
 def session_windows(events: DataFrame, gap: str = "30 minutes", late: str = "1 day") -> DataFrame:
@@ -124,6 +127,59 @@ def occurrence_events(conditions: DataFrame) -> DataFrame:
     return conditions.groupBy("fingerprint").applyInPandasWithState(step, "fingerprint long, event_id long, occurrence long, change string", "number long, is_open boolean, told boolean", "append", GroupStateTimeout.NoTimeout)
 
 
-def dropzone(spark, path: str, schema: str, archive: str) -> DataFrame:
-    """New files of a landing folder, read once each and moved to the archive when they are done."""
-    return spark.readStream.schema(schema).option("cleanSource", "archive").option("sourceArchiveDir", archive).json(path)
+BROKEN = "_broken"
+
+
+def ingest_files(schema: StructType, target: str, journal: StoredTable, archive: str | None = None):
+    """A ``foreachBatch`` writer for lines (value, file) of a landing folder: whole files in, broken ones left where they are.
+
+    A file of which any line does not parse gives no rows and is told in the
+    journal (file, outcome, lines, broken, first_broken, batch). The rows of the good files of
+    a batch go to a folder of the target that is named after the files, which a
+    replay writes anew; the journal names the folders that count, so what was
+    written before a crash adds nothing. Then good files are moved to the archive.
+    A file that the journal has as ingested is not read again.
+    """
+    parsed = StructType([*schema.fields, StructField(BROKEN, StringType())])
+
+    def write(batch: DataFrame, _: int) -> None:
+        # the files of one batch, which the source has listed on the driver as well
+        files = sorted(r.file for r in batch.select("file").distinct().join(journal.read().where("outcome = 'ingested'").select("file"), "file", "left_anti").collect())
+        if not files:
+            return
+        name = hashlib.md5("\n".join(files).encode()).hexdigest()
+        lines = batch.where("trim(value) <> ''").where(F.col("file").isin(files)).select("file", "value", F.from_json("value", parsed, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BROKEN}).alias("r"))
+        lines = kept(lines.withColumn("bad", F.col("r").isNull() | F.col(f"r.{BROKEN}").isNotNull()))
+        told = lines.groupBy("file").agg(F.count("*").alias("lines"), F.count_if("bad").alias("broken"), F.min(F.when(F.col("bad"), F.substring("value", 1, 200))).alias("first_broken"))
+        told = kept(told.select("file", F.when(F.col("broken") > 0, "rejected").otherwise("ingested").alias("outcome"), "lines", "broken", "first_broken", F.lit(name).alias("batch")))
+        good = told.where("outcome = 'ingested'").select("file")
+        lines.join(good, "file", "left_semi").select("r.*").drop(BROKEN).write.mode("overwrite").parquet(f"{target}/{name}")
+        journal.merge(told, name, replace_by("file"))
+        if archive is not None:
+            move(batch.sparkSession, [r.file for r in good.collect()], archive)
+
+    return write
+
+
+def ingested(spark: SparkSession, schema: StructType, target: str, journal: StoredTable) -> DataFrame:
+    """The rows of all files that the journal has as ingested."""
+    batches = [r.batch for r in journal.read().where("outcome = 'ingested'").select("batch").distinct().collect()]
+    return spark.read.schema(schema).parquet(*[f"{target}/{b}" for b in batches]) if batches else spark.createDataFrame([], schema)
+
+
+def move(spark: SparkSession, files: list[str], folder: str) -> None:
+    """Move files into a folder of the same store; those that are gone were moved before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path(folder))
+    for f in files:
+        if fs.exists(path(f)):
+            fs.rename(path(f), path(f"{folder}/{f.rsplit('/', 1)[-1]}"))
+
+
+def landing(spark: SparkSession, path: str, files_a_batch: int = 1000) -> DataFrame:
+    """Lines (value, file) of the new files of a folder; those of an ingest that are broken stay and are not read again."""
+    return spark.readStream.option("maxFilesPerTrigger", files_a_batch).text(path).select("value", F.col("_metadata.file_path").alias("file"))
+
+
+JOURNAL = "file string, outcome string, lines long, broken long, first_broken string, batch string"
