@@ -3,7 +3,7 @@
 import difflib
 import random
 
-from tidemark.operators import text
+from tidemark.operators import joins, text
 
 SF = "/root/testdata/sf0.001"
 
@@ -68,3 +68,42 @@ def test_outcomes_equal_a_fold_from_the_newest(spark):
     frame = lambda rows, schema: spark.createDataFrame(rows, schema)
     df = text.claim_outcomes(frame([(i,) for i in range(n)], "claim_id long"), frame([(i,) for i in captured], "claim_id long"), frame(pairs, "claim_id long, newer long"), frame(others, "claim_id long, other string"))
     assert {r.claim_id: (r.outcome, r.by) for r in df.collect()} == want
+
+
+def test_claim_pairs_equal_all_pairs(spark):
+    rng = random.Random(9)
+    words = ["harbour", "lights", "in", "the", "of", "fog", "ß", "Änderung", "x"]
+    rows = [(f"p{k % 3}" if k % 10 else None, k, 1000 + k, " ".join(rng.choice(words) for _ in range(rng.randint(0, 9)))) for k in range(90)]
+    c = spark.createDataFrame(rows, "project string, pos long, claim_id long, claim string")
+
+    def like(old, new):
+        m = difflib.SequenceMatcher(None, old.casefold(), new.casefold())
+        return sum(b.size for b in m.get_matching_blocks()) / len(old)
+
+    want = sorted((i, j) for p, a, i, old in rows for q, b, j, new in rows if p == q and a < b and old and new and like(old, new) >= 0.5)
+    for most in (text.MOST_CHARS, 900):
+        assert sorted((r.claim_id, r.newer) for r in text.claim_pairs(c, most_chars=most).collect()) == want
+
+
+def test_title_coherence_loses_no_pair(spark):
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(12)]
+    titles = lambda base: [(base + k, " ".join(rng.choice(words) for _ in range(rng.randint(1, 6)))) for k in range(60)]
+    left, right = titles(0), titles(500)
+    frame = lambda rows: spark.createDataFrame(rows, "id long, title string")
+    got = sorted((r.l_id, r.r_id, r.score) for r in joins.title_coherence(frame(left), frame(right)).where("l_id is not null and score is not null and score < 1.0").collect())
+    equal_l, equal_r = {i for i, t in left if t in {u for _, u in right}}, {j for j, u in right if u in {t for _, t in left}}
+    want = []
+    for i, t in left:
+        best = max(((round(len(set(t.split()) & set(u.split())) / len(set(t.split()) | set(u.split())), 6), -j) for j, u in right if i not in equal_l and j not in equal_r), default=(0, 0))
+        if 0.5 <= best[0] < 1.0:
+            want.append((i, -best[1], best[0]))
+    assert got == want
+
+
+def test_pair_diff_meets_by_place(spark):
+    m = [(1, 0, "user", "hello there"), (1, 1, "assistant", "abc"), (1, 5, "user", "more"), (2, 0, "user", "hello there"), (2, 3, "user", "abd"), (3, 0, "user", None)]
+    messages = spark.createDataFrame(m, "thread_id long, seq long, role string, content string")
+    pairs = spark.createDataFrame([(1, 2), (2, 2), (3, 1), (1, 9)], "l_id long, r_id long")
+    got = {(r.l_id, r.r_id): (r.l_n, r.r_n, r.same_roles, r.same_messages, r.likeness) for r in text.pair_diff(pairs, messages).collect()}
+    assert got == {(1, 2): (3, 2, False, 1, round(2 * (11 + 2) / (18 + 14), 6)), (2, 2): (2, 2, True, 2, 1.0), (3, 1): (1, 3, False, 0, 0.0)}

@@ -230,11 +230,19 @@ def title_coherence(left: DataFrame, right: DataFrame, threshold: float = 0.5) -
     exact = a.join(b, F.col("l_title") == F.col("r_title")).select("l_id", "r_id", F.lit(1.0).alias("score"))
     rest_a = a.join(exact.select("l_id"), "l_id", "left_anti").withColumn("wa", F.array_distinct(F.split("l_title", " ")))
     rest_b = b.join(exact.select("r_id"), "r_id", "left_anti").withColumn("wb", F.array_distinct(F.split("r_title", " ")))
-    shared = (
-        rest_a.select("l_id", F.size("wa").alias("na"), F.explode("wa").alias("w")).join(rest_b.select("r_id", F.size("wb").alias("nb"), F.explode("wb").alias("w")), "w")
-        .groupBy("l_id", "r_id").agg(F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    )
-    near = shared.select("l_id", "r_id", F.round(F.col("c") / (F.col("na") + F.col("nb") - F.col("c")), 6).alias("score")).where(F.col("score") >= threshold)
+    # two sets of that likeness share one of the n - ceil(threshold * n) + 1 rarest words of each, so only these meet
+    each = lambda rest, n: rest.select(f"{n[0]}_id", F.size(n[1]).alias("n"), F.explode(n[1]).alias("w"))
+    left, right = each(rest_a, ("l", "wa")), each(rest_b, ("r", "wb"))
+    df = left.select("w").unionByName(right.select("w")).groupBy("w").agg(F.count("*").alias("df"))
+
+    def rarest(words: DataFrame, id_: str) -> DataFrame:
+        rn = F.row_number().over(Window.partitionBy(id_).orderBy("df", "w"))
+        return words.join(df, "w").withColumn("rn", rn).where(F.col("rn") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select(id_, "w", F.col("n").alias(f"{id_}_n"))
+
+    fits = F.least("l_id_n", "r_id_n") >= F.greatest("l_id_n", "r_id_n") * threshold - 1e-9
+    met = rarest(left, "l_id").join(rarest(right, "r_id"), "w").where(fits).select("l_id", "r_id").distinct()
+    both = met.join(rest_a.select("l_id", "wa"), "l_id").join(rest_b.select("r_id", "wb"), "r_id")
+    near = both.select("l_id", "r_id", F.round(F.size(F.array_intersect("wa", "wb")) / F.size(F.array_union("wa", "wb")), 6).alias("score")).where(F.col("score") >= threshold)
     pairs = exact.unionByName(latest(near, ["l_id"], [F.col("score").desc(), F.col("r_id")]))
     none = F.lit(None).cast("double").alias("score")
     only_l = a.join(pairs.select("l_id"), "l_id", "left_anti").select("l_id", F.lit(None).cast("long").alias("r_id"), none)

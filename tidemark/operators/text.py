@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import re
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -200,17 +201,92 @@ def confirm_verify(verdicts: DataFrame) -> DataFrame:
     return verdicts.withColumn("confirmed", sound)
 
 
-def fuzzy_titles(threads: DataFrame, projects: DataFrame, least: float = 0.45) -> DataFrame:
-    """The best project for each title: sequence ratio or shared long words over the name's words; equality wins."""
-    words = lambda c: F.array_distinct(F.filter(tokens(c), lambda w: F.length(w) >= 4))
-    t = threads.select("thread_id", F.lower("title").alias("title"), words("title").alias("tw"))
-    p = projects.select("project_id", F.lower("name").alias("name"), words("name").alias("pw"))
-    met = t.select("thread_id", F.explode("tw").alias("w")).join(p.select("project_id", F.explode("pw").alias("w")), "w").select("thread_id", "project_id").distinct()
-    scored = met.join(t, "thread_id").join(p, "project_id").select(
-        "thread_id", "project_id",
-        F.round(F.when(F.col("title") == F.col("name"), 1.0).otherwise(F.greatest(sequence_ratio("title", "name"), F.size(F.array_intersect("tw", "pw")) / F.greatest(F.size("pw"), F.lit(1)))), 6).alias("score"),
-    )
-    return latest(scored.where(F.col("score") >= least), ["thread_id"], [F.col("score").desc(), F.col("project_id")])
+class NameSet:
+    """Names laid out so that the bounds of all of them for one title are a pass over one array."""
+
+    CLASSES = 64
+
+    def __init__(self, rows: list[tuple[str, str]]):
+        self.ids, self.names = [i for i, _ in rows], [n for _, n in rows]
+        self.size = np.array([len(n) for n in self.names], np.int64)
+        self.counts = np.stack([self.histogram(n) for n in self.names]) if rows else np.zeros((0, self.CLASSES), np.int32)
+        self.words: dict[str, list[int]] = {}
+        self.n_words = np.ones(len(rows))
+        for k, name in enumerate(self.names):
+            own = self.long_words(name)
+            self.n_words[k] = max(1, len(own))
+            for w in own:
+                self.words.setdefault(w, []).append(k)
+
+    @classmethod
+    def histogram(cls, text: str) -> np.ndarray:
+        return np.bincount(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) % cls.CLASSES, minlength=cls.CLASSES).astype(np.int32)
+
+    @staticmethod
+    def long_words(text: str) -> set[str]:
+        return {w for w in re.findall(r"[^\W_]+", text) if len(w) >= 4}
+
+    def best(self, title: str, least: float) -> tuple[str, float] | None:
+        """The name of the highest score, the first of equal ones; a name is matched only if its characters allow more than was found."""
+        if not self.ids:
+            return None
+        shared = np.zeros(len(self.ids))
+        for w in self.long_words(title):
+            shared[self.words.get(w, [])] += 1
+        shared /= self.n_words
+        both = np.minimum(self.counts, self.histogram(title)).sum(1)
+        bound = np.maximum(2 * both / np.maximum(self.size + len(title), 1), shared)
+        found = None
+        matcher = difflib.SequenceMatcher(None, title, "")
+        for k in np.argsort(-bound, kind="stable").tolist():
+            if bound[k] < least or (found is not None and round(float(bound[k]), 6) < -found[0]):
+                break
+            if title == self.names[k]:
+                score = 1.0
+            else:
+                matcher.set_seq2(self.names[k])
+                score = round(max(matcher.ratio(), float(shared[k])), 6)
+            if score >= least and (found is None or (-score, self.ids[k]) < found):
+                found = (-score, self.ids[k])
+        return None if found is None else (found[1], -found[0])
+
+
+def fuzzy_titles(threads: DataFrame, projects: DataFrame, least: float = 0.45, most_chars: int = 2_000_000) -> DataFrame:
+    """The best project for each title: sequence ratio or shared long words over the name's words; equality wins.
+
+    Every distinct title is held against every name, by a bound on its characters
+    first, so no pair is lost. Names are broadcast, as many as make up
+    ``most_chars`` characters, else titles are passed once for each part of them.
+    """
+    spark = threads.sparkSession
+    t = threads.select("thread_id", F.lower("title").alias("title"))
+    names = projects.select(F.col("project_id").cast("string").alias("project_id"), F.lower("name").alias("name")).where("name is not null")
+    kind = projects.schema["project_id"].dataType
+    parts = max(1, -(-(names.agg(F.sum(F.length("name"))).first()[0] or 0) // most_chars))
+    titles = t.where("title is not null").select("title").distinct()
+
+    def passed(part: int) -> DataFrame:
+        # ids are compared as their own type, in whose order they come
+        own = projects.select("project_id", F.lower("name").alias("name")).where(F.pmod(F.xxhash64("name"), F.lit(parts)) == part)
+        shared = spark.sparkContext.broadcast([(r.project_id, r.name) for r in own.collect()])
+
+        def run(batches):
+            names_ = NameSet(shared.value)
+            for batch in batches:
+                rows = [(x, *y) for x in batch["title"].to_pylist() if (y := names_.best(x, least))]
+                title, id_, score = zip(*rows, strict=True) if rows else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(title, pa.string()), pa.array([str(x) for x in id_], pa.string()), pa.array(score, pa.float64())], ["title", "project_id", "score"])
+
+        found = titles.mapInArrow(run, "title string, project_id string, score double").withColumn("project_id", F.col("project_id").cast(kind))
+        if parts == 1:
+            return found
+        out = kept(found)
+        shared.destroy()
+        return out
+
+    every = reduce(DataFrame.unionByName, [passed(x) for x in range(parts)])
+    best = latest(every, ["title"], [F.col("score").desc(), F.col("project_id")])
+    return t.join(best, "title").select("thread_id", "project_id", "score")
 
 
 def bracketed(skeleton: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -290,12 +366,32 @@ def fuzzy_skeleton(skeleton: DataFrame, pool: DataFrame, anchors: DataFrame | No
     return out.select("skeleton_id", "pool_id", F.round("ratio", 6).alias("ratio"), (F.col("ratio") < sure).alias("review"))
 
 
+@F.pandas_udf(T.LongType())
+def matched_characters(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Characters of two texts that stand in common runs, in order."""
+    return pd.Series([sum(m.size for m in difflib.SequenceMatcher(None, x or "", y or "").get_matching_blocks()) for x, y in zip(a, b, strict=True)])
+
+
 def pair_diff(pairs: DataFrame, messages: DataFrame) -> DataFrame:
-    """Of each pair of threads: message counts, whether the roles agree in order, and the likeness of the texts."""
-    roll = messages.groupBy("thread_id").agg(F.array_sort(F.collect_list(F.struct("seq", "role", "content"))).alias("m"))
-    side = lambda n: roll.select(F.col("thread_id").alias(f"{n}_id"), F.size("m").alias(f"{n}_n"), F.transform("m", lambda x: x["role"]).alias(f"{n}_roles"), F.array_join(F.transform("m", lambda x: x["content"]), "\n").alias(f"{n}_text"))
-    j = pairs.join(side("l"), "l_id").join(side("r"), "r_id")
-    return j.select("l_id", "r_id", "l_n", "r_n", (F.col("l_roles") == F.col("r_roles")).alias("same_roles"), F.round(sequence_ratio("l_text", "r_text"), 6).alias("likeness"))
+    """Of each pair of threads: message counts, whether the roles agree in order, the messages that agree, and the likeness of the texts.
+
+    Messages meet by their place in the thread, so that threads of any length are
+    spread over tasks and none is held whole. The likeness is twice the matched
+    characters of the messages that meet over all characters of both threads.
+    """
+    place = F.row_number().over(Window.partitionBy("thread_id").orderBy("seq"))
+    own = messages.select("thread_id", "role", "content", place.alias("place"))
+    side = lambda n: pairs.select("l_id", "r_id").join(own, F.col(f"{n}_id") == F.col("thread_id")).select("l_id", "r_id", "place", F.col("role").alias(f"{n}_role"), F.col("content").alias(f"{n}_text"))
+    met = side("l").join(side("r"), ["l_id", "r_id", "place"], "full")
+    both = F.col("l_role").isNotNull() & F.col("r_role").isNotNull()
+    size = lambda c: F.coalesce(F.length(c), F.lit(0))
+    each = met.select(
+        "l_id", "r_id", F.col("l_role").isNotNull().alias("l"), F.col("r_role").isNotNull().alias("r"), F.coalesce(F.col("l_role") == F.col("r_role"), F.lit(False)).alias("roles"),
+        F.coalesce(F.col("l_text") == F.col("r_text"), F.lit(False)).alias("same"), (size("l_text") + size("r_text")).alias("chars"),
+        F.when(both & (F.col("l_text") == F.col("r_text")), size("l_text")).when(both, matched_characters("l_text", "r_text")).otherwise(0).alias("matched"),
+    )
+    out = each.groupBy("l_id", "r_id").agg(F.count_if("l").alias("l_n"), F.count_if("r").alias("r_n"), F.bool_and("roles").alias("same_roles"), F.count_if("same").alias("same_messages"), F.sum("matched").alias("m"), F.sum("chars").alias("c"))
+    return out.where("l_n > 0 and r_n > 0").select("l_id", "r_id", "l_n", "r_n", "same_roles", "same_messages", F.round(F.coalesce(F.try_divide(2.0 * F.col("m"), "c"), F.lit(1.0)), 6).alias("likeness"))
 
 
 def vocabulary(docs: DataFrame, top: int = 50, reserved: int = 12, too_common: float = 0.34) -> DataFrame:
@@ -393,19 +489,48 @@ def score_with(rows: DataFrame, caller: Callable[[pd.DataFrame], pd.Series], out
     return rows.mapInPandas(run, f"{fields}, {out} {kind}")
 
 
-def claim_pairs(claims: DataFrame, floor: float = 0.5) -> DataFrame:
+def claim_pairs(claims: DataFrame, floor: float = 0.5, most_chars: int = MOST_CHARS) -> DataFrame:
     """(claim_id, newer): claims of a project (project, pos, claim_id, claim) at least ``floor`` like a newer one.
 
-    Likeness is the matched run length over the older claim's length, for pairs
-    that share a word of four letters or more (or any word, where a claim has none).
+    Likeness is the matched run length over the older claim's length. Every claim
+    is held against all older ones of its project, by the bound of ``ClaimSet``
+    first, so no pair is lost; older claims are broadcast in parts of
+    ``most_chars`` characters.
     """
-    long = F.filter(F.array_distinct(tokens("claim")), lambda w: F.length(w) >= 4)
-    words = claims.select("project", "claim_id", "pos", F.explode(F.when(F.size(long) > 0, long).otherwise(F.array_distinct(tokens("claim")))).alias("w"))
-    x, y = words.select("project", "w", "claim_id", "pos"), words.select("project", "w", F.col("claim_id").alias("newer"), F.col("pos").alias("newer_pos"))
-    met = x.join(y, ["project", "w"]).where("pos < newer_pos").select("claim_id", "newer").distinct()
-    text = claims.select("claim_id", "claim")
-    j = met.join(text, "claim_id").join(text.select(F.col("claim_id").alias("newer"), F.col("claim").alias("other")), "newer")
-    return j.select("claim_id", "newer", claim_similarity("claim", "other").alias("score")).where(F.col("score") >= floor).select("claim_id", "newer")
+    spark = claims.sparkSession
+    base = claims.select(F.coalesce(F.col("project").cast("string"), F.lit("")).alias("project"), F.col("pos").cast("long").alias("pos"), F.col("claim_id").cast("long").alias("claim_id"), "claim").where("claim <> ''")
+    parts = max(1, -(-(base.agg(F.sum(F.length("claim"))).first()[0] or 0) // most_chars))
+
+    def passed(part: int) -> DataFrame:
+        shared = spark.sparkContext.broadcast([tuple(r) for r in base.where(F.pmod(F.xxhash64("claim_id"), F.lit(parts)) == part).collect()])
+
+        def run(batches):
+            old = ClaimSet([(i, c) for _, _, i, c in shared.value])
+            projects, pos = np.array([p for p, *_ in shared.value], object), np.array([x for _, x, *_ in shared.value], np.int64)
+            matcher = difflib.SequenceMatcher()
+            for batch in batches:
+                found = []
+                for project, at, newer, text in zip(*(batch[c].to_pylist() for c in ("project", "pos", "claim_id", "claim")), strict=True):
+                    open_ = np.flatnonzero((projects == project) & (pos < at))
+                    if not len(open_):
+                        continue
+                    open_ = open_[old.bounds(folded(text))[open_] >= floor * old.size[open_] - 1e-9]
+                    matcher.set_seq2(text.casefold())
+                    for c in open_.tolist():
+                        matcher.set_seq1(old.texts[c])
+                        if sum(m.size for m in matcher.get_matching_blocks()) / int(old.size[c]) >= floor:
+                            found.append((old.ids[c], newer))
+                ids, others = zip(*found, strict=True) if found else ((), ())
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(others, pa.int64())], ["claim_id", "newer"])
+
+        found = base.mapInArrow(run, "claim_id long, newer long")
+        if parts == 1:
+            return found
+        out = kept(found)
+        shared.destroy()
+        return out
+
+    return reduce(DataFrame.unionByName, [passed(x) for x in range(parts)])
 
 
 def claim_outcomes(claims: DataFrame, own: DataFrame, pairs: DataFrame, others: DataFrame) -> DataFrame:
@@ -460,23 +585,41 @@ def checklist(lines: DataFrame, results: DataFrame) -> DataFrame:
     return items.join(last, "item", "left").select("doc_id", "item", "section", F.col("line").rlike(r"^- \[[xX]\]").alias("ticked"), "verdict")
 
 
-def lifecycle_board(docs: DataFrame, roles: Sequence[str]) -> DataFrame:
-    """Documents ``ROLE_stem.md`` (name, folder, content) as one card per stem; the column follows from the roles that exist.
+def lifecycle_board(docs: DataFrame, roles: dict[str, tuple[str, str]], dispositions: Sequence[str]) -> DataFrame:
+    """One card for each stem of lifecycle documents (name, archived, content), apart for live and archived ones.
 
-    Cards count their checkboxes, and find a stem split over folders, and
-    documents without a date stamp.
+    ``roles`` gives the beginning and the end of the names of each role (brief,
+    report, results, walk), the first that fits counts; other names are cards of
+    their own if archived, else off the board. Columns: archived, else by the
+    latest role (walked, built, in_flight). Kinds: pair, walk_only, unmatched.
+    Findings: ``split_stem`` (live and archived), ``unstamped`` (an archived
+    document without a line ``> **ARCHIVED** day · disposition``), ``mixed_disposition``,
+    and ``evidence_in_results`` (a walk sheet with open boxes and no tick, whose results have ticks).
     """
-    role = F.upper(F.regexp_extract("name", r"^([A-Za-z]+)_", 1))
-    stem = F.regexp_extract("name", r"^[A-Za-z]+_(.+?)(?:\.md)?$", 1)
-    text = F.coalesce("content", F.lit(""))
-    done, all_ = F.regexp_count(text, F.lit(r"(?m)^- \[[xX]\] ")), F.regexp_count(text, F.lit(r"(?m)^- \[[ xX]\] "))
-    stamped = text.rlike(r"\d{4}-\d{2}-\d{2}")
-    rows = docs.select(role.alias("role"), stem.alias("stem"), "folder", done.alias("done"), all_.alias("boxes"), stamped.alias("stamped")).where("stem <> ''")
-    has = [F.coalesce(F.bool_or(F.col("role") == r), F.lit(False)).alias(r.lower()) for r in roles]
-    cards = rows.groupBy("stem").agg(*has, F.sum("done").alias("done"), F.sum("boxes").alias("boxes"), F.count_distinct("folder").alias("folders"), F.count_if(~F.col("stamped")).alias("unstamped"))
-    column = F.coalesce(*[F.when(F.col(r.lower()), F.lit(r.lower())) for r in reversed(roles)], F.lit("none"))
-    found = F.array_join(F.array_compact(F.array(F.when(F.col("folders") > 1, "split_stem"), F.when(F.col("unstamped") > 0, "unstamped"))), ",")
-    return cards.select("stem", column.alias("column"), *[r.lower() for r in roles], "done", "boxes", found.alias("findings"))
+    fits = lambda begin, end: F.col("name").startswith(begin) & F.col("name").endswith(end) & (F.length("name") > len(begin) + len(end))
+    stem = F.coalesce(*[F.when(fits(b, e), F.expr(f"substring(name, {len(b) + 1}, length(name) - {len(b) + len(e)})")) for b, e in roles.values()], F.col("name"))
+    role = F.coalesce(*[F.when(fits(b, e), F.lit(r)) for r, (b, e) in roles.items()], F.lit("other"))
+    lines = F.transform(F.split(F.coalesce("content", F.lit("")), "\n"), lambda x: F.trim(x))
+    boxes = lambda marks: F.size(F.filter("lines", lambda x: F.substring(x, 1, 5).isin(*[f"- [{m}]" for m in marks]))).cast("long")
+    stamp = F.get(F.filter("lines", lambda x: x.startswith("> **ARCHIVED**")), F.lit(0))
+    said = F.trim(F.coalesce(F.get(F.split(stamp, "·"), F.lit(1)), F.lit("")))
+    word = F.coalesce(*[F.when(F.lower(said).startswith(d), F.lit(d)) for d in dispositions], F.nullif(said, F.lit("")))
+    rows = docs.select(role.alias("role"), stem.alias("stem"), "name", "archived", lines.alias("lines"))
+    rows = rows.where("archived or role <> 'other'").select("role", "stem", "archived", boxes("xX~").alias("done"), boxes(" ").alias("open"), F.when(F.col("archived"), stamp.isNotNull()).alias("stamped"), F.when(F.col("archived"), word).alias("word"))
+    has = lambda r: F.bool_or(F.col("role") == r).alias(r)
+    first = lambda c, r: F.coalesce(F.sum(F.when(F.col("role") == r, F.col(c))), F.lit(0)).alias(f"{r}_{c}")
+    per = rows.groupBy("stem", "archived").agg(*[has(r) for r in ("brief", "report", "results", "walk")], first("done", "walk"), first("open", "walk"), first("done", "results"), F.collect_set("word").alias("words"), F.count_if(~F.col("stamped")).alias("bare"))
+    split = rows.groupBy("stem").agg((F.count_distinct("archived") > 1).alias("split"))
+    pair = F.when(F.col("archived"), F.col("brief") & F.col("report")).otherwise(F.col("brief"))
+    alone = F.col("walk") & ~F.col("brief") & (~F.col("archived") | ~F.col("report"))
+    kind = F.when(pair, "pair").when(alone, "walk_only").otherwise("unmatched")
+    column = F.when(F.col("archived"), "archived").when(F.col("results"), "walked").when(F.col("report"), "built").otherwise("in_flight")
+    disposition = F.when(F.size("words") > 1, "mixed").when(F.size("words") == 1, F.get("words", F.lit(0)))
+    findings = F.array_join(F.array_compact(F.array(
+        F.when(F.col("results") & (F.col("walk_done") == 0) & (F.col("walk_open") > 0) & (F.col("results_done") > 0), "evidence_in_results"),
+        F.when(F.size("words") > 1, "mixed_disposition"), F.when(F.col("split"), "split_stem"), F.when(F.col("bare") > 0, "unstamped"),
+    )), ",")
+    return per.join(split, "stem").select("stem", "archived", kind.alias("kind"), column.alias("column"), disposition.alias("disposition"), F.col("walk_done").alias("done"), F.col("walk_open").alias("open"), findings.alias("findings"))
 
 
 def log_calls(lines: DataFrame, start: str) -> DataFrame:

@@ -230,15 +230,22 @@ def ag_checklist_items(t):
     return ops.checklist(lines, t.events.select(F.concat(F.lit("i"), (F.col("event_id") % 9).cast("string")).alias("item"), F.col("event_type").alias("verdict"), F.col("event_id").alias("pos")))
 
 
-@query("""WITH n AS (SELECT CASE p_partkey % 3 WHEN 0 THEN 'BRIEF' WHEN 1 THEN 'REPORT' ELSE 'UAT' END AS role, 's' || (p_size * 7 + p_partkey % 11)::VARCHAR AS stem, p_brand AS folder, p_partkey % 4 AS done, 1 + p_partkey % 4 AS boxes, p_partkey % 5 > 0 AS stamped FROM part),
-  b AS (SELECT stem, bool_or(role = 'BRIEF') AS brief, bool_or(role = 'REPORT') AS report, bool_or(role = 'UAT') AS uat, sum(done)::BIGINT AS done, sum(boxes)::BIGINT AS boxes, count(DISTINCT folder) AS folders, count_if(NOT stamped) AS bare FROM n GROUP BY 1)
-  SELECT stem, CASE WHEN uat THEN 'uat' WHEN report THEN 'report' WHEN brief THEN 'brief' ELSE 'none' END AS "column", brief, report, uat, done, boxes, concat_ws(',', CASE WHEN folders > 1 THEN 'split_stem' END, CASE WHEN bare > 0 THEN 'unstamped' END) AS findings FROM b""")
+@query("""WITH n AS (SELECT CASE WHEN p_partkey % 10 = 9 THEN 'other' ELSE ['brief', 'report', 'results', 'walk'][p_partkey % 4 + 1] END AS role, CASE WHEN p_partkey % 10 = 9 THEN 'x' || p_partkey::VARCHAR || '.md' ELSE 's' || (p_size * 7 + p_partkey % 23)::VARCHAR END AS stem, p_partkey % 3 = 0 AS archived,
+    p_partkey % 5 AS done, p_partkey % 3 AS open, p_partkey % 7 > 0 AS stamped, ['completed', 'superseded', 'never before seen'][p_size % 3 + 1] AS word FROM part),
+  k AS (SELECT * FROM n WHERE archived OR role <> 'other'), sp AS (SELECT stem, count(DISTINCT archived) > 1 AS split FROM k GROUP BY 1),
+  c AS (SELECT stem, archived, bool_or(role = 'brief') AS b, bool_or(role = 'report') AS r, bool_or(role = 'results') AS u, bool_or(role = 'walk') AS w, coalesce(sum(CASE WHEN role = 'walk' THEN done END), 0)::BIGINT AS done, coalesce(sum(CASE WHEN role = 'walk' THEN open END), 0)::BIGINT AS open,
+    coalesce(sum(CASE WHEN role = 'results' THEN done END), 0) AS rd, count(DISTINCT CASE WHEN archived AND stamped THEN word END) AS words, any_value(CASE WHEN archived AND stamped THEN word END) AS word, count_if(archived AND NOT stamped) AS bare FROM k GROUP BY 1, 2)
+  SELECT stem, archived, CASE WHEN b AND (r OR NOT archived) THEN 'pair' WHEN w AND NOT b AND (NOT r OR NOT archived) THEN 'walk_only' ELSE 'unmatched' END AS kind, CASE WHEN archived THEN 'archived' WHEN u THEN 'walked' WHEN r THEN 'built' ELSE 'in_flight' END AS "column",
+    CASE WHEN words > 1 THEN 'mixed' ELSE word END AS disposition, done, open, concat_ws(',', CASE WHEN u AND done = 0 AND open > 0 AND rd > 0 THEN 'evidence_in_results' END, CASE WHEN words > 1 THEN 'mixed_disposition' END, CASE WHEN split THEN 'split_stem' END, CASE WHEN bare > 0 THEN 'unstamped' END) AS findings FROM c JOIN sp USING (stem)""")
 def ag_lifecycle_board(t):
     k = F.col("p_partkey")
-    role = F.when(k % 3 == 0, "BRIEF_s").when(k % 3 == 1, "REPORT_s").otherwise("UAT_s")
-    name = F.concat(role, (F.col("p_size") * 7 + k % 11).cast("string"), F.lit(".md"))
-    content = F.concat(F.when(k % 5 > 0, "on 2024-02-03\n").otherwise("undated\n"), F.repeat(F.lit("- [x] a\n"), (k % 4).cast("int")), F.lit("- [ ] b\n"))
-    return ops.lifecycle_board(t.part.select(name.alias("name"), F.col("p_brand").alias("folder"), content.alias("content")), ("BRIEF", "REPORT", "UAT"))
+    stem = F.concat(F.lit("s"), (F.col("p_size") * 7 + k % 23).cast("string"))
+    named = F.when(k % 4 == 0, F.concat(F.lit("BRIEF_"), stem, F.lit(".md"))).when(k % 4 == 1, F.concat(F.lit("REPORT_"), stem, F.lit(".md"))).when(k % 4 == 2, F.concat(F.lit("UAT_"), stem, F.lit("_results.md"))).otherwise(F.concat(F.lit("UAT_"), stem, F.lit(".md")))
+    name = F.when(k % 10 == 9, F.concat(F.lit("x"), k.cast("string"), F.lit(".md"))).otherwise(named)
+    word = F.when(F.col("p_size") % 3 == 0, "Completed pair (sheet)").when(F.col("p_size") % 3 == 1, "superseded by a later one").otherwise("never before seen")
+    content = F.concat(F.lit("# A card\n"), F.when(k % 7 > 0, F.concat(F.lit("> **ARCHIVED** 2024-02-03 · "), word, F.lit(" · whole\n"))).otherwise("ARCHIVED\n"), F.repeat(F.lit("- [x] a\n"), (k % 5).cast("int")), F.repeat(F.lit("  - [ ] b\n"), (k % 3).cast("int")))
+    roles = {"brief": ("BRIEF_", ".md"), "report": ("REPORT_", ".md"), "results": ("UAT_", "_results.md"), "walk": ("UAT_", ".md")}
+    return ops.lifecycle_board(t.part.select(name.alias("name"), (k % 3 == 0).alias("archived"), content.alias("content")), roles, ("completed", "superseded"))
 
 
 @query("""WITH l AS (SELECT user_id AS host, event_id AS pos, CASE WHEN event_id % 3 = 0 THEN '[2024] start ' || event_type ELSE '  more ' || event_type END AS value FROM events), r AS (SELECT *, sum(CASE WHEN value LIKE '[2024]%' THEN 1 ELSE 0 END) OVER (PARTITION BY host ORDER BY pos) AS record FROM l)
