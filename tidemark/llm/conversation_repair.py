@@ -340,3 +340,54 @@ def repair_conversations(
         F.coalesce("audit", F.lit("")).alias("audit"),
         F.coalesce("digest", F.lit(hashlib.sha256().hexdigest())).alias("repaired_sha256"),
     )
+
+
+def oracle() -> str:
+    """DuckDB SQL for ``repair_conversations`` over conversations, without tables of blocks.
+
+    Costs and letters of the four states are strings, twelve digits and then the
+    letters, so that the least string is the cheapest and then the ASCII-least;
+    a fold goes over a conversation's rows from the last one.
+    """
+    plus = lambda x, cost, letter: f"lpad((({x})[1:12]::BIGINT + {cost})::VARCHAR, 12, '0') || '{letter}' || ({x})[13:]"
+    state = lambda q: f"x[{q + 1}]"
+    extra = f"(CASE WHEN r[2] = 't' THEN {CUT_OFF} ELSE 0 END)"
+
+    def step(q: int) -> str:
+        kept = " ".join(f"WHEN r[1] = '{c}' THEN {plus(state(to[q]), extra, 'K')}" for c, to in KEEP.items() if to[q] is not None)
+        moved = f"least({plus(state(FORWARD[q]), f'({REROLE} + {extra})', 'R')}, CASE {kept} END)"
+        return f"least({plus(state(q), DELETE, 'D')}, CASE WHEN r[2] <> 'g' THEN {moved} END)"
+
+    def closed(x: str) -> str:
+        own = lambda q: f"({x})[{q + 1}]"
+        user, reply = f"least({own(AFTER_U)}, {plus(own(AFTER_A), INSERT, 'I')})", f"least({own(AFTER_A)}, {plus(own(AFTER_U), INSERT, 'I')})"
+        return f"[least({own(START)}, {plus(user, INSERT, 'I')}), least({own(AFTER_S)}, {plus(user, INSERT, 'I')}), {user}, {reply}]"
+
+    far = f"'{10**11}'"
+    zero = "'000000000000'"
+    ends = closed(f"[{zero}, lpad({far}, 12, '0'), lpad({far}, 12, '0'), {zero}]")
+    one = f"[{', '.join(step(q) for q in range(4))}]"
+    name = "coalesce({}::VARCHAR, ' ')"
+    return f"""
+WITH crc_table AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i::UBIGINT, [0::UBIGINT FOR k IN range(8)]), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384::UBIGINT, c >> 1) ELSE c >> 1 END) AS c FROM range(256) t(i))),
+named AS (SELECT conv_id, {name.format("conv_id")} AS conv, turn, {name.format("role")} AS role, {name.format("text")} AS text, {name.format("conv_id")} || ':' || {name.format("turn")} AS key FROM conversations),
+faulty AS (SELECT conv, turn, role, text, xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(key, ''), lambda x: ascii(x)::UBIGINT)), lambda c, b: xor(tab[((xor(c, b) & 255) + 1)::BIGINT], c >> 8))) % 20 AS fault FROM named, crc_table),
+damaged AS (
+  SELECT conv, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role, CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE fault WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM faulty),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text, copy) AS n, role[1:1] AS initial FROM damaged),
+judged AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^{SPACE}]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv, role, text ORDER BY n) > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][{SPACE}]*$') THEN 'truncated' ELSE '' END AS fault,
+    lag(initial) OVER (PARTITION BY conv ORDER BY n) || initial AS two FROM placed),
+counted AS (
+  SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(fault = 'blank') AS blank, count_if(fault = 'duplicate') AS duplicate, count_if(fault = 'truncated') AS truncated,
+    count_if(n > 1 AND two NOT IN ('su', 'ua', 'au')) AS illegal, list([initial, CASE WHEN fault IN ('blank', 'duplicate') THEN 'g' WHEN fault = 'truncated' THEN 't' ELSE 'n' END] ORDER BY n DESC) AS symbols FROM judged GROUP BY conv),
+solved AS (SELECT * EXCLUDE (symbols), (list_reduce(list_prepend({ends}, symbols), lambda x, r: list_transform([{one}], lambda y: {closed('y')})[1]))[1] AS best FROM counted),
+letters AS (SELECT conv, unnest(string_split(best[13:], '')) AS letter, unnest(range(1, length(best) - 11)) AS j FROM solved WHERE length(best) > 12),
+numbered AS (SELECT *, sum((letter <> 'I')::INT) OVER w AS n, sum((letter <> 'D')::INT) OVER w AS k FROM letters WINDOW w AS (PARTITION BY conv ORDER BY j)),
+told AS (SELECT numbered.*, judged.role, coalesce(CASE WHEN letter <> 'I' THEN judged.text END, '') AS text FROM numbered LEFT JOIN judged USING (conv, n) WHERE letter <> 'D'),
+opened AS (SELECT conv, max((letter = 'K' AND k = 1 AND role[1:1] = 's')::INT) AS s FROM told GROUP BY conv),
+repaired AS (SELECT conv, string_agg((CASE WHEN letter = 'K' THEN role WHEN (k - s) % 2 = 1 THEN 'user' ELSE 'assistant' END) || ':' || text, chr(10) ORDER BY j) AS text FROM told JOIN opened USING (conv) GROUP BY conv),
+every AS (SELECT DISTINCT conv_id, conv FROM named)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  coalesce(best[1:12]::BIGINT, 0) AS cost, coalesce(best[13:], '') AS audit, sha256(coalesce(repaired.text, '')) AS repaired_sha256
+FROM every LEFT JOIN solved USING (conv) LEFT JOIN repaired USING (conv)"""

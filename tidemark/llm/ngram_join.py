@@ -320,3 +320,20 @@ def numbered(classes: DataFrame) -> tuple[DataFrame, bool]:
 def told_to(rows: DataFrame, few: DataFrame, key: str) -> DataFrame:
     """A left join with a table that is broadcast where it is counted to be small, as ``key`` can be very common in ``rows``."""
     return rows.join(F.broadcast(few) if few.count() <= BROADCAST_ROWS else few, key, "left")
+
+
+def oracle(n: int = 5) -> str:
+    """DuckDB SQL for ``ngram_join`` at a similarity of 0.8 over documents with ids, with every pair of sets that share an n-gram."""
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - {n - 2}, 2)), lambda i: md5(array_to_string(w[i:i + {n - 1}], ' '))))) AS gs FROM d WHERE len(w) > 0),
+k AS (SELECT doc_id, gs, min(doc_id) OVER (PARTITION BY gs) AS rep, count(*) OVER (PARTITION BY gs) AS copies FROM g),
+reps AS (SELECT rep, gs, copies, len(gs) AS n FROM k WHERE doc_id = rep),
+t AS (SELECT rep, n, hash(unnest(gs)) AS t FROM reps),
+pairs AS (SELECT a.rep AS a, b.rep AS b FROM t a JOIN t b ON a.t = b.t AND a.rep < b.rep AND 4 * a.n <= 5 * b.n AND 4 * b.n <= 5 * a.n GROUP BY a.rep, b.rep, a.n, b.n HAVING 9 * count(*) >= 4 * (a.n + b.n)),
+e AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+r AS (SELECT rep AS node, rep AS m FROM reps UNION SELECT e.b, r.m FROM r JOIN e ON r.node = e.a AND r.m < e.b),
+label AS (SELECT node, min(m) AS label FROM r GROUP BY node),
+links AS (SELECT e.a AS rep, sum(reps.copies) AS links FROM e JOIN reps ON reps.rep = e.b GROUP BY e.a)
+SELECT d.doc_id, coalesce(label, d.doc_id) AS class_id, coalesce(k.rep, d.doc_id) AS copy_of, (coalesce(links, 0) + coalesce(copies - 1, 0))::BIGINT AS n_links, d.doc_id = coalesce(label, d.doc_id) AS stays
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id LEFT JOIN label ON label.node = k.rep LEFT JOIN links ON links.rep = k.rep"""

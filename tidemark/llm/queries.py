@@ -4,19 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, mixing, secret_scan
+from . import conversation_repair, decontamination, mixing, secret_scan
 from .conversation_repair import repair_conversations
 from .decontamination import decontaminate
 from .language_id import language_id
 from .license_scan import license_scan
 from .mixing import mix_sources
 from .ngram_join import ngram_join
+from .ngram_join import oracle as ngram_oracle
 from .permutation_index import nearest_neighbours
 from .secret_scan import secret_scan as scan_secrets
+from .substring_dedup import oracle as substring_oracle
 from .substring_dedup import substring_dedup
+from .suffix_dedup import oracle as suffix_oracle
 from .suffix_dedup import suffix_dedup
 from .token_alignment import align_tokens
 from .toxicity import toxicity
+from .warc import oracle as warc_oracle
 from .warc import warc_round_trip
 
 
@@ -81,7 +85,12 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_mix_sources, op3_license_scan, op4_permutation_index, op5_warc, op6_suffix_dedup, op7_toxicity, op8_language_id, op9_decontaminate, op10_ngram_join, op11_secret_scan, op12_token_alignment, op13_conversation_repair)}
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_substring_dedup": substring_oracle(),
     "op2_mix_sources": mixing.oracle(),
+    "op5_warc": warc_oracle(),
+    "op6_suffix_dedup": suffix_oracle(),
     "op9_decontaminate": decontamination.oracle(),
+    "op10_ngram_join": ngram_oracle(),
     "op11_secret_scan": secret_scan.oracle(),
+    "op13_conversation_repair": conversation_repair.oracle(),
 }

@@ -198,3 +198,16 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     out = base.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(apply, schema)
     return out.withColumnRenamed("id", id_col)
+
+
+def oracle(width: int = 13) -> str:
+    """DuckDB SQL for ``substring_dedup`` over documents, with every window as a row."""
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+words AS (SELECT id, doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d),
+windows AS (SELECT id, doc_id, pos AS i, hash(word{"".join(f", lead(word, {k}) OVER o" for k in range(1, width))}) AS h FROM words WINDOW o AS (PARTITION BY id ORDER BY pos) QUALIFY lead(word, {width - 1}) OVER o IS NOT NULL),
+late AS (SELECT id, i FROM windows JOIN (SELECT h, min(doc_id) AS first FROM windows GROUP BY h) USING (h) WHERE doc_id > first),
+gone AS (SELECT DISTINCT id, i + k AS pos FROM late, range({width}) t(k)),
+kept AS (SELECT id, string_agg(word, ' ' ORDER BY pos) AS text FROM words ANTI JOIN gone USING (id, pos) GROUP BY id),
+n AS (SELECT id, count(*) AS n FROM gone GROUP BY id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (id) LEFT JOIN n USING (id)"""

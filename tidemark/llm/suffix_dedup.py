@@ -337,3 +337,24 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string" + B.carried(base, carry)
     out = base.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(apply, schema)
     return out.withColumnRenamed("id", id_col)
+
+
+def oracle(width: int = 100, piece: int = 1000) -> str:
+    """DuckDB SQL for ``suffix_dedup`` over documents, with every string of ``width`` bytes as a row.
+
+    Bytes are pairs of hexadecimal digits; texts are cut into overlapping pieces, as places in short strings are found faster.
+    """
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+pieces AS (SELECT id, doc_id, k, substr(x, k * {2 * piece} + 1, {2 * (piece + width - 1)}) AS p FROM (SELECT *, unnest(range(0, (length(x) + {2 * piece - 1}) // {2 * piece})) AS k FROM d)),
+strings AS (SELECT id, doc_id, k * {piece} + i AS pos, hash(substr(p, 2 * i + 1, {2 * width})) AS h FROM pieces, range({piece}) t(i) WHERE 2 * i + {2 * width} <= length(p)),
+late AS (SELECT id, pos FROM (SELECT id, pos, row_number() OVER (PARTITION BY h ORDER BY doc_id, pos) AS rn FROM strings) WHERE rn > 1),
+marked AS (SELECT id, pos, CASE WHEN pos > lag(pos) OVER (PARTITION BY id ORDER BY pos) + {width} THEN 1 ELSE 0 END AS new FROM late),
+grouped AS (SELECT id, pos, sum(new) OVER (PARTITION BY id ORDER BY pos) AS g FROM marked),
+runs AS (SELECT id, min(pos) AS a, max(pos) + {width} AS b FROM grouped GROUP BY id, g),
+n AS (SELECT id, count(*) AS n_spans, sum(b - a) AS n_removed FROM runs GROUP BY id),
+edges AS (SELECT id, a, b FROM runs UNION ALL SELECT id, length(x) // 2, length(x) // 2 FROM d),
+parts AS (SELECT id, coalesce(lag(b) OVER (PARTITION BY id ORDER BY a, b), 0) AS s, a AS e FROM edges),
+kept AS (SELECT id, string_agg(substr(x, 2 * s + 1, 2 * (e - s)), '' ORDER BY s, e) AS x FROM parts JOIN d USING (id) WHERE e > s GROUP BY id)
+SELECT doc_id, (length(d.x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept.x, ''))) AS kept_sha256
+FROM d LEFT JOIN n USING (id) LEFT JOIN kept USING (id)"""

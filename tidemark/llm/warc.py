@@ -239,3 +239,12 @@ def warc_round_trip(pages: DataFrame, path: str | None = None, **options) -> Dat
     path = path or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_pages(pages, path, **options)
     return payloads(reassemble(read_records(spark, path)))
+
+
+def oracle(least: int = 1000) -> str:
+    """DuckDB SQL for ``warc_round_trip`` over pages, without any archive."""
+    return f"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS digest FROM pages),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY digest, n) AS top FROM p),
+k AS (SELECT *, n >= {least} AND page_id <> top AS again FROM g)
+SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN top END AS refers_to, true AS complete FROM k"""
