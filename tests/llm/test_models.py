@@ -166,6 +166,34 @@ def test_op7_held_out(spark):
     assert n[1, 1] / (n[1, 1] + n.get((1, 0), 0)) > 0.75 and n.get((0, 1), 0) / (n[0, 0] + n.get((0, 1), 0)) < 0.03
 
 
+def disguised(word, k):
+    """A word as those who hide it write it."""
+    leet = str.maketrans("aeiost", "4310$7")
+    middle = len(word) // 2
+    return [word.translate(leet), " ".join(word), "-".join(word), word[:middle] + word[middle] * 4 + word[middle + 1 :], ".".join(word.translate(leet))][k % 5]
+
+
+def test_op7_reads_disguised_words(spark):
+    """Held-out toxic texts whose telling words are disguised are found; without the decoder they hold no cue."""
+    folder = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "toxic")
+    rows = docs.join(labels, "doc_id").where("toxic is not null and text is not null").collect()
+    words = lambda t: set(re.findall(r"[^\W\d_]+", t.lower()))
+    bad, good = (collections.Counter(w for r in rows if r.toxic == x for w in words(r.text)) for x in (1, 0))
+    telling = [w for w in sorted(bad, key=bad.get, reverse=True)[:400] if bad[w] >= 60 and bad[w] > 10 * good[w]]
+    assert len(telling) >= 5
+    held = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    toxic = [r for r in held if r.toxic and words(r.text) & set(telling)][:60]
+    pattern = re.compile(rf"(?i)(?<!\w)({'|'.join(telling)})(?!\w)")
+    made = [(10**9 + 5 * k, pattern.sub(lambda m, k=k: disguised(m[0].lower(), k), r.text)) for k, r in enumerate(toxic)]
+    made = [(next(i for i in range(a, a + 10**6) if zlib.crc32(str(i).encode()) % 5 == 0), t) for a, t in ((a * 3, t) for a, t in made)]
+    assert not any(words(t) & set(telling) for _, t in made)
+    got = {r.doc_id: r for r in toxicity(docs.unionByName(spark.createDataFrame(made, docs.schema)), labels).where("doc_id >= 1000000000").collect()}
+    found = sum(got[i].predicted for i, _ in made)
+    assert found >= 0.85 * len(made) and all(got[i].n_restored > 0 for i, _ in made if got[i].predicted)
+
+
 def test_op7_fold_and_empty(spark):
     docs = spark.createDataFrame([(i, t, 0.5) for i, t in ((1, "loser"), (2, None), (3, ""), (None, "x"))], "doc_id long, text string, score double")
     labels = spark.createDataFrame([(1, 1), (1, None), (None, 1), (2, 0)], "doc_id long, toxic int")
