@@ -4,13 +4,11 @@ import collections
 import datetime as dt
 import difflib
 import random
-from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import census, derive, graph, joins, scoring, sequence, text
-from tidemark.plans import claims
 
 D = dt.date
 
@@ -123,9 +121,12 @@ def test_shortlist_reads_whole_documents(spark):
     texts = {1: noise(2000) + claim, 2: noise(3000), 3: claim + " " + noise(2000), 4: claim, 5: ""}
     # across the places where windows of 2,000 characters end
     texts |= {100 + k: ("y " * 2500)[: 2000 * k - 20] + claim + " y" * 900 for k in (1, 2)}
-    t = SimpleNamespace(benchmark=spark.createDataFrame([(1, claim)], "item_id long, text string"), documents=spark.createDataFrame([*texts.items(), (6, None)], "doc_id long, text string"))
-    got = rows(claims.sc_shortlist(t), "chunk_id", "claim_id")
+    c, d = spark.createDataFrame([(1, claim, "p")], "claim_id long, claim string, project string"), spark.createDataFrame([*texts.items(), (6, None)], "chunk_id long, text string")
+    got = rows(text.shortlist(c, d), "chunk_id", "claim_id")
     assert got == [(i, 1) for i in (1, 3, 4, 101, 102)]
+    # of a claim with a project only the chunks of that project
+    own = d.withColumn("project", F.when(F.col("chunk_id") > 3, "p").otherwise("q"))
+    assert rows(text.shortlist(c, own), "chunk_id", "claim_id") == [(i, 1) for i in (4, 101, 102)]
 
 
 def words_of(x):

@@ -136,32 +136,35 @@ def slot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def shortlist(claims: DataFrame, chunks: DataFrame, k: int = 5, floor: float = 0.15, most_chars: int = MOST_CHARS) -> DataFrame:
     """The ``k`` best chunks (chunk_id, text) of each claim (claim_id, claim) by matched run length over the claim's length.
 
-    Every claim is held against every whole chunk, by a bound first: a pair is
+    Where both have a project, the chunks of a claim are those of its project.
+    Every claim is held against every such chunk as a whole, by a bound first: a pair is
     matched in full only if it may reach the floor and the claim's best ``k`` of
     the task so far; so nothing is lost. Claims are broadcast, as many as make up
     ``most_chars`` characters, else chunks are passed once for each part of them.
     A task gives ``k`` rows a claim at most. Ties go to the smaller chunk.
     """
     spark = claims.sparkSession
-    asked = claims.where("claim <> ''").select(F.col("claim_id").cast("long").alias("claim_id"), "claim")
+    of = (F.col("project").cast("string") if "project" in claims.columns and "project" in chunks.columns else F.lit("")).alias("project")
+    asked = claims.where("claim <> ''").select(F.col("claim_id").cast("long").alias("claim_id"), "claim", of)
     total = asked.agg(F.sum(F.length("claim"))).first()[0] or 0
     parts = max(1, -(-total // most_chars))
-    base = chunks.where("text is not null").select(F.col("chunk_id").cast("long").alias("chunk_id"), "text")
+    base = chunks.where("text is not null").select(F.col("chunk_id").cast("long").alias("chunk_id"), "text", of)
 
     def passed(part: int) -> DataFrame:
-        rows = [(r.claim_id, r.claim) for r in asked.where(F.pmod(F.xxhash64("claim_id"), F.lit(parts)) == part).collect()]
+        rows = [(r.claim_id, r.claim, r.project) for r in asked.where(F.pmod(F.xxhash64("claim_id"), F.lit(parts)) == part).collect()]
         shared = spark.sparkContext.broadcast(rows)
 
         def run(batches):
-            own = ClaimSet(shared.value)
+            own = ClaimSet([(i, c) for i, c, _ in shared.value])
+            projects = np.array([p for *_, p in shared.value], object)
             best: list[list[tuple[float, int]]] = [[] for _ in own.ids]
             least = np.full(len(own.ids), floor)
             matcher = difflib.SequenceMatcher()
             for batch in batches:
-                for chunk, text in zip(batch["chunk_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                for chunk, text, project in zip(*(batch[c].to_pylist() for c in ("chunk_id", "text", "project")), strict=True):
                     bound = own.bounds(folded(text)) / np.maximum(own.size, 1)
                     # a bound that equals the least of the best may still win by the smaller id
-                    open_ = np.flatnonzero(bound >= least - 1e-6)
+                    open_ = np.flatnonzero((bound >= least - 1e-6) & (projects == project))
                     if not len(open_):
                         continue
                     matcher.set_seq2(text.casefold())

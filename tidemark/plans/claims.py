@@ -39,7 +39,7 @@ def index_of(t, anew: bool = False) -> SearchIndex:
     """The index of a folder's documents: built once a session, a tenth of the documents from an older text that a second batch renews."""
     key = (t.spark.sparkContext.applicationId, t.sf_dir)
     if anew or key not in _BUILT:
-        index = SearchIndex(t.spark, folder(t, "index"))
+        index = SearchIndex(t.spark, folder(t, "index"), shards=8, blocks=1)
         old = F.col("doc_id") % 10 == 0
         docs = typed(t).select("doc_id", "project", "doc_type", "content")
         index.update(docs.withColumn("content", F.when(old, F.concat(F.lit("an older text, "), F.substring("content", 1, 200))).otherwise(F.col("content"))), "all")
@@ -95,7 +95,8 @@ def tx_similarity(t):
 
 @query()
 def sc_shortlist(t):
-    return ops.shortlist(claims_of(t).select("claim_id", "claim"), t.documents.select(F.col("doc_id").alias("chunk_id"), "text"))
+    project = F.concat(F.lit("p"), (F.col("doc_id") % 5).cast("string"))
+    return ops.shortlist(claims_of(t).select("claim_id", "claim", "project"), t.documents.select(F.col("doc_id").alias("chunk_id"), "text", project.alias("project")))
 
 
 @query("""SELECT doc_id AS claim_id, CASE WHEN doc_id % 9 = 0 THEN 'malformed' WHEN m.seq IS NULL THEN 'wrong_index' WHEN NOT contains(m.content, CASE WHEN doc_id % 2 = 0 THEN substr(m.content, 3, 15) ELSE 'zz' || substr(m.content, 1, 4) END) THEN 'not_literal' ELSE 'kept' END AS reason
