@@ -291,10 +291,28 @@ def test_op8_equals_brute_force(spark, min_share):
     assert got.keys() == want.keys() and all(got[i][0] == want[i][0] and abs(got[i][1] - want[i][1]) < 1e-3 for i in want)
 
 
+@pytest.mark.parametrize("told_share", [0.0, 0.01, 2.0])
+def test_op8_words_joined_or_broadcast(spark, told_share):
+    """Any word may be joined instead of broadcast; rows with equal ids and texts share their sums."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 120")
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.select("doc_id", "text", "lang").collect()]
+    rows += [(5001, "new words nobody learned " * 3, None), (5002, "", "en"), (5003, "der die zzz yyy", "de")]
+    again = [*rows, rows[3], rows[3], rows[-1], rows[-3], (None, rows[0][1], "xx")]
+    want = brute_language(again)
+    df = spark.createDataFrame(again, "doc_id long, text string, lang string")
+    got = language_id(df, min_share=0, told_share=told_share).collect()
+    assert len(got) == len(again)
+    for r in got:
+        if r.doc_id is not None:
+            assert r.lang_pred == want[r.doc_id][0] and abs(r.score - want[r.doc_id][1]) < 1e-3
+    assert len({(r.lang_pred, r.score) for r in got if r.doc_id == rows[3][0]}) == 1
+
+
 def test_op8_ties_repeated_rows_and_long_texts(spark):
     rows = [(1, "aa bb", "x"), (2, "aa bb", "y"), (3, "cc dd " * 200_000, None), (3, "cc dd " * 200_000, None), (None, "aa bb", "x")]
     learned = [i for i in (1, 2) if zlib.crc32(str(i).encode()) % 5]
     df = spark.createDataFrame([(i, t, lang, 0.5) for i, t, lang in rows], "doc_id long, text string, lang string, score double")
+    assert sorted(map(str, language_id(df, min_share=0, told_share=2.0).collect())) == sorted(map(str, language_id(df, min_share=0).collect()))
     got = language_id(df).collect()
     # what is equally likely goes to the first of the learned languages
     assert len(got) == 5 and {r.lang_pred for r in got} == {"xy"[learned[0] - 1]}
