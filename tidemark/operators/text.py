@@ -80,8 +80,10 @@ def folded(text: str) -> np.ndarray:
     return np.frombuffer(text.casefold().encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-#: Slots of the table that tells which pairs of characters a chunk holds; a shared slot only loosens a bound.
-SLOTS = 1 << 16
+#: Slots of the tables that tell which stretches of characters a chunk holds; a shared slot only loosens a bound.
+SLOTS = 1 << 18
+#: Characters of a longer stretch.
+STRETCH = 5
 #: Characters of claims that are broadcast at once.
 MOST_CHARS = 2_000_000
 
@@ -98,39 +100,60 @@ class ClaimSet:
         self.first = np.cumsum(n) - n
         self.filled = n > 0
         self.owner = np.repeat(np.arange(len(rows)), n)
-        # places whose next character belongs to the same claim
-        self.linked = np.append(self.owner[1:] == self.owner[:-1], False)
-        self.pair = slot(self.chars, np.append(self.chars[1:], np.uint32(0)))
+        # for each place the slot of the stretch that begins there, and whether it lies in one claim
+        self.grams = {q: (slots(self.chars, q), np.append(self.owner[q - 1 :] == self.owner[: len(self.owner) - q + 1], np.zeros(min(q - 1, len(self.owner)), bool))) for q in range(2, STRETCH + 1)}
 
     def bounds(self, chunk: np.ndarray) -> np.ndarray:
         """For each claim a proven upper bound of its matched run length in a chunk.
 
-        A run of two characters or more lies where neighbouring pairs of the claim
-        occur in the chunk, and every run holds a character that may begin one: in a
-        chunk of 200 characters or more those that make up at most a hundredth of it
-        (the matcher's own rule), else any that occurs; a run that begins both texts
-        needs none. So only stretches of linked characters that hold such a one, or
-        begin alike, can match.
+        Every run holds a character that may begin one: in a chunk of 200 characters
+        or more those that make up at most a hundredth of it (the matcher's own
+        rule), else any that occurs; a run that begins both texts needs none. A run of
+        ``STRETCH`` characters or more lies where all stretches of that length occur
+        in the chunk, one after another; a shorter one is itself a stretch that
+        occurs. What lies in none that holds a beginner can't match.
         """
+        if not len(self.chars) or not len(chunk):
+            return np.zeros(len(self.ids), np.int64)
         values, counts = np.unique(chunk, return_counts=True)
-        seeds = values[counts <= len(chunk) // 100 + 1] if len(chunk) >= 200 else values
-        table = np.zeros(SLOTS, bool)
-        table[slot(chunk[:-1], chunk[1:])] = True
-        goes_on = table[self.pair] & self.linked
-        begins = np.append(True, ~goes_on[:-1])[: len(self.chars)]
-        stretch = np.cumsum(begins) - 1
-        seeded = np.bincount(stretch, weights=np.isin(self.chars, seeds), minlength=1) > 0
-        if len(chunk) and len(self.chars):
-            heads = self.first[self.filled]
-            seeded[stretch[heads[self.chars[heads] == chunk[0]]]] = True
+        seed = np.isin(self.chars, values[counts <= len(chunk) // 100 + 1] if len(chunk) >= 200 else values)
+        heads = self.first[self.filled]
+        seed[heads[self.chars[heads] == chunk[0]]] = True
+        before = np.concatenate(([0], np.cumsum(seed)))
+        change = np.zeros(len(self.chars) + 1, np.int64)
+        for q in range(2, STRETCH + 1):
+            held = np.concatenate(([False], self.held(chunk, q), [False]))
+            if q < STRETCH:
+                begins = np.flatnonzero(held[1:-1])
+                ends = begins + q
+            else:
+                # consecutive stretches cover STRETCH - 1 characters more than there are of them
+                begins = np.flatnonzero(held[1:] & ~held[:-1])
+                ends = np.flatnonzero(held[:-1] & ~held[1:]) + q - 1
+            useful = before[ends] > before[begins]
+            np.add.at(change, begins[useful], 1)
+            np.add.at(change, ends[useful], -1)
+        may = seed | (np.cumsum(change[:-1]) > 0)
         out = np.zeros(len(self.ids), np.int64)
-        if len(self.chars):
-            out[self.filled] = np.add.reduceat(seeded[stretch].astype(np.int64), self.first[self.filled])
+        out[self.filled] = np.add.reduceat(may.astype(np.int64), heads)
         return out
 
+    def held(self, chunk: np.ndarray, q: int) -> np.ndarray:
+        """Places whose stretch of ``q`` characters occurs in a chunk."""
+        table = np.zeros(SLOTS, bool)
+        table[slots(chunk, q)[: max(0, len(chunk) - q + 1)]] = True
+        at, whole = self.grams[q]
+        return table[at] & whole
 
-def slot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return ((a.astype(np.uint64) * np.uint64(0x9E3779B1) + b.astype(np.uint64) * np.uint64(0x85EBCA77)) >> np.uint64(8)) % np.uint64(SLOTS)
+
+def slots(chars: np.ndarray, q: int) -> np.ndarray:
+    """For each place the slot of the ``q`` characters that begin there (blanks beyond the end)."""
+    more = np.append(chars, np.zeros(q - 1, np.uint32)).astype(np.uint64)
+    h = np.zeros(len(chars), np.uint64)
+    for k in range(q):
+        h = (h ^ more[k : k + len(chars)]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h % np.uint64(SLOTS)
 
 
 def shortlist(claims: DataFrame, chunks: DataFrame, k: int = 5, floor: float = 0.15, most_chars: int = MOST_CHARS) -> DataFrame:
@@ -149,22 +172,29 @@ def shortlist(claims: DataFrame, chunks: DataFrame, k: int = 5, floor: float = 0
     total = asked.agg(F.sum(F.length("claim"))).first()[0] or 0
     parts = max(1, -(-total // most_chars))
     base = chunks.where("text is not null").select(F.col("chunk_id").cast("long").alias("chunk_id"), "text", of)
+    if base.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
+        # a chunk costs milliseconds, much more than to move it to an idle core
+        base = base.repartition(spark.sparkContext.defaultParallelism)
 
     def passed(part: int) -> DataFrame:
         rows = [(r.claim_id, r.claim, r.project) for r in asked.where(F.pmod(F.xxhash64("claim_id"), F.lit(parts)) == part).collect()]
         shared = spark.sparkContext.broadcast(rows)
 
         def run(batches):
-            own = ClaimSet([(i, c) for i, c, _ in shared.value])
-            projects = np.array([p for *_, p in shared.value], object)
-            best: list[list[tuple[float, int]]] = [[] for _ in own.ids]
-            least = np.full(len(own.ids), floor)
+            of_project: dict[str | None, list[tuple[int, str]]] = {}
+            for i, c, p in shared.value:
+                of_project.setdefault(p, []).append((i, c))
+            sets = {p: ClaimSet(rows_) for p, rows_ in of_project.items() if p is not None}
+            held = {p: ([[] for _ in own.ids], np.full(len(own.ids), floor)) for p, own in sets.items()}
             matcher = difflib.SequenceMatcher()
             for batch in batches:
                 for chunk, text, project in zip(*(batch[c].to_pylist() for c in ("chunk_id", "text", "project")), strict=True):
+                    if project not in sets:
+                        continue
+                    own, (best, least) = sets[project], held[project]
                     bound = own.bounds(folded(text)) / np.maximum(own.size, 1)
                     # a bound that equals the least of the best may still win by the smaller id
-                    open_ = np.flatnonzero((bound >= least - 1e-6) & (projects == project))
+                    open_ = np.flatnonzero(bound >= least - 1e-6)
                     if not len(open_):
                         continue
                     matcher.set_seq2(text.casefold())
@@ -174,7 +204,7 @@ def shortlist(claims: DataFrame, chunks: DataFrame, k: int = 5, floor: float = 0
                         if score >= floor:
                             best[c] = sorted([*best[c], (-score, chunk)])[:k]
                             least[c] = max(floor, -best[c][-1][0]) if len(best[c]) == k else floor
-            found = [(own.ids[c], chunk, -score) for c, rows_ in enumerate(best) for score, chunk in rows_]
+            found = [(sets[p].ids[c], chunk, -score) for p, (best, _) in held.items() for c, rows_ in enumerate(best) for score, chunk in rows_]
             ids, chunk_ids, scores = zip(*found, strict=True) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(chunk_ids, pa.int64()), pa.array(scores, pa.float64())], ["claim_id", "chunk_id", "score"])
 
