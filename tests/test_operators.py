@@ -228,3 +228,44 @@ def test_order_statistics_take_ties_nulls_and_single_rows(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("a", 9.0), ("a", None), (None, 4.0), ("b", None)], "k string, x double")
     got = sorted(((r.k or "", r.n, r.median, r.p25, r.p75, r.least, r.most) for r in census.calibration(df, ["k"], "x").collect()))
     assert got == [("", 1, 4.0, 4.0, 4.0, 4.0, 4.0), ("a", 3, 1.0, 1.0, 9.0, 1.0, 9.0)]
+
+
+@pytest.mark.parametrize("similarity", [0.5, 0.7])
+def test_like_pairs_equal_brute_force_in_any_blocks(spark, similarity):
+    rnd = random.Random(11)
+    rows_ = []
+    for i in range(220):
+        n = rnd.choice((1, 3, 8, 20, 60, 90))
+        if rows_ and rnd.random() < 0.4:
+            w = rnd.choice(rows_)[2].split()
+            w = [x for x in w if rnd.random() > 0.15] + [f"n{rnd.randrange(50)}" for _ in range(rnd.randrange(4))]
+        else:
+            w = [f"w{int(rnd.random() ** 3 * 400)}" for _ in range(n)]
+        rows_.append((i, f"p{i % 2}", " ".join(w)))
+    df = spark.createDataFrame(rows_, "pos long, project string, text string")
+    sets = {i: frozenset(x.split()) for i, _, x in rows_}
+    rep = {}
+    for i, p, _ in rows_:
+        rep.setdefault((p, sets[i]), i)
+        rep.setdefault(("", sets[i]), i)
+    for group in (None, "project"):
+        own = [(i, p if group else "") for i, p, _ in rows_]
+        want = {}
+        for i, p in own:
+            for j, q in own:
+                if p == q and i < j and sets[i] and sets[j] and sets[i] != sets[j] and rep[p, sets[i]] == i and rep[p, sets[j]] == j:
+                    score = round(len(sets[i] & sets[j]) / len(sets[i] | sets[j]), 6)
+                    if score >= similarity:
+                        want[i, j] = score
+        for blocks, most in (((250_000, 8_000_000), 1_000_000), ((200, 300), 1_000_000), ((200, 300), 20)):
+            got = [(r.a, r.b, r.score) for r in text.like_pairs(df, similarity, group, blocks, most).collect()]
+            assert {(a, b): s for a, b, s in got if sets[a] != sets[b]} == want and len(want) > 20
+            assert sum(sets[a] == sets[b] for a, b, _ in got) == sum(1 for i, p in own if sets[i] and rep[p, sets[i]] != i)
+
+
+def test_sets_that_share_few_tokens_do_not_become_pairs(spark):
+    # every two of the sets share a rare token, as a join on single tokens would pair them
+    rows_ = [(i, [(min(i, j) * 100 + max(i, j)) * 7919 for j in range(100) if j != i]) for i in range(100)]
+    sets = spark.createDataFrame(rows_, "pos long, h array<long>")
+    begun = text.rare_beginnings(sets, 0.5, []).withColumn("side", F.lit(0)).toArrow()
+    assert begun.num_rows == 100 and len(text.met_pairs(begun, 0.5)[0]) == 0
