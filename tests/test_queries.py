@@ -2,7 +2,7 @@
 
 import pytest
 
-from tidemark.plans import catalog
+from tidemark.plans import catalog, estate
 
 from .compare import connect, duck_rows, spark_rows
 
@@ -27,3 +27,19 @@ RATIOS = {"jn_fuzzy_title": 1, "jn_skeleton_fuzzy": 50, "jn_pair_diff": 1, "sc_c
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_gives_rows(spark, name):
     assert len(spark_rows(QUERIES[name](spark, SF))[1]) >= RATIOS[name]
+
+
+def test_mentions_are_whole_words_of_any_script(spark, con):
+    said = [(1, "que les"), (2, "èque les"), (3, "queü les, que"), (4, "leś que"), (5, "the_that with"), (6, "die-der"), (7, None)]
+    rows = [(c, 0, "user", text) for c, text in said]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").createOrReplaceTempView("said")
+    own = con.cursor()
+    own.execute("CREATE SCHEMA said; CREATE TABLE said.conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR); SET search_path = 'said'")
+    own.executemany("INSERT INTO said.conversations VALUES (?, ?, ?, ?)", rows)
+
+    class Said:
+        messages = spark.sql("SELECT conv_id AS thread_id, turn AS seq, role, text AS content FROM said")
+
+    got = spark_rows(estate.ag_comention_pairs(Said))
+    assert got == duck_rows(own, ORACLE["ag_comention_pairs"])
+    assert got[1] == [("der", "die", "1"), ("les", "que", "2")]

@@ -252,10 +252,15 @@ def ag_oversized_filter(t):
     return census.oversized(t.messages, 150)
 
 
-@query("""WITH i AS (SELECT DISTINCT thread_id, unnest(regexp_extract_all(content, '\\b(the|der|that|with|les|que|die)\\b')) AS id FROM messages)
+#: What stands in a word: letters, marks and digits of any script, as the two engines' own word boundaries do not agree on.
+IN_WORD = r"[\p{L}\p{M}\p{N}_]"
+MENTIONED = ("the", "der", "that", "with", "les", "que", "die")
+
+
+@query(f"""WITH i AS (SELECT DISTINCT thread_id, id FROM (SELECT thread_id, unnest(regexp_extract_all(content, '{IN_WORD}+')) AS id FROM messages) WHERE id IN {MENTIONED})
   SELECT a.id AS id_a, b.id AS id_b, count(*) AS n FROM i a JOIN i b USING (thread_id) WHERE a.id < b.id GROUP BY 1, 2""")
 def ag_comention_pairs(t):
-    return census.comention_pairs(t.messages, "thread_id", r"\b(the|der|that|with|les|que|die)\b")
+    return census.comention_pairs(t.messages, "thread_id", rf"(?<!{IN_WORD})({'|'.join(MENTIONED)})(?!{IN_WORD})")
 
 
 FILES = """fi AS (SELECT project, path || CASE file_id % 3 WHEN 0 THEN '.py' WHEN 1 THEN '.MD' ELSE '' END AS path, bytes, git_status FROM files),
