@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -73,31 +74,40 @@ def content_cache(items: DataFrame, cache: DataFrame, fingerprint: str) -> tuple
     return hashed.join(live.select("key", "hash", "result"), ["key", "hash"]), hashed.join(live, ["key", "hash"], "left_anti")
 
 
+def middle(values: list[float]) -> float:
+    """Median of a few measurements; NaN does not count."""
+    known = sorted(v for v in values if v == v)
+    half = len(known) // 2
+    return math.nan if not known else known[half] if len(known) % 2 else (known[half - 1] + known[half]) / 2
+
+
 def decay_states(rows: DataFrame, size: int = 4, pause: float = 0.75, resume: float = 0.9, cap: int = 3) -> DataFrame:
     """Actions for each host from its live timings (host, pos, ms), rows of a batch in order of ``pos`` and ``ms``; as ``rolling_decay`` decides."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         first, recent, pauses = state.get if state.exists else ([], [], 0)
         first, recent = list(first), list(recent)
-        out = []
+        baseline = middle(first) if len(first) == size else None
+        actions = []
         rows_ = pd.concat(list(batches)).sort_values(["pos", "ms"])
-        for pos, ms in zip(rows_["pos"], rows_["ms"], strict=True):
+        for ms in rows_["ms"].tolist():
             speed = 1.0 / ms
             if len(first) < size:
                 first.append(speed)
+                baseline = middle(first) if len(first) == size else None
             recent = [*recent, speed][-size:]
             action = "observing"
-            if len(first) == size:
-                ratio = pd.Series(recent).median() / pd.Series(first).median()
+            if baseline is not None:
+                ratio = middle(recent) / baseline
                 action = "none"
                 if ratio >= resume:
                     action, pauses = ("resume" if pauses else "none"), 0
                 elif pauses or ratio < pause:
                     pauses += 1
                     action = "pause" if pauses <= cap else "cap_reached" if pauses == cap + 1 else "none"
-            out.append((key[0], pos, action))
+            actions.append(action)
         state.update((first, recent, pauses))
-        yield pd.DataFrame(out, columns=["host", "pos", "action"])
+        yield pd.DataFrame({"host": key[0], "pos": rows_["pos"].to_numpy(), "action": actions})
 
     return rows.groupBy("host").applyInPandasWithState(step, "host string, pos long, action string", "first array<double>, recent array<double>, pauses long", "append", GroupStateTimeout.NoTimeout)
 
