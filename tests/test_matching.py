@@ -5,10 +5,12 @@ import difflib
 import math
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import automaton, joins, text
+from tidemark.streaming import jobs
 
 
 def test_needles_of_any_length(spark):
@@ -143,3 +145,28 @@ def test_title_coherence_tells_equal_titles_as_a_star(spark):
     assert got == sorted(star + [(i, 130, round(2 / 3, 6), 1) for i in range(41, 60, 2)])
     alone = joins.title_coherence(left, right).where("score is null").collect()
     assert {r.l_id for r in alone if r.l_id is not None} == set(range(40, 60, 2)) and {r.r_id for r in alone if r.r_id is not None} == set(range(131, 150)) and all(r.links == 0 for r in alone)
+
+
+def test_bounds_of_names_hold_and_leave_few_to_match():
+    rng = random.Random(8)
+    word = lambda n, of="abcdeé日 ": "".join(rng.choice(of) for _ in range(n))
+    names = [(i, word(rng.choice((0, 1, 5, 40, 63, 64, 65, 90, 230)))) for i in range(150)]
+    own, matched = text.NameSet(names), []
+    own.ratio = lambda title, k, ratio=own.ratio: (matched.append(k), ratio(title, k))[1]
+    for title in [word(rng.choice((1, 8, 60, 120))) for _ in range(15)] + ["", names[3][1], "xyz"]:
+        ratios = [difflib.SequenceMatcher(None, title, n).ratio() for _, n in names]
+        assert all(title == n or 2 * m / (len(title) + len(n)) >= r - 1e-12 for m, r, (_, n) in zip(own.in_order(title), ratios, names, strict=True))
+        shared = [len(own.long_words(title) & own.long_words(n)) / max(1, len(own.long_words(n))) for _, n in names]
+        score, minus = max((1.0 if title == n else round(max(r, s), 6), -i) for r, s, (i, n) in zip(ratios, shared, names, strict=True))
+        assert own.best(title, 0.3) == ((-minus, score) if score >= 0.3 else None)
+    # texts of the same characters in other orders: counts of characters would leave all of them to be matched
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    mixed = ["".join(rng.sample(letters, 26)) for _ in range(300)]
+    few, matched = text.NameSet([*enumerate(mixed), (300, "".join(letters))]), []
+    few.ratio = lambda title, k, ratio=few.ratio: (matched.append(k), ratio(title, k))[1]
+    assert few.best("".join(letters[:25]), 0.45)[0] == 300 and len(matched) < 10
+
+
+def test_the_decay_stream_takes_medians_of_plain_numbers():
+    for values in ([1.0], [3.0, 1.0], [0.3, 0.1, 0.2], [4.0, 1.0, 2.5, 2.0], [float("nan"), 2.0, 1.0], [float("nan")]):
+        assert jobs.middle(values) == pd.Series(values).median() or math.isnan(jobs.middle(values)) and len([v for v in values if v == v]) == 0
