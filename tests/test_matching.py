@@ -170,3 +170,20 @@ def test_bounds_of_names_hold_and_leave_few_to_match():
 def test_the_decay_stream_takes_medians_of_plain_numbers():
     for values in ([1.0], [3.0, 1.0], [0.3, 0.1, 0.2], [4.0, 1.0, 2.5, 2.0], [float("nan"), 2.0, 1.0], [float("nan")]):
         assert jobs.middle(values) == pd.Series(values).median() or math.isnan(jobs.middle(values)) and len([v for v in values if v == v]) == 0
+
+
+def test_ratios_are_taken_only_where_the_order_allows(spark, monkeypatch):
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abcdeé日 ") for _ in range(n))
+    base = [word(rng.choice((0, 3, 30, 230))) for _ in range(40)]
+    pairs = [(x, x[:k] + word(2) + x[k:]) for x in base for k in (0, 5)] + [(x, y) for x in base[:12] for y in base[:12]]
+    ratio = {(x, y): difflib.SequenceMatcher(None, x, y).ratio() for x, y in pairs}
+    for x, y in pairs:
+        assert 2 * text.common_in_order(text.ordered_bits(y), len(y), x) >= ratio[x, y] * (len(x) + len(y)) - 1e-9
+    got = spark.createDataFrame(pairs, "x string, y string").select("x", "y", text.ratio_above(0.6)("x", "y").alias("r")).collect()
+    assert [(r.x, r.y, r.r) for r in got] == [(x, y, ratio[x, y] if ratio[x, y] > 0.6 else None) for x, y in pairs]
+    # texts of the same characters in another order never reach the matcher
+    ran = []
+    monkeypatch.setattr(text.difflib, "SequenceMatcher", lambda *a, own=difflib.SequenceMatcher: (ran.append(a), own(*a))[1])
+    mixed = pd.Series(["".join(rng.sample("abcdefghijklmnopqrstuvwxyz", 26)) for _ in range(50)])
+    assert text.ratio_above(0.9).func(mixed, mixed[::-1]).isna().sum() >= 48 and len(ran) <= 2
