@@ -5,7 +5,7 @@ import math
 import random
 import re
 
-from tidemark.operators.search_index import SearchIndex, with_snippets
+from tidemark.operators.search_index import SearchIndex, shards_for, with_snippets
 from tidemark.sources.store import StoredTable, add_new, replace_by
 
 
@@ -93,3 +93,15 @@ def test_an_ask_reads_no_text_and_skips_blocks(spark, tmp_path):
     assert [r.doc_id for r in top.orderBy("rank").collect()] == [0, 1, 2]
     art = index.ask(spark.createDataFrame([(1, "art")], "query_id long, q string"), k=1)
     assert with_snippets(art, kept_docs, around=4).first().snippet == "the art "
+
+
+def test_shards_grow_with_the_texts_and_lie_apart(spark, tmp_path):
+    docs = spark.range(400).selectExpr("id as doc_id", "'p' as project", "'other' as doc_type", "repeat('harbour lights ', 10) as content")
+    assert shards_for(docs.limit(1)) == 8 and shards_for(docs, 8, 3000) == 20
+    index = SearchIndex(spark, str(tmp_path / "apart"), shards=20, blocks=1)
+    index.update(docs, "all")
+    for table in (index.docs, index.postings):
+        folders = table.head()[1]
+        assert len(folders) == 20
+        assert all(spark.read.parquet(f).select("shard").distinct().count() == 1 for f in folders.values())
+    assert sorted((r.term, r.df) for r in index.terms().collect()) == [("harbour", 400), ("lights", 400)]

@@ -18,6 +18,15 @@ PUSHED_TERMS = 256
 SLACK = 1e-3
 
 
+#: Characters of text that a shard is meant for; a merge reads and writes a shard in one task.
+SHARD_CHARS = 16_000_000
+
+
+def shards_for(docs: DataFrame, least: int = 8, shard_chars: int = SHARD_CHARS) -> int:
+    """Shards that documents (content) need, so that none grows with the table."""
+    return max(least, -(-(docs.agg(F.sum(F.length("content"))).first()[0] or 0) // shard_chars))
+
+
 class SearchIndex:
     """Postings in blocks of a shard, project and class of documents, and the lengths of the documents.
 
@@ -30,8 +39,8 @@ class SearchIndex:
     def __init__(self, spark: SparkSession, path: str, shards: int = 16, blocks: int = 8, first_type: str = "knowledge"):
         self.shards, self.blocks, self.first_type = shards, blocks, first_type
         schema = lambda ddl: StructType.fromDDL(ddl)
-        self.docs = StoredTable(spark, f"{path}/docs", schema("shard int, " + DOCS), "shard", shards)
-        self.postings = StoredTable(spark, f"{path}/postings", schema(POSTINGS), "shard", shards)
+        self.docs = StoredTable(spark, f"{path}/docs", schema("shard int, " + DOCS), "shard", shards, numbered=True)
+        self.postings = StoredTable(spark, f"{path}/postings", schema(POSTINGS), "shard", shards, numbered=True)
 
     def update(self, changed: DataFrame, batch: str) -> list[int]:
         """Shards rewritten for new and changed documents (doc_id, project, doc_type, content); a null content takes a document out.

@@ -17,7 +17,7 @@ Combine = Callable[[DataFrame, DataFrame], DataFrame]
 
 
 class StoredTable:
-    """Rows dealt by a hash of ``key`` into ``parts`` partitions, each with the folder that holds it now.
+    """Rows dealt by a hash of ``key`` into ``parts`` partitions, each with the folder that holds it now; a ``numbered`` key is the partition's number itself.
 
     A merge writes new folders for its partitions, then publishes them by one
     appended file of the manifest, with the batch's name and a high-water mark. So
@@ -26,8 +26,8 @@ class StoredTable:
     folders that no version names are left for a later ``vacuum`` by their owner.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: StructType, key: str, parts: int = 16):
-        self.spark, self.path, self.schema, self.key, self.parts = spark, path, schema, key, parts
+    def __init__(self, spark: SparkSession, path: str, schema: StructType, key: str, parts: int = 16, numbered: bool = False):
+        self.spark, self.path, self.schema, self.key, self.parts, self.numbered = spark, path, schema, key, parts, numbered
 
     def manifest(self) -> DataFrame:
         try:
@@ -61,7 +61,7 @@ class StoredTable:
         return self.spark.read.schema(self.schema).parquet(*folders) if folders else self.spark.createDataFrame([], self.schema)
 
     def place(self) -> Column:
-        return F.pmod(F.xxhash64(self.key), F.lit(self.parts)).cast("int")
+        return F.pmod(F.col(self.key) if self.numbered else F.xxhash64(self.key), F.lit(self.parts)).cast("int")
 
     def merge(self, incoming: DataFrame, batch: str, combine: Combine, mark: str | None = None) -> list[int]:
         """The partitions that ``combine(old rows, incoming rows)`` has rewritten; none if the batch was merged before.
