@@ -4,7 +4,9 @@ import ast
 import glob
 import os
 
+from tidemark.functions import core
 from tidemark.operators import source
+from tidemark.plans import catalog, estate
 
 
 def texts(spark, pairs):
@@ -78,3 +80,15 @@ def test_decisions(spark):
     docs = [("a", "x\n# Title  here\n**Status**: **Accepted** on\n"), ("b", "## no\nStatus\n"), ("c", None)]
     got = {r.path: (r.title, r.status) for r in source.decision_documents(texts(spark, docs)).collect()}
     assert got == {"a": ("Title  here", "Accepted"), "b": ("", "")} or got == {"a": ("Title  here", "Accepted"), "b": ("", ""), "c": ("", "")}
+
+
+def test_small_tables_of_source_texts_are_dealt_to_all_cores(spark):
+    few = spark.range(100).coalesce(1)
+    assert core.spread(few).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert sorted(r.id for r in core.spread(few).collect()) == list(range(100))
+    many = spark.range(0, 100, 1, 50)
+    assert core.spread(many).rdd.getNumPartitions() == 50
+    tables = catalog.Tables(spark, "/root/testdata/sf0.001")
+    assert tables.part.rdd.getNumPartitions() == 1
+    for job in (estate.ag_import_census, estate.ag_code_inventory, estate.ag_write_targets):
+        assert "RoundRobinPartitioning" in job(tables)._jdf.queryExecution().executedPlan().toString()

@@ -12,6 +12,12 @@ def segments(path: Column) -> Column:
     return F.split(path, "/")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of few partitions dealt to all cores, where a row costs much more work than bytes."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(4 * cores) if df.rdd.getNumPartitions() < 2 * cores else df
+
+
 def first_match(rules: Sequence[tuple[Column, object]], otherwise: object = None) -> Column:
     """The value of the first rule that holds."""
     return F.coalesce(*[F.when(cond, F.lit(value)) for cond, value in rules], F.lit(otherwise))

@@ -308,7 +308,7 @@ def ag_import_census(t):
         F.when(k % 2 == 0, "if x:\n    import os; y = 1\n").when(k % 4 == 1, "import json, \\\n    requests.adapters as r\n").otherwise("from .near import z\n"),
         F.when(k % 11 == 0, "f(1, [2\n").otherwise(""),
     )
-    return source.import_census(t.part.select(F.col("p_brand").alias("project"), k.alias("path"), body.alias("content")), names("m1", "m2"), names("os", "sys"))
+    return source.import_census(core.spread(t.part).select(F.col("p_brand").alias("project"), k.alias("path"), body.alias("content")), names("m1", "m2"), names("os", "sys"))
 
 
 def decision_logs(t):
@@ -344,7 +344,7 @@ def ag_write_targets(t):
     none = F.lit('    c.execute(f"update {name} set x = 1"); c.execute("select 1")\n    c.execute("update " + name)\n')
     body = F.when(F.col("o_orderstatus") == "O", both).when(F.col("o_orderstatus") == "F", one).otherwise(none)
     text = F.concat(F.lit('"""Docs: update this."""\n\ndef run(c, rows):\n'), F.when(k % 5 > 0, body).otherwise("    return 'update prose'\n"), F.when(k % 13 == 0, "x = 'open\n").otherwise(""))
-    return source.write_targets(t.orders.select(F.concat(F.lit("m"), (F.col("o_custkey") % 20).cast("string")).alias("project"), F.concat(k.cast("string"), F.lit(".py")).alias("path"), text.alias("content")))
+    return source.write_targets(core.spread(t.orders).select(F.concat(F.lit("m"), (F.col("o_custkey") % 20).cast("string")).alias("project"), F.concat(k.cast("string"), F.lit(".py")).alias("path"), text.alias("content")))
 
 
 CENSUS_OF = """SELECT 'confidence' AS kind, coalesce(project_confidence, 'none') AS key, count(*) AS n FROM {0} GROUP BY 2 UNION ALL SELECT 'linked', 'all', count(*) FROM {0} WHERE project_link IS NOT NULL HAVING count(*) > 0
@@ -374,4 +374,4 @@ def ag_code_inventory(t):
     k, size = F.col("p_partkey"), F.col("p_size")
     imports = F.when(size % 3 == 1, "import x.y, x\n").when(size % 3 == 2, "from .a import (b,\n  c)\nimport x, x.z as y\n").otherwise("# import x\n")
     body = F.concat(imports, F.lit('class A(B, metaclass=M):\n    """class of 99\n    def none(self): import y\n    """\n'), F.repeat(F.lit("    async def f(self, a={1: ')'}) -> list[int]:\n        return a  # def g(\n"), size % 5), F.when(k % 7 == 1, "class of 99\n").otherwise(""))
-    return source.code_inventory(t.part.select(F.col("p_brand").alias("project"), k.alias("path"), F.when(k % 7 > 0, body).alias("content")))
+    return source.code_inventory(core.spread(t.part).select(F.col("p_brand").alias("project"), k.alias("path"), F.when(k % 7 > 0, body).alias("content")))
