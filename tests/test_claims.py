@@ -107,3 +107,24 @@ def test_pair_diff_meets_by_place(spark):
     pairs = spark.createDataFrame([(1, 2), (2, 2), (3, 1), (1, 9)], "l_id long, r_id long")
     got = {(r.l_id, r.r_id): (r.l_n, r.r_n, r.same_roles, r.same_messages, r.likeness) for r in text.pair_diff(pairs, messages).collect()}
     assert got == {(1, 2): (3, 2, False, 1, round(2 * (11 + 2) / (18 + 14), 6)), (2, 2): (2, 2, True, 2, 1.0), (3, 1): (1, 3, False, 0, 0.0)}
+
+
+def test_runs_are_those_of_the_matcher_and_hopeless_pairs_stop_early():
+    import difflib
+    import random
+
+    from tidemark.operators.text import ClaimSet, folded, matched_run_length
+
+    r = random.Random(4)
+    for _ in range(200):
+        letters = "abcdefghij"[: r.randint(1, 10)] + " "
+        claim = "".join(r.choice(letters) for _ in range(r.randint(1, 60)))
+        chunk = "".join(r.choice(letters + "xyzqw") for _ in range(r.randint(1, 500)))
+        if r.random() < 0.5:
+            chunk = chunk[:100] + claim[r.randint(0, len(claim) - 1) :] + chunk[100:]
+        own, chars = ClaimSet([(1, claim)]), folded(chunk)
+        own.bounds(chars)
+        found = lambda least: matched_run_length(claim, chunk, own.places(chunk, chars), own.open_upto(0), least)  # noqa: B023, E731
+        want = sum(m.size for m in difflib.SequenceMatcher(None, claim, chunk).get_matching_blocks())
+        assert found(0) == found(want) == want
+        assert found(len(claim) + 1) is None
