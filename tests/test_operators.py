@@ -269,3 +269,16 @@ def test_sets_that_share_few_tokens_do_not_become_pairs(spark):
     sets = spark.createDataFrame(rows_, "pos long, h array<long>")
     begun = text.rare_beginnings(sets, 0.5, []).withColumn("side", F.lit(0)).toArrow()
     assert begun.num_rows == 100 and len(text.met_pairs(begun, 0.5)[0]) == 0
+
+
+def test_one_large_group_is_ranked_and_summed_in_stretches(spark):
+    from tidemark.functions.core import order_statistics, running, stretch_of
+
+    df = spark.range(4001).selectExpr("if(id < 4000, 'a', null) as k", "cast((id * 7919) % 4000 as double) as x", "id", "cast(id % 3 as bigint) as v")
+    cut, stretch = stretch_of(df, ["k"], "x")
+    assert cut.groupBy("k", stretch.alias("s")).count().agg({"count": "max"}).first()[0] <= 400
+    got = {r.k: (r.n, r.median, r.p25, r.p75, r.least, r.most) for r in order_statistics(df, ["k"], "x").collect()}
+    alone = float(4000 * 7919 % 4000)
+    assert got == {"a": (4000, 1999.5, 1000.0, 2999.0, 0.0, 3999.0), None: (1, alone, alone, alone, alone, alone)}
+    sums = {r.id: r.s for r in running(df.where("k is not null"), "k", "id", "v", "s").collect()}
+    assert sums == {i: sum(j % 3 for j in range(i + 1)) for i in range(4000)}
