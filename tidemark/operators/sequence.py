@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.core import latest
+from ..functions.core import latest, running
+from .graph import kept
 
 
 def bursts(days: DataFrame, gap: int = 7, first_seen: DataFrame | None = None) -> DataFrame:
@@ -174,29 +175,36 @@ def token_windows(messages: DataFrame, budget: int) -> DataFrame:
     return messages.select("thread_id", "seq", size.alias("tokens")).groupBy("thread_id").applyInPandas(pack, "thread_id long, seq long, tokens long, window long")
 
 
+#: Runs of small items that are folded in one call.
+RUNS = 256
+
+
 def batch_packing(items: DataFrame, small: int, budget: int, members: int) -> DataFrame:
     """Small items (project, pos, tokens) packed in order into batches; a large one stands alone and ends the batch.
 
     Each large item is a new start, so only the small ones between two of them
-    are folded together; running sums then number the batches of a project.
+    are folded together, ``RUNS`` runs in a call; running sums over stretches of a
+    project then number its batches.
     """
-    w = Window.partitionBy("project").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    runs = items.withColumn("large", F.col("tokens") > small).withColumn("run", F.sum(F.col("large").cast("int")).over(w))
+    sized = items.withColumn("large", F.col("tokens") > small).withColumn("_one", F.col("large").cast("long"))
+    runs = kept(running(sized, "project", "pos", "_one", "run").select("project", "pos", "tokens", "large", "run"))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
-        batch, used, count, out = 0, 0, 0, []
-        for n in pdf["tokens"]:
+        now, batch, used, count, out = None, 0, 0, 0, []
+        for run, n in zip(pdf["run"].tolist(), pdf["tokens"].tolist(), strict=True):
+            if run != now:
+                now, batch, used, count = run, 0, 0, 0
             if count and (used + n > budget or count >= members):
                 batch, used, count = batch + 1, 0, 0
             out.append(batch)
             used, count = used + n, count + 1
         return pdf.assign(local=out)[["project", "pos", "run", "local"]]
 
-    packed = runs.where("not large").select("project", "pos", "tokens", "run").groupBy("project", "run").applyInPandas(pack, "project string, pos long, run long, local long")
+    packed = kept(runs.where("not large").select("project", "pos", "tokens", "run").groupBy("project", F.floor(F.col("run") / RUNS)).applyInPandas(lambda _, pdf: pack(pdf), "project string, pos long, run long, local long"))
     n = runs.groupBy("project", "run").agg(F.max(F.col("large").cast("long")).alias("own")).join(packed.groupBy("project", "run").agg((F.max("local") + 1).alias("b")), ["project", "run"], "left")
-    before = F.sum(F.col("own") + F.coalesce("b", F.lit(0))).over(Window.partitionBy("project").orderBy("run").rowsBetween(Window.unboundedPreceding, -1))
-    first = n.select("project", "run", "own", F.coalesce(before, F.lit(0)).alias("first"))
+    n = n.withColumn("_all", F.col("own") + F.coalesce("b", F.lit(0)))
+    first = running(n, "project", "run", "_all", "_upto").select("project", "run", "own", (F.col("_upto") - F.col("_all")).alias("first"))
     large = runs.where("large").select("project", "pos", "run", F.lit(None).cast("long").alias("local"))
     out = packed.unionByName(large).join(first, ["project", "run"])
     return out.select("project", "pos", (F.col("first") + F.coalesce(F.col("own") + F.col("local"), F.lit(0))).alias("batch"))
