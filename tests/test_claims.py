@@ -3,6 +3,8 @@
 import difflib
 import random
 
+from pyspark.sql import functions as F
+
 from tidemark.operators import joins, text
 
 SF = "/root/testdata/sf0.001"
@@ -128,3 +130,15 @@ def test_runs_are_those_of_the_matcher_and_hopeless_pairs_stop_early():
         want = sum(m.size for m in difflib.SequenceMatcher(None, claim, chunk).get_matching_blocks())
         assert found(0) == found(want) == want
         assert found(len(claim) + 1) is None
+
+
+def test_words_beside_a_counted_table_are_not_shuffled(spark):
+    docs = spark.createDataFrame([(k, f"p{k % 2}", f"alpha beta{k % 2} gamma " * 3) for k in range(8)], "thread_id long, project string, content string")
+    terms = spark.createDataFrame([("p0", "beta0", 2.0, True), ("p1", "beta1", 1.0, True)], "project string, term string, score double, code boolean")
+    votes = text.vocabulary_votes(docs, terms)
+    assert sorted((r.thread_id, r.project, r.term) for r in votes.collect()) == [(k, f"p{k % 2}", f"beta{k % 2}") for k in range(8)]
+    plan = votes._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    words = spark.createDataFrame([(["a", "b", "c", "d"],), (["a"],)], "w array<string>").select(text.shingles(F.col("w"), 3).alias("s"))
+    assert [r.s for r in words.collect()] == [["a b c", "b c d"], ["a"]]
+    assert "slice(" not in words._jdf.queryExecution().optimizedPlan().toString()
