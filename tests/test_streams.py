@@ -48,6 +48,17 @@ def test_sessions_in_any_order(spark, tmp_path):
     assert sorted((r.account, r.session, r.n, r.first_id, r.started, r.ended, r.confidence) for r in got if r.account >= 0) == want
 
 
+def test_accounts_of_one_bucket_keep_their_own_sessions(spark, tmp_path):
+    rows = [(k % 5, T0 + dt.timedelta(minutes=11 * k), k, f"c{k % 3}" if k % 8 == 0 else None) for k in range(60)]
+    schema = "account long, ts timestamp, id long, context string"
+    want = sorted(tuple(r) for r in sequence.sessionize(spark.createDataFrame(rows, schema), 1800).select("account", "session", "n", "first_id", "confidence").collect())
+    for part in (rows, [(-1, T0 + dt.timedelta(days=900), -1, None)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = run(spark, stateful.context_sessions(stream, 1800, "100 days", buckets=1), tmp_path, "out")
+    assert sorted((r.account, r.session, r.n, r.first_id, r.confidence) for r in got if r.account >= 0) == want
+
+
 def test_one_bad_file_among_three_stays(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for name, text in (("a", '{"x": 1}\n\n{"x": 2}\n'), ("b", '{"x": 3}\n{"x": 4\n'), ("c", '{"x": 5, "y": 1}\n')):

@@ -337,9 +337,12 @@ def st_session_window_context(t):
     path = folder(t, "activity")
     rows = t.activity.select(F.col("user_id").alias("account"), "ts", F.col("event_id").alias("id"), F.when(F.col("event_id") % 4 == 0, F.col("event_type")).alias("context"))
     # rows in three batches that have nothing to do with their order, then one far later row, which lets all sessions end
+    files = t.spark.sparkContext.defaultParallelism
     for k in range(3):
-        rows.where(F.pmod(F.xxhash64("id"), F.lit(3)) == k).coalesce(1).write.mode("append").parquet(path)
+        rows.where(F.pmod(F.xxhash64("id"), F.lit(3)) == k).repartition(files).write.mode("append").parquet(path)
     rows.agg((F.max("ts") + F.expr("interval 400 days")).alias("ts")).select(F.lit(-1).cast("long").alias("account"), "ts", F.lit(-1).cast("long").alias("id"), F.lit(None).cast("string").alias("context")).write.mode("append").parquet(path)
-    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
+    # some 256 accounts a bucket
+    buckets = max(64, rows.agg(F.approx_count_distinct("account")).first()[0] // 256)
     with stateful.timed_state(t.spark):
-        return drained(t, stateful.context_sessions(stream, 86400, "200 days")).where("account >= 0").select("account", "session", "n", "first_id", "confidence")
+        return drained(t, stateful.context_sessions(stream, 86400, "200 days", buckets)).where("account >= 0").select("account", "session", "n", "first_id", "confidence")
