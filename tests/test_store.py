@@ -5,7 +5,9 @@ import math
 import random
 import re
 
-from tidemark.operators.search_index import SearchIndex, shards_for, with_snippets
+import pyarrow as pa
+
+from tidemark.operators.search_index import SearchIndex, best_of_shard, postings_of_shard, shards_for, with_snippets
 from tidemark.sources.store import StoredTable, add_new, replace_by
 
 
@@ -105,3 +107,19 @@ def test_shards_grow_with_the_texts_and_lie_apart(spark, tmp_path):
         assert len(folders) == 20
         assert all(spark.read.parquet(f).select("shard").distinct().count() == 1 for f in folders.values())
     assert sorted((r.term, r.df) for r in index.terms().collect()) == [("harbour", 400), ("lights", 400)]
+
+
+def test_a_shard_passes_on_its_best_only_and_groups_its_postings_at_once():
+    lists = pa.table({"first": [False, True], "ids": [list(range(1000)), [2000, 2001]], "tfs": [[1] * 1000, [1, 1]], "lens": [[10] * 1000, [10, 20]], "queries": [[7, 8], [8]], "idf": [0.5, 0.5], "avg_len": [10.0, 10.0]})
+    got = best_of_shard(lists, pa.int64(), 3, 1.2, 0.75).to_pylist()
+    assert [(r["query_id"], r["doc_id"], r["first"]) for r in got] == [(7, 0, False), (7, 1, False), (7, 2, False), (8, 2000, True), (8, 2001, True), (8, 0, False)]
+    row = lambda doc, words, pick=0, project="p": {"shard": 3, "block": 0, "doc_id": doc, "project": project, "first": False, "gone": words is None, "pick": pick, "w": words or [], "len": len(words or [])}
+    kinds = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("doc_id", pa.int64()), ("project", pa.string()), ("first", pa.bool_()), ("gone", pa.bool_()), ("pick", pa.int64()), ("w", pa.list_(pa.string())), ("len", pa.int32())])
+    table = lambda *rows: pa.Table.from_pylist(list(rows), schema=kinds)
+    told = lambda t: [(r["term"], r["project"], r["ids"], r["tfs"], r["lens"], r["n"], r["top_tf"], r["least_len"]) for r in t.to_pylist()]
+    empty = pa.table({c: pa.array([], t) for c, t in (("term", pa.string()), ("block", pa.int32()), ("project", pa.string()), ("first", pa.bool_()), ("ids", pa.list_(pa.int64())), ("tfs", pa.list_(pa.int32())), ("lens", pa.list_(pa.int32())))})
+    one = postings_of_shard(empty, table(row(2, ["b", "a", "b"]), row(1, ["a"]), row(1, ["z"], -5), row(4, ["a"], project=None), row(5, [])))
+    assert told(one) == [("a", "p", [1, 2], [1, 1], [1, 3], 2, 1, 1), ("a", None, [4], [1], [1], 1, 1, 1), ("b", "p", [2], [2], [3], 1, 2, 3)]
+    two = postings_of_shard(one, table(row(2, ["c"]), row(4, None)))
+    assert told(two) == [("a", "p", [1], [1], [1], 1, 1, 1), ("c", "p", [2], [1], [1], 1, 1, 1)]
+    assert told(postings_of_shard(two, table(row(1, None), row(2, None)))) == []

@@ -63,23 +63,25 @@ class StoredTable:
     def place(self) -> Column:
         return F.pmod(F.col(self.key) if self.numbered else F.xxhash64(self.key), F.lit(self.parts)).cast("int")
 
-    def merge(self, incoming: DataFrame, batch: str, combine: Combine, mark: str | None = None) -> list[int]:
+    def merge(self, incoming: DataFrame, batch: str, combine: Combine, mark: str | None = None, stable: bool = False, dealt: bool = False) -> list[int]:
         """The partitions that ``combine(old rows, incoming rows)`` has rewritten; none if the batch was merged before.
 
         ``combine`` sees whole partitions: all rows, old and incoming, of the keys
-        that fall there. Without a mark the former one stays.
+        that fall there. Without a mark the former one stays. ``stable`` rows are already stored
+        and are not kept again; with ``dealt``, ``combine`` returns the rows of a partition together and in order.
         """
         if self.seen(batch):
             return []
         version, folders, former = self.head()
-        fresh = kept(incoming)
+        fresh = incoming if stable else kept(incoming)
         touched = sorted(r.p for r in fresh.select(self.place().alias("p")).distinct().collect())
         if touched:
             old = self._rows([folders[p] for p in touched if p in folders])
             here = f"{self.path}/data/{uuid.uuid4().hex}"
             names = [f.name for f in self.schema]
             new = combine(old, fresh).select(*[F.col(f.name).cast(f.dataType) for f in self.schema]).withColumn("_part", self.place())
-            new.repartition(len(touched), "_part").sortWithinPartitions("_part", *names[:1]).write.partitionBy("_part").parquet(here)
+            new = new if dealt else new.repartition(len(touched), "_part").sortWithinPartitions("_part", *names[:1])
+            new.write.partitionBy("_part").parquet(here)
             written = {r["_part"] for r in self.spark.read.schema(StructType([*self.schema.fields, StructField("_part", IntegerType())])).parquet(here).select("_part").distinct().collect()}
             folders = {p: f for p, f in folders.items() if p not in touched} | {p: f"{here}/_part={p}" for p in written}
         rows = [(version + 1, batch, mark if mark is not None else former, p, f) for p, f in sorted(folders.items())] or [(version + 1, batch, mark if mark is not None else former, None, None)]
