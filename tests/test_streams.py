@@ -83,3 +83,18 @@ def test_one_bad_file_among_three_stays(spark, tmp_path):
     ingest("three")
     assert sorted(r.x for r in jobs.ingested(spark, schema, str(tmp_path / "rows"), journal).collect()) == [1, 2, 3, 4, 5, 6]
     assert {r.outcome for r in journal.read().collect()} == {"ingested"}
+
+
+def test_conditions_of_one_bucket_age_by_themselves(spark, tmp_path):
+    h = lambda n: T0 + dt.timedelta(hours=n)
+    rows = [(k, k, h(k % 7), "sighting") for k in range(40)] + [(k, 100 + k, h(9 + k), "resolution") for k in range(0, 40, 2)] + [(None, 300, h(1), "sighting")]
+    schema = "fingerprint long, event_id long, ts timestamp, kind string"
+    for p in (rows, [(99, 500, h(300), "ruling")], [(3, 501, h(301), "resolution")]):
+        spark.createDataFrame(p, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = run(spark, stateful.ageing_occurrences(stream, 24 * 3600 * 1000, buckets=1), tmp_path, "out")
+    # those closed a day after they began, or never, are told as aged once
+    aged = {k for k in range(40) if k % 2 or 9 + k >= k % 7 + 24} | {None}
+    assert sorted(str(r.fingerprint) for r in got if r.change == "aged") == sorted(map(str, aged))
+    assert sorted(r.event_id for r in got if r.change == "opened") == [*range(40), 300]
+    assert sorted(r.event_id for r in got if r.change == "closed") == [*range(100, 140, 2), 501]

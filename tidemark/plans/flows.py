@@ -322,8 +322,10 @@ AGE_S = 3 * 86400
     AND (op.ms + {AGE_S}000 <= (SELECT max(ms) - 3600000 FROM s) OR EXISTS (SELECT 1 FROM s l WHERE l.fingerprint = op.fingerprint AND l.ms >= op.ms + {AGE_S}000)))
   SELECT fingerprint, event_id, occurrence::BIGINT AS occurrence, 'opened' AS change FROM op UNION ALL SELECT fingerprint, event_id, occurrence::BIGINT, 'closed' FROM cl UNION ALL SELECT fingerprint, NULL, occurrence::BIGINT, 'aged' FROM a""", name="st_event_occurrences_aged")
 def st_event_occurrences_aged(t):
+    # some 256 conditions a bucket
+    buckets = max(64, t.sightings.agg(F.approx_count_distinct("fingerprint")).first()[0] // 256)
     with stateful.timed_state(t.spark):
-        return drained(t, stateful.ageing_occurrences(streamed(t, "sightings", ["fingerprint", "event_id", "ts", "kind"]), AGE_S * 1000))
+        return drained(t, stateful.ageing_occurrences(streamed(t, "sightings", ["fingerprint", "event_id", "ts", "kind"]), AGE_S * 1000, buckets=buckets))
 
 
 CTX = "CASE WHEN event_id % 4 = 0 THEN event_type END"
