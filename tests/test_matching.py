@@ -211,3 +211,17 @@ def test_pairs_of_a_key_are_joined_but_not_sorted(spark):
     # no window or count stands above the join of the pairs
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join Inner, ((key") < min(plan.index("Window"), plan.index("Aggregate"))
+
+
+def test_long_needles_are_found_without_an_automaton(spark, monkeypatch):
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("ab é日😀") for _ in range(n))
+    bodies = {i: word(rng.randint(0, 400)) for i in range(60)} | {100: None, 101: "a" * 300, 102: "ab" * 150}
+    needles = [b[k : k + rng.randint(20, 90)] for b in bodies.values() if b for k in (0, 3, 77, 200)] + [word(30) for _ in range(20)] + ["a" * 20, "a" * 300, "a" * 301, "ba" * 20]
+    needles = [x for x in needles if len(x) >= 20]
+    texts = spark.createDataFrame(list(bodies.items()), "text_id long, body string")
+    said = spark.createDataFrame([(x,) for x in needles], "needle string")
+    monkeypatch.setattr(joins, "find_all", None)
+    monkeypatch.setattr(automaton, "SLICE_CHARS", 500)
+    got = sorted(map(tuple, automaton.find_long(texts, said, 20).collect()))
+    assert got == sorted({(i, x) for i, b in bodies.items() if b for x in needles if x in b})
