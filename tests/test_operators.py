@@ -8,6 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import core
 from tidemark.operators import census, derive, graph, joins, scoring, sequence, text
 
 D = dt.date
@@ -271,6 +272,22 @@ def test_sets_that_share_few_tokens_do_not_become_pairs(spark):
     assert begun.num_rows == 100 and len(text.met_pairs(begun, 0.5)[0]) == 0
 
 
+def test_stretches_are_cut_alike_whenever_they_are_read(spark, monkeypatch, request):
+    # a sketch that gives other cuts each time it is computed, as one of parts that arrive in another order may
+    cut = F.udf(lambda x, y: sorted(random.SystemRandom().uniform(x, y) for _ in range(63)), "array<double>")
+    monkeypatch.setattr(F, "percentile_approx", lambda col, *_: cut(F.min(col), F.max(col)))
+    # a plan reads a part of it twice or computes it twice, as its optimizer likes
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.exchange.reuse"))
+    df = spark.range(4000).selectExpr("'a' as k", "cast((id * 7919) % 3989 as double) as x", "id")
+    x = sorted(float(i * 7919 % 3989) for i in range(4000))
+    for _ in range(3):
+        r = core.order_statistics(df, ["k"], "x").first()
+        assert (r.n, r.median, r.p25, r.p75) == (4000, (x[1999] + x[2000]) / 2, x[1000], x[2999])
+        sums = {r.id: r.s for r in core.running(df.withColumn("y", F.col("id").cast("double")), "k", "y", "id", "s").collect()}
+        assert sums == {i: i * (i + 1) // 2 for i in range(4000)}
+
+
 def test_one_large_group_is_ranked_and_summed_in_stretches(spark):
     from tidemark.functions.core import order_statistics, running, stretch_of
 

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.graph import kept
+
 
 def segments(path: Column) -> Column:
     return F.split(path, "/")
@@ -72,9 +74,11 @@ def mapping(pairs: Mapping[str, object]) -> Column:
 def stretch_of(rows: DataFrame, keys: Sequence[str], value: str, parts: int = 64) -> tuple[DataFrame, Column]:
     """Rows with ``_at``, about ``parts`` values that cut each group into stretches of like size, and the number of a row's stretch.
 
-    Where the cuts lie changes no result that is put together from whole stretches.
+    Where the cuts lie changes no result that is put together from whole stretches,
+    as long as all of them are cut alike. Approximate percentiles depend on the order in
+    which parts of a group arrive, so cuts are made once and kept.
     """
-    cuts = rows.groupBy(*keys).agg(F.percentile_approx(value, [(k + 1) / parts for k in range(parts - 1)], 1000).alias("_at"))
+    cuts = kept(rows.groupBy(*keys).agg(F.percentile_approx(value, [(k + 1) / parts for k in range(parts - 1)], 1000).alias("_at")))
     joined = rows.join(cuts, [rows[k].eqNullSafe(cuts[k]) for k in keys]) if keys else rows.crossJoin(F.broadcast(cuts))
     for k in keys:
         joined = joined.drop(cuts[k])

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import first_match, latest, order_statistics, zero_filled
+from .graph import kept
 
 # Weights and thresholds of a link decision.
 CAP, AUTO, LEAD, SUGGEST, MIN_ORIGINS = 0.97, 0.90, 0.25, 0.60, 2
@@ -203,7 +204,8 @@ def fail_taxonomy(failures: DataFrame, successes: int, limit: int) -> DataFrame:
 
 def compare_units(rows: DataFrame, unit: str, value: str, rejected: Column) -> DataFrame:
     """Pairs of units: too few rows, quartile ranges that overlap, or the faster one; and the share of each one's rows that is accepted."""
-    s = order_statistics(rows, [unit], value).join(rows.groupBy(unit).agg(F.round(1 - F.avg(rejected.cast("int")), 6).alias("acceptance")), unit)
+    # a row for each unit, read by both sides
+    s = kept(order_statistics(rows, [unit], value).join(rows.groupBy(unit).agg(F.round(1 - F.avg(rejected.cast("int")), 6).alias("acceptance")), unit))
     a, b = s.select(*[F.col(c).alias(f"{c}_a") for c in s.columns]), s.select(*[F.col(c).alias(f"{c}_b") for c in s.columns])
     pairs = a.join(b, F.col(f"{unit}_a") < F.col(f"{unit}_b"))
     overlap = (F.col("p25_a") <= F.col("p75_b")) & (F.col("p25_b") <= F.col("p75_a"))
