@@ -127,6 +127,44 @@ def test_equal_messages_take_one_row_each(spark):
     assert got == [(k, k) for k in range(150)]
 
 
+def varied(rng, said, share):
+    """A text some of whose characters are left out, and as many put in."""
+    out = []
+    for c in said:
+        r = rng.random()
+        out.append("" if r < share else c + rng.choice("abcdeft .") if r > 1 - share else c)
+    return "".join(out)
+
+
+@pytest.mark.parametrize("least", [0.9, 0.6])
+def test_ratios_of_blocks_lose_no_pair(least):
+    rng = random.Random(3)
+    parts = ("th", "an", "tion", "er", "re", "on", "en", "of", "ing", "ble", "st", "wh", ".", ", ", " ", " ", " ", " ", "\n", "X")
+    base = ["".join(rng.choice(parts) for _ in range(rng.choice((0, 1, 3, 20, 60, 90, 110, 200)))) for _ in range(24)]
+    some = lambda: [varied(rng, rng.choice(base), rng.choice((0, 0.005, 0.01, 0.03, 0.05, 0.08))) for _ in range(70)]
+    asked, pool = some(), some()
+    want = [(i, j, r) for i, x in enumerate(asked) for j, y in enumerate(pool) if (r := difflib.SequenceMatcher(None, y, x).ratio()) > least]
+    assert sorted(text.ratios_above(asked, pool, least)) == want and sum(len(asked[i]) >= 200 for i, *_ in want) > 3
+
+
+@pytest.mark.parametrize("blocks", [text.BLOCK_TEXTS, (5, 5)])
+def test_skeletons_meet_without_a_common_word(spark, blocks):
+    rng = random.Random(8)
+    words = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(9)) for _ in range(12))
+    base = [words() for _ in range(12)]
+    # every word has one character replaced or one more
+    other = [" ".join(w[: k % 9] + "x" + w[k % 9 + 1 :] if k < 10 else w + "y" for k, w in enumerate(b.split())) for b in base]
+    assert all(not set(x.split()) & set(y.split()) for x, y in zip(base, other, strict=True))
+    sides = [[(k, "user", b) for k, b in enumerate(side)] + [(50, "user", ""), (51, None, "x" * 50)] for side in (base, other)]
+    s = spark.createDataFrame(sides[0], "skeleton_id long, role string, content string").selectExpr("*", "struct(xxhash64(role, content) as k) as text_key", "'c' as conversation_id")
+    p = spark.createDataFrame(sides[1], "pool_id long, role string, content string")
+    least = 0.85
+    want = sorted((i, j) for i, r, x in sides[0] for j, q, y in sides[1] if r and r == q and difflib.SequenceMatcher(None, y, x).ratio() > least)
+    got = text.skeleton_candidates(s, p, least, blocks).join(s, "text_key").select("skeleton_id", "pool_id").collect()
+    assert len(want) == 13 and sorted((r.skeleton_id, r.pool_id) for r in got) == want
+    assert sorted((r.skeleton_id, r.pool_id) for r in text.fuzzy_skeleton(s.drop("text_key"), p, least=least).collect()) == want
+
+
 def test_exact_link_does_not_pair_copies(spark, monkeypatch):
     threads = spark.range(300).selectExpr("id as thread_id", "concat('name ', id % 3) as title", "concat('about large ring ', id % 2) as first_text")
     projects = spark.range(300).selectExpr("concat('p', 1000 + id) as project_id", "concat('name ', 1 + id % 2) as name", "if(id % 7 = 3, 'ring 1', if(id % 7 = 5, 'large', null)) as template")
