@@ -264,6 +264,18 @@ def test_like_pairs_equal_brute_force_in_any_blocks(spark, similarity):
             assert sum(sets[a] == sets[b] for a, b, _ in got) == sum(1 for i, p in own if sets[i] and rep[p, sets[i]] != i)
 
 
+def test_texts_are_split_into_tokens_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def said(i):
+        seen.add(1)
+        return f"w{i // 2} common words w{i // 4}"
+
+    items = spark.range(40).select(F.col("id").alias("pos"), F.udf(said, "string").asNondeterministic()("id").alias("text"))
+    found = {(r.a, r.b) for r in text.like_pairs(items, 0.5).collect()}
+    assert {(i, i + 1) for i in range(0, 40, 2)} <= found and seen.value == 40
+
+
 def test_sets_that_share_few_tokens_do_not_become_pairs(spark):
     # every two of the sets share a rare token, as a join on single tokens would pair them
     rows_ = [(i, [(min(i, j) * 100 + max(i, j)) * 7919 for j in range(100) if j != i]) for i in range(100)]
